@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules of hitgrid.plans that register queries.
-PLANS = ("moments", "channels", "windows", "joins", "scoring", "calibration", "reports", "ingest", "controllers")
+PLANS = ("moments", "channels", "windows", "joins", "scoring", "calibration", "reports", "ingest", "controllers", "learning")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
