@@ -10,7 +10,7 @@ from ..operators import islands
 from ..registry import query
 from ..streaming import adaptive, episodes, rate
 from .moments import LADDER_SQL, ladder
-from .views import HOUR, detections
+from .views import DAY, DETECTIONS, HOUR, detections
 from .windows import steps
 
 
@@ -111,3 +111,27 @@ def str_tau_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = x.groupBy(*keys, "j").agg(F.sum(wt * y * y).alias("syy"), F.sum(wt * y * f).alias("syf"), F.sum(wt * f * f).alias("sff"), F.sum(wt).alias("sw"))
     err = (F.col("syy") - F.col("syf") * F.col("syf") / F.col("sff")) / F.col("sw")
     return p.groupBy(*keys).agg(F.round(F.min(err), 5).alias("err"))
+
+
+@query()
+def str_hold_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each Hold of the engine lasted, in bins."""
+    rows = islands.segments(adaptive.run_engine(hourly(spark, sf_dir)), ["run_id"], "t", "state").filter("state = 'Hold'")
+    return rows.select("run_id", "start", (F.col("end") - F.col("start")).alias("held"))
+
+
+@query(f"""WITH {DETECTIONS}, o AS (SELECT run_id, event_id, ts_us - (event_id % 7) * {HOUR} AS t, max(ts_us - (event_id % 7) * {HOUR}) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM det)
+  SELECT run_id, count(*) FILTER (t < top) AS out_of_order, count(*) FILTER (t < top - {4 * HOUR}) AS dropped FROM o GROUP BY 1""")
+def str_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals behind the latest time so far, and those behind the watermark (four hours): the batch twin of the drop metric."""
+    rows = detections(spark, sf_dir).withColumn("t", F.col("ts_us") - (F.col("event_id") % 7) * HOUR)
+    w = islands.over(["run_id"], "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("top", F.max("t").over(w))
+    return rows.groupBy("run_id").agg(F.count_if(F.col("t") < F.col("top")).alias("out_of_order"), F.count_if(F.col("t") < F.col("top") - 4 * HOUR).alias("dropped"))
+
+
+@query(f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (PARTITION BY run_id, ts_us // {7 * DAY} ORDER BY ts_us, event_id) AS n FROM det")
+def str_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts that start anew with each session: the session is part of the key."""
+    rows = detections(spark, sf_dir).withColumn("session", F.expr(f"ts_us div {7 * DAY}"))
+    return rows.select("event_id", F.row_number().over(islands.over(["run_id", "session"], "ts_us", "event_id")).cast("long").alias("n"))

@@ -122,3 +122,74 @@ def snk_run_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file that each event of a run goes to, 500 events a file."""
     k = F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")) - 1
     return detections(spark, sf_dir).withColumn("k", k).select("run_id", F.expr("k div 500").alias("file_no"), "event_id")
+
+
+def _le(value):
+    """Four bytes, the lowest first."""
+    digits = F.lpad(F.hex(value), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
+
+
+@query(f"WITH {DETECTIONS} SELECT run_id, ts_us // {24 * HOUR} AS day, (ts_us % {24 * HOUR}) // 1000 AS ticks, channel FROM det")
+def src_lmx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary run files, one a run and day as the acquisition rolls over, decoded again."""
+    det = detections(spark, sf_dir).withColumns({"day": F.expr(f"ts_us div {24 * HOUR}"), "ticks": F.expr(f"(ts_us % {24 * HOUR}) div 1000")})
+    record = F.concat(_le(F.expr("shiftleft(1L, cast(channel - 1 as int))")), _le(F.col("ticks")))
+    held = det.groupBy("run_id", "day").agg(F.sort_array(F.collect_list(F.struct("ticks", "event_id", record.alias("raw")))).alias("rows"))
+    head = F.concat(F.lit("BinaryDataClockTickLength 1000\nInternalScaler "), F.size("rows").cast("string"), F.lit("\nBinaryDataFollows\n")).cast("binary")
+    tail = F.concat(_le(F.lit(0)), F.unhex(F.lit("FFFFFFFF")))
+    content = F.aggregate("rows", head, lambda a, x: F.concat(a, x["raw"]), lambda a: F.concat(a, tail))
+    files = held.select(F.concat_ws("/", "run_id", F.col("day").cast("string")).alias("path"), content.alias("content"))
+    hits = listmode.decode_lmx(files)
+    return hits.select(F.split("path", "/")[0].alias("run_id"), F.split("path", "/")[1].cast("long").alias("day"), F.col("ts_ticks").alias("ticks"), F.col("channel").cast("long").alias("channel"))
+
+
+@query(f"WITH {DETECTIONS} SELECT run_id, ts_us // {24 * HOUR} AS day, 86400.0::DOUBLE AS duration_s, count(*)::DOUBLE AS total, count(*) FILTER (channel = 7)::DOUBLE AS c7 FROM det GROUP BY ALL")
+def src_count_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count vectors as CSV lines with one spelling of the header, read back by another."""
+    from .channels import count_vectors
+
+    rows = count_vectors(spark, sf_dir)
+    line = F.to_csv(F.struct(*[f"c{k}" for k in range(1, 16)], F.lit(86400.0)))
+    header = ", ".join(f"`Channel {k}` DOUBLE" for k in range(1, 16)) + ", Duration_S DOUBLE"
+    read = rows.select("run_id", "day", F.from_csv(line, header).alias("r")).select("run_id", "day", "r.*")
+    found = listmode.resolve_columns(read, {"run_id": [], "day": [], "duration_s": [], **{f"c{k}": [f"Channel{k}", f"Channel {k}"] for k in range(1, 16)}})
+    total = sum((F.col(f"c{k}") for k in range(1, 16)), F.lit(0.0))
+    return found.select("run_id", "day", "duration_s", total.alias("total"), "c7")
+
+
+@query()
+def snk_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat CSV lines of the windows, one a row, ready for a text sink."""
+    from .windows import steps
+
+    rows = steps(spark, sf_dir)
+    return rows.select("run_id", "idx", F.to_csv(F.struct("run_id", "idx", "n", F.round("center", 6).alias("center"), "state", "label")).alias("line"))
+
+
+@query()
+def snk_validation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group summary, coverage and covariance comparison as one long table, to be written partitioned by table."""
+    from .scoring import agg_ci_coverage, agg_cov_compare, agg_cov_elementwise
+
+    parts = {"coverage": agg_ci_coverage(spark, sf_dir), "compare": agg_cov_compare(spark, sf_dir), "elementwise": agg_cov_elementwise(spark, sf_dir)}
+    out = None
+    for name, df in parts.items():
+        part = df.select(F.lit(name).alias("report"), F.col("grp").cast("string").alias("grp"), F.to_json(F.struct(*[c for c in df.columns if c != "grp"])).alias("line"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def win_monotone_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An offset for each file of a run that starts before the file ahead of it ended: a fold over the files, of which there are few."""
+    det = detections(spark, sf_dir).withColumn("file_no", F.expr(f"ts_us div {5 * 24 * HOUR}")).withColumn("clock", F.expr(f"ts_us % {3 * 24 * HOUR}"))
+    files = det.groupBy("run_id", "file_no").agg(F.min("clock").alias("lo"), F.max("clock").alias("hi"))
+    held = files.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("file_no", "lo", "hi"))).alias("files"))
+    start = F.struct(F.lit(0).cast("long").alias("off"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<file_no:bigint,off:bigint>>").alias("out"))
+
+    def fold(acc, x):
+        off = F.when(acc["last"].isNotNull() & (x["lo"] + acc["off"] < acc["last"]), acc["last"] - x["lo"]).otherwise(acc["off"])
+        return F.struct(off.alias("off"), (x["hi"] + off).alias("last"), F.concat(acc["out"], F.array(F.struct(x["file_no"].alias("file_no"), off.alias("off")))).alias("out"))
+
+    return held.select("run_id", F.explode(F.aggregate("files", start, fold)["out"]).alias("r")).select("run_id", "r.file_no", F.col("r.off").alias("offset_us"))

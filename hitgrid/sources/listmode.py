@@ -38,18 +38,22 @@ def pack_words(df: DataFrame, ts: str = "ts_us", channel: str = "channel") -> Da
 
 def little_endian(data: Column, start: Column, size: int = 4) -> Column:
     """An unsigned number from the bytes of a binary column at a 1-based place."""
-    return F.conv(F.hex(F.reverse(F.substring(data, start, F.lit(size)))), 16, 10).cast("long")
+    return F.conv(F.hex(F.concat(*[F.substring(data, start + (size - 1 - k), F.lit(1)) for k in range(size)])), 16, 10).cast("long")
 
 
 def read_lmx(spark: SparkSession, path: str, channels: int = 32) -> DataFrame:
-    """(path, record, ts_ticks, channel) of LMX files: an ASCII header up to BinaryDataFollows, then records of a channel mask and ticks.
+    """LMX files of a path, decoded. A file is one row until its records explode; files are bounded by the acquisition's rollover."""
+    return decode_lmx(spark.read.format("binaryFile").load(path).select("path", "content"), channels)
+
+
+def decode_lmx(files: DataFrame, channels: int = 32) -> DataFrame:
+    """(path, record, ts_ticks, channel) of (path, content): an ASCII header up to BinaryDataFollows, then records of a channel mask and ticks.
 
     A zero mask is a marker: ticks 1 adds the segment before to the offset, 0xFFFFFFFF ends the file. Records stop at
-    InternalScaler + 2. A file is one row until its records explode; files are bounded by the acquisition's rollover.
+    InternalScaler + 2.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     mark = F.lit("BinaryDataFollows")
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     at = F.instr(text, "BinaryDataFollows")
     head = F.substring(text, F.lit(1), at)
     scaler = F.regexp_extract(head, r"InternalScaler\D*(\d+)", 1).cast("long")
