@@ -31,8 +31,10 @@ ORDERS = 3
 HEAVY = 64
 #: Documents of a block, about; and its shingles.
 BLOCK = 512
-_SLICE, _LOT = 4 << 20, 1_500_000
-_TOP = np.int32(2**31 - 1)
+_SLICE, _LOT = 3 << 19, 600_000
+_TOP = np.uint8(255)  # of document frequencies, which are told apart below it
+#: Shingle hashes have 56 bits: seven bytes travel for each.
+_HASH_MASK = np.uint64((1 << 56) - 1)
 _SALTS = mix64(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -49,9 +51,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> li
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(joined[a : b - width + 1]))
+            out.append(np.unique(joined[a : b - width + 1] & _HASH_MASK))
         elif b > a:
-            out.append(mix64((words[a:b] * _SALTS[: b - a]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(b - a)))
+            out.append(mix64((words[a:b] * _SALTS[: b - a]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(b - a)) & _HASH_MASK)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -76,7 +78,13 @@ _PAIRS, _META, _SAID, _SURE = range(4)
 
 
 def _row(part: int, kind: int, docs: np.ndarray, tokens: np.ndarray, more: np.ndarray | None = None) -> tuple:
-    return part, kind, np.diff(docs, prepend=0).tobytes(), tokens.tobytes(), b"" if more is None else more.tobytes()
+    return part, kind, np.diff(docs, prepend=0).tobytes(), np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), b"" if more is None else more.tobytes()
+
+
+def _tokens(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -153,18 +161,18 @@ def _count(homes: int):
         out = [r for row in out for r in _redeal(row, homes)]
         for k, d, t in zip(kinds, docs, tokens, strict=True):
             if k == _SURE:
-                d, t = _docs(d), np.frombuffer(t, np.uint64)
-                out += [_row(part, _PAIRS, dd, tt, np.full(len(tt), _TOP, np.int32)) for part, dd, tt in _dealt(_home(d, homes), d, t)]
+                d, t = _docs(d), _tokens(t)
+                out += [_row(part, _PAIRS, dd, tt, np.full(len(tt), _TOP)) for part, dd, tt in _dealt(_home(d, homes), d, t)]
         pairs = [i for i, k in enumerate(kinds) if k == _PAIRS]
         if pairs:
-            t = np.concatenate([np.frombuffer(tokens[i], np.uint64) for i in pairs])
+            t = np.concatenate([_tokens(tokens[i]) for i in pairs])
             d = np.concatenate([_docs(docs[i]) for i in pairs])
-            said = np.unique(np.concatenate([np.frombuffer(tokens[i], np.uint64) for i, k in enumerate(kinds) if k == _SAID] or [np.zeros(0, np.uint64)]))
+            said = np.unique(np.concatenate([_tokens(tokens[i]) for i, k in enumerate(kinds) if k == _SAID] or [np.zeros(0, np.uint64)]))
             order = np.argsort(t)
             t, d = t[order], d[order]
             cuts = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))
             count = np.diff(cuts)
-            df = np.repeat(count, count).astype(np.int32)
+            df = np.repeat(np.minimum(count, 254), count).astype(np.uint8)
             if len(said):
                 df[said[np.minimum(np.searchsorted(said, t), len(said) - 1)] == t] = _TOP
             shared = df >= 2
@@ -194,12 +202,12 @@ def _gather(table: pa.Table) -> pa.Table:
             metas.append(np.frombuffer(m, np.int64).reshape(-1, 3))
         else:
             docs.append(_docs(d))
-            tokens.append(np.frombuffer(t, np.uint64))
-            dfs.append(np.frombuffer(m, np.int32))
+            tokens.append(_tokens(t))
+            dfs.append(np.frombuffer(m, np.uint8))
     if not metas:
         return pa.Table.from_batches([], _SETS_ARROW)
     meta_docs, metas = np.concatenate(meta_docs), np.concatenate(metas)
-    docs, tokens, dfs = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((docs, np.int64), (tokens, np.uint64), (dfs, np.int32)))
+    docs, tokens, dfs = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((docs, np.int64), (tokens, np.uint64), (dfs, np.uint8)))
     order = np.argsort(docs, kind="stable")
     docs, tokens, dfs = docs[order], tokens[order], dfs[order]
     begin, end = np.searchsorted(docs, meta_docs), np.searchsorted(docs, meta_docs, side="right")
@@ -297,8 +305,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"))
     n = partitions(spark)
-    dealt = rows.select("row_key", "text").mapInArrow(_deal(4 * n, width), _SENT_SQL)
-    counted = dealt.groupBy("part").applyInArrow(_count(2 * n), _SENT_SQL)
+    dealt = rows.select("row_key", "text").mapInArrow(_deal(2 * n, width), _SENT_SQL)
+    counted = dealt.groupBy("part").applyInArrow(_count(n), _SENT_SQL)
     sets = written(counted.groupBy("part").applyInArrow(_gather, _SETS), "shingle-sets")
 
     able = sets.filter("tokens is not null")
