@@ -1,33 +1,18 @@
-"""Score curves and calibration: one grouping by score, then cumulative sums; nothing is quadratic.
-
-Running totals over all distinct scores come from a range partitioning by score: partition totals give each
-partition its offset, so no task orders all scores.
-"""
+"""Score curves and calibration: one grouping by score, then cumulative sums over value ranges; nothing is quadratic."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def running_totals(df: DataFrame, key: str, values: list[str], descending: bool = True) -> DataFrame:
-    """Adds cum_<value>, the sum of value over all rows up to this one in the order of key, which must be unique."""
-    order = F.desc(key) if descending else F.asc(key)
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumns({f"cum_{v}": F.sum(v).over(within) for v in values})
-    sums = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_part", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
-    out = parts.join(F.broadcast(sums), "_part")  # one row for each partition
-    return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"_o_{v}") for v in values}).drop("_part", *[f"_o_{v}" for v in values])
+from .ranges import running_totals
 
 
 def curve(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """(score, tp, fp, tpr, fpr, precision): a point for each distinct score, scores at or above it counting as positive."""
     by_score = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
     totals = by_score.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    rows = running_totals(by_score, score, ["pos", "neg"]).join(F.broadcast(totals))  # one row
+    rows = running_totals(by_score, score, ["pos", "neg"], descending=True).join(F.broadcast(totals))  # one row
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return rows.select(score, tp.alias("tp"), fp.alias("fp"), F.when(F.col("all_pos") > 0, tp / F.col("all_pos")).alias("tpr"), F.when(F.col("all_neg") > 0, fp / F.col("all_neg")).alias("fpr"), (tp / (tp + fp)).alias("precision"), "pos", "neg", "all_pos", "all_neg")
 

@@ -13,6 +13,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import places
+
 
 def share(key: Column, seed: int) -> Column:
     """A number in [0, 1) for a row, from a hash of its key: the same on every run and any partitioning."""
@@ -63,8 +65,6 @@ def probabilities(model: PipelineModel, df: DataFrame, name: str = "p") -> DataF
 
 def shuffled(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """df with one column's values dealt out anew: rows and values pair up by their places in two hash orders."""
-    from ..plans.joins import places
-
     a = places(df.drop(column).withColumn("_h", F.xxhash64(F.lit(seed), key)), "_h")
     b = places(df.select(F.col(column), F.xxhash64(F.lit(seed + 1), key).alias("_g")), "_g").drop("_g")
     return a.join(b, "place").drop("place", "_h")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import islands
+from ..operators.ranges import places
 from ..registry import query
 from .views import DAY, DETECTIONS, HOUR, detections, table
 from .windows import _W, STEP6, steps
@@ -21,23 +22,12 @@ def join_pair_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT p_partkey, s_suppkey FROM a JOIN b USING (k)")
 def join_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables side by side by place, as long as the shorter one. Places come from a range partitioning and its partition sizes."""
+    """Two tables side by side by place, as long as the shorter one. Places come from value ranges and their sizes."""
     a = places(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     b = places(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
     return a.join(b, "place").select("p_partkey", "s_suppkey")
 
 
-def places(df: DataFrame, key: str, name: str = "place") -> DataFrame:
-    """Adds each row's place in the order of key, from 0, without sorting all rows in one task."""
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_k") + F.col("_off")).drop("_part", "_k", "_n", "_off")  # one row for each partition
-
-
 _TRUTH = f"truth AS (SELECT run_id, ts_us AS change_us, channel AS place FROM det WHERE event_id % 50 = 0)"
 
 

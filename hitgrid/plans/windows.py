@@ -242,18 +242,14 @@ def srt_history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_deterministic_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ceil(n / 100)th row in the order of the value (the operator is the sample).
 
-    The rank comes from a range partitioning: counts of the partitions give each one's offset, so no task sorts all rows.
+    The rank comes from value ranges and their sizes, so no task sorts all rows.
     """
+    from ..operators.ranges import places
     from .views import table
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    parts = rows.repartitionByRange("o_totalprice", "o_orderkey").withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("o_totalprice", "o_orderkey")) - 1)
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"off": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    ranked = parts.join(F.broadcast(sizes), "part")  # one row for each partition
-    return ranked.filter((F.col("k") + F.col("off")) % F.ceil(F.col("n") / 100.0) == 0).select("o_orderkey", "o_totalprice")
+    step = max(1, -(-rows.count() // 100))
+    return places(rows, "o_totalprice", ["o_orderkey"]).filter(F.col("place") % step == 0).select("o_orderkey", "o_totalprice")
 
 
 @query(f"WITH {DETECTIONS} SELECT DISTINCT run_id, ts_us // 1000000 AS t FROM det")
