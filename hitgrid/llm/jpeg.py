@@ -9,6 +9,7 @@ with spectral selection and successive approximation, with tables that make most
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,8 +41,7 @@ class Scan:
     high: int
     low: int
     restart: int
-    starts: np.ndarray = None  # byte ranges of the segments in the file, without markers
-    ends: np.ndarray = None
+    starts: list[int] = field(default_factory=list)  # where the segments begin in the file, after markers
 
 
 @dataclass
@@ -86,10 +86,8 @@ def parse(data: bytes, tables: Tables) -> Image:
     image, huffman, restart, at = Image(), {}, 0, 2
     marks = np.flatnonzero(raw[:-1] == 0xFF)
     following = raw[marks + 1]
-    real = (following != 0) & (following != 0xFF)
-    marks, following = marks[real], following[real]
-    is_restart = (following >= 0xD0) & (following <= 0xD7)
-    stops = marks[~is_restart]
+    restarts = marks[(following >= 0xD0) & (following <= 0xD7)].tolist()
+    stops = marks[(following != 0) & (following != 0xFF) & ((following < 0xD0) | (following > 0xD7))].tolist()
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG file")
     while at < len(data) - 1:
@@ -127,10 +125,9 @@ def parse(data: bytes, tables: Tables) -> Image:
             picks = [(names[body[1 + 2 * k]], body[2 + 2 * k]) for k in range(n)]
             first, last, approx = body[1 + 2 * n : 4 + 2 * n]
             scan = Scan([p[0] for p in picks], [huffman.get(p[1] >> 4, 0) for p in picks], [huffman.get(16 | (p[1] & 15), 0) for p in picks], first, last, approx >> 4, approx & 15, restart)
-            k = np.searchsorted(stops, at)
-            end = int(stops[k]) if k < len(stops) else len(data)
-            own = marks[np.searchsorted(marks, at) : np.searchsorted(marks, end)]
-            scan.starts, scan.ends = np.concatenate([[at], own + 2]), np.concatenate([own, [end]])
+            k = bisect_left(stops, at)
+            end = stops[k] if k < len(stops) else len(data)
+            scan.starts = [at, *(m + 2 for m in restarts[bisect_left(restarts, at) : bisect_left(restarts, end)])]
             image.scans.append(scan)
             at = end
         elif 0xC3 <= code <= 0xCF:
@@ -195,50 +192,49 @@ def decode_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
             c.base, total = total, total + c.wide * c.high
     out = np.zeros((total, 64), np.int16)
     lookups = np.stack(tables.lookups) if tables.lookups else np.zeros((1, 65536), np.uint16)
+    # All files as one buffer without stuffed zeros; markers stay between segments and are never read.
+    raw = np.frombuffer(b"".join(files) + bytes(8), np.uint8)
+    places = np.cumsum([0, *map(len, files)])
+    stuffed = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] == 0)) + 1
+    keep = np.ones(len(raw), bool)
+    keep[stuffed] = False
+    raw = raw[keep].astype(np.int32)
+    orders: dict[tuple, tuple] = {}
     for k in range(max((len(i.scans) for i in images), default=0)):
-        kinds: dict[tuple, list[tuple[int, Image, Scan]]] = {}
+        kinds: dict[tuple, list[int]] = {}
         for n, image in enumerate(images):
             if k < len(image.scans):
                 s = image.scans[k]
                 kind = "whole" if not image.progressive else ("dc" if s.first == 0 else "ac") + ("+" if s.high else "")
-                kinds.setdefault((kind, s.first, s.last, s.low), []).append((n, image, s))
-        for (kind, first, last, low), own in kinds.items():
-            _scan(kind, first, last, low, own, files, out, lookups)
+                kinds.setdefault((kind, s.first, s.last, s.low, tuple(s.components)), []).append(n)
+        for (kind, first, last, low, picks), own in kinds.items():
+            if (picks, *own) not in orders:
+                parts = [block_order(images[n], list(picks)) for n in own]
+                orders[picks, *own] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(p[0]) for p in parts]), np.array([p[2] for p in parts])
+            blocks, comps, sizes, per = orders[picks, *own]
+            scans = [images[n].scans[k] for n in own]
+            # Lanes: (first block, blocks) of each segment.
+            step = np.array([s.restart for s in scans]) * per
+            step = np.where(step > 0, step, np.maximum(sizes, 1))
+            count = np.minimum(-(-sizes // step), [len(s.starts) for s in scans])
+            starts = np.array([x for s, m in zip(scans, count.tolist(), strict=True) for x in s.starts[:m]]) + np.repeat(places[own], count)
+            starts = starts - np.searchsorted(stuffed, starts)
+            rank = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            at = rank * np.repeat(step, count)
+            lanes = np.column_stack([at + np.repeat(np.cumsum(sizes) - sizes, count), np.minimum(np.repeat(step, count), np.repeat(sizes, count) - at)])
+            codes = np.repeat(np.array([[*(s.dc + [0] * 4)[:4], *(s.ac + [0] * 4)[:4]] for s in scans], np.int32), count, axis=0)
+            _scan(kind, first, last, low, _Lanes(raw, starts * 8), blocks, comps, lanes, codes, out, lookups)
     return images, out
 
 
-def _scan(kind: str, first: int, last: int, low: int, own: list, files: list[bytes], out: np.ndarray, lookups: np.ndarray) -> None:
-    pieces, starts, ends, blocks, comps, lanes, tables = [], [], [], [], [], [], []
-    offset = seen = 0
-    for n, image, scan in own:
-        order, which, per = block_order(image, scan.components)
-        pieces.append(np.frombuffer(files[n], np.uint8)[scan.starts[0] : scan.ends[-1]])
-        starts.append(scan.starts - scan.starts[0] + offset)
-        ends.append(scan.ends - scan.starts[0] + offset)
-        offset += len(pieces[-1])
-        step = scan.restart * per or len(order)
-        cuts = np.arange(0, len(order), step)[: len(scan.starts)]
-        lanes.append(np.column_stack([cuts + seen, np.minimum(cuts + step, len(order)) - cuts]))
-        starts[-1], ends[-1] = starts[-1][: len(cuts)], ends[-1][: len(cuts)]
-        tables.append(np.repeat(np.array([[*(scan.dc + [0] * 4)[:4], *(scan.ac + [0] * 4)[:4]]], np.int32), len(cuts), axis=0))
-        blocks.append(order)
-        comps.append(which)
-        seen += len(order)
-    raw, starts, ends = np.concatenate(pieces), np.concatenate(starts), np.concatenate(ends)
-    # Take out stuffed zeros; markers stay between segments and are never read.
-    stuffed = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] == 0)) + 1
-    keep = np.ones(len(raw), bool)
-    keep[stuffed] = False
-    starts = starts - np.searchsorted(stuffed, starts)
-    raw = np.concatenate([raw[keep], np.zeros(8, np.uint8)]).astype(np.int32)
-    blocks, comps, lanes, tables = np.concatenate(blocks), np.concatenate(comps), np.concatenate(lanes), np.concatenate(tables)
-    read = _Lanes(raw, starts.astype(np.int64) * 8)
+def _scan(kind: str, first: int, last: int, low: int, read: _Lanes, blocks: np.ndarray, comps: np.ndarray, lanes: np.ndarray, tables: np.ndarray, out: np.ndarray, lookups: np.ndarray) -> None:
     if kind == "dc":
         _dc_first(read, blocks, comps, lanes, tables, low, out, lookups)
     elif kind == "dc+":
-        place = np.repeat(read.pos - (np.cumsum(lanes[:, 1]) - lanes[:, 1]), lanes[:, 1]) + np.arange(int(lanes[:, 1].sum()))
-        at = blocks[np.repeat(lanes[:, 0] - (np.cumsum(lanes[:, 1]) - lanes[:, 1]), lanes[:, 1]) + np.arange(len(place))]
-        out[at, 0] |= (((raw[place >> 3] >> (7 - (place & 7))) & 1) << low).astype(np.int16)
+        rank = np.arange(int(lanes[:, 1].sum())) - np.repeat(np.cumsum(lanes[:, 1]) - lanes[:, 1], lanes[:, 1])
+        place = np.repeat(read.pos, lanes[:, 1]) + rank
+        at = blocks[np.repeat(lanes[:, 0], lanes[:, 1]) + rank]
+        out[at, 0] |= (((read.raw[place >> 3] >> (7 - (place & 7))) & 1) << low).astype(np.int16)
     elif kind == "ac":
         _ac_first(read, blocks, lanes, tables[:, 4], first, last, low, out, lookups)
     elif kind == "ac+":
@@ -449,10 +445,8 @@ def _bits_of(value: int, size: int) -> str:
     return format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
 
 
-def _dc_segments(values: np.ndarray, comps: np.ndarray, step: int) -> bytes:
-    """First DC scan, the general way but with array operations: fixed codes of four bits and the difference's bits."""
-    n = len(values)
-    segment = np.arange(n) // step
+def _dc_pieces(values: np.ndarray, comps: np.ndarray, segment: np.ndarray) -> list[bytes]:
+    """Segments of a first DC scan: fixed codes of four bits and the difference's bits. segment: each value's, ascending."""
     diff = values.copy()
     for c in np.unique(comps):
         own = np.flatnonzero(comps == c)
@@ -460,11 +454,11 @@ def _dc_segments(values: np.ndarray, comps: np.ndarray, step: int) -> bytes:
         diff[own[1:]] -= np.where(same, values[own[:-1]], 0)
     size = np.ceil(np.log2(np.abs(diff) + 1)).astype(np.int64)
     code = (size << size) | np.where(diff > 0, diff, diff + (1 << size) - 1) * (size > 0)
-    return _packed(code, size + 4, segment)
+    return _pieces(code, size + 4, segment)
 
 
-def _packed(code: np.ndarray, length: np.ndarray, segment: np.ndarray) -> bytes:
-    """Codes as bits, each segment padded with ones to whole bytes, stuffed, with restart markers between."""
+def _pieces(code: np.ndarray, length: np.ndarray, segment: np.ndarray) -> list[bytes]:
+    """Codes as bits, each segment padded with ones to whole bytes and stuffed."""
     total = np.bincount(segment, weights=length).astype(np.int64)
     room = -(-total // 8) * 8
     begin = np.cumsum(room) - room
@@ -474,8 +468,8 @@ def _packed(code: np.ndarray, length: np.ndarray, segment: np.ndarray) -> bytes:
     bits = np.ones(int(room.sum()), np.uint8)
     rank = np.arange(int(length.sum())) - np.repeat(ends - length, length)
     bits[np.repeat(start, length) + rank] = (np.repeat(code, length) >> (np.repeat(length, length) - 1 - rank)) & 1
-    raw = np.packbits(bits)
-    return _joined([raw[a : a + m].tobytes().replace(b"\xff", b"\xff\x00") for a, m in zip((begin // 8).tolist(), (room // 8).tolist(), strict=True)])
+    raw = np.packbits(bits).tobytes()
+    return [raw[a : a + m].replace(b"\xff", b"\xff\x00") for a, m in zip((begin // 8).tolist(), (room // 8).tolist(), strict=True)]
 
 
 def _ac_block(values: np.ndarray) -> str:
@@ -579,6 +573,130 @@ def _refine_block(values: np.ndarray) -> str:
     return "".join(out)
 
 
+def _chunk(code: int, body: bytes) -> bytes:
+    return bytes([0xFF, code]) + struct.pack(">H", len(body) + 2) + body
+
+
+def encode_dense(images: list[tuple[int, int, int]], blocks: np.ndarray, restart: int = 8) -> list[bytes]:
+    """4:2:0 files for many images at once, whose blocks have values of magnitudes 128 to 255 alone.
+
+    images: (MCUs across, MCUs down, blocks); blocks: those of all images, one after the other. They fill luma, then
+    both chroma planes, row by row; blocks that are left stay zero. The files are those that `encode` writes: with
+    these magnitudes each code of a first AC scan is one byte, so most of the work is one pass over all images.
+    """
+    half = np.sign(blocks) * (np.abs(blocks) >> 1)
+    codes = np.where(half > 0, half, half + 127).astype(np.uint8)
+    low, high, last = np.ascontiguousarray(codes[:, 1:6]), np.ascontiguousarray(codes[:, 6:]), (np.abs(blocks) & 1).astype(np.uint8)
+    planes, firsts, lasts, comps, segments, begin, seen = [], [], [], [], [], 0, 0
+    zero = np.zeros(1, blocks.dtype)
+    for across, down, n in images:
+        mcus = across * down
+        held = np.concatenate([blocks[begin : begin + n, 0], np.broadcast_to(zero, 6 * mcus - n)])
+        order = _mcu_order(across, down)
+        dc = held[order]
+        firsts.append(dc >> 1)
+        lasts.append(dc & 1)
+        seg = np.arange(6 * mcus) // (6 * restart)
+        segments.append(seg + seen)
+        comps.append(np.tile(_MCU_PLANES, mcus))
+        seen += int(seg[-1]) + 1
+        cuts = [0, 4 * mcus, 5 * mcus, 6 * mcus]
+        planes.append([(begin + min(a, n), min(b, n) - min(a, n), (b - a) - (min(b, n) - min(a, n))) for a, b in zip(cuts, cuts[1:], strict=False)])
+        begin += n
+    segment = np.concatenate(segments)
+    dc_first = _dc_pieces(np.concatenate(firsts), np.concatenate(comps), segment)
+    dc_last = _pieces(np.concatenate(lasts), np.ones(len(segment), np.int64), segment)
+    out, seen = [], 0
+    heads = _dense_heads(restart)
+    for (across, down, _), own in zip(images, planes, strict=True):
+        m = -(-across * down // restart)
+        parts = [b"\xff\xd8", heads["tables"], _chunk(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + _DENSE_FRAME), heads["codes"], heads["dc"], _joined(dc_first[seen : seen + m])]
+        for name, band in (("low", low), ("high", high)):
+            for k, (a, n, z) in enumerate(own):
+                parts += [heads[name][k], _dense_ac(band[a : a + n], z, restart)]
+        parts += [heads["dc+"], _joined(dc_last[seen : seen + m])]
+        for k, (a, n, z) in enumerate(own):
+            parts += [heads["ac+"][k], _dense_refine(last[a : a + n, 1:], z, restart)]
+        out.append(b"".join([*parts, b"\xff\xd9"]))
+        seen += m
+    return out
+
+
+_DENSE_FRAME = b"".join(bytes([k + 1, 0x22 if k == 0 else 0x11, 0]) for k in range(3))
+_MCU_PLANES = np.array([0, 0, 0, 0, 1, 2], np.int8)
+
+
+def _mcu_order(across: int, down: int) -> np.ndarray:
+    """Blocks of luma, then both chroma planes, in the order of MCUs of 4:2:0."""
+    y, x = np.divmod(np.arange(across * down), across)
+    corner = 4 * across * y + 2 * x
+    n = across * down
+    return np.stack([corner, corner + 1, corner + 2 * across, corner + 2 * across + 1, 4 * n + y * across + x, 5 * n + y * across + x], 1).ravel()
+
+
+def _dense_heads(restart: int) -> dict:
+    def head(picks: list[int], first: int, last: int, approx: int, table: int) -> bytes:
+        return _chunk(0xDA, bytes([len(picks)]) + b"".join(bytes([k + 1, table]) for k in picks) + bytes([first, last, approx]))
+
+    return {
+        "tables": _chunk(0xDB, b"\0" + bytes([1] * 64)),
+        "codes": _chunk(0xC4, b"\x00" + _DC[0] + b"\x10" + _AC[0] + b"\x11" + _REFINE[0]) + _chunk(0xDD, struct.pack(">H", restart)),
+        "dc": head([0, 1, 2], 0, 0, 0x01, 0x00), "dc+": head([0, 1, 2], 0, 0, 0x10, 0x00),
+        "low": [head([k], 1, 5, 0x01, 0x00) for k in range(3)], "high": [head([k], 6, 63, 0x01, 0x00) for k in range(3)], "ac+": [head([k], 1, 63, 0x10, 0x01) for k in range(3)],
+    }
+
+
+def _dense_ac(band: np.ndarray, zeros: int, restart: int) -> bytes:
+    """A first AC scan of one plane: a byte for each value, two bits for each empty block behind them."""
+    n, width = band.shape
+    full = n // restart
+    marked = np.empty((full, restart * width + 2), np.uint8)
+    marked[:, :-2] = band[: full * restart].reshape(full, restart * width)
+    marked[:, -2] = 0xFF
+    marked[:, -1] = _RESTARTS[:full] if full <= len(_RESTARTS) else 0xD0 + np.arange(full) % 8
+    out, k = [marked.tobytes()], full
+    rest = band[full * restart :].tobytes()
+    while rest or zeros:
+        room = restart - len(rest) // width
+        now = min(room, zeros)
+        out += [rest + _segment("10" * now), bytes([0xFF, 0xD0 + k % 8])]
+        rest, zeros, k = b"", zeros - now, k + 1
+    whole = b"".join(out)
+    return whole[:-2]
+
+
+_RESTARTS = (0xD0 + np.arange(4096) % 8).astype(np.uint8)
+
+
+def _dense_refine(bits: np.ndarray, zeros: int, restart: int) -> bytes:
+    """The last bits of one plane: each segment is one end-of-band run and the bits of its values."""
+    n, width = bits.shape
+    full = n // restart
+    lead = _run_code(restart)
+    rows = np.ones((full, -(-(len(lead) + restart * width) // 8) * 8), np.uint8)
+    rows[:, : len(lead)] = [int(x) for x in lead]
+    rows[:, len(lead) : len(lead) + restart * width] = bits[: full * restart].reshape(full, restart * width)
+    packed, size = np.packbits(rows, axis=1).tobytes(), rows.shape[1] // 8
+    segments = [packed[a : a + size].replace(b"\xff", b"\xff\x00") for a in range(0, full * size, size)]
+    rest = bits[full * restart :]
+    left = len(rest)
+    while left or zeros:
+        now = min(restart, left + zeros)
+        segments.append(_segment(_run_code(now) + (rest.tobytes().translate(_DIGITS).decode() if left else "")))
+        zeros, left = zeros - (now - left), 0
+    return _joined(segments)
+
+
+_DIGITS = bytes([48, 49, *range(2, 256)])
+
+
+def _run_code(blocks: int) -> str:
+    """An end-of-band run over so many blocks."""
+    r = blocks.bit_length() - 1
+    code, length = _REFINE[1][16 * r]
+    return format(code, f"0{length}b") + (format(blocks - (1 << r), f"0{r}b") if r else "")
+
+
 def encode(width: int, height: int, components: list[tuple[int, int, np.ndarray]], quant: np.ndarray | None = None, restart: int = 8) -> bytes:
     """A progressive file. components: (h, v, coefficients of the padded grid, blocks x 64 in zigzag order).
 
@@ -593,23 +711,22 @@ def encode(width: int, height: int, components: list[tuple[int, int, np.ndarray]
         c.used_wide, c.used_high = -(-(-(-width * c.h // top_h)) // 8), -(-(-(-height * c.v // top_v)) // 8)
         base += c.wide * c.high
     every = np.concatenate([x for _, _, x in components]).astype(np.int32)
-    chunk = lambda code, body: bytes([0xFF, code]) + struct.pack(">H", len(body) + 2) + body
     n = len(components)
-    out = [b"\xff\xd8", chunk(0xDB, b"\0" + quant.tobytes()), chunk(0xC2, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([c.name, c.h << 4 | c.v, 0]) for c in image.components))]
-    out += [chunk(0xC4, b"\x00" + _DC[0] + b"\x10" + _AC[0] + b"\x11" + _REFINE[0]), chunk(0xDD, struct.pack(">H", restart))]
+    out = [b"\xff\xd8", _chunk(0xDB, b"\0" + quant.tobytes()), _chunk(0xC2, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([c.name, c.h << 4 | c.v, 0]) for c in image.components))]
+    out += [_chunk(0xC4, b"\x00" + _DC[0] + b"\x10" + _AC[0] + b"\x11" + _REFINE[0]), _chunk(0xDD, struct.pack(">H", restart))]
 
     def head(picks: list[int], first: int, last: int, approx: int, table: int) -> bytes:
-        return chunk(0xDA, bytes([len(picks)]) + b"".join(bytes([image.components[k].name, table]) for k in picks) + bytes([first, last, approx]))
+        return _chunk(0xDA, bytes([len(picks)]) + b"".join(bytes([image.components[k].name, table]) for k in picks) + bytes([first, last, approx]))
 
     together = list(range(n))
     order, which, per = block_order(image, together)
-    out += [head(together, 0, 0, 0x01, 0x00), _dc_segments(every[order, 0] >> 1, which, restart * per)]
+    out += [head(together, 0, 0, 0x01, 0x00), _joined(_dc_pieces(every[order, 0] >> 1, which, np.arange(len(order)) // (restart * per)))]
     magnitude = np.sign(every) * (np.abs(every) >> 1)
     orders = [block_order(image, [k])[0] for k in together]
     for first, last in ((1, 5), (6, 63)):
         for k in together:
             out += [head([k], first, last, 0x01, 0x00), _ac_scan(magnitude[orders[k], first : last + 1], restart)]
-    out += [head(together, 0, 0, 0x10, 0x00), _packed(every[order, 0] & 1, np.ones(len(order), np.int64), np.arange(len(order)) // (restart * per))]
+    out += [head(together, 0, 0, 0x10, 0x00), _joined(_pieces(every[order, 0] & 1, np.ones(len(order), np.int64), np.arange(len(order)) // (restart * per)))]
     for k in together:
         out += [head([k], 1, 63, 0x10, 0x01), _refine_scan(every[orders[k], 1:], restart)]
     return b"".join([*out, b"\xff\xd9"])

@@ -24,21 +24,19 @@ _SLICE = 3 << 20
 _TALL = 4095
 
 
-def payload_image(payload: np.ndarray, restart: int = 8) -> bytes:
-    """A 4:2:0 file whose coefficients hold a payload (a multiple of 64 bytes).
+def payload_images(payloads: list[np.ndarray], restart: int = 8) -> list[bytes]:
+    """4:2:0 files whose coefficients hold payloads (multiples of 64 bytes).
 
     A byte b is the coefficient b, or b - 255 below 128: magnitudes of 128 to 255. Blocks fill luma row by row,
     then both chroma planes; blocks that are left stay zero, which no byte is.
     """
-    blocks = payload.reshape(-1, 64).astype(np.int32)
-    blocks = np.where(blocks >= 128, blocks, blocks - 255)
-    mcus = -(-len(blocks) // 6)
-    across = -(-mcus // _TALL)
-    down = -(-mcus // across)
-    n = across * down
-    full = np.zeros((6 * n, 64), np.int32)
-    full[: len(blocks)] = blocks
-    return jpeg.encode(16 * across, 16 * down, [(2, 2, full[: 4 * n]), (1, 1, full[4 * n : 5 * n]), (1, 1, full[5 * n :])], restart=restart)
+    shapes = []
+    for p in payloads:
+        mcus = -(-len(p) // 384)
+        across = -(-mcus // _TALL)
+        shapes.append((across, -(-mcus // across), len(p) // 64))
+    blocks = np.concatenate(payloads).reshape(-1, 64).astype(np.int16)
+    return jpeg.encode_dense(shapes, np.where(blocks >= 128, blocks, blocks - 255), restart)
 
 
 def image_payload(coefficients: np.ndarray) -> np.ndarray:
@@ -57,11 +55,11 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _SLICE):
             raw, offsets = text_bytes(batch.column("text"))
-            files = []
+            payloads = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                payload = np.zeros(max(64, -(-(b - a) // 64) * 64), np.uint8)
-                payload[: b - a] = raw[a:b]
-                files.append(payload_image(payload))
+                payloads.append(np.zeros(max(64, -(-(b - a) // 64) * 64), np.uint8))
+                payloads[-1][: b - a] = raw[a:b]
+            files = payload_images(payloads)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], ["id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
