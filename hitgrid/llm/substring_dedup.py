@@ -1,7 +1,7 @@
 """Substring deduplication on content-defined chunks.
 
-A gear rolling hash over the bytes decides where chunks end, from the last 16 bytes alone, so an insertion
-moves no cut behind it. Chunks are compared by digest across all documents; the first occurrence (least key,
+A gear rolling hash over the bytes decides where chunks end, from the last 16 bytes alone (and, in long
+stretches without a cut, from where the last one was), so an insertion moves no cut far behind it. Chunks are compared by digest across all documents; the first occurrence (least key,
 then position) owns a digest, and runs of chunks that others own are cut out where they are long enough.
 """
 
@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, keyed, mix64, ranges, span_hashes, text_bytes, written
 
-#: A cut where these bits of the gear hash are zero: chunks of 32 bytes on average.
+#: A cut where these bits of the gear hash are zero, 32 bytes apart on average.
 CUT_MASK = np.uint32(0xF800)
+#: Beyond so many bytes without such a cut, fewer bits need to be zero: long chunks are what hides the ends of a passage.
+FAR, WEAK_MASK = 64, np.uint32(0x3800)
 #: Bytes of a run of repeated chunks from which it goes. A repeated passage of over 50 words (300 bytes) holds such a run but for the parts of chunks at its ends.
 MIN_RUN = 128
-_SLICE = 4 << 20
+_SLICE = 3 << 19
 _GEAR = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(20)).astype(np.uint32)
 
 
@@ -39,6 +41,13 @@ def chunk_cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if n:
         marked[:-1] &= (raw & 0xC0) != 0x80
     marked[offsets] = True
+    place = np.arange(n + 1)
+    before = np.concatenate([[0], np.maximum.accumulate(np.where(marked, place, 0))[:-1]])
+    weak = np.zeros(n + 1, bool)
+    weak[1:] = (h & WEAK_MASK) == 0
+    if n:
+        weak[:-1] &= (raw & 0xC0) != 0x80
+    marked |= weak & (place - before > FAR)
     cuts = np.flatnonzero(marked)
     return cuts, np.searchsorted(cuts, offsets)
 

@@ -134,7 +134,33 @@ def test_substring_cuts_resist_insertions():
     moved = np.concatenate([data[:1000], np.full(7, 65, np.uint8), data[1000:]])
     a, _ = substring_dedup.chunk_cuts(data, np.array([0, 5000]))
     b, _ = substring_dedup.chunk_cuts(moved, np.array([0, 5007]))
-    assert {x + 7 for x in a if x > 1016} <= set(b)
+    assert {x + 7 for x in a if x > 1200} <= set(b)
+
+
+def test_substring_recall_on_short_passages(spark):
+    """Passages of 51 words between two documents, at random places of real text: nearly all are caught."""
+    import random
+
+    import numpy as np
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if 600 < len(r.text) < 4000]
+    rng, caught, tried = random.Random(1), 0, 0
+    for _ in range(150):
+        a, b, source = rng.sample(texts, 3)
+        words = source.split(" ")
+        if len(words) < 60:
+            continue
+        at = rng.randrange(len(words) - 52)
+        passage = " ".join(words[at : at + 51])
+        found = []
+        for t in (a[: len(a) // 3] + " " + passage + " " + a[len(a) // 3 :], b[: len(b) // 2] + " " + passage + " " + b[len(b) // 2 :]):
+            raw = np.frombuffer(t.encode(), np.uint8)
+            cuts, _ = substring_dedup.chunk_cuts(raw, np.array([0, len(raw)]))
+            found.append((cuts, [raw[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]))
+        shared = np.isin(np.array(found[1][1], object), np.array(found[0][1], object))
+        runs = np.flatnonzero(np.diff(np.concatenate([[False], shared, [False]]).astype(int))).reshape(-1, 2)
+        tried, caught = tried + 1, caught + (max(found[1][0][e] - found[1][0][s] for s, e in runs) >= substring_dedup.MIN_RUN if len(runs) else 0)
+    assert caught >= 0.96 * tried
 
 
 # ---- chat
