@@ -7,6 +7,8 @@ bins, and prefix sums give every gate sum in constant time.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -176,10 +178,10 @@ def request(s: AdaptiveState, c: AdaptiveConfig, to: str, now: float) -> bool:
     return True
 
 
-def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float) -> dict:
-    """One analysis at time `now` (bins from the start)."""
+def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float, base: int = 0) -> dict:
+    """One analysis at time `now` (bins from the start); prefix begins at bin `base`, which the window has not left."""
     s.left = max(s.left, int(max(0.0, now - s.w)))
-    gates = [gate_moments(prefix, s.left, s.w, g) for g in c.gates]
+    gates = [gate_moments(prefix, s.left - base, s.w, g) for g in c.gates]
     valid = [math.isfinite(g["sigma"]) and g["sigma"] > 0 for g in gates]
     zs = [g["y"] / g["sigma"] if v else 0.0 for g, v in zip(gates, valid, strict=True)]
     max_z = max((abs(z) for k, (z, v) in enumerate(zip(zs, valid, strict=True)) if v and k >= c.first_gate and gates[k]["n"] >= c.min_gates), default=0.0)
@@ -269,8 +271,39 @@ def run_engine(bins: DataFrame, config: AdaptiveConfig | None = None) -> DataFra
         prefix = np.concatenate([[0.0], np.cumsum(counts)])
         s, out, now, k = AdaptiveState(w=c.start), [], c.start, 0
         while now <= len(counts):
-            out.append({"run_id": pdf["run_id"].iloc[0], "step": k, **step(s, c, prefix, now)})
+            out.append({"run_id": pdf["run_id"].iloc[0], "step": k, **step(s, c, prefix[: int(now) + 1], now)})
             now, k = now + c.cadence, k + 1
         return pd.DataFrame(out, columns=[x.split()[0] for x in ADAPTIVE_SCHEMA.split(", ")])
 
     return bins.groupBy("run_id").applyInPandas(fold, ADAPTIVE_SCHEMA)
+
+
+def stream_engine(bins: DataFrame, config: AdaptiveConfig | None = None) -> DataFrame:
+    """The same over a stream of (run_id, bin, n) in order. A step runs once its last bin has come; of the counts only those from the left edge on are kept.
+
+    The state is the controller's fields and those counts, as bytes that only this function reads.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    c = config or AdaptiveConfig()
+    names = [x.split()[0] for x in ADAPTIVE_SCHEMA.split(", ")]
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        if held.exists:
+            s, first, base, counts, k = pickle.loads(held.get[0])
+        else:
+            s, first, base, counts, k = AdaptiveState(w=c.start), int(rows["bin"].min()), 0, np.zeros(0), 0
+        last = int(rows["bin"].max()) - first + 1 - base
+        counts = np.concatenate([counts, np.zeros(max(0, last - len(counts)))])
+        np.add.at(counts, (rows["bin"] - first - base).to_numpy(), rows["n"].to_numpy())
+        prefix, out = np.concatenate([[0.0], np.cumsum(counts)]), []
+        # The engine never looks past `now`: gates beyond it are empty, so later bins must not be seen.
+        while (now := c.start + k * c.cadence) <= base + len(counts):
+            out.append({"run_id": key[0], "step": k, **step(s, c, prefix[: int(now) - base + 1], now, base)})
+            k += 1
+        cut = min(s.left, base + len(counts)) - base
+        held.update((pickle.dumps((s, first, base + cut, counts[cut:], k)),))
+        yield pd.DataFrame(out, columns=names)
+
+    return bins.groupBy("run_id").applyInPandasWithState(fold, ADAPTIVE_SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)

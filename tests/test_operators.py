@@ -249,3 +249,27 @@ def test_fixed_windows_stream_is_its_batch_twin(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert sorted((r.window.start, r.n) for r in spark.table("fixed").collect()) == sorted((r.window.start, r.n) for r in count(rows).collect())
+
+
+def test_adaptive_engine_stream_is_its_batch_twin(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [("a", k, rng.randint(0, 6) + (20 if k % 31 == 0 else 0)) for k in range(400) if k % 11] + [("b", k, 1) for k in range(0, 300, 9)]
+    schema = "run_id string, bin long, n long"
+    batch = adaptive.run_engine(spark.createDataFrame(rows, schema)).orderBy("run_id", "step").collect()
+    for part, (low, high) in enumerate(((0, 70), (70, 210), (210, 400))):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    running = adaptive.stream_engine(stream).writeStream.format("memory").queryName("engine").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    running.processAllAvailable()
+    running.stop()
+    got = spark.table("engine").orderBy("run_id", "step").collect()
+    key = lambda r: (r.run_id, r.step, r.state, round(r.w, 9), r.gate, round(r.y, 9))
+    assert list(map(key, got)) == list(map(key, batch)) and len(got) > 80
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.count() > 0 and "sigma_y" in df.columns
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
