@@ -92,6 +92,9 @@ def parse(data: bytes, tables: Tables) -> Image:
         raise ValueError("no JPEG file")
     while at < len(data) - 1:
         code = data[at + 1]
+        if code == 0xFF:  # a fill byte
+            at += 1
+            continue
         if code == 0xD9:
             break
         size = struct.unpack(">H", data[at + 2 : at + 4])[0]
