@@ -64,7 +64,7 @@ def srt_feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of area under the curve when one feature's values are dealt out anew."""
     train, test = _split(spark, sf_dir)
-    model, test = L.classifier(train, FEATURES, "y", trees=10), test.cache()
+    model, test = L.classifier(train, FEATURES, "y", trees=5), test.cache()
     auc = lambda df: curves.areas(curves.curve(L.probabilities(model, df))).select("roc_auc")
     base = auc(test).withColumnRenamed("roc_auc", "base")
     parts = [auc(L.shuffled(test, "id", f, 5 + k)).select(F.lit(f).alias("feature"), "roc_auc") for k, f in enumerate(FEATURES)]

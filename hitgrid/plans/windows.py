@@ -30,7 +30,7 @@ RUN = Window.partitionBy
 _R = "(PARTITION BY run_id ORDER BY idx)"
 
 
-@query(f"WITH {_W} SELECT run_id, idx, CAST(sum(n) OVER {_R} AS BIGINT) AS cum_counts, (idx - min(idx) OVER (PARTITION BY run_id)) * 6.0 AS elapsed_h FROM steps")
+@query(f"WITH {_W} SELECT run_id, idx, CAST(sum(n) OVER {_R} AS BIGINT) AS cum_counts, (idx - min(idx) OVER (PARTITION BY run_id)) * 6.0::DOUBLE AS elapsed_h FROM steps")
 def win_cumulative_counts_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = islands.over(["run_id"], "idx").rowsBetween(Window.unboundedPreceding, 0)
     return steps(spark, sf_dir).select("run_id", "idx", F.sum("n").over(w).alias("cum_counts"), ((F.col("idx") - F.min("idx").over(w)) * 6.0).alias("elapsed_h"))
@@ -139,7 +139,7 @@ def win_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_W}, c AS (SELECT *, sum(n - 16) OVER (PARTITION BY run_id ORDER BY idx {_U}) AS s FROM steps) SELECT run_id, idx, CAST(s - least(0, min(s) OVER (PARTITION BY run_id ORDER BY idx {_U})) AS BIGINT) AS cusum FROM c")
 def win_cusum_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.clamped_cusum(steps(spark, sf_dir), ["run_id"], ["idx"], F.col("n") - 16).select("run_id", "idx", "cusum")
+    return islands.clamped_cusum(steps(spark, sf_dir), ["run_id"], ["idx"], F.col("n") - 16).select("run_id", "idx", F.col("cusum").cast("long").alias("cusum"))
 
 
 @query(f"""WITH {_W}, c AS (SELECT *, CASE WHEN lag(confused) OVER {_R} = confused THEN 0 ELSE 1 END AS ch FROM steps), gi AS (SELECT *, sum(ch) OVER {_R} AS island FROM c)
