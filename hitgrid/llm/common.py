@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about 8 MB where the session has left the default of 64: long texts would need several times that in a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "8m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,6 +51,7 @@ def keyed(docs: DataFrame, id_col: str, *keep: str | Column) -> tuple[DataFrame,
     The id serves as key when it is a unique, non-null integer. Else the rows are numbered
     and written once, so that a recomputed task can't number them anew.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col), *keep)
     if dict(plain.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
         n, ids = plain.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
@@ -74,8 +82,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def _lean(start: bool) -> None:
+    """Keeps a reused Python worker small: large blocks go back to the system when they are freed, and the rest at the end of a task."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        if start:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed from here on
+        else:
+            pa.default_memory_pool().release_unused()
+            libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose values of one column hold about `limit` bytes each, one row at least."""
+    _lean(True)
+    yield from _slices(batches, column, limit)
+    _lean(False)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -161,9 +188,3 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     else:
         starts = ends = np.zeros(0, np.int64)
     return starts, ends, np.searchsorted(starts, offsets)
-
-
-def fixed_env() -> None:
-    """One thread per task for numeric libraries; Spark's tasks already fill the cores."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import by_bytes, text_bytes
+from .common import by_bytes, small_batches, text_bytes
 
 _SLICE = 3 << 20
 #: Columns of MCUs in a payload image; taller images than the format allows get more.
@@ -50,6 +50,7 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null counts as empty; ids may be null or repeat. Extra columns don't go on.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +73,7 @@ def _decoded(batch: pa.RecordBatch) -> tuple[list[jpeg.Image], np.ndarray]:
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(id, height, width, rgb): full-resolution tensors, height x width x 3 bytes, row by row. Null files give null values."""
+    small_batches(media.sparkSession)
     kind = dict(media.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +98,7 @@ def describe(tensor: np.ndarray) -> str:
 
 def read_payloads(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored files of `store_payloads`."""
+    small_batches(media.sparkSession)
     kind = dict(media.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 from .segments import bpe_encoder, encode_bpe
 
 TIERS = (1024, 512, 256, 128)
-_SLICE = 12 << 20
+_SLICE = 4 << 20
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length int, step_id long"
 
@@ -110,6 +110,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     are packed as they come, each row on its own. Extra columns don't go on. sequence_id holds the
     partition and a number in it. tokenizer: path of a vocabulary file, the same on all executors.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, by_bytes, ranges, text_bytes
+from .common import binary_array, by_bytes, ranges, small_batches, text_bytes
 from .segments import cut_before, encode_segments
 
 MARK = "▁"
 #: Added to the least score for a character that no piece covers.
 UNKNOWN = -10.0
-_SLICE = 6 << 20
+_SLICE = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -242,6 +242,7 @@ def load(path: str) -> Pieces:
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>), a row per row; null and empty texts have no ids. Ids may be null or repeat. Extra columns don't go on."""
+    small_batches(docs.sparkSession)
     kind, shared = dict(docs.dtypes)[id_col], docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +256,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id", digest: bool = False) -> DataFrame:
     """Adds `text` (or, as digest, `text_sha256`) to rows with ids; null ids give an empty text."""
+    small_batches(encoded.sparkSession)
     kind, shared = dict(encoded.dtypes)[id_col], encoded.sparkSession.sparkContext.broadcast(pieces)
     name = "text_sha256" if digest else "text"
 
