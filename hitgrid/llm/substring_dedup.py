@@ -1,8 +1,9 @@
-"""Substring deduplication on content-defined chunks.
+"""Substring deduplication by windows of words.
 
-A gear rolling hash over the bytes decides where chunks end, from the last 16 bytes alone (and, in long
-stretches without a cut, from where the last one was), so an insertion moves no cut far behind it. Chunks are compared by digest across all documents; the first occurrence (least key,
-then position) owns a digest, and runs of chunks that others own are cut out where they are long enough.
+A passage of MIN_WORDS words goes where the same bytes stand earlier (by key, then position) as one piece. Each
+such window is named by the least hash of the shorter windows inside it, its seed, and neighbours with the same
+seed travel as one row. Equal windows have equal seeds, so seeds that stand in one row only are done; rows that
+are equal as a whole are compared by their first one; what is left, the ends of repeated passages, window by window.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keyed, mix64, ranges, span_hashes, text_bytes, written
+from .common import by_bytes, keyed, mix64, ranges, span_hashes, text_bytes, word_spans, written
 
 #: A cut where these bits of the gear hash are zero, 32 bytes apart on average.
 CUT_MASK = np.uint32(0xF800)
 #: Beyond so many bytes without such a cut, fewer bits need to be zero: long chunks are what hides the ends of a passage.
 FAR, WEAK_MASK = 64, np.uint32(0x3800)
-#: Bytes of a run of repeated chunks from which it goes. A repeated passage of over 50 words (300 bytes) holds such a run but for the parts of chunks at its ends.
-MIN_RUN = 128
+#: Words of a passage from which it goes.
+MIN_WORDS = 51
+#: Words of over LONG bytes (scripts without spaces, encoded data) are cut up, so that about MIN_RUN bytes of them count as MIN_WORDS words.
+LONG, MIN_RUN = 64, 128
 _SLICE = 3 << 19
 _GEAR = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(20)).astype(np.uint32)
 
@@ -52,54 +55,96 @@ def chunk_cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return cuts, np.searchsorted(cuts, offsets)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "text", _SLICE):
-        raw, offsets = text_bytes(batch.column("text"))
-        cuts, first = chunk_cuts(raw, offsets)
-        count = np.diff(first)
-        if not count.sum():
-            continue
-        digest = span_hashes(raw, cuts[:-1], cuts[1:])
-        keys = np.repeat(batch.column("row_key").to_numpy(zero_copy_only=False), count)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ranges(np.zeros(len(count), np.int64), count).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(np.diff(cuts).astype(np.int32))], ["row_key", "ord", "digest", "size"])
+def passage_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, with long words cut up by their content: before every character of several bytes, and some others by the last four bytes."""
+    starts, ends, first = word_spans(raw, offsets)
+    long = ends - starts > LONG
+    if not long.any():
+        return starts, ends, first
+    at = ranges(starts[long] + 3, (ends - starts)[long] - 3)
+    h = sum(_GEAR[raw[at - k]] << np.uint32(k) for k in range(4))
+    share = np.uint32(256 * MIN_WORDS // MIN_RUN)
+    cut = at[(raw[at] >= 0xC0) | ((raw[at] < 0x80) & (((h >> np.uint32(8)) & np.uint32(255)) < share))]
+    starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _cut_out(min_run: int):
+def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over every `width` neighbours (len(x) - width + 1 values)."""
+    size = 1
+    while 2 * size <= width:
+        x = op(x[:-size], x[size:])
+        size *= 2
+    return op(x[: size - width], x[width - size :]) if size < width else x
+
+
+def _seeds(min_words: int):
+    """Runs of windows with one seed: the first one's first word, the seed, the windows' digests, and 2 where some of these are equal, else 1."""
+    size = (min_words + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", _SLICE):
+            raw, offsets = text_bytes(batch.column("text"))
+            starts, ends, first = passage_words(raw, offsets)
+            count = np.maximum(np.diff(first) - min_words + 1, 0)
+            at = ranges(first[:-1], count)
+            if not len(at):
+                continue
+            short = span_hashes(raw, starts[: len(starts) - size + 1], ends[size - 1 :])
+            seed = _sliding(short, min_words - size + 1, np.minimum)[at]
+            text = np.repeat(np.arange(len(count)), count)
+            cuts = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]), [True]]))
+            digests = span_hashes(raw, starts[at], ends[at + min_words - 1])
+            own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            order = np.lexsort((digests, own))
+            same = (own[order][1:] == own[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+            times = np.ones(len(cuts) - 1, np.int64)
+            times[own[order][1:][same]] = 2
+            head = cuts[:-1]
+            keys = batch.column("row_key").to_numpy(zero_copy_only=False)[text[head]]
+            listed = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(digests.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((at - first[text])[head].astype(np.int32)), pa.array(seed[head].view(np.int64)), listed, pa.array(times)], ["row_key", "ord", "seed", "windows", "times"])
+
+    return run
+
+
+def _cut_out(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _SLICE):
             raw, offsets = text_bytes(batch.column("text"))
-            cuts, first = chunk_cuts(raw, offsets)
-            flags = np.zeros(len(cuts), bool)
+            starts, ends, first = passage_words(raw, offsets)
             listed = batch.column("repeats")
-            for k, repeats in enumerate(listed):
-                if repeats.is_valid:
-                    flags[first[k] + repeats.values.to_numpy(zero_copy_only=False)] = True
             rows = zip(first[:-1].tolist(), first[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-            texts, chunks, dups, spans = [], [], [], []
-            for a, b, start, end in rows:
+            texts, words, dups, spans = [], [], [], []
+            for k, (a, b, start, end) in enumerate(rows):
                 data = raw[start:end].tobytes()
-                own = np.flatnonzero(np.diff(np.concatenate([[False], flags[a:b], [False]]).astype(np.int8)))
-                gone = [(int(cuts[a + s] - start), int(cuts[a + e] - start)) for s, e in own.reshape(-1, 2).tolist()]
-                gone = [(s, e) for s, e in gone if e - s >= min_run]
+                flags = np.zeros(b - a + 1, np.int64)
+                if listed[k].is_valid:
+                    at, n = (listed[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("ord", "n"))
+                    np.add.at(flags, at, 1)
+                    np.add.at(flags, at + n + min_words - 1, -1)
+                gone = np.cumsum(flags)[:-1] > 0
+                own = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                cuts = [(int(starts[a + s] - start), int(ends[a + e - 1] - start)) for s, e in own.reshape(-1, 2).tolist()]
                 kept, at = [], 0
-                for s, e in gone:
+                for s, e in cuts:
                     kept.append(data[at:s])
                     at = e
                 texts.append(b"".join([*kept, data[at:]]).decode())
-                chunks.append(b - a)
-                dups.append(int(flags[a:b].sum()))
-                spans.append([{"start": s, "end": e} for s, e in gone])
+                words.append(b - a)
+                dups.append(int(gone.sum()))
+                spans.append([{"start": s, "end": e} for s, e in cuts])
             struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(chunks, pa.int64()), pa.array(dups, pa.int64()), pa.array(spans, struct), pa.array([sum(x["end"] - x["start"] for x in s) for s in spans], pa.int64()), pa.array(texts, pa.string())], ["row_key", "n_chunks", "n_repeated", "removed", "removed_bytes", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(words, pa.int64()), pa.array(dups, pa.int64()), pa.array(spans, struct), pa.array([sum(x["end"] - x["start"] for x in s) for s in spans], pa.int64()), pa.array(texts, pa.string())], ["row_key", "n_chunks", "n_repeated", "removed", "removed_bytes", "kept_text"])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the remaining text, and n_chunks, n_repeated, removed (byte spans of the old text), removed_bytes.
 
-    Of equal chunks the first by row (the id, where ids are unique) and position stays, also within a document;
-    runs of repeated chunks of at least min_run bytes go. Null texts come back empty. Every row stays, also
+    n_chunks counts the words of the text, n_repeated those that go. A word goes where min_words words with it, bytes
+    and spaces alike, stand as one piece in an earlier row (by the id, where ids are unique) or earlier in its own. Null texts come back empty. Every row stays, also
     where all of its text goes. Ids may be null or repeat: then the rows are numbered for the order. Input
     columns with the names of new ones are replaced.
     """
@@ -107,13 +152,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = [c for c in docs.columns if c not in (id_col, text_col, *made)]
     rows, plain = keyed(docs, id_col, text_col, *others)
     source = rows.select("row_key", F.col(text_col).alias("text"))
-    chunks = source.mapInArrow(_chunks, "row_key long, ord int, digest long, size int")
-    owners = chunks.groupBy("digest", "size").agg(F.min(F.struct("row_key", "ord")).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "size", "owner")
-    # From a table, so that the join alone deals out both sides and a hot chunk can be split among tasks.
-    owners = written(owners, "chunk-owners")
-    repeats = chunks.join(owners, ["digest", "size"]).filter((F.col("row_key") != F.col("owner.row_key")) | (F.col("ord") != F.col("owner.ord")))
-    repeats = repeats.groupBy("row_key").agg(F.collect_list("ord").alias("repeats"))
-    cut = source.join(repeats, "row_key", "left").mapInArrow(_cut_out(min_run), "row_key long, n_chunks long, n_repeated long, removed array<struct<start: long, end: long>>, removed_bytes long, kept_text string")
+    found = source.mapInArrow(_seeds(min_words), "row_key long, ord int, seed long, windows array<long>, times long")
+    # From tables, so that the join alone deals out both sides and a hot seed can be split among tasks.
+    several = written(found.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "shared-seeds")
+    found = written(found.join(several, "seed").withColumn("digest", F.xxhash64("windows")), "shared-windows")
+    runs = found.groupBy("seed", "digest").agg(F.min(F.struct("row_key", "ord", "times")).alias("owner"), F.count(F.lit(1)).alias("n"))
+    runs = written(runs.select("seed", "digest", "owner.*", "n").withColumnsRenamed({"row_key": "owner_key", "ord": "owner_ord"}), "window-runs")
+    first = (F.col("row_key") == F.col("owner_key")) & (F.col("ord") == F.col("owner_ord"))
+    whole = found.drop("times").join(runs.filter("n > 1").select("seed", "digest", "owner_key", "owner_ord"), ["seed", "digest"]).filter(~first)
+    whole = whole.select("row_key", "ord", F.size("windows").alias("n"))
+    # Seeds with different runs: the first of each run holds all there is to compare.
+    mixed = written(runs.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "mixed-seeds")
+    heads = runs.join(mixed, "seed").select("seed", F.col("owner_key").alias("row_key"), F.col("owner_ord").alias("ord"))
+    single = found.join(heads, ["seed", "row_key", "ord"]).select("seed", "row_key", "ord", F.posexplode("windows").alias("at", "window"))
+    single = written(single.select("seed", "window", "row_key", (F.col("ord") + F.col("at")).alias("ord")), "single-windows")
+    owners = single.groupBy("seed", "window").agg(F.min(F.struct("row_key", "ord")).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "window", "owner")
+    owners = written(owners, "window-owners")
+    single = single.join(owners, ["seed", "window"]).filter((F.col("row_key") != F.col("owner.row_key")) | (F.col("ord") != F.col("owner.ord")))
+    repeats = whole.unionByName(single.select("row_key", "ord", F.lit(1).alias("n")))
+    repeats = repeats.groupBy("row_key").agg(F.collect_list(F.struct("ord", "n")).alias("repeats"))
+    cut = source.join(repeats, "row_key", "left").mapInArrow(_cut_out(min_words), "row_key long, n_chunks long, n_repeated long, removed array<struct<start: long, end: long>>, removed_bytes long, kept_text string")
     order = [c for c in docs.columns if c in (id_col, text_col, *others)]
     if plain and not others:
         cut = cut.withColumn(id_col, F.col("row_key").cast(dict(docs.dtypes)[id_col]))

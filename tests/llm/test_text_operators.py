@@ -163,6 +163,52 @@ def test_substring_recall_on_short_passages(spark):
     assert caught >= 0.96 * tried
 
 
+def test_substring_exact_windows(spark):
+    """Short and long words, whole passages to their ends, no mosaics of short ones, and the copies of a text without spaces."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prose = lambda n, size=None: " ".join(word(size or rng.randint(2, 9)) for _ in range(n))
+    texts, want = [], {}
+    for k in range(120):
+        passage = prose(51, k % 3 + 1)
+        a, b, c, d = (prose(rng.randint(5, 90)) for _ in range(4))
+        want[len(texts) + 1] = [(len(c) + 1, len(c) + 1 + len(passage))]
+        texts += [f"{a} {passage} {b}", f"{c} {passage} {d}"]
+    parts = [prose(50) for _ in range(4)]
+    texts += [f"{prose(9)} {p} {prose(9)}" for p in parts]
+    want[len(texts)] = []  # each part is repeated, the whole isn't
+    texts.append(" ".join(parts))
+    dense = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(200))
+    want[len(texts) + 1] = [(30, 30 + len(dense.encode()))]
+    texts += [dense, "丁" * 10 + dense]
+    rows = substring_dedup.dedup_substrings(docs(spark, texts)).collect()
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in rows if r.doc_id in want or r.removed} == want
+
+
+def test_substring_windows_as_by_brute_force(spark):
+    """Few words, so that windows repeat within and across texts, overlap, and share seeds in different surroundings."""
+    import random
+
+    rng = random.Random(9)
+    pieces = [" ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(1, 7))) for _ in range(14)]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["a " * 60, "b a " * 30]
+    seen, want = set(), {}
+    for k, t in enumerate(texts):
+        words = [m.span() for m in re.finditer(r"[^ ]+", t)]
+        gone = [False] * len(words)
+        for i in range(len(words) - 11):
+            if (piece := t[words[i][0] : words[i + 11][1]]) in seen:
+                gone[i : i + 12] = [True] * 12
+            seen.add(piece)
+        edges = [i for i in range(len(words) + 1) if (i < len(words) and gone[i]) != (i > 0 and gone[i - 1])]
+        want[k] = [(words[a][0], words[b - 1][1]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    rows = substring_dedup.dedup_substrings(docs(spark, texts), min_words=12).collect()
+    assert sum(map(bool, want.values())) > 30
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in rows} == want
+
+
 # ---- chat
 
 
