@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrid.llm.common import written
+from hitgrid.llm.common import keyed, written
 from hitgrid.llm.language_id import identify
 from hitgrid.llm.line_dedup import drop_frequent_lines
 from hitgrid.llm.ngram_jaccard import jaccard_components
@@ -25,16 +25,16 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of gone; a null id there means rows without an id."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """documents with a row_key: ids may be null or repeat, and each row has a decision of its own."""
+    return keyed(docs, "doc_id", *COLUMNS[1:])[0]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose id language identification rejects go; the language found replaces the declared one only in the decision."""
-    judged = identify(docs, declared=F.col("lang"), host=F.col("source"))
-    return _without(docs, judged.filter(~F.col("accepted"))).select(*COLUMNS)
+    """Rows that language identification rejects go; the language found replaces the declared one only in the decision."""
+    rows = _keyed(docs)
+    judged = identify(rows, declared=F.col("lang"), host=F.col("source"), key_col="row_key")
+    return rows.join(judged.filter(~F.col("accepted")).select("row_key"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; an id goes where none of its rows is kept."""
-    judged = jaccard_components(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return _without(docs, judged.filter(~F.col("kept"))).select(*COLUMNS)
+    """Of each group of near copies the row with the least id stays, of several such rows one."""
+    rows = _keyed(docs)
+    judged = jaccard_components(rows, key_col="row_key")
+    return rows.join(judged.filter(~F.col("kept")).select("row_key"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

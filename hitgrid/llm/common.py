@@ -45,18 +45,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_col: str, *keep: str | Column) -> tuple[DataFrame, bool]:
+def keyed(docs: DataFrame, id_col: str, *keep: str | Column, key_col: str | None = None) -> tuple[DataFrame, bool]:
     """(id_col, *keep, row_key) with a row_key that is unique and never null, and whether it is the id itself.
 
     The id serves as key when it is a unique, non-null integer. Else the rows are numbered
-    and written once, so that a recomputed task can't number them anew.
+    and written once, so that a recomputed task can't number them anew; or keep the numbers of
+    key_col, a row_key that this function gave.
     """
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col), *keep)
+    plain = docs.select(F.col(id_col), *keep, *([F.col(key_col).alias("row_key")] if key_col else []))
     if dict(plain.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
         n, ids = plain.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
         if n == ids:
             return plain.withColumn("row_key", F.col(id_col).cast("long")), True
+    if key_col:
+        return plain, False
     return written(plain.withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
 
 

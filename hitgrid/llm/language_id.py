@@ -117,6 +117,7 @@ def identify(
     min_grams: int = 8,
     oddness: float = 2.0,
     sample: int = SAMPLE,
+    key_col: str | None = None,
 ) -> DataFrame:
     """(row_key, id, lang_id, p, text_lang, oddness, accepted), a row per row of docs.
 
@@ -128,12 +129,12 @@ def identify(
     outside `accepted` (all of the model by default), and for texts whose mean score lies more than
     `oddness` + 8 / sqrt(n_grams) standard deviations of a trigram below the usual one: they are in no
     language of the model.
-    Empty tables give no rows. Input rows may repeat.
+    Empty tables give no rows. Input rows may repeat. key_col: the row_key of `keyed`, if the rows are numbered already.
     """
     blank = F.lit(None).cast("string")
     declared, host = declared if declared is not None else blank, host if host is not None else blank
     suffix = suffix if suffix is not None else blank
-    rows, _ = keyed(docs, id_col, F.col(text_col).alias("text"), declared.cast("string").alias("declared"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"))
+    rows, _ = keyed(docs, id_col, F.col(text_col).alias("text"), declared.cast("string").alias("declared"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"), key_col=key_col)
     model = fit_text(rows, F.col("declared"), "text", id_col, sample)
     n = len(model.languages)
     languages = F.array(*map(F.lit, model.languages)) if n else F.array().cast("array<string>")

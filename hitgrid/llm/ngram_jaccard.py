@@ -293,7 +293,7 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, key_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, row_key, kept), a row per row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a set holds the distinct runs of `width` words,
@@ -301,9 +301,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     when 100 * intersection >= 80 * union; component_id is the least id that links reach (nulls aside), and kept marks one
     row of each component, that with the least id. Ids that repeat or are null: every row is one node, and of a
     least id's rows the first by row_key is kept. Extra columns don't go on.
+    key_col: the row_key of `keyed`, if the rows are numbered already.
     """
     spark = docs.sparkSession
-    rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"))
+    rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"), key_col=key_col)
     n = partitions(spark)
     dealt = rows.select("row_key", "text").mapInArrow(_deal(2 * n, width), _SENT_SQL)
     counted = dealt.groupBy("part").applyInArrow(_count(n), _SENT_SQL)

@@ -21,6 +21,20 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == kept[-1]
 
 
+def test_decisions_are_by_row(spark):
+    """Null and repeated ids: a rejected row takes no other along, and of equal rows one stays."""
+    known = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 300")
+    good = known.orderBy("doc_id").limit(40).selectExpr("if(doc_id % 2 = 0, null, 5L) AS doc_id", "text", "lang", "source", "n_chars")
+    bad = spark.createDataFrame([(None, "1 2", "en", "s", 3), (5, "", "en", "s", 0)], known.schema)
+    rows = corpus_pipeline.language_id(spark, good.unionByName(bad), SF)
+    assert rows.filter("n_chars > 3").count() == corpus_pipeline.language_id(spark, good, SF).count() > 30
+    assert rows.filter("n_chars <= 3").count() == 0
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    copies = spark.createDataFrame([(5, a, "en", "s", 9), (5, a, "en", "s", 9), (None, b, "en", "s", 9), (None, b, "en", "s", 9), (None, a, "en", "s", 9)], known.schema)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard(spark, copies, SF).collect() if r.doc_id) == [(5, a)]
+    assert corpus_pipeline.ngram_jaccard(spark, copies, SF).count() == 2
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
