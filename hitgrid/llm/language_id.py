@@ -71,27 +71,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["lang", "counts"])
 
 
-def fit_text(docs: DataFrame, label: Column, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, least: int = 50) -> TextModel:
+def fit_text(docs: DataFrame, label: Column, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
     """The text model from at most `sample` rows of each label, the first by a hash of id and text.
 
-    Labels with fewer than `least` rows in the sample are no languages of the model (unless no label has more).
+    Every label with text is a language of the model. One with fewer trigrams than BUCKETS is filled up to so many
+    in the corpus's proportions, or its flat weights would draw texts of no language.
     """
     from pyspark.sql import Window
 
     rows = docs.select(label.alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter("lang is not null and length(text) > 0")
     # The limit runs before the text moves: a hash below the bound that holds about `sample` rows, then the exact rank of those few.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (sample + 6 * sample**0.5) / n))).otherwise(share)
-    few = rows.filter((F.col("h") / F.lit(float(1 << 64)) + 0.5) < share)
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "label-sizes")
+    few = rows.join(sizes, "lang").filter((F.col("h") / F.lit(float(1 << 64)) + 0.5) < F.lit(sample + 6 * sample**0.5) / F.col("n")).select("lang", "text", "h")
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= sample)
-    counts = {r["lang"]: sum(np.frombuffer(x, np.int64) for x in r["parts"]) for r in few.select("lang", "text").coalesce(1).mapInArrow(_counts, "lang string, counts binary").groupBy("lang").agg(F.collect_list("counts").alias("parts")).collect()}
-    known = {k: n for k, n in sizes.items() if n >= least} or sizes
-    languages = tuple(sorted(k for k in counts if k in known))
+    counts = {r["lang"]: sum(np.frombuffer(x, np.int64) for x in r["parts"]) for r in few.select("lang", "text").mapInArrow(_counts, "lang string, counts binary").groupBy("lang").agg(F.collect_list("counts").alias("parts")).collect()}
+    languages = tuple(sorted(k for k, x in counts.items() if x.sum()))
     if not languages:
         return TextModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
     table = np.array([counts[k] for k in languages], np.float64).T
+    table += table.sum(axis=1, keepdims=True) / max(table.sum(), 1.0) * np.maximum(BUCKETS - table.sum(axis=0), 0.0)
     p = (table + 0.05) / (table + 0.05).sum(axis=0)
     weights = np.log(p)
     usual = (p * weights).sum(axis=0)
@@ -154,13 +152,12 @@ def identify(
     smooth = lambda c, parent: F.zip_with(c, parent, lambda x, q: (x + smoothing * q) / (F.aggregate(c, F.lit(0.0), lambda a, b: a + b) + smoothing))
     by_suffix = sums(["suffix"]).withColumn("suffix_p", smooth(F.col("c"), F.array(*map(F.lit, top)))).drop("c")
     by_host = written(sums(["host", "suffix"]).join(by_suffix, "suffix").withColumn("host_p", smooth(F.col("c"), F.col("suffix_p"))).select("host", "suffix", "host_p"), "host-priors")
-    # P(declared | language): at most 1000 declarations are told apart, the rest share the uniform share.
-    told = sums(["declared"]).orderBy(F.desc(F.aggregate("c", F.lit(0.0), lambda a, b: a + b)), "declared").limit(1000).collect()
-    said = F.array(*[F.lit(1.0 / (total + 1))] * n)
-    for r in told:
-        said = F.when(F.col("declared") == r["declared"], F.array(*[F.lit(((r["c"][i] or 0.0) + 1.0) / ((whole[i] or 0.0) + len(told) + 1)) for i in range(n)])).otherwise(said)
-    joined = scored.join(by_host, ["host", "suffix"])
-    fused = F.zip_with(F.zip_with(F.transform("scores", lambda x: x * temper), said, lambda a, b: a + F.log(b)), F.col("host_p"), lambda a, b: a + F.log(b))
+    # P(declared | language), a row for each declaration.
+    told = written(sums(["declared"]), "declarations")
+    k = told.count()
+    said = told.select("declared", F.zip_with("c", F.array(*[F.lit(float(x or 0.0)) for x in whole]), lambda c, w: (c + 1.0) / (w + F.lit(k + 1.0))).alias("said"))
+    joined = scored.join(by_host, ["host", "suffix"]).join(said, "declared")
+    fused = F.zip_with(F.zip_with(F.transform("scores", lambda x: x * temper), F.col("said"), lambda a, b: a + F.log(b)), F.col("host_p"), lambda a, b: a + F.log(b))
     out = joined.withColumn("posterior", _softmax(fused)).withColumn("p", F.array_max("posterior"))
     out = out.withColumns({"best": F.array_position("posterior", F.col("p")).cast("int"), "text_best": F.array_position("text_p", F.array_max("text_p")).cast("int")})
     usual, spread = (F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("text_best")) for v in (model.usual, model.spread))

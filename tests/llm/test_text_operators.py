@@ -377,6 +377,23 @@ def test_language_id(spark):
     assert language_id.identify(odd.limit(0)).count() == 0
 
 
+def test_language_id_knows_rare_languages_and_declarations(spark):
+    """Over 64 languages, most of a few rows beside two of many; declarations of a single row each."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(60)] for _ in range(72)]
+    text = lambda k, n=40: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(f"l{k}", text(k)) for k in range(72) for _ in range(60 if k < 2 else 6)]
+    table = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(table, declared=table["lang"]).collect()}
+    assert len(got) == len(rows) and all(got[i].lang_id == lang and got[i].accepted for i, (lang, _) in enumerate(rows))
+    # Each row has a spelling of its own: the table of declarations holds them all, and each row still comes out once.
+    spelt = spark.createDataFrame([(i, text(i % 2, 20), f"x{i}" if i >= 200 else f"l{i % 2}") for i in range(230)], "doc_id long, text string, lang string")
+    out = language_id.identify(spelt, declared=spelt["lang"]).collect()
+    assert sorted(r.doc_id for r in out) == list(range(230))
+
+
 @pytest.mark.parametrize("run", [lambda d: exact_dedup.exact_dedup(d), lambda d: line_dedup.drop_frequent_lines(d), lambda d: ngram_jaccard.jaccard_components(d), lambda d: substring_dedup.dedup_substrings(d), lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json"))])
 def test_empty_tables(spark, run):
     assert run(docs(spark, ["x"]).limit(0)).count() == 0
