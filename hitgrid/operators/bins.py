@@ -38,10 +38,10 @@ def gate_counts(windowed: DataFrame, delta_us: int, window_us: int, step_us: int
 
 def moment_sums(gates: DataFrame, window_us: int, keys: Sequence[str] = ("run_id", "win", "gate_us")) -> DataFrame:
     """Power sums of the gate counts and their falling factorials; n_gates counts empty gates, too."""
-    n = F.col("n")
+    n = F.col("n").cast("double")  # the squares of the third order leave a long from some 1,450 events in a gate on
     f2, f3 = n * (n - 1), n * (n - 1) * (n - 2)
     sums = {"s1": n, "s2": f2, "s3": f3, "q11": n * n, "q22": f2 * f2, "q33": f3 * f3, "q12": n * f2, "q13": n * f3, "q23": f2 * f3}
-    return gates.groupBy(*keys).agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()]).withColumn("n_gates", F.greatest(F.floor(F.lit(window_us) / F.col("gate_us")), F.lit(1)))
+    return gates.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).withColumn("n_gates", F.greatest(F.floor(F.lit(window_us) / F.col("gate_us")), F.lit(1)))
 
 
 def factorial_moments(sums: DataFrame) -> DataFrame:

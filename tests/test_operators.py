@@ -273,3 +273,14 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "sigma_y" in df.columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_moment_sums_of_large_gates(spark):
+    """Thousands of events in a gate: products of the third order pass the range of a long."""
+    gates = spark.createDataFrame([("a", 0, 50, k, n) for k, n in enumerate([10_000, 9_000, 3])], "run_id string, win long, gate_us long, gate_idx long, n long")
+    got = B.moment_sums(gates, 150).first()
+    falls = [(n, n * (n - 1), n * (n - 1) * (n - 2)) for n in (10_000, 9_000, 3)]
+    for k in range(3):
+        assert got[f"s{k + 1}"] == pytest.approx(sum(f[k] for f in falls), rel=1e-12)
+        for j in range(k, 3):
+            assert got[f"q{k + 1}{j + 1}"] == pytest.approx(sum(f[k] * f[j] for f in falls), rel=1e-12)
