@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Where the tables of `written` are.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a session in one process (tests) may leave it unset: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -31,7 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of `written` that no plan reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,9 +64,10 @@ def partitions(spark: SparkSession) -> int:
 def keyed(docs: DataFrame, id_col: str, *keep: str | Column, key_col: str | None = None) -> tuple[DataFrame, bool]:
     """(id_col, *keep, row_key) with a row_key that is unique and never null, and whether it is the id itself.
 
-    The id serves as key when it is a unique, non-null integer. Else the rows are numbered
-    and written once, so that a recomputed task can't number them anew; or keep the numbers of
-    key_col, a row_key that this function gave.
+    The keys have the order of the ids: nulls first, then ascending, rows of one id in any order. The id serves
+    as key when it is a unique, non-null integer. Else the rows are dealt out by ranges of the id (a frequent one
+    over several), ordered, numbered and written once, so that a recomputed task can't number them anew; or keep
+    the numbers of key_col, a row_key that this function gave.
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col), *keep, *([F.col(key_col).alias("row_key")] if key_col else []))
@@ -60,7 +77,9 @@ def keyed(docs: DataFrame, id_col: str, *keep: str | Column, key_col: str | None
             return plain.withColumn("row_key", F.col(id_col).cast("long")), True
     if key_col:
         return plain, False
-    return written(plain.withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
+    order = [F.asc_nulls_first(id_col), F.asc("row_key")]
+    ranged = plain.withColumn("row_key", F.rand(7)).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(ranged.withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
 
 
 def ascii_lower(c: Column) -> Column:

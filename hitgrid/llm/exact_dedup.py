@@ -54,8 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, keep_id, group_size, kept, text_sha256), a row per row of docs.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row
-    with the largest id stays. Where ids repeat or are null, every row is still judged: rows are numbered,
-    the largest number stays, and keep_id is the id of that row. Extra columns don't go on.
+    with the largest id stays, a null id being less than all others; of several rows with that id one stays.
+    Every row is judged, repeated ones too. keep_id is the id of the row that stays. Extra columns don't go on.
+    An empty table gives no rows.
     """
     rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"))
     source = rows.select("row_key", "text")
