@@ -1,9 +1,12 @@
-"""Substring deduplication by windows of words.
-
-A passage of MIN_WORDS words goes where the same bytes stand earlier (by key, then position) as one piece. Each
-such window is named by the least hash of the shorter windows inside it, its seed, and neighbours with the same
-seed travel as one row. Equal windows have equal seeds, so seeds that stand in one row only are done; rows that
-are equal as a whole are compared by their first one; what is left, the ends of repeated passages, window by window.
+"""Substring deduplication by content-defined chunks.
+
+1. A gear hash rolls over the bytes; a word starts a new chunk where the hash before it is the least of CUT_SPAN neighbours.
+   So cuts depend on nearby content alone, an insertion moves none but those around it, and chunks have 1 to CUT_SPAN words.
+2. Chunks are deduplicated by digest. Each window of MIN_WORDS words is named by the least digest of the chunks deep inside
+   it; windows side by side with one name travel as one row. Equal windows hold equal chunks there, whatever surrounds
+   them, so what a chunk without a second place names is done.
+3. Behind a repeated chunk, rows that are equal as a whole are compared by their first one; what is left, the ends of
+   repeated passages, window by window. Of equal windows the first (by key, then position) stays.
 """
 
 from __future__ import annotations
@@ -14,45 +17,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import by_bytes, keyed, mix64, ranges, span_hashes, text_bytes, word_spans, written
+from .common import by_bytes, discard, keyed, mix64, ranges, span_hashes, text_bytes, word_spans, written
 
-#: A cut where these bits of the gear hash are zero, 32 bytes apart on average.
-CUT_MASK = np.uint32(0xF800)
-#: Beyond so many bytes without such a cut, fewer bits need to be zero: long chunks are what hides the ends of a passage.
-FAR, WEAK_MASK = 64, np.uint32(0x3800)
 #: Words of a passage from which it goes.
 MIN_WORDS = 51
+#: Of so many neighbouring word starts at least one is a cut.
+CUT_SPAN = 8
+#: Bytes that the gear hash remembers; no more words than that.
+GEAR_BYTES = 8
 #: Words of over LONG bytes (scripts without spaces, encoded data) are cut up, so that about MIN_RUN bytes of them count as MIN_WORDS words.
 LONG, MIN_RUN = 64, 128
 _SLICE = 3 << 19
 _GEAR = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(20)).astype(np.uint32)
 
 
-def chunk_cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The m + 1 ends of all chunks, and each text's first chunk (n + 1 values). Empty texts have none; characters stay whole."""
-    n = len(raw)
-    h = _GEAR[raw]
-    inside = np.minimum(np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets)), 255).astype(np.uint8)
-    for s in (1, 2, 4, 8):  # h over the last s bytes becomes h over the last 2 s; nothing before the text counts
-        moved = np.zeros(n, np.uint32)
-        if n > s:
-            moved[s:] = np.where(inside[s:] >= s, h[:-s] << np.uint32(s), np.uint32(0))
-        h = h + moved
-    marked = np.zeros(n + 1, bool)
-    marked[1:] = (h & CUT_MASK) == 0
-    if n:
-        marked[:-1] &= (raw & 0xC0) != 0x80
-    marked[offsets] = True
-    place = np.arange(n + 1)
-    before = np.concatenate([[0], np.maximum.accumulate(np.where(marked, place, 0))[:-1]])
-    weak = np.zeros(n + 1, bool)
-    weak[1:] = (h & WEAK_MASK) == 0
-    if n:
-        weak[:-1] &= (raw & 0xC0) != 0x80
-    marked |= weak & (place - before > FAR)
-    cuts = np.flatnonzero(marked)
-    return cuts, np.searchsorted(cuts, offsets)
+def gear(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rolling hash of the GEAR_BYTES bytes before each place: h = (h << 1) + GEAR[byte], the older ones shifted out by a mask."""
+    h = np.zeros(len(at), np.uint32)
+    for k in range(GEAR_BYTES):
+        before = at - 1 - k
+        h += np.where(before >= 0, _GEAR[raw[np.maximum(before, 0)]], np.uint32(0)) << np.uint32(k)
+    return h
+
+
+def chunk_cuts(hashes: np.ndarray, span: int = CUT_SPAN) -> np.ndarray:
+    """Whether each place is a cut: its hash is the least of some `span` neighbouring places, the first of equal ones.
+
+    Any `span` neighbours hold a cut, and nothing further away than span - 1 places decides on one.
+    """
+    n = len(hashes)
+    if n < span:
+        return np.zeros(n, bool)
+    # Earlier places win ties, so the hash and the place decide together.
+    mixed = (hashes.astype(np.uint64) << np.uint64(31)) | np.arange(n, dtype=np.uint64)
+    least = _sliding(mixed, span, np.minimum) & np.uint64((1 << 31) - 1)
+    cut = np.zeros(n, bool)
+    cut[least.astype(np.int64)] = True
+    return cut
+
+
+def cut_span(min_words: int) -> int:
+    """CUT_SPAN, or less where windows are so short that they might hold no whole chunk that is settled inside."""
+    return max(1, min(CUT_SPAN, (min_words - GEAR_BYTES + 2) // 4))
 
 
 def passage_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +86,24 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: size - width], x[width - size :]) if size < width else x
 
 
+def _names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_words: int) -> np.ndarray:
+    """For each window of words (len(starts) - min_words + 1) the least digest of the chunks that its own bytes settle.
+
+    A cut is settled by the hashes of span - 1 places to each side, and these by GEAR_BYTES bytes before them. So the chunk
+    that starts `first` to `last` words into the window is settled, and of these places one at least is a cut.
+    """
+    span = cut_span(min_words)
+    first, last = (GEAR_BYTES + span - 1, min_words - 2 * span) if span > 1 else (0, min_words - 2)
+    cuts = np.flatnonzero(chunk_cuts(gear(raw, starts), span))
+    digests = np.full(len(starts), ~np.uint64(0))
+    if len(cuts) > 1:
+        digests[cuts[:-1]] = span_hashes(raw, starts[cuts[:-1]], ends[cuts[1:] - 1])
+    least = _sliding(digests, last - first + 1, np.minimum)
+    return least[first : first + len(starts) - min_words + 1]
+
+
 def _seeds(min_words: int):
-    """Runs of windows with one seed: the first one's first word, the seed, the windows' digests, and 2 where some of these are equal, else 1."""
-    size = (min_words + 1) // 2
+    """Runs of windows with one name: the first one's first word, the name, the number and digests of the windows, and 2 where some of these are equal, else 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _SLICE):
@@ -90,8 +113,7 @@ def _seeds(min_words: int):
             at = ranges(first[:-1], count)
             if not len(at):
                 continue
-            short = span_hashes(raw, starts[: len(starts) - size + 1], ends[size - 1 :])
-            seed = _sliding(short, min_words - size + 1, np.minimum)[at]
+            seed = _names(raw, starts, ends, min_words)[at]
             text = np.repeat(np.arange(len(count)), count)
             cuts = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]), [True]]))
             digests = span_hashes(raw, starts[at], ends[at + min_words - 1])
@@ -108,21 +130,33 @@ def _seeds(min_words: int):
     return run
 
 
-def _cut_out(min_words: int):
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+_NEW = [StructField("n_words", LongType()), StructField("n_repeated", LongType()), StructField("removed", _SPANS), StructField("removed_bytes", LongType())]
+_NEW_ARROW = {"n_words": pa.int64(), "n_repeated": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "removed_bytes": pa.int64()}
+
+
+def _cut_out(min_words: int, text_col: str, names: list[str]):
+    """Takes the repeats out of the texts; the other columns go through as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", _SLICE):
-            raw, offsets = text_bytes(batch.column("text"))
+        for batch in by_bytes(batches, text_col, _SLICE):
+            raw, offsets = text_bytes(batch.column(text_col))
             starts, ends, first = passage_words(raw, offsets)
             listed = batch.column("repeats")
             rows = zip(first[:-1].tolist(), first[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
             texts, words, dups, spans = [], [], [], []
             for k, (a, b, start, end) in enumerate(rows):
                 data = raw[start:end].tobytes()
+                words.append(b - a)
+                if not listed[k].is_valid:
+                    texts.append(data.decode())
+                    dups.append(0)
+                    spans.append([])
+                    continue
                 flags = np.zeros(b - a + 1, np.int64)
-                if listed[k].is_valid:
-                    at, n = (listed[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("ord", "n"))
-                    np.add.at(flags, at, 1)
-                    np.add.at(flags, at + n + min_words - 1, -1)
+                at, n = (listed[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("ord", "n"))
+                np.add.at(flags, at, 1)
+                np.add.at(flags, at + n + min_words - 1, -1)
                 gone = np.cumsum(flags)[:-1] > 0
                 own = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 cuts = [(int(starts[a + s] - start), int(ends[a + e - 1] - start)) for s, e in own.reshape(-1, 2).tolist()]
@@ -131,50 +165,46 @@ def _cut_out(min_words: int):
                     kept.append(data[at:s])
                     at = e
                 texts.append(b"".join([*kept, data[at:]]).decode())
-                words.append(b - a)
                 dups.append(int(gone.sum()))
                 spans.append([{"start": s, "end": e} for s, e in cuts])
-            struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(words, pa.int64()), pa.array(dups, pa.int64()), pa.array(spans, struct), pa.array([sum(x["end"] - x["start"] for x in s) for s in spans], pa.int64()), pa.array(texts, pa.string())], ["row_key", "n_chunks", "n_repeated", "removed", "removed_bytes", "kept_text"])
+            new = {text_col: texts, "n_words": words, "n_repeated": dups, "removed": spans, "removed_bytes": [sum(x["end"] - x["start"] for x in s) for s in spans]}
+            kinds = {**_NEW_ARROW, text_col: pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], kinds[c]) if c in new else batch.column(c) for c in names], names)
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with the remaining text, and n_chunks, n_repeated, removed (byte spans of the old text), removed_bytes.
+    """All columns of docs with the remaining text, and n_words, n_repeated, removed (byte spans of the old text), removed_bytes.
 
-    n_chunks counts the words of the text, n_repeated those that go. A word goes where min_words words with it, bytes
-    and spaces alike, stand as one piece in an earlier row (by the id, where ids are unique) or earlier in its own. Null texts come back empty. Every row stays, also
-    where all of its text goes. Ids may be null or repeat: then the rows are numbered for the order. Input
-    columns with the names of new ones are replaced.
+    n_words counts the words of the text, n_repeated those that go. A word goes where min_words words with it, bytes
+    and spaces alike, stand as one piece in an earlier row (in the order of ids, nulls first; rows of one id in any order)
+    or earlier in its own. Null texts come back empty. Every row stays, also where all of its text goes. Input
+    columns with the names of new ones are replaced. An empty table gives no rows.
     """
-    made = ("n_chunks", "n_repeated", "removed", "removed_bytes", "kept_text", "row_key", "repeats")
+    made = ("n_words", "n_repeated", "removed", "removed_bytes", "row_key", "repeats")
     others = [c for c in docs.columns if c not in (id_col, text_col, *made)]
-    rows, plain = keyed(docs, id_col, text_col, *others)
+    rows, _ = keyed(docs, id_col, text_col, *others)
     source = rows.select("row_key", F.col(text_col).alias("text"))
     found = source.mapInArrow(_seeds(min_words), "row_key long, ord int, seed long, windows array<long>, times long")
     # From tables, so that the join alone deals out both sides and a hot seed can be split among tasks.
-    several = written(found.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "shared-seeds")
-    found = written(found.join(several, "seed").withColumn("digest", F.xxhash64("windows")), "shared-windows")
-    runs = found.groupBy("seed", "digest").agg(F.min(F.struct("row_key", "ord", "times")).alias("owner"), F.count(F.lit(1)).alias("n"))
-    runs = written(runs.select("seed", "digest", "owner.*", "n").withColumnsRenamed({"row_key": "owner_key", "ord": "owner_ord"}), "window-runs")
+    several = written(found.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "shared-chunks")
+    found = written(found.join(several, "seed").withColumns({"digest": F.xxhash64("windows"), "n": F.size("windows")}), "shared-windows")
+    runs = found.groupBy("seed", "digest").agg(F.min(F.struct("row_key", "ord", "times")).alias("owner"), F.count(F.lit(1)).alias("rows"))
+    runs = written(runs.select("seed", "digest", "owner.*", "rows").withColumnsRenamed({"row_key": "owner_key", "ord": "owner_ord"}), "window-runs")
     first = (F.col("row_key") == F.col("owner_key")) & (F.col("ord") == F.col("owner_ord"))
-    whole = found.drop("times").join(runs.filter("n > 1").select("seed", "digest", "owner_key", "owner_ord"), ["seed", "digest"]).filter(~first)
-    whole = whole.select("row_key", "ord", F.size("windows").alias("n"))
-    # Seeds with different runs: the first of each run holds all there is to compare.
-    mixed = written(runs.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "mixed-seeds")
+    whole = found.select("seed", "digest", "row_key", "ord", "n").join(runs.filter("rows > 1").select("seed", "digest", "owner_key", "owner_ord"), ["seed", "digest"]).filter(~first)
+    # Chunks with different runs around them: the first of each run holds all there is to compare.
+    mixed = written(runs.groupBy("seed").agg(F.sum("times").alias("n")).filter("n > 1").select("seed"), "mixed-chunks")
     heads = runs.join(mixed, "seed").select("seed", F.col("owner_key").alias("row_key"), F.col("owner_ord").alias("ord"))
-    single = found.join(heads, ["seed", "row_key", "ord"]).select("seed", "row_key", "ord", F.posexplode("windows").alias("at", "window"))
+    single = found.select("seed", "row_key", "ord", "windows").join(heads, ["seed", "row_key", "ord"]).select("seed", "row_key", "ord", F.posexplode("windows").alias("at", "window"))
     single = written(single.select("seed", "window", "row_key", (F.col("ord") + F.col("at")).alias("ord")), "single-windows")
     owners = single.groupBy("seed", "window").agg(F.min(F.struct("row_key", "ord")).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "window", "owner")
     owners = written(owners, "window-owners")
-    single = single.join(owners, ["seed", "window"]).filter((F.col("row_key") != F.col("owner.row_key")) | (F.col("ord") != F.col("owner.ord")))
-    repeats = whole.unionByName(single.select("row_key", "ord", F.lit(1).alias("n")))
-    repeats = repeats.groupBy("row_key").agg(F.collect_list(F.struct("ord", "n")).alias("repeats"))
-    cut = source.join(repeats, "row_key", "left").mapInArrow(_cut_out(min_words), "row_key long, n_chunks long, n_repeated long, removed array<struct<start: long, end: long>>, removed_bytes long, kept_text string")
+    later = single.join(owners, ["seed", "window"]).filter((F.col("row_key") != F.col("owner.row_key")) | (F.col("ord") != F.col("owner.ord")))
+    repeats = whole.select("row_key", "ord", "n").unionByName(later.select("row_key", "ord", F.lit(1).alias("n")))
+    repeats = written(repeats.groupBy("row_key").agg(F.collect_list(F.struct("ord", "n")).alias("repeats")), "repeats")
+    discard(several, found, runs, mixed, single, owners)
     order = [c for c in docs.columns if c in (id_col, text_col, *others)]
-    if plain and not others:
-        cut = cut.withColumn(id_col, F.col("row_key").cast(dict(docs.dtypes)[id_col]))
-    else:
-        cut = rows.drop(text_col).join(cut, "row_key")
-    return cut.select(*(F.col("kept_text").alias(c) if c == text_col else F.col(c) for c in order), "n_chunks", "n_repeated", "removed", "removed_bytes")
+    schema = StructType([rows.schema[c] for c in order] + _NEW)
+    return rows.join(repeats, "row_key", "left").select(*order, "repeats").mapInArrow(_cut_out(min_words, text_col, schema.names), schema)

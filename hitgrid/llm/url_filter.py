@@ -54,13 +54,11 @@ def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colu
 
 
 def ngrams(text: Column, sizes: Sequence[int], mark: str) -> Column:
-    """All character n-grams of ^text$, each with a mark for its field."""
+    """All character n-grams of ^text$, each with a mark for its field. One pass over the text for each size: a look-ahead matches at every character."""
     text = F.concat(F.lit("^"), F.coalesce(text, F.lit("")), F.lit("$"))
 
     def cut(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        grams = F.transform(places, lambda i: F.concat(F.lit(f"{mark}{n}:"), F.substring(text, i, F.lit(n))))
-        return F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1), lambda g: F.concat(F.lit(f"{mark}{n}:"), g))
 
     parts = [cut(n) for n in sizes]
     return F.concat(*parts)
