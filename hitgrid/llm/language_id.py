@@ -96,6 +96,17 @@ def fit_text(docs: DataFrame, label: Column, text_col: str = "text", id_col: str
     return TextModel(languages, weights.astype(np.float32), usual, np.sqrt((p * (weights - usual) ** 2).sum(axis=0)))
 
 
+def host_suffix(host: Column) -> Column:
+    """The address suffix of a host: what follows its last dot, lower-cased; empty for hosts without a dot, with digits alone there (addresses in numbers) and nulls."""
+    return F.lower(F.regexp_extract(F.coalesce(host, F.lit("")), r"\.([^.\d][^.]*)\.?$", 1))
+
+
+def markup_language(html: Column) -> Column:
+    """The primary subtag of the lang attribute of the html element, lower-cased; null where there is none."""
+    found = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<html(?=[\s>])[^>]*?\slang\s*=\s*["']?([a-z]{2,8})""", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
 def _softmax(logs: Column) -> Column:
     shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
     return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
@@ -122,7 +133,8 @@ def identify(
     lang_id: the language with the highest fused posterior p; null where no language could be fitted.
     Evidence: text scores times `temper` (trigrams overlap, so they are not independent), log P(declared | language)
     and log prior(language | host). A prior is its counts plus `smoothing` times its parent's prior: host under
-    suffix under corpus. Null declarations, hosts and suffixes are values like others.
+    suffix under corpus. Null declarations, hosts and suffixes are values like others. For pages, `markup_language`
+    and `host_suffix` give the declaration and the suffix.
     accepted is false for texts with fewer than min_grams trigrams, for p below min_probability, for languages
     outside `accepted` (all of the model by default), and for texts whose mean score lies more than
     `oddness` + 8 / sqrt(n_grams) standard deviations of a trigram below the usual one: they are in no

@@ -59,7 +59,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source")).drop("row_key")
+    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"), suffix=language_id.host_suffix(F.col("source"))).drop("row_key")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hitgrid.llm import chat, exact_dedup, language_id, line_dedup, ngram_jaccard, packing, substring_dedup, unigram, url_filter
 
@@ -37,9 +38,20 @@ def test_exact_dedup(spark, ids):
     by_hash = {hashlib.sha256(t.encode()).hexdigest(): n for t, n in groups.items()}
     assert all(r.group_size == by_hash[r.text_sha256] for r in got)
     assert Counter(r.text_sha256 for r in got if r.kept) == dict.fromkeys(by_hash, 1)
-    if not ids:
-        for r in got:
-            assert r.keep_id == max(k for k, t in enumerate(TEXTS) if (t or "").translate(LOWER) == (TEXTS[r.doc_id] or "").translate(LOWER))
+    largest = {}
+    for k, t in zip(keys, TEXTS, strict=True):
+        name = hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()
+        largest[name] = max(largest.get(name, -1), -1 if k is None else k)
+    for r in got:
+        assert (-1 if r.keep_id is None else r.keep_id) == largest[r.text_sha256]
+        assert not r.kept or r.doc_id == r.keep_id
+
+
+def test_exact_dedup_largest_id_stays_whatever_the_others_are(spark):
+    """One repeated or null id elsewhere doesn't change the rule."""
+    rows = [(9, "same"), (1, "SAME"), (5, "z"), (5, "q"), (None, "same"), (None, "n"), (None, "n"), (3, "x" * 200_000), (4, "x" * 200_000)]
+    got = exact_dedup.exact_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter([(9, 9, 3, True), (1, 9, 3, False), (None, 9, 3, False), (5, 5, 1, True), (5, 5, 1, True), (None, None, 2, True), (None, None, 2, False), (3, 4, 2, False), (4, 4, 2, True)])
 
 
 # ---- line dedup
@@ -63,6 +75,24 @@ def test_line_dedup(spark, ids):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == drop_lines(list(zip(ids, TEXTS, strict=True)), 4)
 
 
+def test_line_dedup_of_a_long_text(spark):
+    """50,000 lines, half of them frequent: the work is linear in the lines."""
+    import time
+
+    text = "\n".join(f"own {k}" if k % 2 else f"often {k % 1000}" for k in range(50_000))
+    began = time.time()
+    got = line_dedup.drop_frequent_lines(docs(spark, [text, *["\n".join(f"Often {k}" for k in range(0, 1000, 2))] * 3]), min_docs=3).orderBy("doc_id").collect()
+    assert (got[0].n_lines, got[0].n_dropped, got[0].text) == (50_000, 25_000, "\n".join(f"own {k}" for k in range(1, 50_000, 2)))
+    assert got[1].text == "" and time.time() - began < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=4), st.text(alphabet="aAéÉãÃð\xd0\u00d7ÀàЀаАЁ\U00010400\ud7ff", max_size=4)), min_size=2, max_size=2))
+def test_folding_by_bytes_keeps_lines_apart(pair):
+    fold = lambda t: t.encode(errors="surrogatepass").decode("latin-1").lower()
+    assert (fold(pair[0]) == fold(pair[1])) == (pair[0].translate(LOWER) == pair[1].translate(LOWER))
+
+
 # ---- n-gram Jaccard
 
 
@@ -130,37 +160,18 @@ def test_substring_dedup(spark):
 def test_substring_cuts_resist_insertions():
     import numpy as np
 
-    data = np.random.default_rng(3).integers(97, 123, 5000).astype(np.uint8)
-    moved = np.concatenate([data[:1000], np.full(7, 65, np.uint8), data[1000:]])
-    a, _ = substring_dedup.chunk_cuts(data, np.array([0, 5000]))
-    b, _ = substring_dedup.chunk_cuts(moved, np.array([0, 5007]))
-    assert {x + 7 for x in a if x > 1200} <= set(b)
+    rng = np.random.default_rng(3)
+    data = np.where(rng.random(9000) < 0.2, 32, rng.integers(97, 123, 9000)).astype(np.uint8)
+    moved = np.concatenate([data[:3000], np.frombuffer(b" new words here ", np.uint8), data[3000:]])
 
+    def cuts(raw):
+        starts, _, _ = substring_dedup.passage_words(raw, np.array([0, len(raw)]))
+        at = np.flatnonzero(substring_dedup.chunk_cuts(substring_dedup.gear(raw, starts)))
+        assert np.diff(at).max() <= substring_dedup.CUT_SPAN
+        return set(starts[at].tolist())
 
-def test_substring_recall_on_short_passages(spark):
-    """Passages of 51 words between two documents, at random places of real text: nearly all are caught."""
-    import random
-
-    import numpy as np
-
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if 600 < len(r.text) < 4000]
-    rng, caught, tried = random.Random(1), 0, 0
-    for _ in range(150):
-        a, b, source = rng.sample(texts, 3)
-        words = source.split(" ")
-        if len(words) < 60:
-            continue
-        at = rng.randrange(len(words) - 52)
-        passage = " ".join(words[at : at + 51])
-        found = []
-        for t in (a[: len(a) // 3] + " " + passage + " " + a[len(a) // 3 :], b[: len(b) // 2] + " " + passage + " " + b[len(b) // 2 :]):
-            raw = np.frombuffer(t.encode(), np.uint8)
-            cuts, _ = substring_dedup.chunk_cuts(raw, np.array([0, len(raw)]))
-            found.append((cuts, [raw[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]))
-        shared = np.isin(np.array(found[1][1], object), np.array(found[0][1], object))
-        runs = np.flatnonzero(np.diff(np.concatenate([[False], shared, [False]]).astype(int))).reshape(-1, 2)
-        tried, caught = tried + 1, caught + (max(found[1][0][e] - found[1][0][s] for s, e in runs) >= substring_dedup.MIN_RUN if len(runs) else 0)
-    assert caught >= 0.96 * tried
+    a, b = cuts(data), cuts(moved)
+    assert {x for x in a if x < 2900} == {x for x in b if x < 2900} and {x + 16 for x in a if x > 3100} == {x for x in b if x > 3116}
 
 
 def test_substring_exact_windows(spark):
@@ -187,26 +198,39 @@ def test_substring_exact_windows(spark):
     assert {r.doc_id: [tuple(x) for x in r.removed] for r in rows if r.doc_id in want or r.removed} == want
 
 
-def test_substring_windows_as_by_brute_force(spark):
-    """Few words, so that windows repeat within and across texts, overlap, and share seeds in different surroundings."""
+@pytest.mark.parametrize("width", [3, 12, 26, 51])
+def test_substring_windows_as_by_brute_force(spark, width):
+    """Few words, so that windows repeat within and across texts, overlap, and share chunks in different surroundings. Null and repeated ids."""
     import random
 
     rng = random.Random(9)
-    pieces = [" ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(1, 7))) for _ in range(14)]
-    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["a " * 60, "b a " * 30]
-    seen, want = set(), {}
-    for k, t in enumerate(texts):
-        words = [m.span() for m in re.finditer(r"[^ ]+", t)]
-        gone = [False] * len(words)
-        for i in range(len(words) - 11):
-            if (piece := t[words[i][0] : words[i + 11][1]]) in seen:
-                gone[i : i + 12] = [True] * 12
-            seen.add(piece)
-        edges = [i for i in range(len(words) + 1) if (i < len(words) and gone[i]) != (i > 0 and gone[i - 1])]
-        want[k] = [(words[a][0], words[b - 1][1]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    rows = substring_dedup.dedup_substrings(docs(spark, texts), min_words=12).collect()
-    assert sum(map(bool, want.values())) > 30
-    assert {r.doc_id: [tuple(x) for x in r.removed] for r in rows} == want
+    pieces = [" ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(1, 7 + width // 2))) for _ in range(14)]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["a " * 90, "b a " * 60]
+
+    def gone(rows):
+        seen, want = set(), []
+        for t in rows:
+            words = [m.span() for m in re.finditer(r"[^ ]+", t)]
+            flags = [False] * len(words)
+            for i in range(len(words) - width + 1):
+                if (piece := t[words[i][0] : words[i + width - 1][1]]) in seen:
+                    flags[i : i + width] = [True] * width
+                seen.add(piece)
+            edges = [i for i in range(len(words) + 1) if (i < len(words) and flags[i]) != (i > 0 and flags[i - 1])]
+            want.append([(words[a][0], words[b - 1][1]) for a, b in zip(edges[::2], edges[1::2], strict=True)])
+        return want
+
+    want = gone(texts)
+    rows = substring_dedup.dedup_substrings(docs(spark, texts), min_words=width).collect()
+    assert sum(map(bool, want)) > 30
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in rows} == dict(enumerate(want))
+    # Every third row has no id and comes first; equal texts keep the one with the least id.
+    ids = [None if k % 3 == 0 else 500 - k for k in range(len(texts))]
+    rows = substring_dedup.dedup_substrings(docs(spark, texts, ids), min_words=width).collect()
+    order = sorted((k for k in range(len(texts)) if ids[k] is not None), key=lambda k: ids[k])
+    assert sum(r.doc_id is None for r in rows) == 41 and rows[0].lang == "en"
+    alone = substring_dedup.dedup_substrings(docs(spark, [texts[k] for k in order], [ids[k] for k in order]), min_words=width).collect()
+    assert [[tuple(x) for x in r.removed] for r in sorted(alone, key=lambda r: r.doc_id)] == gone([texts[k] for k in order])
 
 
 # ---- chat
@@ -360,6 +384,39 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules, labelled.limit(0)).count() == 0
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab1é\U0001F600/\n", max_size=9), min_size=1, max_size=8))
+def test_url_grams_as_by_brute_force(spark, texts):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", url_filter.ngrams(F.col("t"), (3, 5), "h").alias("g")).collect()
+    for r in rows:
+        full = f"^{texts[r.k]}$"
+        assert r.g == [f"h{n}:{full[i : i + n]}" for n in (3, 5) for i in range(len(full) - n + 1)]
+
+
+def test_url_filter_odd_tables(spark):
+    """Very long URLs in linear time, null and repeated ids, rules of equal length, and verdicts as by the model's own weights."""
+    import time
+
+    urls = [(None, "http://a.example.org/es/1"), (7, "http://casino.example.net/en/9"), (7, "http://casino.example.net/en/9"), (8, "http://x.y/" + "long/" * 20_000), (9, None)]
+    urls += [(100 + k, f"http://{'casino' if k % 2 else 'garden'}{k % 5}.example.net/en/{k}") for k in range(40)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = [("y/ab", "allow"), ("y/aa", "allow"), ("example.org/es/", "block"), ("example.org/", "allow")]
+    labelled = spark.createDataFrame([(f"{'casino' if k % 2 else 'garden'}{k}.example.net", f"/en/{k}", float(k % 2)) for k in range(30)], "host string, path string, label double")
+    began = time.time()
+    got = url_filter.filter_urls(pages, rules, labelled).collect()
+    assert time.time() - began < 90 and len(got) == len(urls)
+    assert [r.verdict for r in got if r.page_id is None] == ["block"] and [r.verdict for r in got if r.page_id == 7] == ["block", "block"]
+    assert {r.host for r in got if r.page_id == 9} == {""} and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got if (r.page_id or 0) >= 100)
+    # The probability by hand: the mean of hashed n-grams is what the model's weights say.
+    import math
+
+    model = url_filter.fit(labelled)
+    hashing, weights = model.stages
+    for r in got[-3:]:
+        grams = {hashing.indexOf(f"{m}{n}:{t[i : i + n]}") for m, n, t in [("h", n, f"^{r.host}$") for n in (3, 4, 5)] + [("p", 3, "^" + re.sub("[0-9]", "0", r.path) + "$")] for i in range(len(t) - n + 1)}
+        assert r.p_block == pytest.approx(1 / (1 + math.exp(-weights.intercept - sum(weights.coefficients[g] for g in grams))))
+
+
 # ---- language ID
 
 
@@ -394,6 +451,26 @@ def test_language_id_knows_rare_languages_and_declarations(spark):
     assert sorted(r.doc_id for r in out) == list(range(230))
 
 
+def test_language_id_of_pages(spark):
+    """Declared markup language and address suffix come from the page; where text and host are silent, the suffix decides."""
+    parts = spark.createDataFrame(
+        [("a.B.FR", '<!DOCTYPE html><HTML class=x lang="fr-CA">'), ("b.example.com.", "<html lang=de>"), ("10.0.0.1", "<html><p lang='es'>"), ("localhost", "<htmlx lang='es'>"), (None, None)], "host string, html string"
+    ).select(language_id.host_suffix(F.col("host")).alias("s"), language_id.markup_language(F.col("html")).alias("m"))
+    assert [tuple(r) for r in parts.collect()] == [("fr", "fr"), ("com", "de"), ("", None), ("", None), ("", None)]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, _ = url_filter.split_url(F.col("url"))
+    text = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    got = language_id.identify(pages.withColumn("text", text), "page_id", declared=language_id.markup_language(F.col("html")), host=host, suffix=language_id.host_suffix(host))
+    both = got.join(pages.select("page_id", language_id.markup_language(F.col("html")).alias("m")), "page_id")
+    assert both.count() == pages.count() and both.filter("lang_id = m").count() > 0.9 * pages.count()
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('fr', 'de') and length(text) > 200").select("doc_id", "text", "lang")
+    sited = docs_.select("doc_id", "text", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang").alias("host"))
+    bare = spark.createDataFrame([(-1, "xq", None, "new.fr"), (-2, "xq", None, "new.de")], "doc_id long, text string, lang string, host string")
+    rows = sited.unionByName(bare)
+    out = {r.doc_id: r.lang_id for r in language_id.identify(rows, declared=rows["lang"], host=rows["host"], suffix=language_id.host_suffix(rows["host"])).filter("doc_id < 0").collect()}
+    assert out == {-1: "fr", -2: "de"}
+
+
 @pytest.mark.parametrize("run", [lambda d: exact_dedup.exact_dedup(d), lambda d: line_dedup.drop_frequent_lines(d), lambda d: ngram_jaccard.jaccard_components(d), lambda d: substring_dedup.dedup_substrings(d), lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json"))])
 def test_empty_tables(spark, run):
     assert run(docs(spark, ["x"]).limit(0)).count() == 0
