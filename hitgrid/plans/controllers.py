@@ -25,7 +25,10 @@ def str_rate_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def str_adaptive_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive.run_engine(hourly(spark, sf_dir))
+    """The engine as in a replay, with a fixed cadence, and live, where the next step follows beta and the window."""
+    runs = hourly(spark, sf_dir)
+    live = adaptive.run_engine(runs, adaptive.AdaptiveConfig(cadence=None)).withColumn("mode", F.lit("live"))
+    return adaptive.run_engine(runs).withColumn("mode", F.lit("replay")).unionByName(live)
 
 
 @query()
@@ -36,9 +39,9 @@ def str_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def str_gate_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the engine's gate changed."""
+    """The gate that each step wanted, its votes so far, the gate in use, and whether that has changed."""
     rows = adaptive.run_engine(hourly(spark, sf_dir)).withColumn("before", F.lag("gate").over(islands.over(["run_id"], "step")))
-    return rows.filter("before is not null and before <> gate").select("run_id", "step", "before", "gate", "state")
+    return rows.select("run_id", "step", "wanted", "votes", "gate", "state", (F.col("before").isNotNull() & (F.col("before") != F.col("gate"))).alias("changed"))
 
 
 @query()
@@ -88,29 +91,41 @@ def win_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIT = f"""{LADDER_SQL}, g AS (SELECT run_id, win, gate_us/{HOUR}.0 AS t, y, sigma_y AS s FROM ys WHERE y > 0), m AS (SELECT run_id, win, median(y) AS med, count(*) AS n0 FROM g GROUP BY ALL),
   d AS (SELECT run_id, win, median(abs(y-med)) AS mad FROM g JOIN m USING (run_id, win) GROUP BY ALL),
   k AS (SELECT g.*, CASE WHEN mad > 0 THEN abs(y-med) <= 6*mad ELSE abs(y-med) <= 0.25*greatest(1e-6, med) END AS near FROM g JOIN m USING (run_id, win) JOIN d USING (run_id, win) WHERE n0 >= 2),
-  u AS (SELECT * FROM k WHERE near), c AS (SELECT run_id, win, min(t) AS t0, max(t) AS t1, (max(y)-min(y))/(abs(avg(y))+1e-12) AS spread, count(s) >= greatest(2, count(*)/2.0) AND max(s)/min(s) < 1e6 AS weigh, count(*) AS n FROM u GROUP BY ALL),
-  x AS (SELECT u.run_id, u.win, t, y, CASE WHEN weigh THEN coalesce(1/(s*s), 0) ELSE 1 END AS w, j, 0.05*t0*pow(400*t1/t0, j/79.0) AS tau FROM u JOIN c USING (run_id, win), (SELECT unnest(range(80)) AS j) WHERE n >= 2 AND spread >= 0.02),
-  f AS (SELECT *, 1-exp(-t/tau) AS f FROM x), p AS (SELECT run_id, win, j, any_value(tau) AS tau, sum(w*y*f)/sum(w*f*f) AS top, sum(w*y*y) AS syy, sum(w*y*f) AS syf, sum(w*f*f) AS sff, sum(w) AS sw FROM f GROUP BY run_id, win, j),
-  e AS (SELECT *, (syy - syf*syf/sff)/sw AS err FROM p)"""
+  u AS (SELECT * FROM k WHERE near), c AS (SELECT run_id, win, min(t) AS t0, max(t) AS t1, (max(y)-min(y))/(abs(avg(y))+1e-12) AS spread, count(s) >= greatest(2, count(*)//2) AND max(s)/greatest(min(s), 1e-12) < 1e6 AS weigh, count(*) AS n FROM u GROUP BY ALL),
+  x AS (SELECT u.run_id, u.win, t, y, CASE WHEN weigh THEN coalesce(1/(s*s), 1) ELSE 1 END AS w, j, 0.05*t0*pow(400*t1/t0, j/79.0) AS tau FROM u JOIN c USING (run_id, win), (SELECT unnest(range(80)) AS j) WHERE n >= 2 AND spread >= 0.02),
+  f AS (SELECT *, 1-exp(-t/tau) AS f FROM x), p AS (SELECT run_id, win, j, any_value(tau) AS tau, sum(w*y*f)/sum(w*f*f) AS top, (sum(w*y*y) - sum(w*y*f)*sum(w*y*f)/sum(w*f*f))/sum(w) AS err, sum(y*y) AS yy, sum(y*f) AS yf, sum(f*f) AS ff, count(*) AS n FROM f GROUP BY run_id, win, j),
+  e AS (SELECT *, sqrt(greatest(yy - 2*top*yf + top*top*ff, 0)/n) AS rms FROM p QUALIFY row_number() OVER (PARTITION BY run_id, win ORDER BY err, j) = 1),
+  l AS (SELECT DISTINCT run_id, win FROM ys)"""
 
 
-@query(f"{_FIT} SELECT run_id, win, round(min(err), 5) AS err FROM e GROUP BY ALL")
+@query(f"""{_FIT} SELECT l.run_id, l.win, round(tau, 6) AS tau, round(top, 6) AS top, round(err, 5) AS err, round(CASE WHEN c.n >= 2 AND spread < 0.02 THEN 0.5 ELSE rms END, 6) AS rms, coalesce(rms > 0.2, false) AS mismatch
+  FROM l LEFT JOIN c USING (run_id, win) LEFT JOIN e USING (run_id, win)""")
 def str_tau_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least weighted error of Y (1 - exp(-t / tau)) over 80 values of tau: gate rows meet a fixed grid, the rest is grouping."""
-    g = ladder(spark, sf_dir).filter("y > 0").select("run_id", "win", (F.col("gate_us") / float(HOUR)).alias("t"), "y", F.col("sigma_y").alias("s"))
+    """tau and top of Y = top (1 - exp(-t / tau)) with the least weighted error over 80 values of tau, for every window: gate rows meet a fixed grid, the rest is grouping.
+
+    Windows with fewer than two usable gates have no fit at all; flat ones have none either, but an rms of 0.5.
+    """
+    every = ladder(spark, sf_dir)
+    g = every.filter("y > 0").select("run_id", "win", (F.col("gate_us") / float(HOUR)).alias("t"), "y", F.col("sigma_y").alias("s"))
     keys = ["run_id", "win"]
     m = g.groupBy(*keys).agg(F.median("y").alias("med"), F.count(F.lit(1)).alias("n0"))
     d = g.join(m, keys).groupBy(*keys).agg(F.median(F.abs(F.col("y") - F.col("med"))).alias("mad"), F.first("med").alias("med"), F.first("n0").alias("n0"))
     off = F.abs(F.col("y") - F.col("med"))
     u = g.join(d, keys).filter("n0 >= 2").filter(F.when(F.col("mad") > 0, off <= 6 * F.col("mad")).otherwise(off <= 0.25 * F.greatest(F.lit(1e-6), F.col("med"))))
     w = Window.partitionBy(*keys)
-    u = u.withColumns({"t0": F.min("t").over(w), "t1": F.max("t").over(w), "n": F.count(F.lit(1)).over(w), "spread": (F.max("y").over(w) - F.min("y").over(w)) / (F.abs(F.avg("y").over(w)) + 1e-12), "weigh": (F.count("s").over(w) >= F.greatest(F.lit(2.0), F.count(F.lit(1)).over(w) / 2.0)) & (F.max("s").over(w) / F.min("s").over(w) < 1e6)})
-    u = u.filter("n >= 2 and spread >= 0.02").withColumn("wt", F.when(F.col("weigh"), F.coalesce(1 / (F.col("s") * F.col("s")), F.lit(0.0))).otherwise(1.0))
-    x = u.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumn("f", 1 - F.exp(-F.col("t") / (0.05 * F.col("t0") * F.pow(400 * F.col("t1") / F.col("t0"), F.col("j") / 79.0))))
+    known, n = F.count("s").over(w), F.count(F.lit(1)).over(w)
+    u = u.withColumns({"t0": F.min("t").over(w), "t1": F.max("t").over(w), "n": n, "spread": (F.max("y").over(w) - F.min("y").over(w)) / (F.abs(F.avg("y").over(w)) + 1e-12), "weigh": (known >= F.greatest(F.lit(2), F.floor(n / 2))) & (F.max("s").over(w) / F.greatest(F.min("s").over(w), F.lit(1e-12)) < 1e6)})
+    flat = u.filter("n >= 2 and spread < 0.02").select(*keys).distinct().withColumn("flat", F.lit(True))
+    u = u.filter("n >= 2 and spread >= 0.02").withColumn("wt", F.when(F.col("weigh"), F.coalesce(1 / (F.col("s") * F.col("s")), F.lit(1.0))).otherwise(1.0))
+    x = u.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumn("tau", 0.05 * F.col("t0") * F.pow(400 * F.col("t1") / F.col("t0"), F.col("j") / 79.0)).withColumn("f", 1 - F.exp(-F.col("t") / F.col("tau")))
     y, f, wt = F.col("y"), F.col("f"), F.col("wt")
-    p = x.groupBy(*keys, "j").agg(F.sum(wt * y * y).alias("syy"), F.sum(wt * y * f).alias("syf"), F.sum(wt * f * f).alias("sff"), F.sum(wt).alias("sw"))
-    err = (F.col("syy") - F.col("syf") * F.col("syf") / F.col("sff")) / F.col("sw")
-    return p.groupBy(*keys).agg(F.round(F.min(err), 5).alias("err"))
+    p = x.groupBy(*keys, "j").agg(F.first("tau").alias("tau"), (F.sum(wt * y * f) / F.sum(wt * f * f)).alias("top"), ((F.sum(wt * y * y) - F.sum(wt * y * f) * F.sum(wt * y * f) / F.sum(wt * f * f)) / F.sum(wt)).alias("err"), F.sum(y * y).alias("yy"), F.sum(y * f).alias("yf"), F.sum(f * f).alias("ff"), F.count(F.lit(1)).alias("n"))
+    top = F.col("top")
+    p = p.withColumn("rms", F.sqrt(F.greatest(F.col("yy") - 2 * top * F.col("yf") + top * top * F.col("ff"), F.lit(0.0)) / F.col("n")))
+    best = p.groupBy(*keys).agg(F.min(F.struct("err", "j", "tau", "top", "rms")).alias("b")).select(*keys, "b.*")
+    out = every.select(*keys).distinct().join(best, keys, "left").join(flat, keys, "left")
+    r = lambda c, n: F.round(c, n).alias(c)
+    return out.select(*keys, r("tau", 6), r("top", 6), r("err", 5), F.round(F.when(F.col("flat"), 0.5).otherwise(F.col("rms")), 6).alias("rms"), F.coalesce(F.col("rms") > 0.2, F.lit(False)).alias("mismatch"))
 
 
 @query()

@@ -22,7 +22,9 @@ class AdaptiveConfig:
     start: float = 48.0  # all widths and times in bins
     floor: float = 12.0
     w_max: float = 240.0
-    cadence: float = 6.0
+    cadence: float | None = 6.0  # the fixed step of a replay; None: the live engine's, which follows beta * w
+    beta_track: float = 0.5
+    beta_other: float = 0.1
     z_min: float = 3.0
     z_track: float = 3.0
     z_hold: float = 6.0
@@ -74,7 +76,7 @@ class AdaptiveState:
     z_monitor: Monitor = field(default_factory=Monitor)
 
 
-ADAPTIVE_SCHEMA = "run_id string, step int, t double, state string, w double, gate int, m1 double, y double, sigma_y double, z double, max_abs_z double, tau double, mismatch boolean, insufficient boolean, alarm boolean"
+ADAPTIVE_SCHEMA = "run_id string, step int, t double, state string, w double, gate int, m1 double, y double, sigma_y double, z double, max_abs_z double, tau double, mismatch boolean, insufficient boolean, alarm boolean, beta double, wanted int, votes int"
 
 
 def gate_moments(prefix: np.ndarray, left: int, width: float, gate: int) -> dict[str, float]:
@@ -108,13 +110,14 @@ def fit_tau(times: np.ndarray, ys: np.ndarray, sigmas: np.ndarray) -> tuple[floa
     mid = np.median(y)
     mad = np.median(np.abs(y - mid))
     near = np.abs(y - mid) <= (6 * mad if mad > 0 else 0.25 * max(1e-6, mid))
-    if near.sum() >= 2:
-        t, y, s = t[near], y[near], s[near]
+    if near.sum() < 2:
+        return math.nan, math.inf
+    t, y, s = t[near], y[near], s[near]
     if (y.max() - y.min()) / (abs(y.mean()) + 1e-12) < 0.02:
         return math.nan, 0.5
     known = np.isfinite(s) & (s > 0)
-    weigh = known.sum() >= max(2, len(s) / 2) and s[known].max() / s[known].min() < 1e6
-    w = np.where(known, 1 / np.where(known, s, 1.0) ** 2, 0.0) if weigh else np.ones(len(y))
+    weigh = known.sum() >= max(2, len(s) // 2) and s[known].max() / max(s[known].min(), 1e-12) < 1e6
+    w = np.where(known, 1 / np.where(known, s, 1.0) ** 2, 1.0) if weigh else np.ones(len(y))
     grid = np.geomspace(0.05 * t.min(), 20 * t.max(), 80)
     f = 1 - np.exp(-t[None, :] / grid[:, None])
     top = (w * y * f).sum(axis=1) / (w * f * f).sum(axis=1)
@@ -127,7 +130,16 @@ def tau_floor(s: AdaptiveState, c: AdaptiveConfig) -> float:
     return max(c.floor, c.tau_k * s.tau) if math.isfinite(s.tau) and s.tau > 0 else c.floor
 
 
-def adapt(s: AdaptiveState, c: AdaptiveConfig, rel_y: float, rel_m1: float, down: float, up: float) -> None:
+def beta_of(s: AdaptiveState, c: AdaptiveConfig) -> float:
+    return c.beta_track if s.state == "Track" else c.beta_other
+
+
+def stride(s: AdaptiveState, c: AdaptiveConfig) -> float:
+    """Bins until the next analysis: fixed in a replay, else the share beta of the window, one bin at least."""
+    return c.cadence if c.cadence is not None else min(max(1.0, s.beta * s.w), c.w_max)
+
+
+def adapt(s: AdaptiveState, c: AdaptiveConfig, rel_y: float, rel_m1: float, honor_tau_floor: bool, down: float, up: float) -> None:
     floor = tau_floor(s, c)
     if rel_y < 0.5 * c.eps_y and rel_m1 < 0.5 * c.eps_m1:
         s.w = max(0.9 * s.w, floor)
@@ -139,7 +151,8 @@ def adapt(s: AdaptiveState, c: AdaptiveConfig, rel_y: float, rel_m1: float, down
         s.w = max(0.95 * s.w, floor)
     scale = max((rel_y / c.eps_y) ** 2, (rel_m1 / c.eps_m1) ** 2)
     if math.isfinite(scale) and scale > 0:
-        s.w = min(max(min(max(s.w * scale, s.w * down), s.w * up), floor), c.w_max)
+        # Only a contraction minds the correlation time here; else the window's own floor is the bound.
+        s.w = min(max(min(max(s.w * scale, s.w * down), s.w * up), floor if honor_tau_floor else c.floor), c.w_max)
 
 
 def choose_gate(s: AdaptiveState, c: AdaptiveConfig, wanted: int, insufficient: bool) -> None:
@@ -147,8 +160,10 @@ def choose_gate(s: AdaptiveState, c: AdaptiveConfig, wanted: int, insufficient:
     if wanted == s.gate:
         s.pending_gate, s.gate_votes = -1, 0
         return
-    s.gate_votes = s.gate_votes + 1 if wanted == s.pending_gate else 1
-    s.pending_gate = wanted
+    if wanted != s.pending_gate:
+        s.pending_gate, s.gate_votes = wanted, 1
+        return
+    s.gate_votes += 1
     if s.state == "Hold":
         s.pending_gate, s.gate_votes = -1, 0
     elif s.gate_votes >= c.confirm:
@@ -157,25 +172,29 @@ def choose_gate(s: AdaptiveState, c: AdaptiveConfig, wanted: int, insufficient:
         s.pending_gate, s.gate_votes = -1, 0
 
 
-def request(s: AdaptiveState, c: AdaptiveConfig, to: str, now: float) -> bool:
-    """A new state needs two requests in a row."""
+def request(s: AdaptiveState, c: AdaptiveConfig, to: str, now: float) -> None:
+    """A new state needs two requests in a row, also where one confirmation is asked for."""
     if to == s.state:
-        s.pending_state, s.state_votes = "", 0
-        return False
-    s.state_votes = s.state_votes + 1 if to == s.pending_state else 1
-    s.pending_state = to
+        s.pending_state, s.state_votes = s.state, 0
+        return
+    if to != s.pending_state:
+        s.pending_state, s.state_votes = to, 1
+        return
+    s.state_votes += 1
     if s.state_votes < c.confirm:
-        return True
-    s.pending_state, s.state_votes, s.state = "", 0, to
+        return
+    s.pending_state, s.state_votes, s.state = to, 0, to
+    s.beta = beta_of(s, c)
     if to == "Hold":
-        s.alarm, s.pending_gate, s.gate_votes, s.beta = False, -1, 0, 0.1
+        s.alarm, s.pending_gate = False, -1
         s.w = max(s.w, tau_floor(s, c))
         s.quiet_until = now + max(5 * s.beta * s.w, 4 * tau_floor(s, c))
     elif to in ("LowRate", "Degraded"):
         s.gate, s.w = 0, max(s.w, c.floor)
+    else:
+        s.quiet_until = 0.0
     if to != "Warmup":
         s.quiet = 0
-    return True
 
 
 def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float, base: int = 0) -> dict:
@@ -196,9 +215,11 @@ def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float, ba
     insufficient = at["n"] < 2 or at["m1"] < 1e-6
     s.tau, rms = fit_tau(np.array(c.gates, float), np.array([g["y"] for g in gates]), np.array([g["sigma"] for g in gates]))
     mismatch = math.isfinite(rms) and math.isfinite(s.tau) and rms > 2 * c.eps_y
-    s.mismatches, s.clean = (s.mismatches + 1, 0) if mismatch else (0, s.clean + 1)
+    # Flat and short series have no fit: they count neither way.
+    s.mismatches, s.clean = (s.mismatches + 1, 0) if mismatch else (0, s.clean + 1) if math.isfinite(rms) and math.isfinite(s.tau) else (0, 0)
     moments, z_sel = at, zs[s.gate]
-    choose_gate(s, c, 0 if sig < 0 else plateau if plateau >= sig else sig, insufficient)
+    wanted = 0 if sig < 0 else plateau if plateau >= sig else sig
+    choose_gate(s, c, wanted, insufficient)
     fired = [s.rate_monitor.step(moments["m1"], c.ph_delta, c.ph_threshold), s.z_monitor.step(z_sel, c.ph_delta, c.ph_threshold)]
     s.alarm = s.alarm or any(fired)
     insufficient = insufficient or sig < 0 or not math.isfinite(moments["sigma"]) or moments["sigma"] <= 0
@@ -206,47 +227,50 @@ def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float, ba
     rel_y = moments["sigma"] / moments["y"] if moments["y"] > 0 else math.inf
     rel_m1 = math.sqrt(moments["v11"]) / moments["m1"] if moments["m1"] > 0 else math.inf
     _transition(s, c, now, max_z, z_sel, insufficient, degraded, any(fired), sig, rel_y, rel_m1, moments)
-    return {"t": now, "state": s.state, "w": s.w, "gate": c.gates[s.gate], "m1": moments["m1"], "y": moments["y"], "sigma_y": moments["sigma"] if math.isfinite(moments["sigma"]) else None, "z": z_sel, "max_abs_z": max_z, "tau": s.tau if math.isfinite(s.tau) else None, "mismatch": mismatch, "insufficient": insufficient, "alarm": s.alarm}
+    return {"t": now, "state": s.state, "w": s.w, "gate": c.gates[s.gate], "m1": moments["m1"], "y": moments["y"], "sigma_y": moments["sigma"] if math.isfinite(moments["sigma"]) else None, "z": z_sel, "max_abs_z": max_z, "tau": s.tau if math.isfinite(s.tau) else None, "mismatch": mismatch, "insufficient": insufficient, "alarm": s.alarm, "beta": s.beta, "wanted": c.gates[wanted], "votes": s.gate_votes}
 
 
 def _transition(s, c, now, max_z, z_sel, insufficient, degraded, fired, sig, rel_y, rel_m1, moments) -> None:
-    if s.mismatches >= c.mismatch_need:
+    if s.mismatches >= c.mismatch_need and s.state != "Degraded":
         request(s, c, "Degraded", now)
     floor, worst = tau_floor(s, c), max(rel_y, rel_m1)
+    strong = "Hold" if max_z >= c.z_hold else "Track" if max_z >= c.z_track else ""
+    s.beta = beta_of(s, c)
 
-    def poisson() -> None:
-        s.quiet = 0 if abs(z_sel) >= c.z_poisson else s.quiet + 1
+    def quiet(is_quiet: bool) -> None:
+        s.quiet = s.quiet + 1 if is_quiet and abs(z_sel) < c.z_poisson else 0
         if s.quiet >= 1:
             request(s, c, "Poisson", now)
 
     state = s.state
     if state == "Warmup":
-        to = "Hold" if s.alarm else "LowRate" if insufficient else "Hold" if max_z >= c.z_hold else "Track" if max_z >= c.z_track else ""
-        if to:
+        if to := "Hold" if s.alarm else "LowRate" if insufficient else strong:
+            s.quiet = 0 if to == strong else s.quiet
             request(s, c, to, now)
-        elif now - s.left >= s.w and moments["n"] >= 2 and moments["m1"] > 0 and max_z < c.z_poisson:
-            poisson()
+        else:
+            quiet(now - s.left >= s.w and moments["n"] >= 2 and moments["m1"] > 0 and max_z < c.z_poisson)
     elif state == "Poisson":
-        to = "Hold" if s.alarm else "LowRate" if insufficient else "Degraded" if degraded else "Hold" if max_z >= c.z_hold else "Track" if max_z >= c.z_track else ""
-        if to:
+        if to := "Hold" if s.alarm else "LowRate" if insufficient else "Degraded" if degraded else strong:
             request(s, c, to, now)
         else:
             s.w = max(s.w, floor)
     elif state == "Track":
-        to = "Hold" if s.alarm else "Degraded" if degraded else "LowRate" if insufficient else "Hold" if fired else "Expand" if worst > 1 and s.w < c.w_max else "Contract" if worst < 0.5 and s.w > floor else ""
-        if to:
+        if to := "Hold" if s.alarm else "Degraded" if degraded else "LowRate" if insufficient else "Hold" if fired else "":
             request(s, c, to, now)
+            return
+        if worst > 1 and s.w < c.w_max:
+            request(s, c, "Expand", now)
+        elif worst < 0.5 and s.w > floor:
+            request(s, c, "Contract", now)
         else:
-            adapt(s, c, rel_y, rel_m1, 0.5, 2.0)
-            if max_z < c.z_poisson:
-                poisson()
+            adapt(s, c, rel_y, rel_m1, False, 0.5, 2.0)
+        quiet(max_z < c.z_poisson)
     elif state == "Expand":
-        adapt(s, c, rel_y, rel_m1, 0.8, 2.0)
+        adapt(s, c, rel_y, rel_m1, False, 0.8, 2.0)
         if worst <= 1 or s.w >= c.w_max:
             request(s, c, "Track", now)
     elif state == "Contract":
-        adapt(s, c, rel_y, rel_m1, 0.5, 1.2)
-        s.w = max(s.w, floor)
+        adapt(s, c, rel_y, rel_m1, True, 0.5, 1.2)
         if worst >= 0.8 or s.w <= floor:
             request(s, c, "Track", now)
     elif state == "Hold":
@@ -272,7 +296,7 @@ def run_engine(bins: DataFrame, config: AdaptiveConfig | None = None) -> DataFra
         s, out, now, k = AdaptiveState(w=c.start), [], c.start, 0
         while now <= len(counts):
             out.append({"run_id": pdf["run_id"].iloc[0], "step": k, **step(s, c, prefix[: int(now) + 1], now)})
-            now, k = now + c.cadence, k + 1
+            now, k = now + stride(s, c), k + 1
         return pd.DataFrame(out, columns=[x.split()[0] for x in ADAPTIVE_SCHEMA.split(", ")])
 
     return bins.groupBy("run_id").applyInPandas(fold, ADAPTIVE_SCHEMA)
@@ -291,19 +315,19 @@ def stream_engine(bins: DataFrame, config: AdaptiveConfig | None = None) -> Data
     def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
         if held.exists:
-            s, first, base, counts, k = pickle.loads(held.get[0])
+            s, first, base, counts, k, now = pickle.loads(held.get[0])
         else:
-            s, first, base, counts, k = AdaptiveState(w=c.start), int(rows["bin"].min()), 0, np.zeros(0), 0
+            s, first, base, counts, k, now = AdaptiveState(w=c.start), int(rows["bin"].min()), 0, np.zeros(0), 0, c.start
         last = int(rows["bin"].max()) - first + 1 - base
         counts = np.concatenate([counts, np.zeros(max(0, last - len(counts)))])
         np.add.at(counts, (rows["bin"] - first - base).to_numpy(), rows["n"].to_numpy())
         prefix, out = np.concatenate([[0.0], np.cumsum(counts)]), []
         # The engine never looks past `now`: gates beyond it are empty, so later bins must not be seen.
-        while (now := c.start + k * c.cadence) <= base + len(counts):
+        while now <= base + len(counts):
             out.append({"run_id": key[0], "step": k, **step(s, c, prefix[: int(now) - base + 1], now, base)})
-            k += 1
+            now, k = now + stride(s, c), k + 1
         cut = min(s.left, base + len(counts)) - base
-        held.update((pickle.dumps((s, first, base + cut, counts[cut:], k)),))
+        held.update((pickle.dumps((s, first, base + cut, counts[cut:], k, now)),))
         yield pd.DataFrame(out, columns=names)
 
     return bins.groupBy("run_id").applyInPandasWithState(fold, ADAPTIVE_SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)
