@@ -2,10 +2,10 @@
 
 1. A gear hash rolls over the bytes; a word starts a new chunk where the hash before it is the least of CUT_SPAN neighbours.
    So cuts depend on nearby content alone, an insertion moves none but those around it, and chunks have 1 to CUT_SPAN words.
-2. Chunks are deduplicated by digest. Each window of MIN_WORDS words is named by the least digest of the chunks deep inside
-   it; windows side by side with one name travel as one row. Equal windows hold equal chunks there, whatever surrounds
-   them, so what a chunk without a second place names is done.
-3. Behind a repeated chunk, rows that are equal as a whole are compared by their first one; what is left, the ends of
+2. Stretches of CHUNKS chunks are deduplicated by digest. Each window of MIN_WORDS words is named by the least digest of the
+   stretches deep inside it; windows side by side with one name travel as one row. Equal windows hold equal chunks there,
+   whatever surrounds them, so what a stretch without a second place names is done.
+3. Behind a repeated stretch, rows that are equal as a whole are compared by their first one; what is left, the ends of
    repeated passages, window by window. Of equal windows the first (by key, then position) stays.
 """
 
@@ -24,7 +24,9 @@ from .common import by_bytes, discard, keyed, mix64, ranges, span_hashes, text_b
 #: Words of a passage from which it goes.
 MIN_WORDS = 51
 #: Of so many neighbouring word starts at least one is a cut.
-CUT_SPAN = 8
+CUT_SPAN = 4
+#: Chunks of a stretch: ten words on average, so that few stretches are common phrases.
+CHUNKS = 4
 #: Bytes that the gear hash remembers; no more words than that.
 GEAR_BYTES = 8
 #: Words of over LONG bytes (scripts without spaces, encoded data) are cut up, so that about MIN_RUN bytes of them count as MIN_WORDS words.
@@ -59,8 +61,8 @@ def chunk_cuts(hashes: np.ndarray, span: int = CUT_SPAN) -> np.ndarray:
 
 
 def cut_span(min_words: int) -> int:
-    """CUT_SPAN, or less where windows are so short that they might hold no whole chunk that is settled inside."""
-    return max(1, min(CUT_SPAN, (min_words - GEAR_BYTES + 2) // 4))
+    """CUT_SPAN, or less where windows are so short that they might hold no stretch that is settled inside."""
+    return max(1, min(CUT_SPAN, (min_words - GEAR_BYTES + 2) // (CHUNKS + 3)))
 
 
 def passage_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,17 +89,17 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
 
 
 def _names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_words: int) -> np.ndarray:
-    """For each window of words (len(starts) - min_words + 1) the least digest of the chunks that its own bytes settle.
+    """For each window of words (len(starts) - min_words + 1) the least digest of the stretches that its own bytes settle.
 
-    A cut is settled by the hashes of span - 1 places to each side, and these by GEAR_BYTES bytes before them. So the chunk
-    that starts `first` to `last` words into the window is settled, and of these places one at least is a cut.
+    A cut is settled by the hashes of span - 1 places to each side, and these by GEAR_BYTES bytes before them. So the
+    stretch that starts `first` to `last` words into the window is settled, and of these places one at least is a cut.
     """
-    span = cut_span(min_words)
-    first, last = (GEAR_BYTES + span - 1, min_words - 2 * span) if span > 1 else (0, min_words - 2)
-    cuts = np.flatnonzero(chunk_cuts(gear(raw, starts), span))
+    span, chunks = cut_span(min_words), min(CHUNKS, min_words)
+    first, last = (GEAR_BYTES + span - 1, min_words - (chunks + 1) * span) if span > 1 else (0, min_words - chunks)
+    cuts = np.append(np.flatnonzero(chunk_cuts(gear(raw, starts), span)), len(starts))
     digests = np.full(len(starts), ~np.uint64(0))
-    if len(cuts) > 1:
-        digests[cuts[:-1]] = span_hashes(raw, starts[cuts[:-1]], ends[cuts[1:] - 1])
+    if len(cuts) > chunks:
+        digests[cuts[:-chunks]] = span_hashes(raw, starts[cuts[:-chunks]], ends[cuts[chunks:] - 1])
     least = _sliding(digests, last - first + 1, np.minimum)
     return least[first : first + len(starts) - min_words + 1]
 
