@@ -44,9 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables of `written` that no plan reads any more."""
+    """Removes tables of `written` that no plan reads any more; other frames are left alone."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        if not (name := _PATHS.pop(table, None)):
+            continue
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 

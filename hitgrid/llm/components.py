@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         ends = [move.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
         moved = rest.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a <> b")
-        rest = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        last, rest = rest, written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
     if not moves:
@@ -38,4 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = moves[0].select("node", F.col("to").alias("root"))
     for move in moves[1:]:
         out = out.join(move.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return written(out, "components")
+    out = written(out, "components")
+    discard(rest, *moves)
+    return out

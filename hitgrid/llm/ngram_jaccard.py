@@ -6,11 +6,14 @@
    prefix holds only such is done. That leaves documents of which at least four fifths stand elsewhere, too.
    Equal sets become one class.
 3. Classes that share a prefix shingle under the first order form families, found by stars and contraction,
-   not by pairs. In a family, cut into blocks, candidates must share prefix shingles under every order; only
-   those are verified, by exact intersection, and only links that join two components go on.
+   not by pairs. A family of many blocks is taken apart again, into the classes of each prefix shingle. In such a
+   group, cut into blocks, candidates must share prefix shingles under every order; only those are verified, by
+   exact intersection, and only links that join two components go on.
 
 A shingle in many documents of one task is announced by its count alone, so no task gathers a hot one's
-documents. Blocks bound what one task holds; every pair of blocks of a family is looked at.
+documents. The number of packed groups follows the bytes of the table, so a group stays small at any size. Blocks
+bound what one task holds; a set is copied at most MAX_BLOCKS times for its family, or for each of its prefix
+shingles once a block of those who share it.
 """
 
 from __future__ import annotations
@@ -22,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keyed, lower_bytes, mix64, partitions, span_hashes, text_bytes, word_spans, written
+from .common import by_bytes, discard, keyed, lower_bytes, mix64, partitions, span_hashes, text_bytes, word_spans, written
 from .components import connected_components
 
 WIDTH = 5
 ORDERS = 3
 #: From so many documents of one packed lot on, a shingle is announced by its count.
 HEAVY = 64
-#: Documents of a block, about; and its shingles.
-BLOCK = 512
+#: Documents of a block, about.
+BLOCK = 256
+#: Families of more blocks go by their prefix shingles.
+MAX_BLOCKS = 16
+#: Bytes of text behind a packed group, about.
+PART_BYTES = 2 << 20
 _SLICE, _LOT = 3 << 19, 600_000
 _TOP = np.uint8(255)  # of document frequencies, which are told apart below it
 #: Shingle hashes have 56 bits: seven bytes travel for each.
@@ -276,11 +283,11 @@ def link(sizes: np.ndarray, prefixes: list[list[np.ndarray]], sets: list[np.ndar
 
 def _verify(table: pa.Table) -> pa.Table:
     """Links as stars (a, b) in each pair of blocks of a family."""
-    families, low, high, block, keys, sizes = (table[c].to_numpy() for c in ("family", "low", "high", "block", "row_key", "n"))
-    order = np.lexsort((keys, block, high, low, families))
+    by, families, low, high, block, keys, sizes = (table[c].to_numpy() for c in ("by", "family", "low", "high", "block", "row_key", "n"))
+    order = np.lexsort((keys, block, high, low, families, by))
     prefixes, tokens = table["prefixes"].to_pylist(), table["tokens"].to_pylist()
     a, b = [], []
-    names = np.column_stack([families, low, high])[order]
+    names = np.column_stack([by, families, low, high])[order]
     cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
     for own in np.split(order, cuts):
         if len(own) < 2:
@@ -305,7 +312,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"), key_col=key_col)
-    n = partitions(spark)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(4 * partitions(spark), -(-size // PART_BYTES))
     dealt = rows.select("row_key", "text").mapInArrow(_deal(2 * n, width), _SENT_SQL)
     counted = dealt.groupBy("part").applyInArrow(_count(n), _SENT_SQL)
     sets = written(counted.groupBy("part").applyInArrow(_gather, _SETS), "shingle-sets")
@@ -315,17 +323,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = written(able.join(classes.select(F.col("rep").alias("row_key")), "row_key", "left_semi").select("row_key", "n", "prefixes", "tokens"), "class-sets")
 
     postings = reps.select("row_key", F.explode(F.element_at("prefixes", 1)).alias("token"))
-    hubs = written(postings.groupBy("token").agg(F.min("row_key").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("token", "hub"), "hubs")
+    hubs = written(postings.groupBy("token").agg(F.min("row_key").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "hubs")
     stars = postings.join(hubs, "token").filter("row_key <> hub").select(F.col("row_key").alias("a"), F.col("hub").alias("b"))
     families = connected_components(stars)
 
-    blocks = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = families.join(written(blocks, "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = written(families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "family-sizes")
+    members = families.join(sizes, "root").select(F.col("node").alias("row_key"), F.col("root").alias("family"), "blocks")
+    whole = members.filter(F.col("blocks") <= MAX_BLOCKS).withColumn("by", F.lit(0))
+    apart = members.filter(F.col("blocks") > MAX_BLOCKS).select("row_key").join(postings, "row_key").join(hubs, "token")
+    apart = apart.select("row_key", F.col("token").alias("family"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.lit(1).alias("by"))
+    placed = whole.unionByName(apart).withColumn("block", F.pmod(F.xxhash64("row_key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.col("node").alias("row_key"), F.col("root").alias("family"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blocks")
-    # Small families share a unit, each pair of blocks of a large one is a unit of its own.
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(16 * n))).otherwise(F.xxhash64("family", "low", "high"))
-    work = placed.withColumn("unit", unit).join(reps, "row_key").select("unit", "family", "low", "high", "block", "row_key", "n", "prefixes", "tokens")
+    # Small groups share a unit, each pair of blocks of a large one is a unit of its own.
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("by", "family"), F.lit(4 * n))).otherwise(F.xxhash64("by", "family", low, high)).alias("unit")
+    placed = placed.select("row_key", unit, "by", "family", low, high, "block")
+    work = placed.join(reps, "row_key").select("unit", "by", "family", "low", "high", "block", "row_key", "n", "prefixes", "tokens")
     links = written(work.groupBy("unit").applyInArrow(_verify, "a long, b long"), "links")
 
     found = connected_components(links)
@@ -333,6 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = written(found.join(least, "root").select(F.col("node").alias("rep"), "component_key"), "named")
     known = classes.join(named, "rep", "left").select("n", "d1", "d2", F.coalesce("component_key", "rep").alias("component_key"))
     known = written(known, "class-components")
+    discard(classes, reps, hubs, families, sizes, links, found, least, named)
     done = able.select("row_key", "n", "d1", "d2").join(known, ["n", "d1", "d2"]).select("row_key", "n", "component_key")
     lone = sets.filter("tokens is null").select("row_key", "n", F.col("row_key").alias("component_key"))
     out = done.unionByName(lone)

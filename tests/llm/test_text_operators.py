@@ -119,6 +119,10 @@ def test_jaccard_components(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == jaccard(texts)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 8)  # families over several blocks
     monkeypatch.setattr(ngram_jaccard, "HEAVY", 4)
+    monkeypatch.setattr(ngram_jaccard, "PART_BYTES", 1000)
+    got = ngram_jaccard.jaccard_components(docs(spark, texts))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == jaccard(texts)
+    monkeypatch.setattr(ngram_jaccard, "MAX_BLOCKS", 2)  # families taken apart by their prefix shingles, these again over several blocks
     got = ngram_jaccard.jaccard_components(docs(spark, texts))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == jaccard(texts)
 
