@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the columns of
-`documents`; the last one returns the pieces of packed sequences. Between stages the rows are a Parquet table.
+`documents` (others go); the last one returns the pieces of packed sequences. Between stages the rows are a Parquet
+table. Ids may be null or repeat: each row has a decision of its own. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitgrid.llm.common import keyed, written
-from hitgrid.llm.language_id import identify
+from hitgrid.llm.language_id import host_suffix, identify
 from hitgrid.llm.line_dedup import drop_frequent_lines
 from hitgrid.llm.ngram_jaccard import jaccard_components
 from hitgrid.llm.packing import pack_documents
@@ -31,13 +32,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that language identification rejects go; the language found replaces the declared one only in the decision."""
+    """Rows that language identification rejects go: too short for a decision, unsure, or in no language of the corpus.
+
+    The language found replaces the declared one only in the decision. Rows are judged one by one, whatever their ids are.
+    """
     rows = _keyed(docs)
-    judged = identify(rows, declared=F.col("lang"), host=F.col("source"), key_col="row_key")
+    judged = identify(rows, declared=F.col("lang"), host=F.col("source"), suffix=host_suffix(F.col("source")), key_col="row_key")
     return rows.join(judged.filter(~F.col("accepted")).select("row_key"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in ten documents or more lose all their copies; every row stays, null texts as empty ones."""
     return _documents(drop_frequent_lines(docs))
 
 
@@ -49,10 +54,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 51 words that stand earlier go; every row stays, null texts as empty ones."""
     return _documents(dedup_substrings(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 1,024 tokens that hold all texts."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
