@@ -13,7 +13,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import places
+from .curves import platt
+from .ranges import places, running_totals
 
 
 def share(key: Column, seed: int) -> Column:
@@ -48,19 +49,67 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int = 7) -> Da
 
 
 def classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 6, seed: int = 7) -> PipelineModel:
+    """A forest of 64 leaves at most a tree, by its depth."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     return PipelineModel([assemble, forest.fit(assemble.transform(train))])
 
 
 def regressor(train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 7, seed: int = 7) -> PipelineModel:
+    """A forest of 128 leaves at most a tree, by its depth."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    forest = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=f"pred_{target}", numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=f"pred_{target}", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     return PipelineModel([assemble, forest.fit(assemble.transform(train))])
 
 
-def probabilities(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
-    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+def probabilities(model: PipelineModel, df: DataFrame, name: str = "p", calibration: tuple[float, float] | None = None) -> DataFrame:
+    """The forest's share of votes for label 1; with a calibration, its sigmoid of that share's logit."""
+    share_of_votes = vector_to_array("probability")[1]
+    if calibration is not None:
+        a, b = calibration
+        share_of_votes = 1 / (1 + F.exp(-(F.lit(a) * _logit(share_of_votes) + F.lit(b))))
+    return model.transform(df).withColumn(name, share_of_votes).drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def _logit(p: Column, margin: float = 1e-9) -> Column:
+    q = F.greatest(F.lit(margin), F.least(F.lit(1 - margin), p))
+    return F.log(q / (1 - q))
+
+
+def calibration(model: PipelineModel, train: DataFrame, label: str) -> tuple[float, float]:
+    """Platt's sigmoid over the forest's scores of the training rows."""
+    scored = probabilities(model, train).select(_logit(F.col("p")).alias("x"), F.col(label).cast("double").alias("y")).persist()
+    try:
+        return platt(scored)
+    finally:
+        scored.unpersist()
+
+
+def grouped_auc(scored: DataFrame, keys: Sequence[str], score: str = "p", label: str = "y") -> DataFrame:
+    """(keys, roc_auc) of every group at once: the share of pairs in the right order, ties counting half."""
+    counts = scored.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
+    rows = running_totals(counts, score, ["neg"], keys=keys)
+    right = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
+    return rows.groupBy(*keys).agg((F.sum(right) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], key: str, label: str, shuffles: int = 5, seed: int = 5) -> DataFrame:
+    """(feature, drop): the mean loss of area under the curve over `shuffles` dealings of one feature's values.
+
+    All dealings are one table: a row and a feature's value pair up by their places in two orders by hash, within each (feature, dealing).
+    """
+    n = len(features)
+    dealt = test.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).crossJoin(F.broadcast(test.sparkSession.range(n * shuffles).select(F.col("id").alias("deal"))))  # n * shuffles rows, a fixed number
+    dealt = dealt.withColumns({"_h": F.xxhash64(F.lit(seed), "deal", key), "_g": F.xxhash64(F.lit(seed + 1), "deal", key)})
+    feature = F.expr(f"deal div {shuffles}").cast("int")
+    rows = places(dealt.drop("_g"), "_h", [key], keys=["deal"])
+    values = places(dealt.select("deal", "_g", key, F.element_at("_x", feature + 1).alias("_v")), "_g", [key], keys=["deal"]).select("deal", "place", "_v")
+    mixed = rows.join(values, ["deal", "place"]).withColumn("_x", F.transform("_x", lambda x, i: F.when(i == feature, F.col("_v")).otherwise(x)))
+    mixed = mixed.select("deal", label, *[F.element_at("_x", k + 1).alias(f) for k, f in enumerate(features)])
+    areas = grouped_auc(probabilities(model, mixed), ["deal"], label=label)
+    base = grouped_auc(probabilities(model, test).withColumn("deal", F.lit(-1)), ["deal"], label=label).select(F.col("roc_auc").alias("base"))
+    named = F.element_at(F.array(*map(F.lit, features)), feature + 1)
+    return areas.crossJoin(F.broadcast(base)).groupBy(named.alias("feature")).agg(F.avg(F.col("base") - F.col("roc_auc")).alias("drop"))  # base is one row
 
 
 def shuffled(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Ranks and running totals over a whole table without ordering it in one task.
+"""Ranks, running totals, neighbours and percentiles, over a whole table or within groups, without ordering a group in one task.
 
 A row's part follows from its value alone: it counts the approximate quantiles at or below it. So the part is the
-same in every scan and on every retry, whatever the partitioning; parts are ordered within, and a table of a row
-for each part carries the offsets.
+same in every scan and on every retry, whatever the partitioning; the parts of a group are ordered within, and a table of
+a row for each group and part carries what a part needs of the parts before it. A single value isn't taken apart:
+rows that share one are ordered in one task.
 """
 
 from __future__ import annotations
@@ -12,34 +13,96 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts at most: the bounds are literals, and the table of offsets is broadcast.
+#: Parts at most: the bounds are literals, and the table of offsets of a whole table is broadcast.
 MAX_PARTS = 1000
 
 
 def part_of(df: DataFrame, key: str) -> Column:
-    """The number of the value range that a row's numeric key falls in, ascending; nulls come first."""
+    """The number of the value range that a row's numeric key falls in, ascending; nulls come first.
+
+    The bounds are looked up in two steps, as many coarse ones first as fine ones behind each.
+    """
     n = min(MAX_PARTS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).first()[0] or []
     bounds = sorted(set(found))
     if not bounds:
         return F.lit(0)
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
-    return F.when(F.col(key).isNull(), 0).otherwise(at)
+    width = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    passed = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
+    coarse = F.greatest(passed(F.array(*[F.lit(g[0]) for g in groups])), F.lit(1))
+    fine = passed(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse))
+    return F.when(F.col(key).isNull(), 0).otherwise((coarse - 1) * width + fine)
+
+
+def _with_part_table(parts: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """parts with the columns of a row for each (keys, _part). Without keys these are MAX_PARTS rows at most."""
+    if not keys:
+        return parts.join(F.broadcast(table), "_part")
+    names = [*keys, "_part"]
+    other = table.withColumnsRenamed({c: f"_k_{c}" for c in names})
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return parts.join(other, on).drop(*[f"_k_{c}" for c in names])
 
 
-def running_totals(df: DataFrame, key: str, values: Sequence[str], descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds cum_<value>, the sum of value over all rows up to this one in the order of key, then ties."""
+def running_totals(df: DataFrame, key: str, values: Sequence[str], descending: bool = False, ties: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Adds cum_<value>, the sum of value over all rows of the group (of the table without keys) up to this one in the order of key, then ties."""
     order = [F.desc(c) if descending else F.asc(c) for c in (key, *ties)]
     parts = df.withColumn("_part", -part_of(df, key) if descending else part_of(df, key))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    sums = sums.select("_part", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
-    out = parts.withColumns({f"cum_{v}": F.sum(v).over(within) for v in values}).join(F.broadcast(sums), "_part")  # at most MAX_PARTS rows
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    sums = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    out = _with_part_table(parts.withColumns({f"cum_{v}": F.sum(v).over(within) for v in values}), sums, keys)
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"_o_{v}") for v in values}).drop("_part", *[f"_o_{v}" for v in values])
 
 
-def places(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "place") -> DataFrame:
-    """Adds each row's place in the order of key, then ties, from 0."""
-    rows = running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], ties=ties)
+def places(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "place", keys: Sequence[str] = ()) -> DataFrame:
+    """Adds each row's place in its group in the order of key, then ties, from 0."""
+    rows = running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], ties=ties, keys=keys)
     return rows.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one")
+
+
+def before(df: DataFrame, keys: Sequence[str], key: str, columns: dict[str, str], ties: Sequence[str] = ()) -> DataFrame:
+    """Adds, under the names in columns, values of the row before this one in its group, by key, then ties (which tell all rows apart); nulls for the first."""
+    parts = df.withColumn("_part", part_of(df, key))
+    w = Window.partitionBy(*keys, "_part").orderBy(key, *ties)
+    taken = F.struct(*columns.values())
+    last = parts.groupBy(*keys, "_part").agg(F.max(F.struct(key, *ties, taken.alias("_v")))["_v"].alias("_last"))
+    last = last.select(*keys, "_part", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_last"))
+    out = _with_part_table(parts.withColumn("_v", F.lag(taken).over(w)), last, keys)
+    held = F.coalesce("_v", "_last")
+    return out.select(*df.columns, *[held[c].alias(n) for n, c in columns.items()])
+
+
+def greatest_before(df: DataFrame, keys: Sequence[str], key: str, value: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds the greatest value of all rows before this one in its group; null for the first."""
+    parts = df.withColumn("_part", part_of(df, key))
+    w = Window.partitionBy(*keys, "_part").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    tops = parts.groupBy(*keys, "_part").agg(F.max(value).alias("_top"))
+    tops = tops.select(*keys, "_part", F.max("_top").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    out = _with_part_table(parts.withColumn("_own", F.max(value).over(w)), tops, keys)
+    return out.select(*df.columns, F.greatest("_own", "_top").alias(name))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys, one column for each wanted share): exact percentiles with linear interpolation, nulls aside; groups of nulls alone have none.
+
+    Equal values are counted first; then the places of each value come from running totals, and only the values at the
+    wanted places go on.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counts, "_x", ["_n"], keys=keys)
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total")).withColumn("_part", F.lit(0))
+    rows = _with_part_table(placed.withColumn("_part", F.lit(0)), total, keys).drop("_part")
+    at = {n: q * (F.col("_total") - 1) for n, q in wanted.items()}
+    holds = lambda rank: (rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n"))
+    low = {n: F.max(F.when(holds(F.floor(a)), F.col("_x"))) for n, a in at.items()}
+    high = {n: F.max(F.when(holds(F.ceil(a)), F.col("_x"))) for n, a in at.items()}
+    share = {n: F.max(a - F.floor(a)) for n, a in at.items()}
+    near = F.lit(False)
+    for a in at.values():
+        near = near | holds(F.floor(a)) | holds(F.ceil(a))
+    return rows.filter(near).groupBy(*keys).agg(*[(low[n] + (high[n] - low[n]) * share[n]).alias(n) for n in wanted])

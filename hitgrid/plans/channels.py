@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import islands
+from ..operators import islands, ranges
 from ..registry import query
 from .views import DAY, DETECTIONS, HOUR, detections, table
 
@@ -99,10 +99,14 @@ def fn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(spark, sf_dir).select("run_id", "day", "total", F.round("entropy", 6).alias("entropy"), F.round("gini", 6).alias("gini"), F.round("anisotropy", 9).alias("anisotropy"), F.round("dipole", 6).alias("dipole"))
 
 
-@query(f"WITH {_FEATURES} SELECT run_id, day, {', '.join(f'round(p[{k}], 9) AS f{k}' for k in range(1, 16))}, total AS f16, 86400.0::DOUBLE AS f17 FROM described JOIN feat USING (run_id, day, total)")
+@query(f"""WITH {_FEATURES} SELECT run_id, day, {', '.join(f'CAST(c{k} AS DOUBLE) AS f{k}' for k in range(1, 16))}, total AS f16, {', '.join(f'round(p[{k}], 9) AS f{16 + k}' for k in range(1, 16))},
+  round(entropy, 6) AS f32, round(gini, 6) AS f33, round(anisotropy, 9) AS f34, round(dipole, 6) AS f35, 86400.0::DOUBLE AS f36 FROM described JOIN feat USING (run_id, day, total) JOIN vec USING (run_id, day)""")
 def prj_features36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 36 features in order: counts, total, fractions, entropy, Gini, anisotropy, dipole, duration."""
     rows = described(spark, sf_dir)
-    return rows.select("run_id", "day", *[F.round(F.element_at("p", k), 9).alias(f"f{k}") for k in range(1, 16)], F.col("total").alias("f16"), F.col("duration").alias("f17"))
+    raw, fractions = [F.element_at("channels", k).cast("double") for k in range(1, 16)], [F.round(F.element_at("p", k), 9) for k in range(1, 16)]
+    rest = [F.round(c, n) for c, n in (("entropy", 6), ("gini", 6), ("anisotropy", 9), ("dipole", 6))]
+    return rows.select("run_id", "day", *[c.alias(f"f{k}") for k, c in enumerate([*raw, F.col("total"), *fractions, *rest, F.col("duration")], 1)])
 
 
 @query(f"WITH {_FEATURES} SELECT run_id, count(*) AS vectors, count(*) FILTER (len(p) = 15 AND isfinite(entropy)) AS accepted FROM described JOIN feat USING (run_id, day, total) GROUP BY 1")
@@ -182,8 +186,7 @@ def agg_rate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DETECTIONS}, o AS (SELECT run_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS dt FROM det)
   SELECT run_id, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us, min(dt) AS min_dt, max(dt) AS max_dt, coalesce(bool_and(dt >= 0), true) AS monotonic FROM o GROUP BY 1""")
 def agg_lmx_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = islands.over(["run_id"], "ts_us", "event_id")
-    rows = detections(spark, sf_dir).withColumn("dt", F.col("ts_us") - F.lag("ts_us").over(w))
+    rows = ranges.before(detections(spark, sf_dir), ["run_id"], "ts_us", {"last_us": "ts_us"}, ties=["event_id"]).withColumn("dt", F.col("ts_us") - F.col("last_us"))
     return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.coalesce(F.every(F.col("dt") >= 0), F.lit(True)).alias("monotonic"))
 
 

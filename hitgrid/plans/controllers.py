@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bins as B
-from ..operators import islands
+from ..operators import islands, ranges
 from ..registry import query
 from ..streaming import adaptive, episodes, rate
 from .moments import LADDER_SQL, ladder
@@ -76,16 +76,17 @@ def str_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def win_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential mean 0.99 / 0.01 from 0, a fold over the ordered windows of a run inside one expression."""
-    held = steps(spark, sf_dir).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("w"))
-    start = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<struct<idx:bigint,m:double>>").alias("out"))
+    """Exponential mean 0.99 / 0.01 from 0, folded over the ordered windows of a run."""
 
-    def fold(acc, x):
-        m = 0.99 * acc["m"] + 0.01 * x["n"]
-        return F.struct(m.alias("m"), F.concat(acc["out"], F.array(F.struct(x["idx"].alias("idx"), m.alias("m")))).alias("out"))
+    def fold(pdf):
+        pdf = pdf.sort_values("idx")
+        mean, out = 0.0, []
+        for n in pdf["n"]:
+            mean = 0.99 * mean + 0.01 * n
+            out.append(mean)
+        return pdf[["run_id", "idx"]].assign(ewma=out)
 
-    out = held.select("run_id", F.explode(F.aggregate("w", start, fold)["out"]).alias("r"))
-    return out.select("run_id", "r.idx", F.col("r.m").alias("ewma"))
+    return steps(spark, sf_dir).select("run_id", "idx", "n").groupBy("run_id").applyInPandas(fold, "run_id string, idx long, ewma double")
 
 
 _FIT = f"""{LADDER_SQL}, g AS (SELECT run_id, win, gate_us/{HOUR}.0 AS t, y, sigma_y AS s FROM ys WHERE y > 0), m AS (SELECT run_id, win, median(y) AS med, count(*) AS n0 FROM g GROUP BY ALL),
@@ -140,8 +141,7 @@ def str_hold_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals behind the latest time so far, and those behind the watermark (four hours): the batch twin of the drop metric."""
     rows = detections(spark, sf_dir).withColumn("t", F.col("ts_us") - (F.col("event_id") % 7) * HOUR)
-    w = islands.over(["run_id"], "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("top", F.max("t").over(w))
+    rows = ranges.greatest_before(rows, ["run_id"], "event_id", "t", "top")
     return rows.groupBy("run_id").agg(F.count_if(F.col("t") < F.col("top")).alias("out_of_order"), F.count_if(F.col("t") < F.col("top") - 4 * HOUR).alias("dropped"))
 
 
@@ -149,4 +149,4 @@ def str_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts that start anew with each session: the session is part of the key."""
     rows = detections(spark, sf_dir).withColumn("session", F.expr(f"ts_us div {7 * DAY}"))
-    return rows.select("event_id", F.row_number().over(islands.over(["run_id", "session"], "ts_us", "event_id")).cast("long").alias("n"))
+    return ranges.places(rows, "ts_us", ["event_id"], keys=["run_id", "session"]).select("event_id", (F.col("place") + 1).alias("n"))

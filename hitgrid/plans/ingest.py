@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import islands
+from ..operators import ranges
 from ..registry import query
-from ..sources import listmode
+from ..sources import files, listmode
+from ..sources.sinks import EVENTS_PER_MB, event_log, listmode_rows, read_lines, rollover, write_lines
+from ..tables import new_path
+from .moments import LADDER_SQL
 from .views import DETECTIONS, HOUR, detections, table
+from .windows import _W
 
 
 @query(f"WITH {DETECTIONS} SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts_us END AS ts_us, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 0 ELSE channel END AS channel FROM det")
@@ -44,28 +48,40 @@ def src_filename_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *[F.element_at("n", k).alias(c) for k, c in enumerate(("id", "x", "y", "z"), 1)])
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, user_id AS run FROM events")
+@query(f"SELECT run_id, idx AS window_index, idx * 21600.0::DOUBLE AS t_start, n AS total_counts, state AS rt_state FROM (WITH {_W} SELECT * FROM steps)")
 def src_windows_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window rows whose fields come under different spellings."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k DOUBLE").alias("p"), F.col("user_id").alias("RunId"))
-    rows = rows.select("event_id", F.col("p.k").alias("Quality_Scalar"), "RunId")
-    return listmode.resolve_columns(rows, {"event_id": [], "k": ["quality_scalar", "quality"], "run": ["run_id", "runid"]})
+    """Window records in files of three formats, their fields under three spellings, read back as one table."""
+    from .windows import steps
+
+    rows = steps(spark, sf_dir).select("run_id", "idx", (F.col("idx") * 21600.0).alias("start"), "n", "state")
+    folder = new_path(spark, "windows")
+    rows.filter("idx % 3 = 0").select(F.col("run_id").alias("RunId"), F.col("idx").alias("WindowIndex"), F.col("start").alias("TStart"), F.col("n").alias("TotalCounts"), F.col("state").alias("RtState")).write.json(f"{folder}/a")
+    rows.filter("idx % 3 = 1").select("run_id", F.col("idx").alias("index"), F.col("start").alias("start_s"), F.col("n").alias("counts"), "state").write.option("header", "true").csv(f"{folder}/b")
+    line = F.to_json(F.struct("run_id", F.col("idx").alias("window_index"), F.col("start").alias("t_start"), F.col("n").alias("total_counts"), F.col("state").alias("rt_state")))
+    rows.filter("idx % 3 = 2").select(line.alias("value")).write.option("compression", "none").text(f"{folder}/c")
+    kinds = {"run_id": "string", "window_index": "long", "t_start": "double", "total_counts": "long", "rt_state": "string"}
+    lines = read_lines(spark, f"{folder}/c").select(F.from_json("value", ", ".join(f"{c} {t}" for c, t in kinds.items())).alias("r")).select("r.*")
+    return files.read_windows(spark, f"{folder}/[ab]", kinds).unionByName(lines)
 
 
-@query("SELECT l_orderkey AS run_id, min(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END) AS best FROM lineitem GROUP BY 1")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS run_id, CASE WHEN bool_or(c_acctbal > 9000) THEN 'json' ELSE 'csv' END AS ext FROM customer GROUP BY 1")
 def src_run_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file for each run by extension, name, size and path; here the extension stands for the return flag."""
-    ext = F.when(F.col("l_returnflag") == "N", "ndjson").when(F.col("l_returnflag") == "R", "jsonl").otherwise("csv")
-    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.concat(F.lit("/in/"), F.col("l_partkey").cast("string"), F.lit("."), ext).alias("path"), F.col("l_extendedprice").alias("size"))
-    best = listmode.first_file_per_run(files)
-    return best.select(F.col("run_id").cast("long").alias("run_id"), F.when(F.col("path").endswith("ndjson"), 0).when(F.col("path").endswith("jsonl"), 1).otherwise(2).alias("best"))
+    """Files of runs in a folder, some in two formats: one of each run is chosen."""
+    folder = new_path(spark, "runs")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run_id"), "c_custkey", "c_acctbal")
+    rows.filter("c_acctbal > 9000").repartition("run_id").write.partitionBy("run_id").json(f"{folder}/a")
+    rows.repartition("run_id").write.partitionBy("run_id").option("header", "true").csv(f"{folder}/b")
+    return files.discover_runs(spark, folder).select("run_id", F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext"))
 
 
 @query("SELECT c_custkey AS run_id, c_nationkey AS covariance_group_id FROM customer WHERE c_acctbal > 0")
 def src_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Run_ID"), F.col("c_nationkey").alias("group_id"), (F.col("c_acctbal") > 0).alias("usable"))
-    manifest = listmode.resolve_columns(rows, {"run_id": [], "covariance_group_id": ["group_id"], "usable_for_covariance": ["usable"]})
-    return manifest.filter("usable_for_covariance").drop("usable_for_covariance")
+    """A manifest as CSV, its required columns under other spellings, unusable runs left out."""
+    path = new_path(spark, "manifest")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Run_ID"), F.col("c_nationkey").alias("group_id"), (F.col("c_acctbal") > 0).alias("usable")).write.option("header", "true").csv(path)
+    kinds = {"run_id": "long", "covariance_group_id": "int", "usable_for_covariance": "boolean"}
+    manifest = files.read_manifest(spark, path, kinds, {"covariance_group_id": ["group_id"], "usable_for_covariance": ["usable"]}, "usable_for_covariance")
+    return manifest.drop("usable_for_covariance")
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS total_counts, CASE WHEN l_partkey % 2 = 0 THEN 'dual' ELSE 'single' END AS mode, CASE l_returnflag WHEN 'N' THEN 30.0::DOUBLE WHEN 'R' THEN 45.0::DOUBLE END AS duration_s FROM lineitem")
@@ -75,12 +91,13 @@ def src_eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listmode.resolve_columns(rows, {"l_orderkey": [], "l_partkey": [], "l_suppkey": [], "l_linenumber": [], "total_counts": ["totalcounts"], "mode": [], "duration_s": []})
 
 
-@query("SELECT 'A' AS grp, p_partkey AS id, p_retailprice AS v FROM part UNION ALL SELECT 'B', s_suppkey, s_acctbal FROM supplier")
+@query("SELECT 'A' AS grp, CAST(p_partkey AS BIGINT) AS id, p_retailprice AS v FROM part UNION ALL SELECT 'B', s_suppkey, s_acctbal FROM supplier")
 def src_file_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of two prefix groups as one table with their group."""
-    parts = {"A": ("part", "p_partkey", "p_retailprice"), "B": ("supplier", "s_suppkey", "s_acctbal")}
-    frames = [table(spark, sf_dir, t).select(F.lit(g).alias("grp"), F.col(k).alias("id"), F.col(v).alias("v")) for g, (t, k, v) in parts.items()]
-    return frames[0].unionByName(frames[1])
+    """Files of two prefix groups as one table with their group; a third prefix has none."""
+    folder = new_path(spark, "groups")
+    for prefix, (t, k, v) in {"single_": ("part", "p_partkey", "p_retailprice"), "dual_": ("supplier", "s_suppkey", "s_acctbal"), "other_": ("region", "r_regionkey", "r_regionkey")}.items():
+        table(spark, sf_dir, t).select(F.col(k).alias("id"), F.col(v).alias("v")).write.option("header", "true").csv(f"{folder}/{prefix}{t}")
+    return files.read_groups(spark, folder, {"single_": "A", "dual_": "B"}).select("grp", F.col("id").cast("long").alias("id"), F.col("v").cast("double").alias("v"))
 
 
 @query(f"WITH {DETECTIONS} SELECT run_id, count(*) AS events, count(DISTINCT ts_us // {HOUR}) AS steps, sha256('edge=trailing;hours=1') AS config_hash FROM det GROUP BY 1")
@@ -89,39 +106,47 @@ def snk_replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.groupBy("run_id").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("steps")).withColumn("config_hash", F.sha2(F.lit("edge=trailing;hours=1").cast("binary"), 256))
 
 
-@query()
+@query(f"{LADDER_SQL} SELECT run_id, CAST(win AS BIGINT) AS win, CAST(count(*) AS BIGINT) AS gates, CAST(max(gate_us) AS BIGINT) AS widest, round(sum(y), 6) AS sum_y, CAST(count(z) AS BIGINT) AS valid FROM ys GROUP BY ALL")
 def snk_rt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON line for each step, its gates as arrays in the order of the ladder (a fixed number of gates)."""
+    """One JSON line for each step, its gates as arrays in the order of the ladder (a fixed number of gates), written and read back."""
     from .moments import ladder
 
     gates = F.sort_array(F.collect_list(F.struct("gate_us", "n_gates", F.col("y"), F.col("sigma_y"), F.col("z"))))
     rows = ladder(spark, sf_dir).groupBy("run_id", "win").agg(gates.alias("gates"))
-    return rows.select("run_id", "win", F.to_json(F.struct("run_id", "win", "gates")).alias("line"))
+    path = new_path(spark, "rt-windows")
+    write_lines(rows, path, F.to_json(F.struct("run_id", "win", "gates")))
+    read = spark.read.schema("run_id string, win long, gates array<struct<gate_us: long, n_gates: long, y: double, sigma_y: double, z: double>>").json(path)
+    total = F.aggregate("gates", F.lit(0.0), lambda a, g: a + g["y"])
+    valid = F.size(F.filter("gates", lambda g: g["z"].isNotNull())).cast("long")
+    return read.select("run_id", "win", F.size("gates").cast("long").alias("gates"), F.element_at("gates", -1)["gate_us"].alias("widest"), F.round(total, 6).alias("sum_y"), valid.alias("valid"))
 
 
-@query()
+@query(f"""WITH {DETECTIONS} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS index, ts_us, channel FROM det""")
 def snk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log: an index in each run, the line and its content hash."""
-    w = islands.over(["run_id"], "ts_us", "event_id")
-    rows = detections(spark, sf_dir).withColumn("index", F.row_number().over(w))
-    line = F.to_json(F.struct("run_id", "index", "ts_us", "channel", "value"))
-    return rows.select("run_id", "index", line.alias("line"), F.sha2(line.cast("binary"), 256).alias("content_hash"))
+    """The event log: an index in each run, the line and its content hash, written a folder a run and read back; lines that don't match their hash fail the query."""
+    log = event_log(detections(spark, sf_dir), ["run_id"], "ts_us", ["event_id"], ["ts_us", "channel", "value"])
+    path = new_path(spark, "events")
+    write_lines(log, path, F.concat_ws(" ", "content_hash", "line"), ["run_id"])
+    read = read_lines(spark, path).select(F.substring("value", 1, 64).alias("hash"), F.expr("substring(value, 66)").alias("line"))
+    fine = F.assert_true(F.col("hash") == F.sha2(F.col("line").cast("binary"), 256), F.lit("a line doesn't match its hash"))
+    parsed = read.withColumn("fine", fine.isNull()).filter("fine").select(F.from_json("line", "run_id string, index long, ts_us long, channel long").alias("r"))
+    return parsed.select("r.*")
 
 
 @query("SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS line_no, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type) AS t_us, user_id % 15 AS channel0 FROM events")
 def snk_listmode_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times from each run's first event and channels from 0, ready for a text sink."""
-    det = detections(spark, sf_dir)
-    first = det.groupBy("run_id").agg(F.min("ts_us").alias("t0"))
-    k = F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")).cast("long")
-    return det.join(first, "run_id").select("run_id", k.alias("line_no"), (F.col("ts_us") - F.col("t0")).alias("t_us"), (F.col("channel") - 1).alias("channel0"))
+    """Times from each run's first event and channels from 0, as CSV in a folder a run, and read back."""
+    path = new_path(spark, "listmode")
+    listmode_rows(detections(spark, sf_dir)).write.partitionBy("run_id").option("header", "true").csv(path)
+    return spark.read.schema("line_no long, t_us long, channel0 long, run_id string").option("header", "true").csv(path).select("run_id", "line_no", "t_us", "channel0")
 
 
-@query("SELECT event_type AS run_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 500 AS file_no, event_id FROM events")
+@query("SELECT event_type AS run_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 512 AS file_no, event_id FROM events")
 def snk_run_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file that each event of a run goes to, 500 events a file."""
-    k = F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")) - 1
-    return detections(spark, sf_dir).withColumn("k", k).select("run_id", F.expr("k div 500").alias("file_no"), "event_id")
+    """Acquisition files of a target size, here of 512 events, written a folder a file and read back."""
+    path = new_path(spark, "rollover")
+    rollover(detections(spark, sf_dir), 512 / EVENTS_PER_MB).select("run_id", "file_no", "event_id", "ts_us", "channel").repartition("run_id", "file_no").write.partitionBy("run_id", "file_no").parquet(path)
+    return spark.read.parquet(path).select("run_id", F.col("file_no").cast("long").alias("file_no"), "event_id")
 
 
 def _le(value):
@@ -135,12 +160,14 @@ def src_lmx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary run files, one a run and day as the acquisition rolls over, decoded again."""
     det = detections(spark, sf_dir).withColumns({"day": F.expr(f"ts_us div {24 * HOUR}"), "ticks": F.expr(f"(ts_us % {24 * HOUR}) div 1000")})
     record = F.concat(_le(F.expr("shiftleft(1L, cast(channel - 1 as int))")), _le(F.col("ticks")))
-    held = det.groupBy("run_id", "day").agg(F.sort_array(F.collect_list(F.struct("ticks", "event_id", record.alias("raw")))).alias("rows"))
+    # A file holds 4,096 records at most.
+    placed = ranges.places(det, "ticks", ["event_id"], keys=["run_id", "day"]).withColumn("file_no", F.expr("place div 4096"))
+    held = placed.groupBy("run_id", "day", "file_no").agg(F.sort_array(F.collect_list(F.struct("ticks", "event_id", F.hex(record).alias("raw")))).alias("rows"))
     head = F.concat(F.lit("BinaryDataClockTickLength 1000\nInternalScaler "), F.size("rows").cast("string"), F.lit("\nBinaryDataFollows\n")).cast("binary")
     tail = F.concat(_le(F.lit(0)), F.unhex(F.lit("FFFFFFFF")))
-    content = F.aggregate("rows", head, lambda a, x: F.concat(a, x["raw"]), lambda a: F.concat(a, tail))
-    files = held.select(F.concat_ws("/", "run_id", F.col("day").cast("string")).alias("path"), content.alias("content"))
-    hits = listmode.decode_lmx(files)
+    content = F.concat(head, F.unhex(F.array_join(F.transform("rows", lambda x: x["raw"]), "")), tail)
+    runs = held.select(F.concat_ws("/", "run_id", F.col("day").cast("string"), F.col("file_no").cast("string")).alias("path"), content.alias("content"))
+    hits = listmode.decode_lmx(runs)
     return hits.select(F.split("path", "/")[0].alias("run_id"), F.split("path", "/")[1].cast("long").alias("day"), F.col("ts_ticks").alias("ticks"), F.col("channel").cast("long").alias("channel"))
 
 
@@ -158,38 +185,41 @@ def src_count_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "day", "duration_s", total.alias("total"), "c7")
 
 
-@query()
+@query(f"WITH {_W} SELECT run_id, idx, n, round(center, 6) AS center, state, label FROM steps")
 def snk_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat CSV lines of the windows, one a row, ready for a text sink."""
+    """Flat CSV rows of the windows, written and read back."""
     from .windows import steps
 
-    rows = steps(spark, sf_dir)
-    return rows.select("run_id", "idx", F.to_csv(F.struct("run_id", "idx", "n", F.round("center", 6).alias("center"), "state", "label")).alias("line"))
+    path = new_path(spark, "window-metrics")
+    steps(spark, sf_dir).select("run_id", "idx", "n", F.round("center", 6).alias("center"), "state", "label").write.option("header", "true").csv(path)
+    return spark.read.schema("run_id string, idx long, n long, center double, state string, label string").option("header", "true").csv(path)
 
 
 @query()
 def snk_validation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group summary, coverage and covariance comparison as one long table, to be written partitioned by table."""
+    """Group summary, coverage and covariance comparison, written partitioned by report and read back as one long table."""
     from .scoring import agg_ci_coverage, agg_cov_compare, agg_cov_elementwise
 
     parts = {"coverage": agg_ci_coverage(spark, sf_dir), "compare": agg_cov_compare(spark, sf_dir), "elementwise": agg_cov_elementwise(spark, sf_dir)}
-    out = None
+    path = new_path(spark, "validation")
     for name, df in parts.items():
-        part = df.select(F.lit(name).alias("report"), F.col("grp").cast("string").alias("grp"), F.to_json(F.struct(*[c for c in df.columns if c != "grp"])).alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        df.select(F.col("grp").cast("string").alias("grp"), F.to_json(F.struct(*[c for c in df.columns if c != "grp"])).alias("line")).write.parquet(f"{path}/report={name}")
+    return spark.read.parquet(path).select("report", "grp", "line")
 
 
 @query()
 def win_monotone_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offset for each file of a run that starts before the file ahead of it ended: a fold over the files, of which there are few."""
     det = detections(spark, sf_dir).withColumn("file_no", F.expr(f"ts_us div {5 * 24 * HOUR}")).withColumn("clock", F.expr(f"ts_us % {3 * 24 * HOUR}"))
-    files = det.groupBy("run_id", "file_no").agg(F.min("clock").alias("lo"), F.max("clock").alias("hi"))
-    held = files.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("file_no", "lo", "hi"))).alias("files"))
-    start = F.struct(F.lit(0).cast("long").alias("off"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<file_no:bigint,off:bigint>>").alias("out"))
-
-    def fold(acc, x):
-        off = F.when(acc["last"].isNotNull() & (x["lo"] + acc["off"] < acc["last"]), acc["last"] - x["lo"]).otherwise(acc["off"])
-        return F.struct(off.alias("off"), (x["hi"] + off).alias("last"), F.concat(acc["out"], F.array(F.struct(x["file_no"].alias("file_no"), off.alias("off")))).alias("out"))
-
-    return held.select("run_id", F.explode(F.aggregate("files", start, fold)["out"]).alias("r")).select("run_id", "r.file_no", F.col("r.off").alias("offset_us"))
+    spans = det.groupBy("run_id", "file_no").agg(F.min("clock").alias("lo"), F.max("clock").alias("hi"))
+
+    def fold(pdf):
+        pdf = pdf.sort_values("file_no")
+        offset, last, out = 0, None, []
+        for lo, hi in zip(pdf["lo"], pdf["hi"], strict=True):
+            offset = last - lo if last is not None and lo + offset < last else offset
+            last = hi + offset
+            out.append(offset)
+        return pdf[["run_id", "file_no"]].assign(offset_us=out)
+
+    return spans.groupBy("run_id").applyInPandas(fold, "run_id string, file_no long, offset_us long")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves
+from ..operators import curves, ranges
 from ..operators import learning as L
 from ..registry import query
-from .channels import _C15, count_vectors
+from .channels import _C15, count_vectors, features
 from .scoring import _ERR, errors, r6
 from .views import table
 
@@ -47,38 +47,57 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("u >= 0.2"), rows.filter("u < 0.2")
 
 
+#: The 36 features of a count vector, in order: counts, total, fractions, entropy, Gini, anisotropy, dipole, duration.
+F36 = [f"c{k}" for k in range(1, 16)] + ["total"] + [f"f{k}" for k in range(1, 16)] + ["entropy", "gini", "anisotropy", "dipole", "duration"]
+SINGLE, DUAL = ["x1", "y1", "z1"], ["x1", "y1", "z1", "x2", "y2", "z2"]
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grp, F36, y, x1 .. z2): a vector of 15 counts for each part (its suppliers stand for channels), whether two places are behind it, and both places."""
+    channel = F.col("l_suppkey") % 15 + 1
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(*[F.coalesce(F.sum(F.when(channel == k, F.col("l_quantity").cast("double"))), F.lit(0.0)).alias(f"c{k}") for k in range(1, 16)])
+    rows = features(rows, F.lit(60.0)).withColumns({f"f{k}": F.element_at("p", k) for k in range(1, 16)})
+    mean = F.aggregate(F.zip_with("p", F.array(*[F.lit(float(k)) for k in range(1, 16)]), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    left = sum((F.col(f"f{k}") for k in range(1, 8)), F.lit(0.0))
+    places = {"x1": mean, "y1": 10 * F.col("gini"), "z1": F.col("id") % 7 * 1.0, "x2": 16 - mean, "y2": F.col("f1") * 10, "z2": F.col("id") % 5 * 1.0}
+    return rows.withColumns(places).select("id", (F.col("id") % 40).alias("grp"), *F36, (left >= 0.5).cast("int").alias("y"), *DUAL)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = examples(spark, sf_dir).withColumn("u", L.share(F.col("id"), 3))
+    return rows.filter("u >= 0.2"), rows.filter("u < 0.2")
+
+
 @query()
 def ml_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probabilities of held-out rows: 200 trees, then Platt's sigmoid."""
+    train, test = _split(spark, sf_dir)
+    model = L.classifier(train, F36, "y")
+    return L.probabilities(model, test, calibration=L.calibration(model, train, "y")).select("id", "y", F.round("p", 6).alias("p"))
+
+
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    return L.probabilities(L.classifier(train, FEATURES, "y", trees=20), test).select("id", "y", F.round("p", 6).alias("p"))
+    return L.permutation_importance(L.classifier(train, F36, "y"), test, F36, "id", "y")
 
 
 @query()
 def srt_feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _split(spark, sf_dir)
-    found = L.classifier(train, FEATURES, "y", trees=20).stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, found, strict=True)], "feature string, gain double").orderBy(F.desc("gain"), "feature").limit(10)
+    """The ten features whose values matter most."""
+    return importances(spark, sf_dir).withColumnRenamed("drop", "gain").orderBy(F.desc("gain"), "feature").limit(10)
 
 
 @query()
 def ml_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of area under the curve when one feature's values are dealt out anew."""
-    train, test = _split(spark, sf_dir)
-    model, test = L.classifier(train, FEATURES, "y", trees=5), test.cache()
-    auc = lambda df: curves.areas(curves.curve(L.probabilities(model, df))).select("roc_auc")
-    base = auc(test).withColumnRenamed("roc_auc", "base")
-    parts = [auc(L.shuffled(test, "id", f, 5 + k)).select(F.lit(f).alias("feature"), "roc_auc") for k, f in enumerate(FEATURES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(F.broadcast(base)).select("feature", (F.col("base") - F.col("roc_auc")).alias("drop"))  # one row
+    """Mean loss of area under the curve over five dealings of each of the 36 features."""
+    return importances(spark, sf_dir)
 
 
-def _folds(rows: DataFrame, label: str, folds: int = 3) -> DataFrame:
+def _folds(rows: DataFrame, label: str, folds: int = 5) -> DataFrame:
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(folds)))
     out = None
     for k in range(folds):
-        test = L.probabilities(L.classifier(rows.filter(F.col("fold") != k), FEATURES, label, trees=5), rows.filter(F.col("fold") == k))
+        test = L.probabilities(L.classifier(rows.filter(F.col("fold") != k), F36, label), rows.filter(F.col("fold") == k))
         part = test.agg(F.lit(k).alias("fold"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -86,27 +105,33 @@ def _folds(rows: DataFrame, label: str, folds: int = 3) -> DataFrame:
 
 @query()
 def ml_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folds(measurements(spark, sf_dir), "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
+    return _folds(examples(spark, sf_dir), "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
 @query()
 def ml_random_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with labels at random: near one half, or the folds leak."""
-    rows = measurements(spark, sf_dir).withColumn("y", (L.share(F.col("id"), 99) >= 0.5).cast("int"))
+    rows = examples(spark, sf_dir).withColumn("y", (L.share(F.col("id"), 99) >= 0.5).cast("int"))
     return _folds(rows, "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
+def coordinates(train: DataFrame, targets: list[str], rows: DataFrame) -> DataFrame:
+    """rows with pred_<target> from a forest for each target."""
+    for target in targets:
+        rows = L.regressor(train, F36, target).transform(rows).drop("_features")
+    return rows
+
+
 @query()
 def ml_multi_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest for each target, and R2 on the held-out rows."""
+    """A forest for each target, three for one place and six for two, and R2 on the held-out rows."""
     train, test = _split(spark, sf_dir)
     out = None
-    for target in ("l_discount", "l_tax"):
-        given = [f for f in FEATURES if f not in ("l_discount", "l_tax")]
-        rows = L.regressor(train, given, target, trees=5, depth=5).transform(test)
-        mu = rows.agg(F.avg(target)).first()[0]
-        e, d = F.col(target) - F.col(f"pred_{target}"), F.col(target) - F.lit(mu)
-        part = rows.agg(F.lit(target).alias("target"), (1 - F.sum(e * e) / F.sum(d * d)).alias("r2"))
+    for kind, y, targets in (("single", 0, SINGLE), ("dual", 1, DUAL)):
+        rows = coordinates(train.filter(F.col("y") == y), targets, test.filter(F.col("y") == y))
+        e2 = {t: (F.col(t) - F.col(f"pred_{t}")) ** 2 for t in targets}
+        part = rows.agg(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("target"), (1 - F.sum(e2[t]) / (F.var_pop(t) * F.count(F.lit(1)))).alias("r2")) for t in targets]).alias("r"))
+        part = part.select(F.explode("r").alias("r")).select("r.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -168,32 +193,65 @@ def ml_ood_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.join(F.broadcast(curves.areas(curves.curve(both))))  # one row
 
 
+def routed(rows: DataFrame, model, sigmoid: tuple[float, float], mean, inverse, threshold: float = 4.0, separation: float = 1.0, strict: float = 0.8) -> DataFrame:
+    """Adds p, dist, label and coords to rows with predicted places (s_: of one, d_: of two).
+
+    Two places that lie closer than `separation` without strict confidence become one; rows out of the distribution are unknown.
+    """
+    scored = L.probabilities(model, rows, calibration=sigmoid).withColumn("dist", L.mahalanobis(OOD4, mean, inverse))
+    apart = F.sqrt(sum(((F.col(f"d_{c}1") - F.col(f"d_{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
+    dual = F.col("p") >= 0.5
+    centroid = dual & (apart < separation) & (F.col("p") < strict)
+    one, two = F.array(*[F.col(f"s_{c}") for c in SINGLE]), F.array(*[F.col(f"d_{c}") for c in DUAL])
+    label = F.when(F.col("dist") > threshold, "Unknown").when(centroid, "Single (centroid override)").when(dual, "Dual").otherwise("Single")
+    return scored.withColumns({"label": label, "coords": F.when(dual & ~centroid, two).otherwise(one)})
+
+
+#: The features that tell rows out of the distribution.
+OOD4 = ["total", "entropy", "gini", "dipole"]
+
+
+def _trained(train: DataFrame, rows: DataFrame) -> tuple[DataFrame, tuple]:
+    """rows with all predicted places, and the rest of what `routed` takes."""
+    rows = coordinates(train.filter("y = 0"), SINGLE, rows).withColumnsRenamed({f"pred_{t}": f"s_{t}" for t in SINGLE})
+    rows = coordinates(train.filter("y = 1"), DUAL, rows).withColumnsRenamed({f"pred_{t}": f"d_{t}" for t in DUAL})
+    model = L.classifier(train, F36, "y")
+    return rows, (model, L.calibration(model, train, "y"), *L.mahalanobis_fit(train, OOD4))
+
+
 @query()
 def ml_predict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-distribution check, class and route of held-out rows."""
+    """Out-of-distribution check, class, coordinates and route of held-out rows."""
     train, test = _split(spark, sf_dir)
-    mean, inverse = L.mahalanobis_fit(train, FEATURES)
-    scored = L.probabilities(L.classifier(train, FEATURES, "y", trees=5), test).withColumn("dist", L.mahalanobis(FEATURES, mean, inverse))
-    route = F.when(F.col("dist") > 4, "Unknown").when(F.col("p") >= 0.5, F.when((F.col("l_quantity") < 5) & (F.col("p") < 0.8), "Centroid").otherwise("Dual")).otherwise("Single")
-    return scored.select("id", "p", "dist", route.alias("route"))
+    rows, given = _trained(train, test)
+    return routed(rows, *given).select("id", F.round("p", 6).alias("p"), F.round("dist", 6).alias("dist"), "label", F.transform("coords", lambda x: F.round(x, 6)).alias("coords"))
 
 
 @query(f"WITH {_ERR} SELECT CASE WHEN l_quantity > 40 THEN 'dual' ELSE 'single' END AS kind, count(*) AS n, round(avg(error), 6) AS mean, round(median(error), 6) AS median, round(avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS refused FROM err GROUP BY 1")
 def ml_evaluate_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
     refused = ((F.col("l_orderkey") + F.col("l_linenumber")) % 9 == 0).cast("double")
-    return errors(spark, sf_dir).groupBy(F.when(F.col("l_quantity") > 40, "dual").otherwise("single").alias("kind")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("error"), "mean"), r6(F.median("error"), "median"), r6(F.avg(refused), "refused"))
+    rows = errors(spark, sf_dir).withColumn("kind", F.when(F.col("l_quantity") > 40, "dual").otherwise("single"))
+    out = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("error"), "mean"), r6(F.avg(refused), "refused"))
+    return out.join(ranges.percentiles(rows, ["kind"], "error", {"median": 0.5}), "kind").withColumn("median", F.round("median", 6))
 
 
 @query()
 def ml_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy as it is, with features permuted, and with labels dealt out anew."""
-    train, test = _split(spark, sf_dir)
-    test = test.cache()
-    model = L.classifier(train, FEATURES, "y", trees=5)
-    turned = test.select("id", "y", *[F.col(b).alias(a) for a, b in zip(FEATURES, FEATURES[1:] + FEATURES[:1], strict=True)])
+    """Accuracy on held-out rows and on held-out groups: as it is, with channels permuted, and with labels dealt out anew."""
+    whole = L.group_split(examples(spark, sf_dir), "grp", 0.2).withColumn("u", L.share(F.col("id"), 3))
+    train = whole.filter("u >= 0.2 and not holdout")
+    model = L.classifier(train, F36, "y")
+    held = whole.select("*", F.explode(F.array(F.when(F.col("u") < 0.2, "random"), F.when(F.col("holdout"), "grouped"))).alias("split")).filter("split is not null")
+    turn = {f"{a}{k}": F.col(f"{a}{k % 15 + 1}") for a in "cf" for k in range(1, 16)}
+    mean = sum((turn[f"f{k}"] * float(k - 8) for k in range(1, 16)), F.lit(0.0))
+    permuted = held.withColumns({**turn, "dipole": F.abs(mean)})  # the other descriptors don't depend on the order
+    labels = None
+    for split in ("random", "grouped"):
+        part = L.shuffled(held.filter(F.col("split") == split), "id", "y", 31)
+        labels = part if labels is None else labels.unionByName(part)
     out = None
-    for name, rows in (("baseline", test), ("permuted_channels", turned), ("shuffled_labels", L.shuffled(test, "id", "y", 31))):
-        part = L.probabilities(model, rows).agg(F.lit(name).alias("variant"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+    for name, rows in (("baseline", held), ("permuted_channels", permuted), ("shuffled_labels", labels)):
+        part = L.probabilities(model, rows).groupBy("split").agg(F.lit(name).alias("variant"), F.count(F.lit(1)).alias("n"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -210,8 +268,9 @@ def ml_domain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ERR}, b AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, error FROM err) SELECT bin, count(*) AS n, round(median(error), 6) AS center, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.75), 6) AS p75 FROM b GROUP BY 1")
 def ml_error_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors against counts."""
-    bins = errors(spark, sf_dir).groupBy(F.floor(F.col("l_quantity") / 5).alias("bin"))
-    return bins.agg(F.count(F.lit(1)).alias("n"), r6(F.median("error"), "center"), r6(F.percentile("error", 0.25), "p25"), r6(F.percentile("error", 0.75), "p75"))
+    rows = errors(spark, sf_dir).withColumn("bin", F.floor(F.col("l_quantity") / 5))
+    found = ranges.percentiles(rows, ["bin"], "error", {"center": 0.5, "p25": 0.25, "p75": 0.75})
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(found.select("bin", *[r6(F.col(n), n) for n in ("center", "p25", "p75")]), "bin")
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")

@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import islands
+from ..operators import islands, ranges
 from ..registry import query
 from .joins import _DIST_SQL, _PAIRS, _sql_dist, distances
 from .views import table
@@ -32,30 +32,37 @@ def r6(c: Column | str, name: str) -> Column:
 
 @query(f"WITH {_ERR} SELECT l_returnflag AS kind, count(*) AS n, round(avg(error), 6) AS mean, round(median(error), 6) AS median, round(sqrt(avg(error*error)), 6) AS rmse FROM err GROUP BY 1")
 def agg_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("error"), "mean"), r6(F.median("error"), "median"), r6(F.sqrt(F.avg(F.col("error") * F.col("error"))), "rmse"))
+    rows = errors(spark, sf_dir).withColumnRenamed("l_returnflag", "kind")
+    out = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("error"), "mean"), r6(F.sqrt(F.avg(F.col("error") * F.col("error"))), "rmse"))
+    return out.join(ranges.percentiles(rows, ["kind"], "error", {"median": 0.5}), "kind", "left").withColumn("median", F.round("median", 6))
 
 
 @query(f"WITH {_ERR} SELECT l_returnflag AS kind, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.5), 6) AS p50, round(quantile_cont(error, 0.9), 6) AS p90 FROM err GROUP BY 1")
 def fn_percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).groupBy(F.col("l_returnflag").alias("kind")).agg(*[r6(F.percentile("error", q), n) for q, n in ((0.25, "p25"), (0.5, "p50"), (0.9, "p90"))])
+    found = ranges.percentiles(errors(spark, sf_dir).withColumnRenamed("l_returnflag", "kind"), ["kind"], "error", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
+    return found.select("kind", *[r6(F.col(n), n) for n in ("p25", "p50", "p90")])
 
 
 @query("SELECT s_suppkey, s_nationkey, round(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS DOUBLE) / count(*) OVER (PARTITION BY s_nationkey), 9) AS cdf FROM supplier")
 def agg_error_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical distribution of each group; ties are separate points."""
-    w = islands.over(["s_nationkey"], "s_acctbal", "s_suppkey")
-    n = F.count(F.lit(1)).over(Window.partitionBy("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.round(F.row_number().over(w) / n, 9).alias("cdf"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    sizes = rows.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    placed = ranges.places(rows, "s_acctbal", ["s_suppkey"], keys=["s_nationkey"])
+    return placed.join(sizes, "s_nationkey").select("s_suppkey", "s_nationkey", F.round((F.col("place") + 1) / F.col("n"), 9).alias("cdf"))
 
 
 @query("""WITH r AS (SELECT s_nationkey, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) - 1 AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
   b AS (SELECT *, (4*(k+1) + n - 1) // n - 1 AS bin FROM r) SELECT s_nationkey, bin, count(*) AS n, min(x) AS lower, max(x) AS upper, round(median(x), 6) AS center, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75 FROM b GROUP BY ALL""")
 def agg_equal_count_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four bins of equal counts by rank: a row of rank k is in the first bin b with k < floor((b + 1) n / 4)."""
-    w = islands.over(["s_nationkey"], "s_acctbal", "s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_acctbal").alias("x"), (F.row_number().over(w) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("s_nationkey")).alias("n"))
-    rows = rows.withColumn("bin", F.expr("(4 * (k + 1) + n - 1) div n - 1"))
-    return rows.groupBy("s_nationkey", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lower"), F.max("x").alias("upper"), r6(F.median("x"), "center"), r6(F.percentile("x", 0.25), "p25"), r6(F.percentile("x", 0.75), "p75"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("x"))
+    sizes = rows.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = ranges.places(rows, "x", ["s_suppkey"], "k", ["s_nationkey"]).join(sizes, "s_nationkey").withColumn("bin", F.expr("(4 * (k + 1) + n - 1) div n - 1"))
+    keys = ["s_nationkey", "bin"]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lower"), F.max("x").alias("upper"))
+    found = ranges.percentiles(rows, keys, "x", {"center": 0.5, "p25": 0.25, "p75": 0.75})
+    return out.join(found.select(*keys, *[r6(F.col(n), n) for n in ("center", "p25", "p75")]), keys)
 
 
 @query("""WITH t AS (SELECT DISTINCT l_returnflag, CAST(l_quantity AS DOUBLE) AS thr FROM lineitem WHERE l_quantity % 10 = 0), s AS (SELECT t.l_returnflag, thr, count(*) AS n, median(l_discount * l_quantity / 10) AS med FROM t JOIN lineitem l ON l.l_returnflag = t.l_returnflag AND l.l_quantity >= thr GROUP BY ALL)
@@ -78,8 +85,9 @@ def agg_tail_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of all predictions made at or past each threshold of cumulative counts."""
     rows = errors(spark, sf_dir).withColumn("cum", F.sum("l_quantity").over(islands.over(["l_orderkey"], "l_linenumber")))
     rows = rows.withColumn("unknown", (F.col("l_orderkey") + F.col("l_linenumber")) % 9 == 0).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in (10.0, 25.0, 50.0, 100.0, 150.0)]))).filter("cum >= thr")
-    e = F.when(~F.col("unknown"), F.col("error"))
-    return rows.groupBy("thr").agg(F.count(F.lit(1)).alias("n"), r6(F.median(e), "median"), r6(F.percentile(e, 0.9), "p90"), r6(F.avg(F.col("unknown").cast("double")), "unknown_fraction"))
+    out = rows.groupBy("thr").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("unknown").cast("double")), "unknown_fraction"))
+    found = ranges.percentiles(rows.filter("not unknown"), ["thr"], "error", {"median": 0.5, "p90": 0.9})
+    return out.join(found.select("thr", *[r6(F.col(n), n) for n in ("median", "p90")]), "thr", "left")
 
 
 _RADIUS = "sqrt(CAST((l_orderkey % 11)*(l_orderkey % 11) + (l_partkey % 13)*(l_partkey % 13) AS DOUBLE))"
@@ -102,7 +110,7 @@ def fn_region_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_REGION} AS region, {_RADIUS} >= 12 AS edge, count(*) AS n, round(median(least({_D['d11']}+{_D['d22']}, {_D['d12']}+{_D['d21']})/2), 6) AS median_error, round(avg((l_orderkey * 2) % 11 - l_orderkey % 11), 6) AS bias_x, round(avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS unknown_fraction FROM lineitem GROUP BY ALL")
 def agg_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One aggregation; region and bias are expressions of the row, no join."""
+    """Region and bias are expressions of the row, no join; medians by value ranges."""
     from .joins import _PAIRS, _PTS
 
     def dist(a: str, b: str) -> Column:
@@ -111,7 +119,8 @@ def agg_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = {k: dist(*v) for k, v in _PAIRS.items()}
     rows = table(spark, sf_dir, "lineitem").withColumns({"error": F.least(d["d11"] + d["d22"], d["d12"] + d["d21"]) / 2, "region": region_key(_radius()), "edge": _radius() >= 12})
     bias, unknown = (F.col("l_orderkey") * 2) % 11 - F.col("l_orderkey") % 11, (F.col("l_orderkey") + F.col("l_linenumber")) % 9 == 0
-    return rows.groupBy("region", "edge").agg(F.count(F.lit(1)).alias("n"), r6(F.median("error"), "median_error"), r6(F.avg(bias), "bias_x"), r6(F.avg(unknown.cast("double")), "unknown_fraction"))
+    out = rows.groupBy("region", "edge").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(bias), "bias_x"), r6(F.avg(unknown.cast("double")), "unknown_fraction"))
+    return out.join(ranges.percentiles(rows, ["region", "edge"], "error", {"median_error": 0.5}), ["region", "edge"], "left").withColumn("median_error", F.round("median_error", 6))
 
 
 @query("SELECT l_orderkey, l_linenumber, lower(l_linestatus) = 'o' OR (l_orderkey + l_linenumber) % 9 = 0 AS unknown FROM lineitem")
@@ -154,9 +163,10 @@ def agg_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH l AS (SELECT l_suppkey % 7 AS mode, l_extendedprice FROM lineitem), m AS (SELECT mode, median(l_extendedprice) AS med FROM l GROUP BY 1) SELECT mode, round(avg(l_extendedprice), 4) AS mean, round(med, 6) AS median, round(stddev_pop(l_extendedprice), 4) AS stdev, round(median(abs(l_extendedprice - med)), 6) AS mad FROM l JOIN m USING (mode) GROUP BY mode, med")
 def agg_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("mode"), "l_extendedprice")
-    med = rows.groupBy("mode").agg(F.median("l_extendedprice").alias("med"))
-    x = F.col("l_extendedprice")
-    return rows.join(med, "mode").groupBy("mode").agg(F.round(F.avg(x), 4).alias("mean"), r6(F.first("med"), "median"), F.round(F.stddev_pop(x), 4).alias("stdev"), r6(F.median(F.abs(x - F.col("med"))), "mad"))
+    med = ranges.percentiles(rows, ["mode"], "l_extendedprice", {"med": 0.5})
+    off = rows.join(med, "mode").select("mode", "med", "l_extendedprice", F.abs(F.col("l_extendedprice") - F.col("med")).alias("off"))
+    out = off.groupBy("mode").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), r6(F.first("med"), "median"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("stdev"))
+    return out.join(ranges.percentiles(off, ["mode"], "off", {"mad": 0.5}), "mode").withColumn("mad", F.round("mad", 6))
 
 
 #: Runs are orders with their line items as windows, groups are nations.

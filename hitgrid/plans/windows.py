@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import islands
+from ..operators import islands, ranges
 from ..registry import query
 from .views import DAY, DETECTIONS, HOUR, detections
 
@@ -39,8 +39,8 @@ def win_cumulative_counts_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS k FROM det) SELECT run_id, event_id, k, ts_us FROM n WHERE k <= 500")
 def win_cumulative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a run up to its 500th: the event that reaches the count threshold ends the episode."""
-    rows = detections(spark, sf_dir).withColumn("k", F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")).cast("long"))
-    return rows.filter("k <= 500").select("run_id", "event_id", "k", "ts_us")
+    rows = detections(spark, sf_dir).withColumn("k", F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")))
+    return rows.filter("k <= 500").select("run_id", "event_id", F.col("k").cast("long").alias("k"), "ts_us")  # each task keeps 500 of a run before the shuffle
 
 
 @query(f"WITH {_W}, l AS (SELECT *, lag(label) OVER {_R} AS before FROM steps) SELECT run_id, count(*) FILTER (before <> label) AS transitions FROM l GROUP BY 1")
@@ -122,7 +122,7 @@ def win_monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose clock (here the user's number) runs backwards, and the first of them."""
     from .views import table
 
-    rows = table(spark, sf_dir, "events").withColumn("before", F.lag("user_id").over(islands.over(["event_type"], "event_id")))
+    rows = ranges.before(table(spark, sf_dir, "events"), ["event_type"], "event_id", {"before": "user_id"})
     return rows.filter("user_id < before").groupBy(F.col("event_type").alias("run_id")).agg(F.count(F.lit(1)).alias("violations"), F.min("event_id").alias("first_event"))
 
 
@@ -153,9 +153,11 @@ def win_alarm_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DETECTIONS} SELECT event_id, count(*) OVER (PARTITION BY run_id ORDER BY ts_us RANGE BETWEEN {HOUR} PRECEDING AND 1 PRECEDING) AS trailing FROM det")
 def win_trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the run in [t - W, t), by a range frame on the time."""
-    w = islands.over(["run_id"], "ts_us").rangeBetween(-HOUR, -1)
-    return detections(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(w).alias("trailing"))
+    """Events of the run in [t - W, t), by a range frame on the time. Each event also counts for the hour after its own, so a task orders two hours."""
+    hour = F.expr(f"ts_us div {HOUR}")
+    rows = detections(spark, sf_dir).select("run_id", "ts_us", "event_id", hour.alias("own"), F.explode(F.array(hour, hour + 1)).alias("hr"))
+    w = islands.over(["run_id", "hr"], "ts_us").rangeBetween(-HOUR, -1)
+    return rows.withColumn("trailing", F.count(F.lit(1)).over(w)).filter("hr = own").select("event_id", "trailing")
 
 
 @query(f"""WITH {DETECTIONS}, h AS (SELECT run_id, hr, count(*) AS n FROM (SELECT run_id, ts_us // {HOUR} AS hr, channel FROM det) GROUP BY ALL), f AS (SELECT run_id, n, count(*) AS freq FROM h GROUP BY ALL),
@@ -206,7 +208,8 @@ def win_episode_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS seq FROM det")
 def win_event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).select("event_id", F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")).cast("long").alias("seq"))
+    rows = ranges.places(detections(spark, sf_dir), "ts_us", ["event_id"], keys=["run_id"])
+    return rows.select("event_id", (F.col("place") + 1).alias("seq"))
 
 
 @query(f"WITH {_W} SELECT run_id, idx, n FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS k FROM steps) WHERE k > 5")
