@@ -83,7 +83,11 @@ def fn_probability_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted sigmoid applied to every score."""
     rows = scores(spark, sf_dir).withColumn("x", clamp_logit(F.col("p")))
-    a, b = curves.platt(rows.cache())
+    held = rows.select("x", "y").persist()
+    try:
+        a, b = curves.platt(held)
+    finally:
+        held.unpersist()
     return rows.select("doc_id", "y", (1 / (1 + F.exp(-(a * F.col("x") + b)))).alias("calibrated"))
 
 

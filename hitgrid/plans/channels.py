@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import islands, ranges
 from ..registry import query
+from ..sources import listmode
 from .views import DAY, DETECTIONS, HOUR, detections, table
 
 _C15 = [f"c{c}" for c in range(1, 16)]
@@ -184,10 +185,15 @@ def agg_rate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DETECTIONS}, o AS (SELECT run_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS dt FROM det)
-  SELECT run_id, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us, min(dt) AS min_dt, max(dt) AS max_dt, coalesce(bool_and(dt >= 0), true) AS monotonic FROM o GROUP BY 1""")
+  SELECT run_id, count(*) AS events, min(ts_us) AS first_us, max(ts_us) AS last_us, min(dt) AS min_dt, max(dt) AS max_dt, coalesce(bool_and(dt >= 0), true) AS monotonic, count(*) % 13 AS fifo_lost FROM o GROUP BY 1""")
 def agg_lmx_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranges.before(detections(spark, sf_dir), ["run_id"], "ts_us", {"last_us": "ts_us"}, ties=["event_id"]).withColumn("dt", F.col("ts_us") - F.col("last_us"))
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.coalesce(F.every(F.col("dt") >= 0), F.lit(True)).alias("monotonic"))
+    """Events, times and gaps of each run, and the lost counts of its file's header."""
+    det = detections(spark, sf_dir)
+    rows = ranges.before(det, ["run_id"], "ts_us", {"last_us": "ts_us"}, ties=["event_id"]).withColumn("dt", F.col("ts_us") - F.col("last_us"))
+    out = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.coalesce(F.every(F.col("dt") >= 0), F.lit(True)).alias("monotonic"))
+    text = F.format_string("BinaryDataClockTickLength 1000\nInternalScaler %d\nFifoLostCounts %d\nBinaryDataFollows\n", "events", F.col("events") % 13)
+    heads = listmode.lmx_headers(out.select(F.col("run_id").alias("path"), text.cast("binary").alias("content")))
+    return out.join(heads.select(F.col("path").alias("run_id"), "fifo_lost"), "run_id")
 
 
 def group_id(x: Column, y: Column, z: Column, other: tuple[Column, Column, Column] | None = None) -> Column:
@@ -210,13 +216,17 @@ def fn_group_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", group_id(*one, tuple(two)).alias("dual"), group_id(*one).alias("single"))
 
 
-@query("""WITH g AS (SELECT round(l_quantity/5)*5 AS pos, l_extendedprice AS t, l_orderkey, l_linenumber FROM lineitem)
-  SELECT pos, min(t) AS lowest, max(t) AS highest, round(max(t)/min(t), 6) AS ratio FROM g GROUP BY pos HAVING max(t)/min(t) >= 1.5 ORDER BY pos LIMIT 1""")
+@query("""WITH g AS (SELECT round(l_quantity/5)*5 AS pos, l_extendedprice AS t, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+  e AS (SELECT pos, min(t) AS lowest, max(t) AS highest, round(max(t)/min(t), 6) AS ratio FROM g GROUP BY pos HAVING max(t)/min(t) >= 1.5 ORDER BY pos LIMIT 1),
+  r AS (SELECT pos, l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY pos ORDER BY t, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS up, row_number() OVER (PARTITION BY pos ORDER BY t DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) AS down FROM g)
+  SELECT e.*, a.l_orderkey AS low_order, a.l_linenumber AS low_line, b.l_orderkey AS high_order, b.l_linenumber AS high_line FROM e JOIN r a ON a.pos = e.pos AND a.up = 1 JOIN r b ON b.pos = e.pos AND b.down = 1""")
 def agg_normalization_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rounded position whose highest total is at least 1.5 times its lowest."""
-    rows = table(spark, sf_dir, "lineitem").groupBy((F.round(F.col("l_quantity") / 5) * 5).alias("pos")).agg(F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest"))
-    rows = rows.withColumn("ratio", F.col("highest") / F.col("lowest")).filter("ratio >= 1.5")
-    return rows.orderBy("pos").limit(1).withColumn("ratio", F.round("ratio", 6))
+    """The first rounded position whose highest total is at least 1.5 times its lowest, with the rows of both."""
+    row = F.struct("l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.round(F.col("l_quantity") / 5) * 5).alias("pos")).agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    low, high = F.col("a.l_extendedprice"), F.col("b.l_extendedprice")
+    first = rows.filter(high / low >= 1.5).orderBy("pos").limit(1)
+    return first.select("pos", low.alias("lowest"), high.alias("highest"), F.round(high / low, 6).alias("ratio"), F.col("a.l_orderkey").alias("low_order"), F.col("a.l_linenumber").alias("low_line"), F.col("b.l_orderkey").alias("high_order"), F.col("b.l_linenumber").alias("high_line"))
 
 
 @query("SELECT l_suppkey, min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest, arg_min(l_orderkey, l_extendedprice * 1e7 + l_orderkey) AS low_row, arg_max(l_orderkey, l_extendedprice * 1e7 + l_orderkey) AS high_row FROM lineitem GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bins as B
 from ..operators import islands, ranges
 from ..registry import query
-from ..streaming import adaptive, episodes, rate
+from ..streaming import adaptive, episodes, rate, requests
 from .moments import LADDER_SQL, ladder
 from .views import DAY, DETECTIONS, HOUR, detections
 from .windows import steps
@@ -69,9 +69,9 @@ def str_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def str_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the requests of a run that wait in one micro-batch (here ten windows) the final one, else the newest, is served."""
-    rows = episodes.run_policy(policy_windows(spark, sf_dir)).filter("request is not null").withColumn("batch", F.expr("idx div 10"))
-    return rows.groupBy("run_id", "batch").agg(F.max(F.struct(F.col("request") == "final", "idx", "request")).alias("m")).select("run_id", "batch", F.col("m.idx").alias("idx"), F.col("m.request").alias("request"))
+    """The policy's requests before a busy worker: a queue of two, where the newest probe wins and a final request outranks all."""
+    rows = episodes.run_policy(policy_windows(spark, sf_dir)).filter("request is not null")
+    return requests.run_queue(rows.select("run_id", "idx", "request"), capacity=2, service=8)
 
 
 @query()

@@ -10,6 +10,7 @@ from ..operators import learning as L
 from ..registry import query
 from .channels import _C15, count_vectors, features
 from .scoring import _ERR, errors, r6
+from ..tables import written
 from .views import table
 
 X4 = ["x1", "x2", "x3", "x4"]
@@ -64,7 +65,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = examples(spark, sf_dir).withColumn("u", L.share(F.col("id"), 3))
+    rows = written(examples(spark, sf_dir).withColumn("u", L.share(F.col("id"), 3)), "examples")  # read by every forest
     return rows.filter("u >= 0.2"), rows.filter("u < 0.2")
 
 
@@ -105,13 +106,13 @@ def _folds(rows: DataFrame, label: str, folds: int = 5) -> DataFrame:
 
 @query()
 def ml_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folds(examples(spark, sf_dir), "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
+    return _folds(written(examples(spark, sf_dir), "examples"), "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
 @query()
 def ml_random_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with labels at random: near one half, or the folds leak."""
-    rows = examples(spark, sf_dir).withColumn("y", (L.share(F.col("id"), 99) >= 0.5).cast("int"))
+    rows = written(examples(spark, sf_dir), "examples").withColumn("y", (L.share(F.col("id"), 99) >= 0.5).cast("int"))
     return _folds(rows, "y").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
@@ -238,7 +239,7 @@ def ml_evaluate_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ml_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy on held-out rows and on held-out groups: as it is, with channels permuted, and with labels dealt out anew."""
-    whole = L.group_split(examples(spark, sf_dir), "grp", 0.2).withColumn("u", L.share(F.col("id"), 3))
+    whole = L.group_split(written(examples(spark, sf_dir), "examples"), "grp", 0.2).withColumn("u", L.share(F.col("id"), 3))
     train = whole.filter("u >= 0.2 and not holdout")
     model = L.classifier(train, F36, "y")
     held = whole.select("*", F.explode(F.array(F.when(F.col("u") < 0.2, "random"), F.when(F.col("holdout"), "grouped"))).alias("split")).filter("split is not null")

@@ -254,12 +254,13 @@ def win_first_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("desired", F.coalesce("plateau", "first_sig", F.lit(0)))
 
 
-@query(f"{LADDER_SQL} SELECT win, gate_us, round(y, 6) AS y, row_number() OVER (PARTITION BY win ORDER BY gate_us) AS place FROM ys WHERE run_id = 'click'")
+@query(f"{LADDER_SQL} SELECT run_id, win, gate_us, round(y, 6) AS y, row_number() OVER (PARTITION BY run_id, win ORDER BY gate_us) AS place FROM ys")
 def srt_gate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of every window in the order of their widths."""
     from pyspark.sql import Window
 
-    rows = ladder(spark, sf_dir).filter("run_id = 'click'")
-    return rounded(rows.select("win", "gate_us", "y", F.row_number().over(Window.partitionBy("win").orderBy("gate_us")).cast("long").alias("place")), "y")
+    rows = ladder(spark, sf_dir)
+    return rounded(rows.select("run_id", "win", "gate_us", "y", F.row_number().over(Window.partitionBy("run_id", "win").orderBy("gate_us")).cast("long").alias("place")), "y")
 
 
 @query(f"""WITH {DETECTIONS} SELECT run_id, ts_us // {DAY} AS day, {', '.join(f'count(*) FILTER (channel = {c}) AS c{c}' for c in range(1, 16))}, count(*) AS total, round(count(*)/86400.0, 9) AS rate FROM det GROUP BY ALL""")

@@ -241,14 +241,25 @@ def agg_cov_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 Z95 = NormalDist().inv_cdf(0.975)
 
 
-@query(f"WITH {_RUNS}, {_SYS}, g AS (SELECT grp, avg(m1) AS mu FROM runs GROUP BY 1) SELECT grp, round(avg(CASE WHEN abs(m1-mu) <= {Z95}*sqrt(s11) THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(2*{Z95}*sqrt(s11)), 6) AS width, count(*) AS n FROM runs JOIN sys USING (grp) JOIN g USING (grp) GROUP BY 1")
+_A, _B = "(-m2/(m1*m1) - 1)", "(1/m1)"
+_DIAG_Y = f"{_A}*{_A}*s11 + {_B}*{_B}*s22"
+_FULL_Y = f"{_DIAG_Y} + 2*{_A}*{_B}*s12"
+
+
+@query(f"""WITH {_RUNS}, {_SYS}, t AS (SELECT grp, unnest(['m1', 'm2', 'm3', 'Y']) AS target, unnest([m1, m2, m3, y]) AS v, unnest([s11, s22, s33, greatest({_FULL_Y}, 0)]) AS f, unnest([s11, s22, s33, greatest({_DIAG_Y}, 0)]) AS d FROM runs JOIN sys USING (grp)),
+  g AS (SELECT grp, target, avg(v) AS mu FROM t GROUP BY ALL)
+  SELECT grp, target, round(avg(CASE WHEN abs(v-mu) <= {Z95}*sqrt(f) THEN 1.0 ELSE 0.0 END), 6) AS coverage_full, round(avg(CASE WHEN abs(v-mu) <= {Z95}*sqrt(d) THEN 1.0 ELSE 0.0 END), 6) AS coverage_diag,
+    round(avg(2*{Z95}*sqrt(f)), 6) AS width_full, round(avg(2*{Z95}*sqrt(d)), 6) AS width_diag, count(*) AS n FROM t JOIN g USING (grp, target) GROUP BY ALL""")
 def agg_ci_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a run's mean lies within the normal interval of its group, and how wide that is."""
-    runs = run_means(spark, sf_dir)
-    mu = runs.groupBy("grp").agg(F.avg("m1").alias("mu"))
-    rows = runs.join(system(spark, sf_dir), "grp").join(mu, "grp")
-    half = Z95 * F.sqrt("s11")
-    return rows.groupBy("grp").agg(r6(F.avg((F.abs(F.col("m1") - F.col("mu")) <= half).cast("double")), "coverage"), r6(F.avg(2 * half), "width"), F.count(F.lit(1)).alias("n"))
+    """How often the normal intervals of the runs hold their group's mean, and how wide they are: for m1, m2, m3 and Y, with the whole covariance and its diagonal alone."""
+    rows = run_means(spark, sf_dir).join(system(spark, sf_dir), "grp")
+    targets = [("m1", "m1", "s11", "s11"), ("m2", "m2", "s22", "s22"), ("m3", "m3", "s33", "s33"), ("Y", "y", f"greatest({_FULL_Y}, 0D)", f"greatest({_DIAG_Y}, 0D)")]
+    long = rows.selectExpr("grp", "stack(4, " + ", ".join(f"'{n}', {v}, {f}, {d}" for n, v, f, d in targets) + ") AS (target, v, f, d)")
+    keys = ["grp", "target"]
+    mu = long.groupBy(*keys).agg(F.avg("v").alias("mu"))
+    held = lambda c: F.avg((F.abs(F.col("v") - F.col("mu")) <= Z95 * F.sqrt(c)).cast("double"))
+    width = lambda c: F.avg(2 * Z95 * F.sqrt(c))
+    return long.join(mu, keys).groupBy(*keys).agg(r6(held("f"), "coverage_full"), r6(held("d"), "coverage_diag"), r6(width("f"), "width_full"), r6(width("d"), "width_diag"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH d AS (SELECT l_suppkey % 7 AS k, l_discount*100 - 5.0 AS r FROM lineitem), s AS (SELECT k, count(*)::DOUBLE AS n, avg(r) AS mu, var_samp(r) AS v FROM d GROUP BY 1), c AS (SELECT k, n, mu, v, avg((r-mu)*(r-mu)) AS u2, avg((r-mu)*(r-mu)*(r-mu)) AS u3, avg((r-mu)*(r-mu)*(r-mu)*(r-mu)) AS u4 FROM d JOIN s USING (k) GROUP BY ALL)

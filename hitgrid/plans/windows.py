@@ -199,11 +199,22 @@ def win_second_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.groupBy("run_id", "hr").agg(F.min(F.struct("ts_us", "event_id"))["event_id"].alias("event_id"))
 
 
-@query(f"""WITH {_W}, {_SEG}, long AS (SELECT run_id, start, "end", "end" - start AS len FROM segs WHERE state <> 'LowRate') SELECT run_id, min(start) AS start, arg_min("end", start) AS "end" FROM long WHERE len >= 3 GROUP BY 1""")
+#: Gate markers among the events of some runs: the others have none.
+_MARKS = f"""marks AS (SELECT run_id, ts_us, event_id % 97 = 0 AS s, event_id % 89 = 0 AS e FROM det WHERE length(run_id) % 2 = 0), opened AS (SELECT run_id, min(ts_us) AS t0 FROM marks WHERE s GROUP BY 1),
+  gate AS (SELECT run_id, t0 // {STEP6} AS start, min(ts_us) // {STEP6} AS "end" FROM marks JOIN opened USING (run_id) WHERE e AND ts_us > t0 GROUP BY run_id, t0)"""
+
+
+@query(f"""WITH {_W}, {_SEG}, {_MARKS}, long AS (SELECT run_id, start, "end", "end" - start AS len FROM segs WHERE state <> 'LowRate'), chosen AS (SELECT run_id, min(start) AS start, min(start) + 3 AS "end" FROM long WHERE len >= 3 GROUP BY 1)
+  SELECT run_id, start, "end", 'gate markers' AS reason FROM gate UNION ALL SELECT run_id, start, "end", 'segment' FROM chosen WHERE run_id NOT IN (SELECT run_id FROM gate)""")
 def win_episode_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first segment of a run that isn't low-rate and lasts for three windows at least."""
+    """A run's first start marker and the first end marker behind it; without such a pair the first three windows of the first segment that isn't low-rate and lasts as long."""
+    marks = detections(spark, sf_dir).filter(F.length("run_id") % 2 == 0)
+    opened = marks.filter("event_id % 97 = 0").groupBy("run_id").agg(F.min("ts_us").alias("t0"))
+    closed = marks.filter("event_id % 89 = 0").join(opened, "run_id").filter("ts_us > t0").groupBy("run_id", "t0").agg(F.min("ts_us").alias("t1"))
+    gate = closed.select("run_id", F.expr(f"t0 div {STEP6}").alias("start"), F.expr(f"t1 div {STEP6}").alias("end"), F.lit("gate markers").alias("reason"))
     seg = islands.segments(steps(spark, sf_dir), ["run_id"], "idx", "state").filter("state <> 'LowRate'").filter(F.col("end") - F.col("start") >= 3)
-    return seg.groupBy("run_id").agg(F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
+    seg = seg.groupBy("run_id").agg(F.min("start").alias("start")).select("run_id", "start", (F.col("start") + 3).alias("end"), F.lit("segment").alias("reason"))
+    return gate.unionByName(seg.join(gate, "run_id", "left_anti"))
 
 
 @query(f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS seq FROM det")

@@ -46,6 +46,14 @@ def read_lmx(spark: SparkSession, path: str, channels: int = 32) -> DataFrame:
     return decode_lmx(spark.read.format("binaryFile").load(path).select("path", "content"), channels)
 
 
+def lmx_headers(files: DataFrame) -> DataFrame:
+    """(path, tick_ns, scaler, fifo_lost) of (path, content); null where the header lacks a line."""
+    text = F.decode("content", "ISO-8859-1")
+    head = F.substring(text, F.lit(1), F.instr(text, "BinaryDataFollows"))
+    number = lambda name: F.regexp_extract(head, rf"(?m)^{name}\D*(\d+)", 1).try_cast("long")
+    return files.select("path", number("BinaryDataClockTickLength").alias("tick_ns"), number("InternalScaler").alias("scaler"), number("FifoLostCounts").alias("fifo_lost"))
+
+
 def decode_lmx(files: DataFrame, channels: int = 32) -> DataFrame:
     """(path, record, ts_ticks, channel) of (path, content): an ASCII header up to BinaryDataFollows, then records of a channel mask and ticks.
 
