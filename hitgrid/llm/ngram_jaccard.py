@@ -11,7 +11,7 @@
    exact intersection, and only links that join two components go on.
 
 A shingle in many documents of one task is announced by its count alone, so no task gathers a hot one's
-documents. The number of packed groups follows the bytes of the table, so a group stays small at any size. Blocks
+documents. The number of packed groups follows the bytes of the table alone, so a group stays small at any size. Blocks
 bound what one task holds; a set is copied at most MAX_BLOCKS times for its family, or for each of its prefix
 shingles once a block of those who share it.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, keyed, lower_bytes, mix64, partitions, span_hashes, text_bytes, word_spans, written
+from .common import by_bytes, discard, keyed, lower_bytes, mix64, span_hashes, text_bytes, word_spans, written
 from .components import connected_components
 
 WIDTH = 5
@@ -37,7 +37,7 @@ BLOCK = 256
 #: Families of more blocks go by their prefix shingles.
 MAX_BLOCKS = 16
 #: Bytes of text behind a packed group, about.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 _SLICE, _LOT = 3 << 19, 600_000
 _TOP = np.uint8(255)  # of document frequencies, which are told apart below it
 #: Shingle hashes have 56 bits: seven bytes travel for each.
@@ -310,10 +310,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least id's rows the first by row_key is kept. Extra columns don't go on.
     key_col: the row_key of `keyed`, if the rows are numbered already.
     """
-    spark = docs.sparkSession
     rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"), key_col=key_col)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(4 * partitions(spark), -(-size // PART_BYTES))
+    n = max(1, -(-size // PART_BYTES))
     dealt = rows.select("row_key", "text").mapInArrow(_deal(2 * n, width), _SENT_SQL)
     counted = dealt.groupBy("part").applyInArrow(_count(n), _SENT_SQL)
     sets = written(counted.groupBy("part").applyInArrow(_gather, _SETS), "shingle-sets")
