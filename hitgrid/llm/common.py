@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,45 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, written  # noqa: F401 - the operators take both from here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII white space of the contracts: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Where the tables of `written` are.
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session in one process (tests) may leave it unset: it gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read back with its own schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _PATHS[table] = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes tables of `written` that no plan reads any more; other frames are left alone."""
-    for table in tables:
-        if not (name := _PATHS.pop(table, None)):
-            continue
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of about 8 MB where the session has left the default of 64: long texts would need several times that in a task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
