@@ -48,7 +48,8 @@ def image_payload(coefficients: np.ndarray) -> np.ndarray:
 def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every text as UTF-8 with zero bytes up to a positive multiple of 64, in a progressive JPEG.
 
-    Null counts as empty; ids may be null or repeat. Extra columns don't go on.
+    Null counts as empty; ids may be null or repeat. Extra columns don't go on. An empty table gives no rows. A text of
+    any length is one row and one file, so a task holds several times its longest text.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]

@@ -307,7 +307,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of shorter texts all words as one, of null and empty texts nothing: these are linked with nothing. Sets link
     when 100 * intersection >= 80 * union; component_id is the least id that links reach (nulls aside), and kept marks one
     row of each component, that with the least id. Ids that repeat or are null: every row is one node, and of a
-    least id's rows the first by row_key is kept. Extra columns don't go on.
+    least id's rows the first by row_key is kept. Extra columns don't go on. An empty table gives no rows.
     key_col: the row_key of `keyed`, if the rows are numbered already.
     """
     rows, plain = keyed(docs, id_col, F.col(text_col).alias("text"), key_col=key_col)

@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, step_id), a row per piece.
 
     A document is its ids and `end_id`; null and empty texts are `end_id` alone. Null and repeated ids
-    are packed as they come, each row on its own. Extra columns don't go on. sequence_id holds the
+    are packed as they come, each row on its own. Extra columns don't go on. An empty table gives no rows. sequence_id holds the
     partition and a number in it. tokenizer: path of a vocabulary file, the same on all executors.
     """
     small_batches(docs.sparkSession)

@@ -241,7 +241,7 @@ def load(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>), a row per row; null and empty texts have no ids. Ids may be null or repeat. Extra columns don't go on."""
+    """(id, ids array<int>), a row per row; null and empty texts have no ids. Ids may be null or repeat. Extra columns don't go on. No rows give no rows."""
     small_batches(docs.sparkSession)
     kind, shared = dict(docs.dtypes)[id_col], docs.sparkSession.sparkContext.broadcast(pieces)
 

@@ -116,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, id
 
     verdict: the rule's where one fits, else `block` where p_block >= threshold, else `allow`.
     Null, empty and odd URLs have empty host and path and are judged like others; null ids, repeated
-    rows and extra columns (which don't go on) need no care, since each row is judged alone.
+    rows and extra columns (which don't go on) need no care, since each row is judged alone. An empty table gives no rows.
     """
     model = fit(labelled)
     host, path = split_url(F.col(url_col))
