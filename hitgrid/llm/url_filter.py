@@ -24,7 +24,7 @@ Rule = tuple[str, str]
 #: Host words that name what such pages sell, the seed of the labelled table.
 SEED_BLOCK_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 
-#: Rules become one expression; longer lists belong into a joined table.
+#: So many rules become one expression; longer lists are joined as a table.
 MAX_RULES = 500
 
 
@@ -44,8 +44,6 @@ def rule_fits(rule: str, host: Column, path: Column) -> Column:
 
 def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls; of equally long ones the first in the alphabet."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     rule = verdict = F.lit(None).cast("string")
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0]), reverse=True):
         fits = rule_fits(text, host, path)
@@ -53,6 +51,26 @@ def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colu
     return rule, verdict
 
 
+def match_rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (host, path and more) with rule and verdict as by `match_rules`, from a table (rule, verdict) of any length.
+
+    A pair of host and path meets the rules by equality: with each of its host's suffixes, up to as many labels as a rule
+    has, before each start of its path of a length that rules have. These lengths are few; only they come to the driver.
+    """
+    rules = rules.select("rule", "verdict").filter("rule is not null").dropDuplicates(["rule"])
+    start = F.expr("substring(rule, instr(rule, '/'))")
+    shape = rules.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("labels"), F.collect_set(F.length(start)).alias("lengths")).first()
+    if not shape["lengths"]:
+        return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in range(1, shape["labels"] + 1)]))
+    starts = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in sorted(shape["lengths"])]))
+    pairs = urls.select("host", "path").distinct()
+    keys = pairs.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(starts).alias("start"))
+    met = keys.withColumn("rule", F.concat("suffix", "start")).join(rules, "rule")
+    best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("b"))
+    return urls.join(best.select("host", "path", "b.rule", "b.verdict"), ["host", "path"], "left")
+
+
 def ngrams(text: Column, sizes: Sequence[int], mark: str) -> Column:
     """All character n-grams of ^text$, each with a mark for its field. One pass over the text for each size: a look-ahead matches at every character."""
     text = F.concat(F.lit("^"), F.coalesce(text, F.lit("")), F.lit("$"))
@@ -111,16 +129,21 @@ def score(urls: DataFrame, model: PipelineModel | None, host: str = "host", path
     return model.transform(rows).withColumn("p_block", vector_to_array("probability")[1]).drop(*made)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, p_block.
 
-    verdict: the rule's where one fits, else `block` where p_block >= threshold, else `allow`.
+    rules: a list, or a table (rule, verdict). verdict: the rule's where one fits, else `block` where p_block >= threshold, else `allow`.
     Null, empty and odd URLs have empty host and path and are judged like others; null ids, repeated
     rows and extra columns (which don't go on) need no care, since each row is judged alone. An empty table gives no rows.
     """
     model = fit(labelled)
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    judged = score(rows.withColumns({"rule": rule, "verdict": verdict}), model)
+    if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
+        named = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+        rows = match_rule_table(rows, named)
+    else:
+        rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
+        rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    judged = score(rows, model)
     return judged.withColumn("verdict", F.coalesce("verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))).select(id_col, "host", "path", "rule", "verdict", "p_block")

@@ -397,6 +397,23 @@ def test_url_grams_as_by_brute_force(spark, texts):
         assert r.g == [f"h{n}:{full[i : i + n]}" for n in (3, 5) for i in range(len(full) - n + 1)]
 
 
+def test_url_rules_of_a_table_are_those_of_a_list(spark):
+    import random
+
+    rng = random.Random(2)
+    hosts = ["", "com", "a.com", "b.a.com", "acom", "org", "x.org", "a.", "."]
+    rules = [(f"{rng.choice(hosts)}/{p}", rng.choice(["allow", "block"])) for p in ("", "a", "ab", "a/b", "ab/c", "abcd")] + [("com/", "block"), ("a.com/ab", "allow"), ("b.a.com/a", "block")]
+    rules = list({r: (r, v) for r, v in rules}.values())
+    urls = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['', 'a', 'ab', 'abc', 'a/b', 'ab/cd', 'b', 'é'])}") for k in range(150)] + [(150, "http://com"), (151, None), (151, None)]
+    pages = spark.createDataFrame(urls, "page_id int, url string")
+    none = spark.createDataFrame([], "host string, path string, label double")
+    listed = url_filter.filter_urls(pages, rules, none)
+    joined = url_filter.filter_urls(pages, spark.createDataFrame(rules, "rule string, verdict string"), none)
+    assert joined.columns == listed.columns and sorted(map(str, joined.collect())) == sorted(map(str, listed.collect()))
+    assert listed.filter("rule is not null").count() > 40
+    assert url_filter.filter_urls(pages, spark.createDataFrame([], "rule string, verdict string"), none).filter("rule is null").count() == len(urls)
+
+
 def test_url_filter_odd_tables(spark):
     """Very long URLs in linear time, null and repeated ids, rules of equal length, and verdicts as by the model's own weights."""
     import time
