@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,25 +71,26 @@ def prj_channel_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", "day", *[F.element_at("channels", c).alias(f"c{c}") for c in range(1, 16)])
 
 
-def features(df: DataFrame, duration: Column, eps: float = 1e-12) -> DataFrame:
-    """The descriptors of 15 counts: total, fractions (0 for no counts), entropy, Gini, anisotropy, dipole, duration."""
+def features(df: DataFrame, duration: Column, eps: float = 1e-9, positions: Sequence[float] = tuple(range(15))) -> DataFrame:
+    """The descriptors of 15 counts: total, fractions (0 for no counts), entropy, Gini, anisotropy (the variance of the fractions), dipole (the size of their mean position), duration."""
     rows = channels(df).withColumn("total", F.aggregate("channels", F.lit(0.0), lambda a, x: a + x))
     p = F.transform("channels", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(0.0))
     rows = rows.withColumn("p", p)
-    positions = F.array(*[F.lit(float(k - 8)) for k in range(1, 16)])
+    places = F.array(*[F.lit(float(x)) for x in positions])
     add = lambda a, x: a + x
     rows = rows.withColumns({
         "entropy": -F.aggregate(F.transform("p", lambda x: x * F.log(x + eps)), F.lit(0.0), add),
         "gini": 1 - F.aggregate(F.transform("p", lambda x: x * x), F.lit(0.0), add),
-        "dipole": F.abs(F.aggregate(F.zip_with("p", positions, lambda x, y: x * y), F.lit(0.0), add)),
+        "dipole": F.abs(F.aggregate(F.zip_with("p", places, lambda x, y: x * y), F.lit(0.0), add)),
         "duration": duration,
     })
-    return rows.withColumn("anisotropy", F.aggregate(F.transform("p", lambda x: (x - 1 / 15) * (x - 1 / 15)), F.lit(0.0), add) / 15)
+    rows = rows.withColumn("_mean", F.aggregate("p", F.lit(0.0), add) / 15)
+    return rows.withColumn("anisotropy", F.aggregate(F.transform("p", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), F.lit(0.0), add) / 15).drop("_mean")
 
 
 _T = "CAST(" + "+".join(_C15) + " AS DOUBLE)"
 _FEATURES = f"""{DETECTIONS}, {_VECTORS}, feat AS (SELECT run_id, day, total, list_transform(c, lambda x: x/total) AS p FROM (SELECT run_id, day, {_T} AS total, [{', '.join(_C15)}] AS c FROM vec)),
-  described AS (SELECT run_id, day, total, -list_sum(list_transform(p, lambda x: x*ln(x+1e-12))) AS entropy, 1-list_sum(list_transform(p, lambda x: x*x)) AS gini, list_sum(list_transform(p, lambda x: (x-1.0/15)*(x-1.0/15)))/15 AS anisotropy, abs({'+'.join(f'p[{k}]*({k - 8})' for k in range(1, 16))}) AS dipole FROM feat)"""
+  described AS (SELECT run_id, day, total, -list_sum(list_transform(p, lambda x: x*ln(x+1e-9))) AS entropy, 1-list_sum(list_transform(p, lambda x: x*x)) AS gini, list_sum(list_transform(p, lambda x: (x-list_sum(p)/15)*(x-list_sum(p)/15)))/15 AS anisotropy, abs({'+'.join(f'p[{k}]*({k - 1})' for k in range(1, 16))}) AS dipole FROM feat)"""
 _FSEL = "round(entropy, 6) AS entropy, round(gini, 6) AS gini, round(anisotropy, 9) AS anisotropy, round(dipole, 6) AS dipole"
 
 
@@ -117,13 +120,13 @@ def fn_feature_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FEATURES} SELECT run_id, d AS descriptor, CAST(least(29, greatest(0, floor(v*30))) AS BIGINT) AS bucket, count(*) AS n FROM (
-  SELECT run_id, unnest(['entropy','gini','dipole']) AS d, unnest([entropy/ln(15), gini, dipole/7]) AS v FROM described) GROUP BY ALL""")
+  SELECT run_id, unnest(['entropy','gini','anisotropy','dipole']) AS d, unnest([entropy/ln(15), gini, anisotropy*225/14, dipole/14]) AS v FROM described) GROUP BY ALL""")
 def agg_descriptor_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms of 30 bins of the descriptors, each scaled to its range."""
     import math
 
     rows = described(spark, sf_dir)
-    long = rows.select("run_id", F.explode(F.create_map(F.lit("entropy"), F.col("entropy") / math.log(15), F.lit("gini"), F.col("gini"), F.lit("dipole"), F.col("dipole") / 7)).alias("descriptor", "v"))
+    long = rows.select("run_id", F.explode(F.create_map(F.lit("entropy"), F.col("entropy") / math.log(15), F.lit("gini"), F.col("gini"), F.lit("anisotropy"), F.col("anisotropy") * 225 / 14, F.lit("dipole"), F.col("dipole") / 14)).alias("descriptor", "v"))
     bucket = F.least(F.lit(29), F.greatest(F.lit(0), F.floor(F.col("v") * 30))).cast("long")
     return long.groupBy("run_id", "descriptor", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 

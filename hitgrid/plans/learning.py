@@ -244,7 +244,7 @@ def ml_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = L.classifier(train, F36, "y")
     held = whole.select("*", F.explode(F.array(F.when(F.col("u") < 0.2, "random"), F.when(F.col("holdout"), "grouped"))).alias("split")).filter("split is not null")
     turn = {f"{a}{k}": F.col(f"{a}{k % 15 + 1}") for a in "cf" for k in range(1, 16)}
-    mean = sum((turn[f"f{k}"] * float(k - 8) for k in range(1, 16)), F.lit(0.0))
+    mean = sum((turn[f"f{k}"] * float(k - 1) for k in range(1, 16)), F.lit(0.0))
     permuted = held.withColumns({**turn, "dipole": F.abs(mean)})  # the other descriptors don't depend on the order
     labels = None
     for split in ("random", "grouped"):

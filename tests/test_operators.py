@@ -284,3 +284,15 @@ def test_moment_sums_of_large_gates(spark):
         assert got[f"s{k + 1}"] == pytest.approx(sum(f[k] for f in falls), rel=1e-12)
         for j in range(k, 3):
             assert got[f"q{k + 1}{j + 1}"] == pytest.approx(sum(f[k] * f[j] for f in falls), rel=1e-12)
+
+
+def test_features_of_known_vectors(spark):
+    from hitgrid.plans import channels
+
+    names = [f"c{k}" for k in range(1, 16)]
+    df = spark.createDataFrame([tuple([2] * 15), tuple([0] * 15), (*[0] * 14, 8)], ", ".join(f"{c} int" for c in names))
+    even, none, last = channels.features(df, F.lit(1.0)).collect()
+    assert even.entropy == pytest.approx(np.log(15), abs=1e-7) and even.gini == pytest.approx(14 / 15) and even.anisotropy == pytest.approx(0) and even.dipole == pytest.approx(7)
+    assert (none.total, none.entropy, none.gini, none.anisotropy, none.dipole) == (0, 0, 1, 0, 0)
+    assert last.gini == pytest.approx(0) and last.anisotropy == pytest.approx(14 / 225) and last.dipole == pytest.approx(14)
+    assert channels.features(df, F.lit(1.0), positions=[k - 7 for k in range(15)]).collect()[0].dipole == pytest.approx(0)
