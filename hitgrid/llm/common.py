@@ -161,9 +161,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words `[^\\x20\\x09-\\x0D]+`, and each text's first word (n + 1 values)."""
-    inside = ~_IS_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, runs of bytes that are not `outside` (`[^\\x20\\x09-\\x0D]+` by default), and each text's first word (n + 1 values)."""
+    inside = ~outside[raw]
     first = inside.copy()
     if len(raw):
         first[1:] &= ~inside[:-1]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, substring_dedup, unigram, url_filter
+from . import chat, collocations, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, substring_dedup, unigram, url_filter
 
 #: The rules of the URL filter's contract.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -91,10 +91,47 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_payloads(_table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?
+-
+]')) AS piece FROM documents
+), pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM texts
+), grams AS (
+    SELECT lang, m AS words, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM pieces, (VALUES (1), (2), (3)) AS sizes(m)
+), counted AS MATERIALIZED (
+    SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang
+), frequent AS MATERIALIZED (
+    SELECT * FROM counted WHERE f >= 10
+), candidates AS MATERIALIZED (
+    SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM frequent WHERE words > 1
+), halves AS MATERIALIZED (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM candidates, (VALUES (1), (2)) AS ks(k) WHERE k < words
+), cuts AS (
+    SELECT h.lang, h.phrase, h.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * h.a * h.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM halves h JOIN frequent x ON x.lang = h.lang AND x.phrase = head JOIN frequent y ON y.lang = h.lang AND y.phrase = tail
+), worst AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+    SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS longer FROM candidates, (VALUES (1), (2)) AS ss(s) WHERE words = 3 GROUP BY ALL
+), kept AS (
+    SELECT worst.* FROM worst LEFT JOIN parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns)
+    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns, op11_phrase_collocations)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_phrase_collocations": OP11_SQL}
