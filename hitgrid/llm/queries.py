@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, substring_dedup, unigram, url_filter
+from . import chat, collocations, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, prefix_trie, substring_dedup, unigram, url_filter
 
 #: The rules of the URL filter's contract.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -128,10 +128,50 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.conversation_paths(_table(spark, sf_dir, "conversations"))
+    turns = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rebuilt = prefix_trie.graft(paths, root=F.col("conv_id") - F.col("conv_id") % 100, turns=turns, longest=5)
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+# crc32 bit by bit: DuckDB has no such function.
+OP13_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS root, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT ids.conv_id, pos, role, text FROM ids JOIN turns ON turns.conv_id = root AND pos <= h
+    UNION ALL
+    SELECT ids.conv_id, pos, role, text FROM ids JOIN turns ON turns.conv_id = ids.conv_id AND pos > h
+), numbered AS (
+    SELECT conv_id, length(text) AS size, md5(length(role) || ':' || role || text) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt
+), paths AS (
+    SELECT conv_id, depth, size, list(turn) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM numbered
+    UNION ALL SELECT conv_id, 0, 0, [] FROM ids
+), lengths AS (
+    SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id
+), nodes AS (
+    SELECT path, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+    FROM paths JOIN lengths USING (conv_id) GROUP BY path
+), family AS (
+    SELECT p.path, p.depth, p.conv_id, p.n_convs, p.ends_sha256, q.conv_id AS parent_conv_id,
+        (SELECT count(*) FROM nodes c WHERE c.depth = p.depth + 1 AND c.path[1:c.depth - 1] = p.path) AS n_children FROM nodes p LEFT JOIN nodes q ON p.depth > 0 AND q.path = p.path[1:p.depth - 1]
+), below AS (
+    SELECT path, unnest(list_transform(range(0, depth + 1), lambda k: path[1:k])) AS top FROM nodes
+)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens, f.ends_sha256
+FROM family f JOIN below b ON b.top = f.path JOIN nodes n ON n.path = b.path JOIN family d ON d.path = b.path GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns, op11_phrase_collocations)
+    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns, op11_phrase_collocations, op13_conversation_prefix_trie)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_phrase_collocations": OP11_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_phrase_collocations": OP11_SQL, "op13_conversation_prefix_trie": OP13_SQL}
