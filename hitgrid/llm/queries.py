@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, prefix_trie, substring_dedup, unigram, url_filter
+from . import chat, collocations, exact_dedup, language_id, line_dedup, media, ngram_jaccard, packing, prefix_trie, quality, substring_dedup, unigram, url_filter
 
 #: The rules of the URL filter's contract.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -128,6 +128,12 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels.filter(~quality.held_out(F.col("doc_id"))), F.col("quality"))
+    return quality.score_quality(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = prefix_trie.conversation_paths(_table(spark, sf_dir, "conversations"))
     turns = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
@@ -169,7 +175,7 @@ FROM family f JOIN below b ON b.top = f.path JOIN nodes n ON n.path = b.path JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns, op11_phrase_collocations, op13_conversation_prefix_trie)
+    ops = (op1_url_filter, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_exact_dedup, op6_sentencepiece, op7_language_id, op8_line_dedup, op9_packing, op10_media_columns, op11_phrase_collocations, op12_quality_classifier, op13_conversation_prefix_trie)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
