@@ -37,15 +37,19 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_fits(rule: str, host: Column, path: Column) -> Column:
-    """A rule fits its host and all subdomains, where the path starts with the rule's."""
+    """A rule fits its host and all subdomains, where the path starts with the rule's. A rule without a slash fits every path."""
     rule_host, slash, rest = rule.partition("/")
     return ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(slash + rest)
 
 
 def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else nulls; of equally long ones the first in the alphabet."""
+    """(rule, verdict) of the longest rule that fits, else nulls; of equally long ones the first in the alphabet.
+
+    A rule that stands twice has the last of its verdicts in the alphabet (block before allow). Without a text or a verdict it is none.
+    """
     rule = verdict = F.lit(None).cast("string")
-    for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0]), reverse=True):
+    last = dict(sorted((text, says) for text, says in rules if text is not None and says is not None))
+    for text, says in sorted(last.items(), key=lambda r: (-len(r[0]), r[0]), reverse=True):
         fits = rule_fits(text, host, path)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
     return rule, verdict
@@ -57,16 +61,18 @@ def match_rule_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     A pair of host and path meets the rules by equality: with each of its host's suffixes, up to as many labels as a rule
     has, before each start of its path of a length that rules have. These lengths are few; only they come to the driver.
     """
-    rules = rules.select("rule", "verdict").filter("rule is not null").dropDuplicates(["rule"])
-    start = F.expr("substring(rule, instr(rule, '/'))")
-    shape = rules.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("labels"), F.collect_set(F.length(start)).alias("lengths")).first()
+    rules = rules.select("rule", "verdict").filter("rule is not null and verdict is not null").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    rules = rules.withColumn("slash", F.instr("rule", "/")).withColumn("n", F.when(F.col("slash") > 0, F.length("rule") - F.col("slash") + 1).otherwise(0))
+    shape = rules.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("labels"), F.collect_set("n").alias("lengths")).first()
     if not shape["lengths"]:
         return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
     suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in range(1, shape["labels"] + 1)]))
-    starts = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in sorted(shape["lengths"])]))
+    # A start as long as wanted only; a shorter path has none of that length.
+    starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.struct(F.substring("path", 1, n).alias("start"), F.lit(n).alias("n"))) for n in sorted(shape["lengths"])]), lambda x: x.isNotNull())
     pairs = urls.select("host", "path").distinct()
-    keys = pairs.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(starts).alias("start"))
-    met = keys.withColumn("rule", F.concat("suffix", "start")).join(rules, "rule")
+    keys = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), starts.alias("starts")).select("host", "path", "suffix", F.explode("starts").alias("s"))
+    # The lengths must agree, too: `a/b` is a host's rule with a path, and no host of that name.
+    met = keys.select("host", "path", F.concat("suffix", "s.start").alias("rule"), "s.n").join(rules.drop("slash"), ["rule", "n"])
     best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("b"))
     return urls.join(best.select("host", "path", "b.rule", "b.verdict"), ["host", "path"], "left")
 
@@ -91,15 +97,19 @@ def labelled_urls(pages: DataFrame, url_col: str = "url", bound: int = 4000, wor
     """The small labelled table (host, path, label): label 1 where a host word is a seed word, else 0.
 
     At most `bound` URLs of each label, the first in the order of a hash of the URL: a bounded sample,
-    the same at every run. Distinct URLs only.
+    the same at every run. Distinct URLs only: of a label with many, those with a hash below a bound are told apart, not all.
     """
     host, path = split_url(F.col(url_col))
-    named = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("u"), host.alias("host"), path.alias("path"))
-    named = named.filter(F.col("host") != "").withColumn("label", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words))).cast("double")).distinct()
-    order = F.xxhash64("u")
-    one = named.filter("label = 1").orderBy(order, "u").limit(bound)
-    zero = named.filter("label = 0").orderBy(order, "u").limit(bound)
-    return one.unionByName(zero).select("host", "path", "label")
+    named = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("u"), host.alias("host"), path.alias("path"), F.xxhash64(url_col).alias("h"))
+    named = named.filter(F.col("host") != "").withColumn("label", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words))).cast("double"))
+    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # two rows
+    few = None
+    for label in (1.0, 0.0):
+        # Twice the share that would do: the estimate is off by some per cent.
+        share = min(2 * bound / max(sizes.get(label, 0), 1), 1.0)
+        some = named.filter((F.col("label") == label) & (F.col("h") / F.lit(float(1 << 64)) + 0.5 <= share)).distinct().orderBy("h", "u").limit(bound)
+        few = some if few is None else few.unionByName(some)
+    return few.select("host", "path", "label")
 
 
 def fit(labelled: DataFrame, features: int = 1 << 14, rounds: int = 40, reg: float = 1e-3) -> PipelineModel | None:
@@ -132,7 +142,7 @@ def score(urls: DataFrame, model: PipelineModel | None, host: str = "host", path
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, p_block.
 
-    rules: a list, or a table (rule, verdict). verdict: the rule's where one fits, else `block` where p_block >= threshold, else `allow`.
+    rules: a list, or a table (rule, verdict); both are read alike (`match_rules`), whatever their length. verdict: the rule's where one fits, else `block` where p_block >= threshold, else `allow`.
     Null, empty and odd URLs have empty host and path and are judged like others; null ids, repeated
     rows and extra columns (which don't go on) need no care, since each row is judged alone. An empty table gives no rows.
     """

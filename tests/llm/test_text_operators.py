@@ -397,21 +397,48 @@ def test_url_grams_as_by_brute_force(spark, texts):
         assert r.g == [f"h{n}:{full[i : i + n]}" for n in (3, 5) for i in range(len(full) - n + 1)]
 
 
-def test_url_rules_of_a_table_are_those_of_a_list(spark):
+def best_rule(url, rules):
+    """By the docstrings, in plain Python."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0].lower()
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    says = {}
+    for rule, verdict in rules:
+        if rule is not None and verdict is not None:
+            says[rule] = max(verdict, says.get(rule, ""))
+    fits = [r for r in says for h, slash, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(slash + p)]
+    rule = min(fits, key=lambda r: (-len(r), r), default=None)
+    return rule, says.get(rule)
+
+
+RULE_HOSTS = ["", "com", "a.com", "b.a.com", "acom", "org", "x.org", "net", "a.", "."]
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(st.tuples(st.one_of(st.none(), st.tuples(st.sampled_from(RULE_HOSTS), st.sampled_from(["", "/", "/a", "/ab", "/a/b", "/ab/c", "/abcd", "/é"])).map("".join)), st.sampled_from(["allow", "block", None])), max_size=20),
+    st.lists(st.tuples(st.sampled_from(RULE_HOSTS), st.sampled_from(["", "/", "/a", "/ab", "/abc", "/a/b", "/ab/cd", "/b", "/é?q", "#f"])).map(lambda x: "http://" + "".join(x)), min_size=1, max_size=30),
+)
+def test_url_rules_of_a_table_and_of_a_list_are_those_of_plain_python(spark, rules, urls):
+    """Rules without a slash, repeated ones with other verdicts, nulls; both ways agree with brute force."""
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, None, "x"])], "page_id int, url string")
+    none = spark.createDataFrame([], "host string, path string, label double")
+    for given_rules in (rules, spark.createDataFrame(rules, "rule string, verdict string")):
+        for r in url_filter.filter_urls(pages, given_rules, none).collect():
+            rule, verdict = best_rule([*urls, None, "x"][r.page_id], rules)
+            assert (r.rule, r.verdict) == (rule, verdict or "allow")
+
+
+@pytest.mark.parametrize("n", [0, url_filter.MAX_RULES, url_filter.MAX_RULES + 100])
+def test_url_rules_on_both_sides_of_the_switch(spark, n):
     import random
 
-    rng = random.Random(2)
-    hosts = ["", "com", "a.com", "b.a.com", "acom", "org", "x.org", "a.", "."]
-    rules = [(f"{rng.choice(hosts)}/{p}", rng.choice(["allow", "block"])) for p in ("", "a", "ab", "a/b", "ab/c", "abcd")] + [("com/", "block"), ("a.com/ab", "allow"), ("b.a.com/a", "block")]
-    rules = list({r: (r, v) for r, v in rules}.values())
-    urls = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['', 'a', 'ab', 'abc', 'a/b', 'ab/cd', 'b', 'é'])}") for k in range(150)] + [(150, "http://com"), (151, None), (151, None)]
-    pages = spark.createDataFrame(urls, "page_id int, url string")
-    none = spark.createDataFrame([], "host string, path string, label double")
-    listed = url_filter.filter_urls(pages, rules, none)
-    joined = url_filter.filter_urls(pages, spark.createDataFrame(rules, "rule string, verdict string"), none)
-    assert joined.columns == listed.columns and sorted(map(str, joined.collect())) == sorted(map(str, listed.collect()))
-    assert listed.filter("rule is not null").count() > 40
-    assert url_filter.filter_urls(pages, spark.createDataFrame([], "rule string, verdict string"), none).filter("rule is null").count() == len(urls)
+    rng = random.Random(n)
+    rules = [(rng.choice(RULE_HOSTS) + rng.choice(["", "/", "/a"]) + "".join(rng.choice("ab/.") for _ in range(k % 6)), rng.choice(["allow", "block"])) for k in range(n)]
+    urls = [f"http://{rng.choice(RULE_HOSTS)}/{''.join(rng.choice('ab/.') for _ in range(k % 7))}" for k in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = url_filter.filter_urls(pages, rules, spark.createDataFrame([], "host string, path string, label double")).collect()
+    assert len(got) == len(urls) and all((r.rule, r.verdict) == (x[0], x[1] or "allow") for r in got for x in [best_rule(urls[r.page_id], rules)])
 
 
 def test_url_filter_odd_tables(spark):
