@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .listmode import first_file_per_run, resolve_columns
@@ -24,19 +24,49 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, ext: str, columns: Sequence[str] = ()) -> DataFrame:
-    """All files of an extension under a folder, with their `path`. Broken JSON lines give rows of nulls. No files: no rows, and only the given columns."""
+    """All files of an extension under a folder, with their `path`. Broken JSON lines give rows of nulls; CSV files as by `read_csv`. No files: no rows, and only the given columns."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ext}")
     if list_files(spark, folder).filter(F.lower("path").endswith(f".{ext}")).isEmpty():
         return spark.createDataFrame([], ", ".join([*(f"`{c}` string" for c in columns), "path string"]))
     if ext == "csv":
-        found = files.option("header", "true").option("inferSchema", "true").csv(folder)
-    elif ext == "json":
+        return read_csv(spark, folder)
+    if ext == "json":
         found = _json_of_both_kinds(spark, folder)
     else:
         found = files.option("mode", "PERMISSIVE").json(folder)
     return found.withColumn("path", F.input_file_name())
 
 
+def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, header), a row for each CSV file under a folder that has a line: its first one that isn't blank, without a byte order mark."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.filter((F.col("block") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+
+
+def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """All CSV files under a folder, each under its own header, and their `path`: all columns are strings.
+
+    A column is known by its name, letter case aside, wherever it stands in a file; a file without it gives nulls, and of a
+    name that stands twice the first counts. Values past a header are left out, short lines end in nulls. Headers take one line.
+    Files meet their headers by path; only the names of columns come to the driver.
+    """
+    headers = csv_headers(spark, folder)
+    width = headers.agg(F.max(F.regexp_count("header", F.lit(","))).alias("n")).first()["n"]
+    if width is None:
+        return spark.createDataFrame([], "path string")
+    places = [f"_c{k}" for k in range(width + 1)]
+    schema = ", ".join(f"{c} string" for c in places)
+    named = headers.withColumn("h", F.from_csv("header", schema)).select("path", F.array(*[F.trim(f"h.{c}") for c in places]).alias("names"))
+    columns = named.select(F.explode("names").alias("name")).filter("name <> ''").groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name")).orderBy("key").collect()
+    named = named.select("path", F.transform("names", F.lower).alias("names"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", "true").option("enforceSchema", "true").csv(folder)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.array(*places).alias("line")).join(named, "path")
+    pick = lambda key: F.try_element_at("line", F.nullif(F.array_position("names", F.lit(key)), F.lit(0)).cast("int"))
+    return rows.select(*[pick(r["key"]).alias(r["name"]) for r in columns if r["key"] != "path"], "path")
+
+
 def _json_of_both_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Files of one JSON value, an array or an object over several lines, and files of a value a line. Only file names come to the driver."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder)
@@ -60,16 +90,17 @@ def read_windows(spark: SparkSession, folder: str, kinds: dict[str, str], aliase
     out = None
     for ext in EXTENSIONS:
         rows = read_records(spark, folder, ext)
-        known = {c.lower() for c in rows.columns}
-        for name in kinds:
-            if not any(s.lower() in known for s in [name, *aliases.get(name, [])]):
-                rows = rows.withColumn(name, F.lit(None).cast(kinds[name]))
-        part = resolve_columns(rows, {name: aliases.get(name, []) for name in kinds})
-        part = part.select(*[F.col(c).cast("string").try_cast(t).alias(c) for c, t in kinds.items()])
+        known = {c.lower(): c for c in rows.columns}
+        part = rows.select(*[_first_of([known[s.lower()] for s in [c, *aliases.get(c, [])] if s.lower() in known], t).alias(c) for c, t in kinds.items()])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _first_of(columns: Sequence[str], kind: str) -> Column:
+    """The first of these columns with a value: files spell a field in one way each, so all but one are null."""
+    return F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns], F.lit(None).cast("string")).try_cast(kind)
+
+
 def discover_runs(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
     """(run_id, path, size): one file for each run of a folder, by extension, exact name, size and path. A run is a folder `run_id=...` or else a file's stem."""
     files = list_files(spark, folder).filter(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
@@ -85,7 +116,9 @@ def read_manifest(spark: SparkSession, folder: str, kinds: dict[str, str], alias
         raise FileNotFoundError(f"no manifest in {folder}")
     out = None
     for rows in frames:
-        part = resolve_columns(rows, {name: aliases.get(name, []) for name in kinds}).select(*[F.col(c).cast("string").try_cast(t).alias(c) for c, t in kinds.items()])
+        resolve_columns(rows, {name: aliases.get(name, []) for name in kinds})  # fails with the names that no file has
+        known = {c.lower(): c for c in rows.columns}
+        part = rows.select(*[_first_of([known[s.lower()] for s in [c, *aliases.get(c, [])] if s.lower() in known], t).alias(c) for c, t in kinds.items()])
         out = part if out is None else out.unionByName(part)
     return out.filter(F.col(usable)) if usable else out
 

@@ -89,6 +89,37 @@ def test_windows_of_all_formats(spark, tmp_path):
     assert sum(r.run_id is None for r in got) == 1
 
 
+def test_csv_files_under_their_own_headers(spark, tmp_path):
+    """Other orders, spellings and columns; leading zeros; a byte order mark, blank first lines, quoted values, short lines, empty files."""
+    import csv
+
+    texts = {
+        "a.csv": "run_id,window_index,t_start,total_counts\n007,1,0.5,10\n008,2,1.5,20\n",
+        "sub/b.csv": "total_counts,run_id,extra\n99,008,\"x, y\"\n98,0010\n",
+        "c.csv": "\ufeffrun_id,index\n007,3\n",
+        "d.csv": "\n\nIndex,RUN_ID,counts\n4,009,40\n",
+        "e.csv": "",
+        "f.csv": "run_id,index\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    kinds = {"run_id": "string", "window_index": "long", "t_start": "double", "total_counts": "long"}
+    want = []
+    for text in texts.values():
+        lines = list(csv.reader(text.lstrip("\ufeff").strip("\n").splitlines()))
+        names = [n.lower() for n in (lines or [[]])[0]]
+        for line in lines[1:]:
+            row = dict(zip(names, line, strict=False))
+            pick = lambda *of: next((row[o] for o in of if o in row), None)  # noqa: B023, E731
+            number = lambda v, f: None if v is None else f(v)
+            want.append((pick("run_id"), number(pick("window_index", "index"), int), number(pick("t_start"), float), number(pick("total_counts", "counts"), int)))
+    got = [tuple(r) for r in files.read_windows(spark, str(tmp_path), kinds).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 6
+    back = files.read_csv(spark, str(tmp_path))
+    assert {r.extra for r in back.collect()} == {None, "x, y"} and all(t == "string" for _, t in back.dtypes)
+
+
 def test_a_file_for_each_run(spark, tmp_path):
     for name, size in (("r1.csv", 50), ("r1.json", 5), ("r2.csv", 5), ("run_id=r2/x.csv", 50), ("r3.txt", 9)):
         (tmp_path / name).parent.mkdir(exist_ok=True)
