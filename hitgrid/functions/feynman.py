@@ -1,52 +1,67 @@
-"""The Feynman family from reduced factorial moments m1 .. m8 of a gate, with analytic errors."""
+"""The Feynman family from reduced factorial moments m1 .. m8 of a gate, with errors by the delta method.
+
+Every member is written once, as an expression of m1 .. m4; its derivatives and errors follow from it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .delta import Jet
 
-def _m() -> dict[int, Column]:
-    return {k: F.col(f"m{k}") for k in range(1, 9)}
+#: The members in the order of reports.
+MEMBERS = ["y1", "y2", "y3", "y4", "ym", "y2f", "y3f", "y4f", "ysm2", "ysm3", "ysm4", "ybeta"]
 
 
-def y_raw() -> dict[str, Column]:
-    """y1 .. y4 before the gate's scale: the cumulant-like combinations."""
-    m = _m()
-    return {
-        "y1": m[1],
-        "y2": m[2] - m[1] * m[1] / 2,
-        "y3": m[3] - m[2] * m[1] + m[1] * m[1] * m[1] / 3,
-        "y4": m[4] - m[3] * m[1] + m[2] * m[1] * m[1] - m[2] * m[2] / 2 - m[1] * m[1] * m[1] * m[1] / 4,
-    }
+def _m(k: int) -> Jet:
+    return Jet(F.col(f"m{k}"), {k: F.lit(1.0)})
 
 
-def guarded(a: Column, b: Column) -> Column:
-    """a / b, 0 where b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+def cumulants() -> dict[str, Jet]:
+    """y1 .. y4 of a gate, before the scale of its width."""
+    m1, m2, m3, m4 = map(_m, (1, 2, 3, 4))
+    return {"y1": m1, "y2": m2 - m1**2 / 2, "y3": m3 - m2 * m1 + m1**3 / 3, "y4": m4 - m3 * m1 + m2 * m1**2 - m2**2 / 2 - m1**4 / 4}
 
 
-def y_family(gate_ns: Column) -> dict[str, Column]:
-    """Y1..Y4 per second, Ym, Y2f, Y3f, the ratios to powers of Y1, and Ybeta."""
-    m = _m()
-    y = {k: v * 1e9 / gate_ns for k, v in y_raw().items()}
-    out = dict(y)
-    out["ym"] = guarded(2 * m[2], m[1]) - m[1]
-    out["y2f"] = guarded(m[2], m[1]) - m[1] / 2
-    out["y3f"] = guarded(m[3], m[1]) - m[2] + m[1] * m[1] / 3
-    for k in (2, 3, 4):
-        power = y["y1"]
-        for _ in range(k - 1):
-            power = power * y["y1"]
-        out[f"ysm{k}"] = guarded(y[f"y{k}"], power)
-    top = m[1] * m[1] - 2 * m[2]
-    out["ybeta"] = guarded(3 * top * top, 4 * (m[1] * m[1] * m[1] - 3 * m[1] * m[2] + 3 * m[3]) * m[1])
+def members() -> dict[str, Jet]:
+    """All members, of a gate of one second."""
+    y, m1, m2, m3 = cumulants(), *map(_m, (1, 2, 3))
+    out = dict(y) | {"ym": m2 * 2 / m1 - m1} | {f"y{k}f": y[f"y{k}"] / m1 for k in (2, 3, 4)} | {f"ysm{k}": y[f"y{k}"] / m1**k for k in (2, 3, 4)}
+    return out | {"ybeta": (m1**2 - m2 * 2) ** 2 * 3 / ((m1**3 - m1 * m2 * 3 + m3 * 3) * m1 * 4)}
+
+
+def _seconds(name: str, gate_ns: Column) -> Column:
+    """The factor of the gate's width: y1 .. y4 are per second, ysm-k goes with the power of k - 1 of the width, others have none."""
+    second = gate_ns / 1e9
+    if name in ("y1", "y2", "y3", "y4"):
+        return 1 / second
+    out = F.lit(1.0)
+    for _ in range(int(name[-1]) - 1 if name.startswith("ysm") else 0):
+        out = out * second
     return out
 
 
+def _is_zero(name: str, gate_ns: Column) -> Column:
+    """Where a member is 0 by rule."""
+    m1, m2, m3 = (F.col(f"m{k}") for k in (1, 2, 3))
+    if name in ("y1", "y2", "y3", "y4"):
+        return gate_ns <= 0
+    if name.startswith("ysm"):
+        return (gate_ns <= 0) | (m1 == 0)
+    if name == "ybeta":
+        return (m1 <= 0) | (m2 <= 0) | (m3 <= 0) | ((m1 * m1 * m1 - 3 * m1 * m2 + 3 * m3) * m1 == 0)
+    return m1 <= 0
+
+
+def y_family(gate_ns: Column) -> dict[str, Column]:
+    """Y1..Y4 per second, Ym, Y2f..Y4f, the ratios Ysm2..4 of Y2..4 to powers of Y1, and Ybeta; 0 where a guard says so."""
+    return {name: F.when(_is_zero(name, gate_ns), F.lit(0.0)).otherwise(y.value * _seconds(name, gate_ns)) for name, y in members().items()}
+
+
 def moment_sigmas() -> dict[str, Column]:
     """Variances and covariances of single-gate reduced moments, not divided by cycles."""
-    m = _m()
+    m = {k: F.col(f"m{k}") for k in range(1, 9)}
     return {
         "s11": 2 * m[2] + m[1] - m[1] * m[1],
         "s22": 6 * m[4] + 6 * m[3] + m[2] - m[2] * m[2],
@@ -61,26 +76,31 @@ def moment_sigmas() -> dict[str, Column]:
     }
 
 
-def y_gradients() -> dict[str, list[Column]]:
-    """Partial derivatives of y1 .. y4 (before the gate's scale) by m1 .. m4."""
-    m, zero, one = _m(), F.lit(0.0), F.lit(1.0)
-    return {
-        "y1": [one, zero, zero, zero],
-        "y2": [-m[1], one, zero, zero],
-        "y3": [m[1] * m[1] - m[2], -m[1], one, zero],
-        "y4": [2 * m[1] * m[2] - m[3] - m[1] * m[1] * m[1], m[1] * m[1] - m[2], -m[1], one],
-    }
+def y_gradients() -> dict[str, dict[int, Column]]:
+    """Partial derivatives of all members (of a gate of one second) by m1 .. m4; infinite or NaN where a divisor is 0."""
+    return {name: y.slopes for name, y in members().items()}
 
 
-def y_sigma(gate_ns: Column, cycles: Column) -> dict[str, Column]:
-    """Standard errors of Y1..Y4 by the delta method: -1 for fewer than two cycles, 0 for a negative variance."""
+def with_variances(moments: DataFrame) -> DataFrame:
+    """Adds, for every member of a gate of one second, d{k}_{member} (partial derivatives), v_{member} (the single-gate variance, not
+    divided by cycles) and size_{member} (the sum of its terms' sizes: below some 1e-9 of it nothing is left of a variance but rounding)."""
+    slopes = moments.withColumns({f"d{k}_{name}": slope for name, own in y_gradients().items() for k, slope in own.items()})
     cov = moment_sigmas()
+    jets = {name: Jet(F.lit(0.0), {k: F.col(f"d{k}_{name}") for k in y.slopes}) for name, y in members().items()}
+    return slopes.withColumns({f"{c}_{name}": y.variance(lambda i, j: cov[f"s{i}{j}"], c == "size") for name, y in jets.items() for c in ("v", "size")})
+
+
+def y_sigma(gate_ns: Column, cycles: Column, by_root: bool = True) -> dict[str, Column]:
+    """Standard errors of all members, from the columns of `with_variances`: the root of the variance over the root of cycles - 1, or over cycles - 1 itself.
+
+    -1 for fewer than two cycles (times the gate's factor for ysm; also for a gate below 1 ns for y1 .. y4), 0 for a negative variance.
+    """
     out = {}
-    for name, grad in y_gradients().items():
-        k = int(name[1])
-        var = F.lit(0.0)
-        for i in range(k):
-            for j in range(k):
-                var = var + grad[i] * grad[j] * cov[f"s{min(i, j) + 1}{max(i, j) + 1}"]
-        out[f"sigma_{name}"] = F.when(cycles < 2, F.lit(-1.0)).when(var < 0, F.lit(0.0)).otherwise(F.sqrt(var) / F.sqrt(cycles - 1.0) * 1e9 / gate_ns)
+    for name in MEMBERS:
+        var, few, scale = F.col(f"v_{name}"), cycles < 2, _seconds(name, gate_ns)
+        if name in ("y1", "y2", "y3", "y4"):
+            few = few | (gate_ns < 1)
+        none = F.lit(-1.0) * scale if name.startswith("ysm") else F.lit(-1.0)
+        per = F.sqrt(cycles - 1.0) if by_root else cycles - 1.0
+        out[f"sigma_{name}"] = F.when(few, none).when(var < 0, F.lit(0.0)).otherwise(F.sqrt(var) / per * scale)
     return out

@@ -48,7 +48,7 @@ def src_filename_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *[F.element_at("n", k).alias(c) for k, c in enumerate(("id", "x", "y", "z"), 1)])
 
 
-@query(f"SELECT run_id, idx AS window_index, idx * 21600.0::DOUBLE AS t_start, n AS total_counts, CASE WHEN idx % 6 = 4 THEN NULL ELSE state END AS rt_state, lpad(CAST(idx AS VARCHAR), 5, '0') AS code FROM (WITH {_W} SELECT * FROM steps)")
+@query(f"SELECT run_id, idx AS window_index, idx * 21600.0::DOUBLE AS t_start, n AS total_counts, CASE WHEN idx % 6 = 4 THEN NULL ELSE state END AS rt_state, lpad(CAST(idx AS VARCHAR), 8, '0') AS code FROM (WITH {_W} SELECT * FROM steps)")
 def src_windows_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window records in files of three formats, their fields under several spellings, read back as one table.
 
@@ -56,11 +56,11 @@ def src_windows_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from .windows import steps
 
-    rows = steps(spark, sf_dir).select("run_id", "idx", (F.col("idx") * 21600.0).alias("start"), "n", "state", F.lpad(F.col("idx").cast("string"), 5, "0").alias("code"))
+    rows = steps(spark, sf_dir).select("run_id", "idx", (F.col("idx") * 21600.0).alias("start"), "n", "state", F.lpad(F.col("idx").cast("string"), 8, "0").alias("code"))
     folder = new_path(spark, "windows")
     rows.filter("idx % 3 = 0").select(F.col("run_id").alias("RunId"), F.col("idx").alias("WindowIndex"), F.col("start").alias("TStart"), F.col("n").alias("TotalCounts"), F.col("state").alias("RtState"), "code").write.json(f"{folder}/a")
-    rows.filter("idx % 6 = 1").select("run_id", F.col("idx").alias("index"), F.col("start").alias("start_s"), F.col("n").alias("counts"), "state", "code").write.option("header", "true").csv(f"{folder}/b1")
-    rows.filter("idx % 6 = 4").select("code", F.col("n").alias("total_counts"), F.col("run_id").alias("RunId"), F.col("idx").alias("WindowIndex"), F.col("start").alias("TStart")).write.option("header", "true").csv(f"{folder}/b2")
+    rows.filter("idx % 6 = 1").select("run_id", F.col("idx").alias("index"), F.col("start").alias("start_s"), F.col("n").alias("counts"), "state", "code").write.option("header", "true").csv(f"{folder}/b/1")
+    rows.filter("idx % 6 = 4").select("code", F.col("n").alias("total_counts"), F.col("run_id").alias("RunId"), F.col("idx").alias("WindowIndex"), F.col("start").alias("TStart")).write.option("header", "true").csv(f"{folder}/b/2")
     line = F.to_json(F.struct("run_id", F.col("idx").alias("window_index"), F.col("start").alias("t_start"), F.col("n").alias("total_counts"), F.col("state").alias("rt_state"), "code"))
     rows.filter("idx % 3 = 2").select(line.alias("value")).write.option("compression", "none").text(f"{folder}/c")
     kinds = {"run_id": "string", "window_index": "long", "t_start": "double", "total_counts": "long", "rt_state": "string", "code": "string"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import feynman, values
@@ -128,45 +128,92 @@ def agg_histogram_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.histogram_moments(histogram(spark, sf_dir), _KEYS), *_MS, digits=5)
 
 
-_YN = ["y1", "y2", "y3", "y4", "ym", "y2f", "y3f", "ysm2", "ysm3", "ysm4", "ybeta"]
 _G = "(CAST(1e9 AS DOUBLE)/(gate_us*1000))"
-_Y1 = f"(m1*{_G})"
-_YSQL = {
-    "y1": _Y1, "y2": f"((m2-m1*m1/2)*{_G})", "y3": f"((m3-m2*m1+m1*m1*m1/3)*{_G})", "y4": f"((m4-m3*m1+m2*m1*m1-m2*m2/2-m1*m1*m1*m1/4)*{_G})",
-    "ym": "(CASE WHEN m1=0 THEN 0 ELSE 2*m2/m1 END - m1)", "y2f": "(CASE WHEN m1=0 THEN 0 ELSE m2/m1 END - m1/2)", "y3f": "(CASE WHEN m1=0 THEN 0 ELSE m3/m1 END - m2 + m1*m1/3)",
-    "ybeta": "CASE WHEN 4*(m1*m1*m1-3*m1*m2+3*m3)*m1 = 0 THEN 0 ELSE 3*(m1*m1-2*m2)*(m1*m1-2*m2)/(4*(m1*m1*m1-3*m1*m2+3*m3)*m1) END",
-}
-for _k in (2, 3, 4):
-    _YSQL[f"ysm{_k}"] = f"(CASE WHEN m1=0 THEN 0 ELSE {_YSQL[f'y{_k}']}/({'*'.join([_Y1] * _k)}) END)"
+_CUM = {1: "m1", 2: "(m2-m1*m1/2)", 3: "(m3-m2*m1+m1*m1*m1/3)", 4: "(m4-m3*m1+m2*m1*m1-m2*m2/2-m1*m1*m1*m1/4)"}
+_BN, _BD = "(3*(m1*m1-2*m2)*(m1*m1-2*m2))", "(4*(m1*m1*m1-3*m1*m2+3*m3)*m1)"
+_YSQL = {f"y{k}": f"({c}*{_G})" for k, c in _CUM.items()}
+_YSQL |= {"ym": "CASE WHEN m1 <= 0 THEN 0 ELSE 2*m2/m1-m1 END"} | {f"y{k}f": f"CASE WHEN m1 <= 0 THEN 0 ELSE {_CUM[k]}/m1 END" for k in (2, 3, 4)}
+# ysm for a gate of one second: hours would put 11 digits before the point.
+_YSQL |= {f"ysm{k}": f"CASE WHEN m1 = 0 THEN 0 ELSE {_CUM[k]}/({'*'.join(['m1'] * k)}) END" for k in (2, 3, 4)}
+_YSQL |= {"ybeta": f"CASE WHEN m1 <= 0 OR m2 <= 0 OR m3 <= 0 OR {_BD} = 0 THEN 0 ELSE {_BN}/{_BD} END"}
+
+
+# Ratios of small differences are wide apart in size: so many digits of each.
+def _digits(c: Column, n: int) -> Column:
+    return F.when(F.abs(c) < 1e-6, 0.0).otherwise(F.format_string(f"%.{n - 1}e", c).cast("double"))
+
+
+def _sql_digits(c: str, n: int) -> str:
+    return f"CASE WHEN abs(({c})) < 1e-6 THEN 0.0 ELSE CAST(printf('%.{n - 1}e', ({c})::DOUBLE) AS DOUBLE) END"
+
+
+# Derivatives are ratios of whole numbers, often halfway between two roundings; their logarithms never are.
+def _logged(c: Column, n: int) -> Column:
+    return F.round(F.signum(c) * F.log(1 + F.abs(c)), n)
+
 
+def _places(d: str) -> int:
+    return 3 if d.endswith("ybeta") else 5
 
-@query(f"{upto(3)}, {_HIST}, {_HM} SELECT run_id, win, gate_us, {', '.join(f'round({_YSQL[y]}, 3) AS {y}' for y in _YN if not y.startswith('ysm') and y != 'ybeta')} FROM hm WHERE m1 >= 0.05")
+
+def _sql_logged(c: str, n: int) -> str:
+    return f"round(sign({c}) * ln(1 + abs({c})), {n})"
+
+
+@query(f"{upto(3)}, {_HIST}, {_HM} SELECT run_id, win, gate_us, {', '.join(f'round({_YSQL[y]}, 3) AS {y}' for y in feynman.MEMBERS[:-1])}, {_sql_digits(_YSQL['ybeta'], 5)} AS ybeta FROM hm")
 def fn_y_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = B.histogram_moments(histogram(spark, sf_dir), _KEYS).filter("m1 >= 0.05")
-    names = [y for y in _YN if not y.startswith("ysm") and y != "ybeta"]
-    family = feynman.y_family(F.col("gate_us") * 1000)
-    return moments.select(*_KEYS, *[F.round(family[y], 3).alias(y) for y in names])
+    moments = B.histogram_moments(histogram(spark, sf_dir), _KEYS)
+    family, second = feynman.y_family(F.col("gate_us") * 1000), feynman.y_family(F.lit(1e9))
+    return moments.select(*_KEYS, *[F.round(second[y] if y.startswith("ysm") else family[y], 3).alias(y) for y in feynman.MEMBERS[:-1]], _digits(family["ybeta"], 5).alias("ybeta"))
+
+
+def _slopes() -> dict[str, list[str]]:
+    """Derivatives by m1 .. m4 as SQL, by the quotient rule on those of the cumulants."""
+    cum = {1: ["1.0"], 2: ["(-m1)", "1.0"], 3: ["(m1*m1-m2)", "(-m1)", "1.0"], 4: ["(2*m1*m2-m3-m1*m1*m1)", "(m1*m1-m2)", "(-m1)", "1.0"]}
+    power = {1: "m1", 2: "(m1*m1)", 3: "(m1*m1*m1)", 4: "(m1*m1*m1*m1)"}
+    rise = {1: "1.0", 2: "(m1+m1)", 3: "((m1+m1)*m1+m1*m1)", 4: "(((m1+m1)*m1+m1*m1)*m1+m1*m1*m1)"}
+    over = lambda k, n: [f"(({d}*{power[n]}-{_CUM[k]}*{rise[n]})/({power[n]}*{power[n]}))" if i == 0 else f"({d}/{power[n]})" for i, d in enumerate(cum[k])]
+    out = {f"y{k}": cum[k] for k in cum} | {"ym": ["(-2*m2/m1/m1-1)", "(2/m1)"]} | {f"y{k}f": over(k, 1) for k in (2, 3, 4)} | {f"ysm{k}": over(k, k) for k in (2, 3, 4)}
+    top = ["(12*m1*(m1*m1-2*m2))", "(-12*(m1*m1-2*m2))", "0.0"]
+    low = ["(16*m1*m1*m1-24*m1*m2+12*m3)", "(-12*m1*m1)", "(12*m1)"]
+    return out | {"ybeta": [f"(({t}*{_BD}-{_BN}*{d})/({_BD}*{_BD}))" for t, d in zip(top, low, strict=True)]}
+
+
+_SLOPES = _slopes()
+_S = {
+    "11": "(2*m2+m1-m1*m1)", "22": "(6*m4+6*m3+m2-m2*m2)", "33": "(20*m6+30*m5+12*m4+m3-m3*m3)", "44": "(70*m8+140*m7+90*m6+20*m5+m4-m4*m4)", "12": "(3*m3+2*m2-m1*m2)",
+    "13": "(4*m4+3*m3-m1*m3)", "14": "(5*m5+4*m4-m1*m4)", "23": "(10*m5+12*m4+3*m3-m2*m3)", "24": "(15*m6+20*m5+6*m4-m2*m4)", "34": "(35*m7+60*m6+30*m5+4*m4-m3*m4)",
+}
+_D = [f"d{k}_{y}" for y in feynman.MEMBERS for k in range(1, len(_SLOPES[y]) + 1)]
+_DSQL = f"slopes AS (SELECT *, {', '.join(f'{d} AS d{k}_{y}' for y in feynman.MEMBERS for k, d in enumerate(_SLOPES[y], 1))} FROM hm)"
 
 
-@query(f"{upto(3)}, {_HIST}, {_HM} SELECT run_id, gate_us, count(*) AS n, round(avg(abs(m2-m1*m1/2)), 5) AS abs_y2, round(avg(sqrt(greatest(2*m2+m1-m1*m1, 0))), 5) AS sigma1, round(avg(sqrt(greatest(6*m4+6*m3+m2-m2*m2, 0))), 5) AS sigma2 FROM hm GROUP BY ALL")
+@query(f"{upto(3)}, {_HIST}, {_HM}, {_DSQL} SELECT run_id, win, gate_us, {', '.join(f'{_sql_logged(d, _places(d))} AS {d}' for d in _D)} FROM slopes")
 def fn_y_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = B.histogram_moments(histogram(spark, sf_dir), _KEYS)
-    s, grad = feynman.moment_sigmas(), feynman.y_gradients()
-    y2 = F.col("m1") * (grad["y2"][0] / 2) + F.col("m2") * grad["y2"][1]  # by Euler's rule y2 is homogeneous up to the half
-    return moments.groupBy("run_id", "gate_us").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(y2)), 5).alias("abs_y2"), *[F.round(F.avg(F.sqrt(F.greatest(s[f"s{k}{k}"], F.lit(0.0)))), 5).alias(f"sigma{k}") for k in (1, 2)])
+    """Derivatives of every member by every moment, for each gate, as sign * ln(1 + size)."""
+    moments = feynman.with_variances(B.histogram_moments(histogram(spark, sf_dir), _KEYS))
+    return moments.select(*_KEYS, *[_logged(F.col(d), _places(d)).alias(d) for d in _D])
+
+
+#: A variance below this share of its terms' sizes is lost in rounding: the query has null there.
+_LOST = 1e-6
+_SIGMA = {y: f"CASE WHEN m0 < 2 THEN -1 WHEN abs(v_{y}) < {_LOST} * size_{y} THEN NULL WHEN v_{y} < 0 THEN 0 ELSE sqrt(greatest(v_{y}, 0)) END" for y in feynman.MEMBERS}
 
 
-_S = {"s11": "(2*m2+m1-m1*m1)", "s12": "(3*m3+2*m2-m1*m2)", "s22": "(6*m4+6*m3+m2-m2*m2)"}
-_VAR2 = f"(m1*m1*{_S['s11']} - 2*m1*{_S['s12']} + {_S['s22']})"
+def _sql_terms(y: str) -> list[str]:
+    n = range(1, len(_SLOPES[y]) + 1)
+    return [f"d{i}_{y}*d{j}_{y}*{_S[f'{i}{j}']}*{1.0 if i == j else 2.0}" for i in n for j in n if i <= j]
 
 
-@query(f"""{upto(3)}, {_HIST}, {_HM} SELECT run_id, win, gate_us,
-  round(CASE WHEN m0 < 2 THEN -1 WHEN {_S['s11']} < 0 THEN 0 ELSE sqrt({_S['s11']})/sqrt(m0-1)*1e6 END, 3) AS sigma_y1_1e6,
-  round(CASE WHEN m0 < 2 THEN -1 WHEN {_VAR2} < 0 THEN 0 ELSE sqrt({_VAR2})/sqrt(m0-1)*1e6 END, 2) AS sigma_y2_1e6 FROM hm WHERE m0 > 2 AND m1 >= 0.05 AND {_VAR2} > 1e-6""")
+@query(f"""{upto(3)}, {_HIST}, {_HM}, {_DSQL}, vars AS (SELECT run_id, win, gate_us, m0, {', '.join(f"{' + '.join(_sql_terms(y))} AS v_{y}, {' + '.join(f'abs({t})' for t in _sql_terms(y))} AS size_{y}" for y in feynman.MEMBERS)} FROM slopes),
+  sigmas AS (SELECT run_id, win, gate_us, {', '.join(f'{s}/(CASE WHEN m0 < 2 THEN 1 ELSE sqrt(m0-1) END) AS sigma_{y}, {s}/(CASE WHEN m0 < 2 THEN 1 ELSE m0-1 END) AS cycle_{y}' for y, s in _SIGMA.items())} FROM vars)
+  SELECT run_id, win, gate_us, {', '.join(f'{_sql_digits(f"{kind}_{y}", 5)} AS {kind}_{y}' for y in feynman.MEMBERS for kind in ('sigma', 'cycle'))} FROM sigmas""")
 def fn_y_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = B.histogram_moments(histogram(spark, sf_dir), _KEYS).filter("m0 > 2 and m1 >= 0.05").filter(f"{_VAR2} > 1e-6")
-    sigma = feynman.y_sigma(F.lit(1000.0), F.col("m0"))  # a gate of 1 us: per second is a factor of 1e6
-    return moments.select(*_KEYS, F.round(sigma["sigma_y1"], 3).alias("sigma_y1_1e6"), F.round(sigma["sigma_y2"], 2).alias("sigma_y2_1e6"))
+    """Errors of every member for each gate, taken as one second, under both normalisations: over the root of cycles - 1 (sigma) and over cycles - 1 (cycle)."""
+    moments = feynman.with_variances(B.histogram_moments(histogram(spark, sf_dir), _KEYS))
+    both = {f"{kind}_{name[6:]}": c for kind, root in (("sigma", True), ("cycle", False)) for name, c in feynman.y_sigma(F.lit(1e9), F.col("m0"), root).items()}
+    kept = lambda y: (F.col("m0") < 2) | (F.abs(f"v_{y}") >= _LOST * F.col(f"size_{y}"))
+    return moments.select(*_KEYS, *[F.when(kept(name.split("_")[1]), _digits(c, 5)).alias(name) for name, c in both.items()])
 
 
 _FANO = f"""fano AS (SELECT run_id, win, N, e, mean, var, u2, u3, u4 FROM (SELECT *, s1/N AS mean, (s2 - s1*s1/N)/(N-1) AS var, s2/N-(s1/N)*(s1/N) AS u2, s3/N-3*(s1/N)*s2/N+2*(s1/N)*(s1/N)*(s1/N) AS u3,

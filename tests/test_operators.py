@@ -296,3 +296,47 @@ def test_features_of_known_vectors(spark):
     assert (none.total, none.entropy, none.gini, none.anisotropy, none.dipole) == (0, 0, 1, 0, 0)
     assert last.gini == pytest.approx(0) and last.anisotropy == pytest.approx(14 / 225) and last.dipole == pytest.approx(14)
     assert channels.features(df, F.lit(1.0), positions=[k - 7 for k in range(15)]).collect()[0].dipole == pytest.approx(0)
+
+
+def test_y_family_and_errors_against_finite_differences(spark):
+    """Every member, its derivatives by central differences, and its error, in plain Python; odd gates and few cycles."""
+    import math
+    import random
+
+    from hitgrid.functions import feynman
+
+    def cum(m):
+        m1, m2, m3, m4 = m
+        return [m1, m2 - m1**2 / 2, m3 - m2 * m1 + m1**3 / 3, m4 - m3 * m1 + m2 * m1**2 - m2**2 / 2 - m1**4 / 4]
+
+    formulas = {f"y{k + 1}": lambda m, k=k: cum(m)[k] for k in range(4)} | {"ym": lambda m: 2 * m[1] / m[0] - m[0]}
+    formulas |= {f"y{k}f": lambda m, k=k: cum(m)[k - 1] / m[0] for k in (2, 3, 4)} | {f"ysm{k}": lambda m, k=k: cum(m)[k - 1] / m[0] ** k for k in (2, 3, 4)}
+    formulas["ybeta"] = lambda m: 3 * (m[0] ** 2 - 2 * m[1]) ** 2 / (4 * (m[0] ** 3 - 3 * m[0] * m[1] + 3 * m[2]) * m[0])
+    assert list(formulas) == feynman.MEMBERS
+    rng = random.Random(6)
+    data = [[rng.uniform(0.5, 3) for _ in range(8)] + [float(rng.choice([1, 2, 30]))] for _ in range(12)] + [[0.0] * 8 + [5.0]]
+    rows = spark.createDataFrame(data, ", ".join([*(f"m{k} double" for k in range(1, 9)), "cycles double"]))
+    gate = F.lit(2e9)
+    rows = feynman.with_variances(rows)
+    slopes = [c for c in rows.columns if c.startswith("d")]
+    got = rows.select("*", *[c.alias(n) for n, c in feynman.y_family(gate).items()], *[c.alias(n) for n, c in feynman.y_sigma(gate, F.col("cycles")).items()], *[c.alias("c" + n) for n, c in feynman.y_sigma(gate, F.col("cycles"), False).items()]).collect()
+    for r in got[:-1]:
+        m = [r[f"m{k}"] for k in range(1, 5)]
+        c = {k: r[f"m{k}"] for k in range(1, 9)}
+        # The covariance of binomial counts: products of C(n, i) and C(n, j) are sums of C(n, k).
+        mixed = lambda i, j: sum(math.comb(k, i) * math.comb(i, k - j) * c[k] for k in range(max(i, j), i + j + 1)) - c[i] * c[j]  # noqa: B023, E731
+        for name, f in formulas.items():
+            scale = 0.5 if name in ("y1", "y2", "y3", "y4") else 2.0 ** (int(name[-1]) - 1) if name.startswith("ysm") else 1.0
+            assert r[name] == pytest.approx(f(m) * scale, rel=1e-9, abs=1e-12)
+            steps = [[(f([x + h * (k == i) for k, x in enumerate(m)]) - f([x - h * (k == i) for k, x in enumerate(m)])) / (2 * h) for h in (1e-5,)][0] for i in range(4)]
+            for i in range(4):
+                if f"d{i + 1}_{name}" in slopes:
+                    assert r[f"d{i + 1}_{name}"] == pytest.approx(steps[i], rel=1e-4, abs=1e-4)
+                else:
+                    assert abs(steps[i]) < 1e-6
+            exact = [r[f"d{i + 1}_{name}"] if f"d{i + 1}_{name}" in slopes else 0.0 for i in range(4)]
+            var = sum(exact[i] * exact[j] * mixed(i + 1, j + 1) for i in range(4) for j in range(4))
+            for prefix, per in (("sigma_", math.sqrt(max(r.cycles - 1, 0))), ("csigma_", r.cycles - 1)):
+                want = -1.0 * (scale if name.startswith("ysm") else 1.0) if r.cycles < 2 else 0.0 if var < 0 else math.sqrt(var) / per * scale
+                assert r[prefix + name] == pytest.approx(want, rel=1e-6)
+    assert all(got[-1][n] == 0 for n in feynman.MEMBERS)
