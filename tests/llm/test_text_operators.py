@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -499,6 +500,95 @@ def test_language_id_knows_rare_languages_and_declarations(spark):
     assert sorted(r.doc_id for r in out) == list(range(230))
 
 
+def plain_language_id(rows, temper=0.25, smoothing=20.0, min_grams=8):
+    """(lang_id, p) of every row (text, declared, host, suffix) by the docstrings, in plain Python; all rows are in the sample."""
+    import math
+    from collections import Counter, defaultdict
+
+    from hitgrid.llm.common import mix64
+
+    def grams(text):
+        out, raw = [], re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        for k, c in enumerate(raw):
+            letter = 97 <= c <= 122 or c >= 128
+            if letter or k == 0 or 97 <= raw[k - 1] <= 122 or raw[k - 1] >= 128:
+                out.append(c if letter else 32)
+        line = [32, 32, *out, 32, 32]
+        wide = [line[i] << 16 | line[i + 1] << 8 | line[i + 2] for i in range(len(out) + 2)]
+        return [int(mix64(np.array([g], np.uint64))[0]) % language_id.BUCKETS for g in wide if g != 0x202020]
+
+    bags = [Counter(grams(r[0])) for r in rows]
+    held = defaultdict(Counter)
+    for bag, (text, declared, *_) in zip(bags, rows, strict=True):
+        lang = re.sub(r"^([a-z]{2,8})[-_].*$", r"\1", (declared or "").strip().lower())
+        if lang and text and bag:
+            held[lang].update(bag)
+    langs, n = sorted(held), language_id.BUCKETS
+    q = Counter({b: 1 for b in range(n)})
+    for c in held.values():
+        q.update(c)
+    all_q = sum(q.values())
+    scores = [{k: temper * sum(c * math.log((held[k][b] + n * q[b] / all_q) / (sum(held[k].values()) + n)) for b, c in bag.items()) for k in langs} for bag in bags]
+
+    def share(logs):
+        most = max(logs.values())
+        total = sum(math.exp(v - most) for v in logs.values())
+        return {k: math.exp(v - most) / total for k, v in logs.items()}
+
+    told, hosts, ends, whole = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
+    for s, bag, (_, declared, host, suffix) in zip(scores, bags, rows, strict=True):
+        told[declared or ""], hosts[host, suffix], ends[suffix]  # noqa: B018 - keys without a sure text count, too
+        if sum(bag.values()) >= min_grams:
+            for table in (told[declared or ""], hosts[host, suffix], ends[suffix], whole):
+                table.update(share(s))
+    out = []
+    for s, (_, declared, host, suffix) in zip(scores, rows, strict=True):
+        z = {}
+        for k in langs:
+            top = (whole[k] + 1) / (sum(whole.values()) + len(langs))
+            parent = (ends[suffix][k] + smoothing * top) / (sum(ends[suffix].values()) + smoothing)
+            prior = (hosts[host, suffix][k] + smoothing * parent) / (sum(hosts[host, suffix].values()) + smoothing)
+            z[k] = s[k] + math.log(prior) + math.log((told[declared or ""][k] + 1) / (whole[k] + len(told) + 1))
+        p = share(z)
+        out.append((min(p, key=lambda k: (-p[k], k)), max(p.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_language_id_is_the_fused_posterior_of_plain_python(spark, monkeypatch, block):
+    """Declarations with regions, null and blank ones, hosts and suffixes, short and empty texts; in one block of languages and in several."""
+    import random
+
+    monkeypatch.setattr(language_id, "LANGUAGES", block)
+    rng = random.Random(11)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 7))) for _ in range(40)] for _ in range(9)]
+    rows = []
+    for i in range(70):
+        k = i % 9
+        lang = rng.choice([f"l{chr(97 + k)}", f"L{chr(97 + k)}-XX", f"l{chr(97 + k)}_y", None, " ", f"l{chr(97 + (k + 1) % 9)}"])
+        words = rng.choice([0, 1, 2, 3, 30, 60])
+        rows.append((rng.choice([None, ""]) if not words else " ".join(rng.choice(vocabulary[k]).title() if rng.random() < 0.2 else rng.choice(vocabulary[k]) for _ in range(words)) + rng.choice(["", " 12.", "!!"]), lang, f"h{rng.randint(0, 4)}.{'ab'[k % 2]}", "ab"[k % 2]))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, host string, end string")
+    got = {r.doc_id: r for r in language_id.identify(table, declared=table["lang"], host=table["host"], suffix=table["end"]).collect()}
+    for i, (lang, p) in enumerate(plain_language_id(rows)):
+        assert got[i].p == pytest.approx(p, rel=1e-6) and (got[i].lang_id == lang or p < 0.5), i
+
+
+def test_language_id_of_two_thousand_labels(spark):
+    """Time doesn't follow the number of labels; every row still comes out once."""
+    import time
+
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    took = {}
+    for n in (1, 2000):
+        table = docs_.withColumn("lang", F.when(F.lit(n) == 1, F.col("lang")).otherwise(F.concat("lang", F.lit("x"), (F.col("doc_id") % n).cast("string"))))
+        began = time.time()
+        got = language_id.identify(table, declared=table["lang"], host=table["source"]).collect()
+        took[n] = time.time() - began
+        assert len(got) == docs_.count()
+    assert took[2000] < 4 * took[1] + 10
+
+
 def test_language_id_of_pages(spark):
     """Declared markup language and address suffix come from the page; where text and host are silent, the suffix decides."""
     parts = spark.createDataFrame(
