@@ -111,9 +111,10 @@ class Summary:
         self.capacity, self.missing = capacity, 0
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Adds another summary or a stretch of the stream. What goes beyond the capacity is paid for by all:
+    def merge(self, keys: np.ndarray, counts: np.ndarray, missing: int = 0) -> None:
+        """Adds another summary, with what its counts may lack, or a stretch of the stream. What goes beyond the capacity is paid for by all:
         the largest count that has no place is taken from every key."""
+        self.missing += missing
         self.keys, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
         self.counts = np.bincount(inverse, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
         if len(self.keys) > self.capacity:
