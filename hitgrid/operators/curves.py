@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import running_totals
@@ -79,3 +81,30 @@ def isotonic(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame
     local = sums.repartitionByRange("lo").sortWithinPartitions("lo").mapInPandas(run, schema)
     whole = local.coalesce(1).sortWithinPartitions("lo").mapInPandas(run, schema)
     return whole.select((F.col("sx") / F.col("w")).alias("x"), (F.col("sy") / F.col("w")).alias("y"), F.col("w").cast("long").alias("n"))
+
+
+def knots(blocks: DataFrame) -> DataFrame:
+    """One row (xs, ys): the blocks of `isotonic` as knots in ascending order, with the first value from 0 and the last one to 1. No blocks: null arrays.
+
+    Blocks are few (see there), and each is a fact of its own: the arrays are no group of rows.
+    """
+    sorted_ = blocks.agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))
+    first, last = F.element_at("k", 1), F.element_at("k", -1)
+    whole = F.concat(F.when(first["x"] > 0, F.array(F.struct(F.lit(0.0).alias("x"), first["y"].alias("y")))).otherwise(F.slice("k", 1, 0)), F.col("k"), F.when(last["x"] < 1, F.array(F.struct(F.lit(1.0).alias("x"), last["y"].alias("y")))).otherwise(F.slice("k", 1, 0)))
+    return sorted_.filter(F.size("k") > 0).select(whole.alias("k")).select(F.transform("k", lambda r: r["x"]).alias("xs"), F.transform("k", lambda r: r["y"]).alias("ys"))
+
+
+def interpolated(p: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
+    """The value at p on the line through sorted knots, clamped to both ends and to [0, 1]; p itself where there are none. Found by halving: 20 comparisons for a million knots."""
+    if not len(xs):
+        return p
+    xs_, ys_ = F.array(*[F.lit(float(v)) for v in xs]), F.array(*[F.lit(float(v)) for v in ys])
+    steps = max(1, (len(xs) - 1).bit_length() + 1)
+    at = lambda values, k: F.element_at(values, k.cast("int"))
+    # (low, high): the first knot at or above p lies in (low, high], counted from 1.
+    halve = lambda s, _: F.when(s["high"] - s["low"] <= 1, s).when(at(xs_, F.floor((s["low"] + s["high"]) / 2)) >= p, F.struct(s["low"].alias("low"), F.floor((s["low"] + s["high"]) / 2).cast("int").alias("high"))).otherwise(F.struct(F.floor((s["low"] + s["high"]) / 2).cast("int").alias("low"), s["high"].alias("high")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(1).alias("low"), F.lit(len(xs)).alias("high")), halve)
+    k = found["high"]
+    x0, x1, y0, y1 = at(xs_, F.greatest(k - 1, F.lit(1))), at(xs_, k), at(ys_, F.greatest(k - 1, F.lit(1))), at(ys_, k)
+    line = F.when(x1 > x0, y0 + (p - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (y1 - y0)).otherwise(y1)
+    return F.when(p <= float(xs[0]), F.lit(float(ys[0]))).when(p >= float(xs[-1]), F.lit(float(ys[-1]))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), line)))

@@ -8,6 +8,7 @@ rows that share one are ordered in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,3 +107,43 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     for a in at.values():
         near = near | holds(F.floor(a)) | holds(F.ceil(a))
     return rows.filter(near).groupBy(*keys).agg(*[(low[n] + (high[n] - low[n]) * share[n]).alias(n) for n in wanted])
+
+
+def trailing_counts(df: DataFrame, keys: Sequence[str], key: str, width: Column, row: Sequence[str], name: str = "trailing") -> DataFrame:
+    """(keys, row, name): for each row, which the columns `row` tell apart within its group, how many rows of the group lie in [t - width, t); a width for each row.
+
+    The difference of two cumulative counts: every row asks at t and at t - width, and counts once behind all questions at its
+    own t. Rows without a time or width ask for nothing and get 0.
+    """
+    one = lambda kind, at, weight: F.struct(F.lit(kind).alias("_kind"), at.cast("double").alias("_at"), F.lit(weight).cast("long").alias("_one"))
+    t = F.col(key)
+    asked = df.select(*keys, *row, F.explode(F.array(one(1, t, 0), one(-1, t - width, 0), one(2, t, 1))).alias("_q")).select(*keys, *row, "_q.*")
+    asked = asked.withColumn("_order", (F.col("_kind") == 2).cast("int"))
+    counted = running_totals(asked.filter(F.col("_at").isNotNull()), "_at", ["_one"], ties=["_order"], keys=keys).filter("_kind < 2")
+    sums = counted.groupBy(*keys, *row).agg(F.sum(F.col("_kind") * F.col("cum__one")).alias(name), F.count(F.lit(1)).alias("_both"))
+    return sums.withColumn(name, F.when(F.col("_both") == 2, F.greatest(name, F.lit(0))).otherwise(0)).drop("_both")
+
+
+def exponential_mean(df: DataFrame, keys: Sequence[str], order: str, value: Column, keep: float = 0.99, ties: Sequence[str] = (), name: str = "ewma") -> DataFrame:
+    """Adds mean_k = keep * mean_(k-1) + (1 - keep) * value_k in the order of a group, from 0.
+
+    A decayed prefix sum: stretches of rows are summed in their tasks, each as at its end, and a stretch's sum goes on to the
+    next ones, decayed by their lengths, until nothing of it is left in double precision. No group is folded in one task.
+    """
+    stretch = max(1, min(256, int(5 / -math.log(keep))))  # within one, keep ** -stretch is at most e ** 5
+    reach = math.ceil(math.log(1e-20) / (stretch * math.log(keep)))
+    rows = places(df.withColumn("_v", value.cast("double") * (1 - keep)), order, ties, "_place", keys)
+    rows = rows.withColumns({"_s": F.expr(f"_place div {stretch}"), "_j": F.col("_place") % stretch})
+    w = Window.partitionBy(*keys, "_s").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.pow(F.lit(keep), F.col("_j")) * F.sum(F.col("_v") * F.pow(F.lit(1 / keep), F.col("_j"))).over(w))
+    ends = rows.groupBy(*keys, "_s").agg(F.sum(F.col("_v") * F.pow(F.lit(keep), stretch - 1 - F.col("_j"))).alias("_end"))
+    ahead = ends.select(*keys, F.col("_s").alias("_from"), "_end", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_d"))
+    carried = ahead.groupBy(*keys, (F.col("_from") + F.col("_d")).alias("_part")).agg(F.sum(F.col("_end") * F.pow(F.lit(keep), (F.col("_d") - 1) * stretch)).alias("_carry"))
+    names = [*keys, "_part"]
+    other = carried.withColumnsRenamed({c: f"_k_{c}" for c in names})
+    on = F.col("_s") == F.col("_k__part")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = rows.join(other, on, "left")
+    mean = F.col("_own") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j") + 1)
+    return out.select(*df.columns, mean.alias(name))

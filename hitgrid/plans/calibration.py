@@ -69,9 +69,20 @@ def fn_logit_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).select("doc_id", F.round(clamp_logit(F.col("p")), 6).alias("logit"))
 
 
-@query(f"WITH {_S} SELECT doc_id, round(1 / (1 + exp(-(1.7 * ln(q / (1 - q)) + 0.4))), 9) AS calibrated FROM (SELECT doc_id, greatest(1e-9, least(1 - 1e-9, p)) AS q FROM s)")
+#: Knots of a monotone curve: a straight piece, a flat one, a steep one, and ends inside (0, 1).
+_XS, _YS = [0.05, 0.2, 0.4, 0.45, 0.9], [0.1, 0.3, 0.3, 0.75, 0.95]
+
+
+def _sql_interpolated() -> str:
+    pieces = " ".join(f"WHEN p <= {x1} THEN {y0} + (p - {x0}) / ({x1} - {x0}) * ({y1} - {y0})" for x0, x1, y0, y1 in zip(_XS, _XS[1:], _YS, _YS[1:], strict=False))
+    return f"CASE WHEN p <= {_XS[0]} THEN {_YS[0]} {pieces} ELSE {_YS[-1]} END"
+
+
+@query(f"WITH {_S} SELECT doc_id, round(1 / (1 + exp(-(1.7 * ln(q / (1 - q)) + 0.4))), 9) AS platt, round(CAST({_sql_interpolated()} AS DOUBLE), 9) AS isotonic FROM (SELECT doc_id, p, greatest(1e-9, least(1 - 1e-9, p)) AS q FROM s)")
 def fn_apply_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).select("doc_id", F.round(1 / (1 + F.exp(-(1.7 * clamp_logit(F.col("p")) + 0.4))), 9).alias("calibrated"))
+    """Scores under a sigmoid and under a monotone curve's knots."""
+    platt = 1 / (1 + F.exp(-(1.7 * clamp_logit(F.col("p")) + 0.4)))
+    return scores(spark, sf_dir).select("doc_id", F.round(platt, 9).alias("platt"), F.round(curves.interpolated(F.col("p"), _XS, _YS), 9).alias("isotonic"))
 
 
 @query(f"WITH {_S} SELECT doc_id, p >= 0.8::DOUBLE OR p <= 0.2::DOUBLE AS confident FROM s")
@@ -93,7 +104,10 @@ def ml_platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ml_isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.isotonic(scores(spark, sf_dir))
+    """The fitted knots from 0 to 1, and how many scores lie behind each (none behind added ends)."""
+    blocks = curves.isotonic(scores(spark, sf_dir))
+    found = curves.knots(blocks).select(F.explode(F.arrays_zip("xs", "ys")).alias("k")).select(F.col("k.xs").alias("x"), F.col("k.ys").alias("y"))
+    return found.join(blocks.select("x", "n"), "x", "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {_S} SELECT round(max(n) / sum(n), 9) AS accuracy FROM (SELECT y, count(*) AS n FROM s GROUP BY 1)")

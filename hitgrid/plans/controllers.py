@@ -11,7 +11,7 @@ from ..registry import query
 from ..streaming import adaptive, episodes, rate, requests
 from .moments import LADDER_SQL, ladder
 from .views import DAY, DETECTIONS, HOUR, detections
-from .windows import steps
+from .windows import _W, steps
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,26 +67,20 @@ def str_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(islands.over(["run_id"], "idx"))).withColumn("content_hash", F.sha2(line.cast("binary"), 256))
 
 
-@query()
+@query(f"""WITH {_W}, r AS (SELECT run_id, idx // 4 AS trigger, idx, CASE WHEN idx % 11 = 0 THEN 'final' ELSE 'probe' END AS request FROM steps WHERE confused),
+  w AS (SELECT DISTINCT run_id, trigger FROM r) SELECT w.run_id, w.trigger, arg_max(request, CASE WHEN request = 'final' THEN 1000000000 ELSE 0 END + idx) AS request, arg_max(idx, CASE WHEN request = 'final' THEN 1000000000 ELSE 0 END + idx) AS idx
+  FROM w JOIN r ON r.run_id = w.run_id AND r.trigger <= w.trigger GROUP BY ALL""")
 def str_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policy's requests before a busy worker: a queue of two, where the newest probe wins and a final request outranks all."""
-    rows = episodes.run_policy(policy_windows(spark, sf_dir)).filter("request is not null")
-    return requests.run_queue(rows.select("run_id", "idx", "request"), capacity=2, service=8)
+    """Requests of confused windows, a trigger for each day: what is pending after it. The newest probe wins, a final request outranks all."""
+    rows = steps(spark, sf_dir).filter("confused").select("run_id", F.expr("idx div 4").alias("trigger"), "idx", F.when(F.col("idx") % 11 == 0, "final").otherwise("probe").alias("request"))
+    return requests.latest_wins(rows, ["run_id"], "trigger")
 
 
-@query()
+@query(f"WITH {_W}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS k FROM steps) SELECT run_id, idx, round(pow(0.99, k) * sum(0.01 * n * pow(0.99, -k)) OVER (PARTITION BY run_id ORDER BY k), 6) AS ewma FROM k")
 def win_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential mean 0.99 / 0.01 from 0, folded over the ordered windows of a run."""
-
-    def fold(pdf):
-        pdf = pdf.sort_values("idx")
-        mean, out = 0.0, []
-        for n in pdf["n"]:
-            mean = 0.99 * mean + 0.01 * n
-            out.append(mean)
-        return pdf[["run_id", "idx"]].assign(ewma=out)
-
-    return steps(spark, sf_dir).select("run_id", "idx", "n").groupBy("run_id").applyInPandas(fold, "run_id string, idx long, ewma double")
+    """Exponential mean 0.99 / 0.01 from 0 over the ordered windows of a run, as a decayed prefix sum."""
+    rows = ranges.exponential_mean(steps(spark, sf_dir).select("run_id", "idx", "n"), ["run_id"], "idx", F.col("n"))
+    return rows.select("run_id", "idx", F.round("ewma", 6).alias("ewma"))
 
 
 _FIT = f"""{LADDER_SQL}, g AS (SELECT run_id, win, gate_us/{HOUR}.0 AS t, y, sigma_y AS s FROM ys WHERE y > 0), m AS (SELECT run_id, win, median(y) AS med, count(*) AS n0 FROM g GROUP BY ALL),
@@ -131,9 +125,10 @@ def str_tau_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def str_hold_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long each Hold of the engine lasted, in bins."""
-    rows = islands.segments(adaptive.run_engine(hourly(spark, sf_dir)), ["run_id"], "t", "state").filter("state = 'Hold'")
-    return rows.select("run_id", "start", (F.col("end") - F.col("start")).alias("held"))
+    """Each Hold of the engine: from when, until when it is to be quiet (five strides of the window or four bounds of the correlation time, whichever is later), and how long it lasted, in bins."""
+    rows = adaptive.run_engine(hourly(spark, sf_dir))
+    held = islands.segments(rows, ["run_id"], "t", "state").filter("state = 'Hold'")
+    return held.join(rows.select("run_id", F.col("t").alias("start"), "quiet_until"), ["run_id", "start"]).select("run_id", "start", "quiet_until", (F.col("quiet_until") - F.col("start")).alias("horizon"), (F.col("end") - F.col("start")).alias("held"))
 
 
 @query(f"""WITH {DETECTIONS}, o AS (SELECT run_id, event_id, ts_us - (event_id % 7) * {HOUR} AS t, max(ts_us - (event_id % 7) * {HOUR}) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM det)

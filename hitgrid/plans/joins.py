@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import islands
+from ..operators import islands, schedule
 from ..operators.ranges import places
 from ..registry import query
 from .views import DAY, DETECTIONS, HOUR, detections, table
@@ -51,23 +51,21 @@ def join_interval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.sliding_windows(bins, HOUR, 2 * DAY, DAY).groupBy("run_id", "win").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"))
 
 
-_SCHED = [(0, 10, "Warmup", 5.0), (10, 40, "Track", 2.0), (40, 80, "Hold", 10.0), (80, 1000, "Track", 1.0)]
-_SCHED_SQL = "sched AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{s}', CAST({w} AS DOUBLE))" for a, b, s, w in _SCHED) + ") v(a, b, planned, w_s))"
+# A part's row covers 50 to 100 units of the hundred behind its key, so there are gaps; times go beyond both ends.
+_PLAN = "plan AS (SELECT p_partkey * 100 + 7 AS a, p_partkey * 100 + 57 + p_size AS b, p_brand AS planned, p_retailprice AS w_s FROM part)"
+_ASKED = "asked AS (SELECT l_orderkey * 13 % ((SELECT max(p_partkey) FROM part) * 110) - 50 + l_linenumber AS t FROM lineitem)"
 
 
-@query(f"WITH {_W}, {_SCHED_SQL}, e AS (SELECT run_id, idx, idx - min(idx) OVER (PARTITION BY run_id) AS k FROM steps) SELECT run_id, idx, planned, w_s FROM e JOIN sched ON k >= a AND k < b")
+@query(f"""WITH {_PLAN}, {_ASKED}, edges AS (SELECT min(a) AS a0, max(a) AS a1 FROM plan), k AS (SELECT DISTINCT t FROM asked), f AS (SELECT t, greatest(coalesce((SELECT max(a) FROM plan WHERE a <= t), a0), a0) AS a FROM k, edges)
+  SELECT t, planned, w_s, covered FROM (SELECT f.t, CASE WHEN f.t < a0 OR f.t < plan.b OR plan.a = a1 THEN planned END AS planned, CASE WHEN f.t < a0 OR f.t < plan.b OR plan.a = a1 THEN w_s END AS w_s, f.t < a0 OR f.t < plan.b OR plan.a = a1 AS covered FROM f JOIN plan USING (a), edges)""")
 def join_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps with the row of a schedule (a handful of literal rows, without gaps) that covers their time."""
-    if any(a[1] != b[0] for a, b in zip(_SCHED, _SCHED[1:], strict=False)):
-        raise ValueError("the schedule has gaps or overlaps")
-    rows = steps(spark, sf_dir)
-    first = rows.groupBy("run_id").agg(F.min("idx").alias("i0"))
-    k = F.col("idx") - F.col("i0")
-    planned, width = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for a, b, state, w in _SCHED:
-        inside = (k >= a) & (k < b)
-        planned, width = F.when(inside, F.lit(state)).otherwise(planned), F.when(inside, F.lit(w)).otherwise(width)
-    return rows.join(first, "run_id").select("run_id", "idx", planned.alias("planned"), width.alias("w_s"))
+    """Times with the row of a schedule (a table, checked for empty rows and overlaps) that covers them; the first row counts before it, the last one behind it."""
+    part = table(spark, sf_dir, "part")
+    plan = part.select((F.col("p_partkey") * 100 + 7).alias("a"), (F.col("p_partkey") * 100 + 57 + F.col("p_size")).alias("b"), F.col("p_brand").alias("planned"), F.col("p_retailprice").alias("w_s"))
+    schedule.check(plan, "a", "b")
+    most = part.agg(F.max("p_partkey").alias("most"))
+    asked = table(spark, sf_dir, "lineitem").join(F.broadcast(most)).select((F.col("l_orderkey") * 13 % (F.col("most") * 110) - 50 + F.col("l_linenumber")).alias("t")).distinct()  # one row
+    return schedule.covering(asked, "t", plan, "a", "b", ["planned", "w_s"], ["t"])
 
 
 @query("SELECT o_orderkey, n_name AS grp, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0")

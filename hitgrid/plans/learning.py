@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import distance3
 from ..operators import curves, ranges
 from ..operators import learning as L
 from ..registry import query
@@ -43,11 +44,6 @@ def ml_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("grp").agg(F.max("holdout").alias("holdout"), F.count(F.lit(1)).alias("n"))
 
 
-def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = measurements(spark, sf_dir).withColumn("u", L.share(F.col("id"), 3))
-    return rows.filter("u >= 0.2"), rows.filter("u < 0.2")
-
-
 #: The 36 features of a count vector, in order: counts, total, fractions, entropy, Gini, anisotropy, dipole, duration.
 F36 = [f"c{k}" for k in range(1, 16)] + ["total"] + [f"f{k}" for k in range(1, 16)] + ["entropy", "gini", "anisotropy", "dipole", "duration"]
 SINGLE, DUAL = ["x1", "y1", "z1"], ["x1", "y1", "z1", "x2", "y2", "z2"]
@@ -137,9 +133,6 @@ def ml_multi_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_PRED = "l_quantity * 1500 AS pred, l_extendedprice AS truth"
-
-
 @query("WITH p AS (SELECT l_returnflag, l_quantity * 1000 AS pred, l_extendedprice AS truth FROM lineitem), m AS (SELECT l_returnflag, avg(truth) AS mu FROM p GROUP BY 1) SELECT l_returnflag, round(1 - sum((truth-pred)*(truth-pred)) / sum((truth-mu)*(truth-mu)), 6) AS r2 FROM p JOIN m USING (l_returnflag) GROUP BY 1")
 def ml_r2_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 of given predictions; the total sum of squares comes from the variance, so one pass is enough."""
@@ -236,24 +229,46 @@ def ml_evaluate_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(ranges.percentiles(rows, ["kind"], "error", {"median": 0.5}), "kind").withColumn("median", F.round("median", 6))
 
 
+def shuffled_label_control(train: DataFrame, test: DataFrame, features: list[str], key: str, label: str, seed: int, **forest: int) -> DataFrame:
+    """test with p of a model that was trained on dealt-out training labels; test keeps its true ones. Far above chance, test rows have leaked."""
+    model = L.classifier(L.shuffled(train, key, label, seed), features, label, **forest)
+    return L.probabilities(model, test)
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """rows with every channel's count and fraction in the next channel's place; the dipole follows, the other descriptors don't depend on the order."""
+    turn = {f"{a}{k}": F.col(f"{a}{k % 15 + 1}") for a in "cf" for k in range(1, 16)}
+    mean = sum((turn[f"f{k}"] * float(k - 1) for k in range(1, 16)), F.lit(0.0))
+    return rows.withColumns({**turn, "dipole": F.abs(mean)})
+
+
 @query()
 def ml_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy on held-out rows and on held-out groups: as it is, with channels permuted, and with labels dealt out anew."""
+    """Held-out rows and held-out groups, as they are, with channels turned, and under models trained on dealt-out labels (true labels score them).
+
+    By split and variant: accuracy of the class and that of always saying the more frequent one; for the first two also the
+    mean distance of the predicted place (of the nearer of both assignments of two places), the share of unknown rows, and
+    the shares of the routes single, dual and centroid.
+    """
     whole = L.group_split(written(examples(spark, sf_dir), "examples"), "grp", 0.2).withColumn("u", L.share(F.col("id"), 3))
     train = whole.filter("u >= 0.2 and not holdout")
-    model = L.classifier(train, F36, "y")
     held = whole.select("*", F.explode(F.array(F.when(F.col("u") < 0.2, "random"), F.when(F.col("holdout"), "grouped"))).alias("split")).filter("split is not null")
-    turn = {f"{a}{k}": F.col(f"{a}{k % 15 + 1}") for a in "cf" for k in range(1, 16)}
-    mean = sum((turn[f"f{k}"] * float(k - 1) for k in range(1, 16)), F.lit(0.0))
-    permuted = held.withColumns({**turn, "dipole": F.abs(mean)})  # the other descriptors don't depend on the order
-    labels = None
-    for split in ("random", "grouped"):
-        part = L.shuffled(held.filter(F.col("split") == split), "id", "y", 31)
-        labels = part if labels is None else labels.unionByName(part)
-    out = None
-    for name, rows in (("baseline", held), ("permuted_channels", permuted), ("shuffled_labels", labels)):
-        part = L.probabilities(model, rows).groupBy("split").agg(F.lit(name).alias("variant"), F.count(F.lit(1)).alias("n"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
-        out = part if out is None else out.unionByName(part)
+    variants = held.withColumn("variant", F.lit("baseline")).unionByName(turned(held).withColumn("variant", F.lit("permuted_channels")))
+    rows, given = _trained(train, variants)
+    judged = routed(rows, *given)
+    place = lambda *cols: F.array(*[F.col(c) for c in cols])
+    part = lambda k: F.slice("coords", 3 * k - 2, 3)
+    first, second, t1, t2 = part(1), F.when(F.size("coords") == 6, part(2)), place("x1", "y1", "z1"), place("x2", "y2", "z2")
+    straight, crossed = (distance3(first, t1) + distance3(second, t2)) / 2, (distance3(first, t2) + distance3(second, t1)) / 2
+    error = F.when(F.col("y") == 0, distance3(first, t1)).when(F.size("coords") == 6, F.least(straight, crossed)).otherwise(F.least(distance3(first, t1), distance3(first, t2)))
+    said = lambda *labels: F.avg(F.col("label").isin(*labels).cast("double"))
+    right = F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy")
+    majority = F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority")
+    out = judged.withColumn("error", error).groupBy("split", "variant").agg(F.count(F.lit(1)).alias("n"), right, majority, F.avg("error").alias("mean_error"), said("Unknown").alias("unknown"), said("Single").alias("single"), said("Dual").alias("dual"), said("Single (centroid override)").alias("centroid"))
+    none = {c: F.lit(None).cast("double") for c in ("mean_error", "unknown", "single", "dual", "centroid")}
+    for split, own, seed in (("random", "u >= 0.2", 31), ("grouped", "not holdout", 32)):
+        scored = shuffled_label_control(whole.filter(own), held.filter(F.col("split") == split), F36, "id", "y", seed)
+        out = out.unionByName(scored.groupBy("split").agg(F.lit("shuffled_labels").alias("variant"), F.count(F.lit(1)).alias("n"), right, majority).withColumns(none))
     return out
 
 

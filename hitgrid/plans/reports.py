@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..registry import query
+from .scoring import _RUNS
 from .views import table
 
 _AB = "ab AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS a, sqrt(l_quantity) AS sa, l_extendedprice/1000 AS b, l_discount + 0.1 AS sb FROM lineitem)"
@@ -90,27 +91,72 @@ def least_eigenvalue(a: Column, b: Column, c: Column, d: Column, e: Column, f: C
     return F.when(p == 0, q).otherwise(q + 2 * p * F.cos(F.acos(r) / 3 + 2 * math.pi / 3))
 
 
-@query()
-def fn_psd_shift3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least eigenvalue of each group's covariance and the shift that makes it positive."""
-    from .scoring import _COVS, empirical
+def cholesky3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> dict[str, Column]:
+    """The lower factor of the positive definite [[a, d, e], [d, b, f], [e, f, c]], in closed form. Null where a pivot isn't positive."""
+    root = lambda x: F.when(x > 0, F.sqrt(x))
+    l11 = root(a)
+    l21, l31 = d / l11, e / l11
+    l22 = root(b - l21 * l21)
+    l32 = (f - l31 * l21) / l22
+    return {"l11": l11, "l21": l21, "l31": l31, "l22": l22, "l32": l32, "l33": root(c - l31 * l31 - l32 * l32)}
+
+
+def whitened3(x: tuple[Column, Column, Column], factor: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """The solution of L z = x by forward substitution: of unit covariance where L is the factor of that of x. Its squared length is the Mahalanobis distance."""
+    z1 = x[0] / factor["l11"]
+    z2 = (x[1] - factor["l21"] * z1) / factor["l22"]
+    return z1, z2, (x[2] - factor["l31"] * z1 - factor["l32"] * z2) / factor["l33"]
+
 
-    rows = empirical(spark, sf_dir).dropna()
-    least = least_eigenvalue(*[F.col(f"e{i}{j}") for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))])
-    return rows.select("grp", *[f"e{i}{j}" for i, j in _COVS], least.alias("least"), F.greatest(F.lit(0.0), 1e-9 - least).alias("shift"))
+_MEANS = "mu AS (SELECT grp, avg(m1) AS a1, avg(m2) AS a2, avg(m3) AS a3 FROM runs GROUP BY 1)"
+_DETS = "(s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13))"
+_COF = {"11": "(s22*s33 - s23*s23)", "22": "(s11*s33 - s13*s13)", "33": "(s11*s22 - s12*s12)", "12": "(s13*s23 - s12*s33)", "13": "(s12*s23 - s13*s22)", "23": "(s12*s13 - s11*s23)"}
+_QUAD = " + ".join(f"{1 if i == j else 2}*d{i}*d{j}*{_COF[f'{i}{j}']}" for i in (1, 2, 3) for j in range(i, 4))
+_PER_RUN = "pr AS (SELECT grp, run, " + ", ".join(f"covar_samp(m{i}, m{j}) / count(*) AS s{i}{j}" for i in (1, 2, 3) for j in range(i, 4)) + " FROM w GROUP BY ALL HAVING count(*) >= 4)"
+
+
+@query(f"""WITH {_RUNS}, {_MEANS}, {_PER_RUN}, j AS (SELECT pr.*, m1 - a1 AS d1, m2 - a2 AS d2, m3 - a3 AS d3 FROM pr JOIN runs USING (grp, run) JOIN mu USING (grp)), q AS (SELECT *, {_DETS} AS det FROM j)
+  SELECT grp, run, det > 1e-4 * s11 * s22 * s33 AS regular, CASE WHEN det > 1e-4 * s11 * s22 * s33 THEN round(d1 / sqrt(s11), 5) END AS z1, CASE WHEN det > 1e-4 * s11 * s22 * s33 THEN round((d2 - d1 * s12 / s11) / sqrt(s22 - s12 * s12 / s11), 4) END AS z2,
+    CASE WHEN det > 1e-4 * s11 * s22 * s33 THEN round(ln(1 + ({_QUAD}) / det), 4) END AS distance FROM q""")
+def fn_psd_shift3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's mean against its group's, whitened by the covariance of the run's own mean, and ln(1 + d) of its Mahalanobis distance d.
+
+    A covariance whose least eigenvalue is below 1e-9 is shifted up to it first; those that are all but singular (correlations
+    leave less than 1e-4 of the determinant) have no values here, as rounding would rule them.
+    """
+    from .scoring import _COVS, run_means, run_windows
+
+    means = run_means(spark, sf_dir)
+    centre = means.groupBy("grp").agg(*[F.avg(f"m{k}").alias(f"a{k}") for k in (1, 2, 3)])
+    own = run_windows(spark, sf_dir).groupBy("grp", "run").agg(F.count(F.lit(1)).alias("n"), *[(F.covar_samp(f"m{i}", f"m{j}") / F.count(F.lit(1))).alias(f"s{i}{j}") for i, j in _COVS]).filter("n >= 4")
+    rows = own.join(means, ["grp", "run"]).join(centre, "grp")
+    order = [F.col(f"s{i}{j}") for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3))]
+    rows = rows.withColumn("shift", F.greatest(F.lit(0.0), 1e-9 - least_eigenvalue(*order)))
+    a, b, c = (F.col(f"s{k}{k}") + F.col("shift") for k in (1, 2, 3))
+    rows = rows.withColumn("regular", F.expr(f"{_DETS} > 1e-4 * s11 * s22 * s33"))
+    rows = rows.withColumns(cholesky3(a, b, c, *order[3:]))
+    factor = {k: F.col(k) for k in ("l11", "l21", "l31", "l22", "l32", "l33")}
+    z = whitened3(tuple(F.col(f"m{k}") - F.col(f"a{k}") for k in (1, 2, 3)), factor)
+    rows = rows.withColumns({f"z{k}": v for k, v in enumerate(z, 1)})
+    shown = lambda c, n, name: F.when(F.col("regular"), F.round(c, n)).alias(name)
+    return rows.select("grp", "run", "regular", shown(F.col("z1"), 5, "z1"), shown(F.col("z2"), 4, "z2"), shown(F.log(1 + F.expr("z1*z1 + z2*z2 + z3*z3")), 4, "distance"))
 
 
 def tau_floor(tau: Column, floor: float = 0.5, k: float = 3.0) -> Column:
     return F.when(tau.isNotNull() & ~F.isnan(tau) & (tau > 0), F.greatest(F.lit(floor), k * tau)).otherwise(floor)
 
 
-def updated_window(w: Column, rel_y: Column, rel_m1: Column, floor: Column, down: float, up: float, most: float = 60.0, eps_y: float = 0.10, eps_m1: float = 0.02) -> Column:
-    """One step of the window's width: coarse rules, then a scale by the relative errors, clamped in rate and range."""
+def updated_window(w: Column, rel_y: Column, rel_m1: Column, floor: Column, down: float, up: float, most: float = 60.0, eps_y: float = 0.10, eps_m1: float = 0.02, least: Column | float = 0.5) -> Column:
+    """One step of the window's width: coarse rules that keep to `floor` (the bound of the correlation time), then a scale by the relative errors, clamped in rate and range.
+
+    `least` bounds the last clamp from below: the window's own floor; only a contraction has `floor` there, too.
+    """
+    least = least if isinstance(least, Column) else F.lit(least)
     w = F.when((rel_y < 0.5 * eps_y) & (rel_m1 < 0.5 * eps_m1), F.greatest(0.9 * w, floor)).when((rel_y > 2 * eps_y) | (rel_m1 > 2 * eps_m1), F.least(1.2 * w, F.lit(most))).otherwise(w)
     w = F.when((rel_y > eps_y) | (rel_m1 > eps_m1), F.least(1.3 * w, F.lit(most))).when((rel_y < eps_y) & (rel_m1 < eps_m1), F.greatest(0.95 * w, floor)).otherwise(w)
     a, b = rel_y / eps_y, rel_m1 / eps_m1
     scale = F.greatest(a * a, b * b)
-    scaled = F.least(F.greatest(F.least(F.greatest(w * scale, w * down), w * up), floor), F.lit(most))
+    scaled = F.least(F.greatest(F.least(F.greatest(w * scale, w * down), w * up), least), F.lit(most))
     return F.when(scale > 0, scaled).otherwise(w)
 
 
@@ -120,13 +166,16 @@ def fn_tau_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tau_floor(tau).alias("tau_floor"))
 
 
-_RY, _RM, _FL = "(p_size / 200.0)", "(p_retailprice / 50000)", "0.5"
+_RY, _RM, _FL = "(p_size / 200.0)", "(p_retailprice / 50000)", "(CASE WHEN p_size % 3 = 0 THEN 14.0 ELSE 0.5 END)"
 _W1 = f"(CASE WHEN {_RY} < 0.05 AND {_RM} < 0.01 THEN greatest(9.0, {_FL}) WHEN {_RY} > 0.2 OR {_RM} > 0.04 THEN 12.0 ELSE 10.0 END)"
 _W2 = f"(CASE WHEN {_RY} > 0.1 OR {_RM} > 0.02 THEN least(1.3 * {_W1}, 60) WHEN {_RY} < 0.1 AND {_RM} < 0.02 THEN greatest(0.95 * {_W1}, {_FL}) ELSE {_W1} END)"
 _SC = f"greatest(({_RY}/0.1)*({_RY}/0.1), ({_RM}/0.02)*({_RM}/0.02))"
 
 
-@query(f"SELECT p_partkey, round(CAST(least(greatest(least(greatest(w * s, w * 0.5), w * 2.0), 0.5), 60.0) AS DOUBLE), 6) AS w FROM (SELECT p_partkey, CAST({_W2} AS DOUBLE) AS w, CAST({_SC} AS DOUBLE) AS s FROM part)")
+@query(f"SELECT p_partkey, round(CAST(least(greatest(least(greatest(w * s, w * 0.5), w * 2.0), 0.5), 60.0) AS DOUBLE), 6) AS track, round(CAST(least(greatest(least(greatest(w * s, w * 0.5), w * 1.2), f), 60.0) AS DOUBLE), 6) AS contract FROM (SELECT p_partkey, CAST({_W2} AS DOUBLE) AS w, CAST({_SC} AS DOUBLE) AS s, CAST({_FL} AS DOUBLE) AS f FROM part)")
 def fn_window_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = updated_window(F.lit(10.0), F.col("p_size") / 200.0, F.col("p_retailprice") / 50000, F.lit(0.5), 0.5, 2.0)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(w, 6).alias("w"))
+    """Under a correlation time's bound of 14 for a third of the parts: while tracking the last clamp minds the window's own floor, in a contraction that bound."""
+    floor, ry, rm = F.when(F.col("p_size") % 3 == 0, 14.0).otherwise(0.5), F.col("p_size") / 200.0, F.col("p_retailprice") / 50000
+    track = updated_window(F.lit(10.0), ry, rm, floor, 0.5, 2.0)
+    contract = updated_window(F.lit(10.0), ry, rm, floor, 0.5, 1.2, least=floor)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(track, 6).alias("track"), F.round(contract, 6).alias("contract"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import islands, ranges
 from ..registry import query
+from ..streaming import fixed
 from .views import DAY, DETECTIONS, HOUR, detections
 
 #: Windows of six hours and their labels: LowRate, Track or Hold by count, Single or Dual by the lead channel.
@@ -151,13 +152,11 @@ def win_alarm_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", "idx", (F.col("confused") & (since >= 2)).alias("sustained"), (~F.col("confused") & (since >= 2)).alias("cleared"))
 
 
-@query(f"WITH {DETECTIONS} SELECT event_id, count(*) OVER (PARTITION BY run_id ORDER BY ts_us RANGE BETWEEN {HOUR} PRECEDING AND 1 PRECEDING) AS trailing FROM det")
+@query(f"WITH {DETECTIONS} SELECT event_id, count(*) OVER (PARTITION BY run_id ORDER BY ts_us RANGE BETWEEN (event_id % 5 + 1) * {HOUR} PRECEDING AND 1 PRECEDING) AS trailing FROM det")
 def win_trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the run in [t - W, t), by a range frame on the time. Each event also counts for the hour after its own, so a task orders two hours."""
-    hour = F.expr(f"ts_us div {HOUR}")
-    rows = detections(spark, sf_dir).select("run_id", "ts_us", "event_id", hour.alias("own"), F.explode(F.array(hour, hour + 1)).alias("hr"))
-    w = islands.over(["run_id", "hr"], "ts_us").rangeBetween(-HOUR, -1)
-    return rows.withColumn("trailing", F.count(F.lit(1)).over(w)).filter("hr = own").select("event_id", "trailing")
+    """Events of the run in [t - W, t), with a width of its own for each event."""
+    rows = detections(spark, sf_dir)
+    return ranges.trailing_counts(rows, ["run_id"], "ts_us", (F.col("event_id") % 5 + 1) * HOUR, ["event_id"]).select("event_id", "trailing")
 
 
 @query(f"""WITH {DETECTIONS}, h AS (SELECT run_id, hr, count(*) AS n FROM (SELECT run_id, ts_us // {HOUR} AS hr, channel FROM det) GROUP BY ALL), f AS (SELECT run_id, n, count(*) AS freq FROM h GROUP BY ALL),
@@ -276,12 +275,16 @@ def fn_confused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("run_id", "idx", (F.col("state").isin("Hold", "LowRate") | (F.col("n") < 10)).alias("confused"))
 
 
-@query(f"""WITH {DETECTIONS}, f AS (SELECT run_id, min(ts_us) AS t0 FROM det GROUP BY 1) SELECT run_id, (ts_us - t0) // {DAY} AS win, count(*) AS n, max(channel) AS top FROM det JOIN f USING (run_id) GROUP BY ALL""")
+@query(f"""WITH {DETECTIONS}, f AS (SELECT run_id, min(ts_us) AS t0, max(ts_us) + 1 AS t1 FROM det GROUP BY 1),
+  spans AS (SELECT run_id, win, t0 + win * {DAY} AS start_us, least(t0 + (win + 1) * {DAY}, t1) AS end_us, win = (t1 - t0 - 1) // {DAY} AS forced FROM (SELECT *, unnest(range((t1 - t0 - 1) // {DAY} + 1)) AS win FROM f)),
+  g AS (SELECT run_id, (ts_us - t0) // {DAY} AS win, count(*) AS n FROM det JOIN f USING (run_id) WHERE channel <= 13 GROUP BY run_id, win, (ts_us - t0) % {DAY} // {HOUR}),
+  s AS (SELECT run_id, win, sum(n) AS n, sum(n * (n - 1)) AS f2 FROM g GROUP BY ALL), i AS (SELECT run_id, (ts_us - t0) // {DAY} AS win, count(*) AS ignored FROM det JOIN f USING (run_id) WHERE channel > 13 GROUP BY ALL),
+  m AS (SELECT spans.*, coalesce(n, 0) AS n, coalesce(ignored, 0) AS ignored, coalesce(n, 0)::DOUBLE / ((end_us - start_us + {HOUR} - 1) // {HOUR}) AS mean, coalesce(f2, 0)::DOUBLE / ((end_us - start_us + {HOUR} - 1) // {HOUR}) AS m2 FROM spans LEFT JOIN s USING (run_id, win) LEFT JOIN i USING (run_id, win))
+  SELECT run_id, win, start_us, end_us, forced, CAST(n AS BIGINT) AS n, ignored, round(mean, 9) AS mean, round(CASE WHEN mean > 0 THEN (m2 - mean * mean) / mean ELSE 0 END, 9) AS y FROM m""")
 def str_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling windows from each run's first event; the batch twin of the streaming operator."""
-    det = detections(spark, sf_dir)
-    first = det.groupBy("run_id").agg(F.min("ts_us").alias("t0"))
-    return det.join(first, "run_id").groupBy("run_id", F.expr(f"(ts_us - t0) div {DAY}").alias("win")).agg(F.count(F.lit(1)).alias("n"), F.max("channel").alias("top"))
+    """Tumbling windows from each run's first event: passed ones without events, too, and a last one that is forced behind the last event; the batch twin of `streaming.fixed`."""
+    out = fixed.fixed_windows(detections(spark, sf_dir), DAY, HOUR, channels=13)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "y")})
 
 
 @query(f"""WITH {DETECTIONS}, b AS (SELECT run_id, ts_us // {HOUR} AS bin, count(*) AS n FROM det GROUP BY ALL)

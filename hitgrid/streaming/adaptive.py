@@ -76,7 +76,7 @@ class AdaptiveState:
     z_monitor: Monitor = field(default_factory=Monitor)
 
 
-ADAPTIVE_SCHEMA = "run_id string, step int, t double, state string, w double, gate int, m1 double, y double, sigma_y double, z double, max_abs_z double, tau double, mismatch boolean, insufficient boolean, alarm boolean, beta double, wanted int, votes int"
+ADAPTIVE_SCHEMA = "run_id string, step int, t double, state string, w double, gate int, m1 double, y double, sigma_y double, z double, max_abs_z double, tau double, mismatch boolean, insufficient boolean, alarm boolean, beta double, wanted int, votes int, quiet_until double"
 
 
 def gate_moments(prefix: np.ndarray, left: int, width: float, gate: int) -> dict[str, float]:
@@ -227,7 +227,7 @@ def step(s: AdaptiveState, c: AdaptiveConfig, prefix: np.ndarray, now: float, ba
     rel_y = moments["sigma"] / moments["y"] if moments["y"] > 0 else math.inf
     rel_m1 = math.sqrt(moments["v11"]) / moments["m1"] if moments["m1"] > 0 else math.inf
     _transition(s, c, now, max_z, z_sel, insufficient, degraded, any(fired), sig, rel_y, rel_m1, moments)
-    return {"t": now, "state": s.state, "w": s.w, "gate": c.gates[s.gate], "m1": moments["m1"], "y": moments["y"], "sigma_y": moments["sigma"] if math.isfinite(moments["sigma"]) else None, "z": z_sel, "max_abs_z": max_z, "tau": s.tau if math.isfinite(s.tau) else None, "mismatch": mismatch, "insufficient": insufficient, "alarm": s.alarm, "beta": s.beta, "wanted": c.gates[wanted], "votes": s.gate_votes}
+    return {"t": now, "state": s.state, "w": s.w, "gate": c.gates[s.gate], "m1": moments["m1"], "y": moments["y"], "sigma_y": moments["sigma"] if math.isfinite(moments["sigma"]) else None, "z": z_sel, "max_abs_z": max_z, "tau": s.tau if math.isfinite(s.tau) else None, "mismatch": mismatch, "insufficient": insufficient, "alarm": s.alarm, "beta": s.beta, "wanted": c.gates[wanted], "votes": s.gate_votes, "quiet_until": s.quiet_until if s.state == "Hold" else None}
 
 
 def _transition(s, c, now, max_z, z_sel, insufficient, degraded, fired, sig, rel_y, rel_m1, moments) -> None:

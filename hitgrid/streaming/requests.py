@@ -1,54 +1,34 @@
-"""A bounded queue of requests in front of a worker: the newest probe wins, a final request outranks all older ones."""
+"""Pending requests of runs: the newest probe wins, and a final request outranks every probe.
 
-from __future__ import annotations
-
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-OUTCOMES = "run_id string, idx long, request string, outcome string, at long"
+What is pending is a maximum, of (final or not, sequence): a micro-batch needs its own one alone, and the state carries one request a run.
+"""
 
+from __future__ import annotations
 
-@dataclass
-class Request:
-    idx: int
-    kind: str  # probe or final
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def enqueue(pending: list[Request], new: Request, capacity: int) -> tuple[list[Request], list[Request]]:
-    """The queue after a request, and what left it unserved. While there is room, all wait; a full queue drops what is older than the new one:
-    probes for a probe (which is refused if finals fill the queue), everything for a final."""
-    if len(pending) < capacity:
-        return [*pending, new], []
-    if new.kind == "probe":
-        left, gone = [r for r in pending if r.kind != "probe"], [r for r in pending if r.kind == "probe"]
-        return ([*left, new], gone) if len(left) < capacity else (pending, [new])
-    return [new], pending
 
+def rank(request: Column, sequence: Column) -> Column:
+    """What the greatest of stays pending."""
+    return F.struct((request == "final").alias("final"), sequence.alias("seq"))
 
-def run_queue(requests: DataFrame, capacity: int = 2, service: int = 4) -> DataFrame:
-    """requests (run_id, idx, request) with outcome (served, dropped, waiting) and `at`, the step of it. The worker takes the oldest request and is busy for `service` steps."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [Request(int(r.idx), r.request) for r in pdf.sort_values("idx").itertuples(index=False)]
-        pending, out, free = [], [], 0
+def latest_wins(requests: DataFrame, keys: Sequence[str], trigger: str, request: str = "request", sequence: str = "idx") -> DataFrame:
+    """(keys, trigger, request, sequence): what is pending after each trigger that brought requests.
 
-        def serve(until: int) -> None:
-            nonlocal free
-            while pending and max(free, pending[0].idx) < until:
-                first = pending.pop(0)
-                start = max(free, first.idx)
-                out.append((first, "served", start))
-                free = start + service
+    Every trigger is reduced to its winner first; the running winner goes over these, a row for each run and trigger. Other
+    values than `final` are probes; null requests count for nothing.
+    """
+    some = requests.filter(F.col(request).isNotNull())
+    won = some.groupBy(*keys, trigger).agg(F.max_by(F.struct(request, sequence), rank(F.col(request), F.col(sequence))).alias("_r"))
+    upto = Window.partitionBy(*keys).orderBy(trigger).rowsBetween(Window.unboundedPreceding, 0)
+    return won.withColumn("_r", F.max_by("_r", rank(F.col(f"_r.{request}"), F.col(f"_r.{sequence}"))).over(upto)).select(*keys, trigger, f"_r.{request}", f"_r.{sequence}")
 
-        for new in rows:
-            serve(new.idx)
-            pending[:], gone = enqueue(pending, new, capacity)
-            out.extend((r, "dropped", new.idx) for r in gone)
-        serve(rows[-1].idx + service * (capacity + 1))
-        out.extend((r, "waiting", None) for r in pending)
-        run = pdf["run_id"].iloc[0]
-        return pd.DataFrame([(run, r.idx, r.kind, what, at) for r, what, at in out], columns=[x.split()[0] for x in OUTCOMES.split(", ")])
 
-    return requests.groupBy("run_id").applyInPandas(fold, OUTCOMES)
+def stream_latest_wins(requests: DataFrame, keys: Sequence[str], request: str = "request", sequence: str = "idx") -> DataFrame:
+    """The same over a stream, a trigger being a micro-batch: in update mode, a row for each run whose pending request a batch may have changed."""
+    won = requests.filter(F.col(request).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(request, sequence), rank(F.col(request), F.col(sequence))).alias("_r"))
+    return won.select(*keys, f"_r.{request}", f"_r.{sequence}")
