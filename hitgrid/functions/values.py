@@ -54,3 +54,13 @@ def distance3(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays of three."""
     d = [F.element_at(a, k) - F.element_at(b, k) for k in (1, 2, 3)]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def centroid3(a: Column, b: Column) -> Column:
+    """The point halfway between two arrays of three."""
+    return F.array(*[(F.element_at(a, k) + F.element_at(b, k)) / 2 for k in (1, 2, 3)])
+
+
+def bias3(predicted: Column, true: Column) -> Column:
+    """How far a predicted point lies from a true one, along each axis."""
+    return F.array(*[F.element_at(predicted, k) - F.element_at(true, k) for k in (1, 2, 3)])

@@ -88,13 +88,13 @@ def greatest_before(df: DataFrame, keys: Sequence[str], key: str, value: str, na
     return out.select(*df.columns, F.greatest("_own", "_top").alias(name))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
     """(keys, one column for each wanted share): exact percentiles with linear interpolation, nulls aside; groups of nulls alone have none.
 
     Equal values are counted first; then the places of each value come from running totals, and only the values at the
-    wanted places go on.
+    wanted places go on. With a weight, a row stands for so many.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     placed = running_totals(counts, "_x", ["_n"], keys=keys)
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total")).withColumn("_part", F.lit(0))
     rows = _with_part_table(placed.withColumn("_part", F.lit(0)), total, keys).drop("_part")

@@ -29,10 +29,13 @@ def agg_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.selectExpr("*", "round((tp+tn)/(tp+fp+tn+fn), 9) AS accuracy", "round(tp/(tp+fp), 9) AS precision", "round(tp/(tp+fn), 9) AS recall", "round(2*tp/(2*tp+fp+fn), 9) AS f1")
 
 
-@query(f"WITH {_S}, {_C} SELECT p, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / all_pos, 9) AS tpr, round(fp / all_neg, 9) AS fpr, round(tp / (tp + fp), 9) AS precision FROM c")
+@query(f"WITH {_S}, {_C} SELECT p, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / all_pos, 9) AS tpr, round(fp / all_neg, 9) AS fpr, round(tp / (tp + fp), 9) AS precision FROM c UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0, 0, 0, 1")
 def agg_roc_pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = curves.curve(scores(spark, sf_dir))
-    return out.select("p", "tp", "fp", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "precision")])
+    """A point for each distinct score, and the start, where no score is high enough."""
+    found = scores(spark, sf_dir)
+    out = curves.curve(found).select("p", "tp", "fp", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "precision")])
+    start = spark.range(1).select(F.lit(float("inf")).alias("p"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"), F.lit(1.0).alias("precision"))
+    return out.unionByName(start)
 
 
 @query(f"WITH {_S}, {_C} SELECT round(sum(neg / all_neg * (2*tp - pos) / (2*all_pos)), 9) AS roc_auc, round(sum(pos / all_pos * (CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) ELSE 1 END + tp / (tp + fp)) / 2), 9) AS pr_auc FROM c")

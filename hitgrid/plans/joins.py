@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import islands, schedule
+from ..operators import islands, pairs, schedule
 from ..operators.ranges import places
 from ..registry import query
+from ..sources import files
+from ..tables import new_path
 from .views import DAY, DETECTIONS, HOUR, detections, table
 from .windows import _W, STEP6, steps
 
 
-@query("SELECT o_orderkey, lower(c_mktsegment) AS segment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, c_mktsegment || '-' || CAST(c_custkey % 3 AS VARCHAR) AS segment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0")
 def join_pair_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with their metadata by key; of repeated keys the last counts, rows without metadata go. The optimizer chooses to broadcast by the side's size."""
-    meta = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("segment"), "c_nationkey")
-    meta = meta.groupBy("c_custkey").agg(F.max(F.struct("c_nationkey", "segment")).alias("m")).select("c_custkey", "m.segment", "m.c_nationkey")
-    return table(spark, sf_dir, "orders").join(meta, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "segment", "c_nationkey")
+    """Rows with their metadata, read from CSV files, by the first key that both have; of repeated keys the last row of the files counts, rows without metadata go.
+
+    A key stands in one to three rows, under two spellings. The optimizer chooses to broadcast by the side's size.
+    """
+    folder = new_path(spark, "pairs")
+    customer = table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0")
+    rows = customer.select(F.explode(F.sequence(F.lit(0), F.col("c_custkey") % 3)).alias("version"), "*")
+    key = F.concat(F.when(F.col("version") % 2 == 0, "k").otherwise("K"), F.col("c_custkey").cast("string"))
+    rows = rows.select(key.alias("Pair"), F.concat("c_mktsegment", F.lit("-"), F.col("version").cast("string")).alias("segment"), "c_nationkey", F.lit(0).alias("row"), "c_custkey", "version")
+    rows.orderBy("version", "c_custkey").drop("c_custkey", "version").write.option("header", "true").csv(folder)
+    counts = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("pair"), F.lit(1).alias("ROW"))
+    return pairs.with_metadata(counts, files.read_csv(spark, folder, order=True)).select("o_orderkey", "segment", F.col("c_nationkey").cast("int").alias("c_nationkey"))
 
 
 @query("WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT p_partkey, s_suppkey FROM a JOIN b USING (k)")
@@ -112,12 +122,29 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", *[dist(*v).alias(k) for k, v in _PAIRS.items()])
 
 
-@query(f"WITH {_DIST_SQL} SELECT l_orderkey, l_linenumber, round(CASE WHEN d11+d22 <= d12+d21 THEN d11 ELSE d12 END, 6) AS e1, round(CASE WHEN d11+d22 <= d12+d21 THEN d22 ELSE d21 END, 6) AS e2, round(least(d11+d22, d12+d21)/2, 6) AS mean_error FROM dist")
+_AXES = "xyz"
+_STRAIGHT = "d11+d22 <= d12+d21"
+_BIAS_SQL = ", ".join(f"CASE WHEN {_STRAIGHT} THEN {_PTS[f'p{k}'][i]} - {_PTS[f't{k}'][i]} ELSE {_PTS[f'p{k}'][i]} - {_PTS[f't{3 - k}'][i]} END AS b{k}{c}" for k in (1, 2) for i, c in enumerate(_AXES))
+_MID_SQL = [f"({_PTS['p1'][i]} + {_PTS['p2'][i]} - {_PTS['t1'][i]} - {_PTS['t2'][i]}) / 2.0::DOUBLE" for i in range(3)]
+
+
+@query(f"""WITH dist AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(f'{_sql_dist(*v)} AS {k}' for k, v in _PAIRS.items())} FROM lineitem)
+  SELECT l_orderkey, l_linenumber, round(CASE WHEN {_STRAIGHT} THEN d11 ELSE d12 END, 6) AS e1, round(CASE WHEN {_STRAIGHT} THEN d22 ELSE d21 END, 6) AS e2, round(least(d11+d22, d12+d21)/2, 6) AS mean_error,
+    round(sqrt({' + '.join(f'({m})*({m})' for m in _MID_SQL)}), 6) AS centroid_error, {', '.join(f'{m} AS c{c}' for m, c in zip(_MID_SQL, _AXES, strict=True))}, {_BIAS_SQL} FROM dist""")
 def join_dual_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairing of two predictions with two truths that has the smaller sum."""
+    """The pairing of two predictions with two truths that has the smaller sum: both errors and their mean, the error and bias of the centroid, and the bias of each prediction."""
+    from ..functions import values as V
+
+    at = {n: F.array(*[F.expr(x).cast("double") for x in xs]) for n, xs in _PTS.items()}
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in at.items()])
+    rows = rows.withColumns({f"d{i}{j}": V.distance3(F.col(f"p{i}"), F.col(f"t{j}")) for i in (1, 2) for j in (1, 2)})
     straight = F.col("d11") + F.col("d22") <= F.col("d12") + F.col("d21")
-    e1, e2 = F.when(straight, F.col("d11")).otherwise(F.col("d12")), F.when(straight, F.col("d22")).otherwise(F.col("d21"))
-    return distances(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(e1, 6).alias("e1"), F.round(e2, 6).alias("e2"), F.round((e1 + e2) / 2, 6).alias("mean_error"))
+    pick = lambda a, b: F.when(straight, a).otherwise(b)
+    rows = rows.withColumns({"e1": pick(F.col("d11"), F.col("d12")), "e2": pick(F.col("d22"), F.col("d21")), "mid": V.bias3(V.centroid3(F.col("p1"), F.col("p2")), V.centroid3(F.col("t1"), F.col("t2")))})
+    bias = {f"b{k}": V.bias3(F.col(f"p{k}"), pick(F.col(f"t{k}"), F.col(f"t{3 - k}"))) for k in (1, 2)}
+    rows = rows.withColumns({**bias, "centroid_error": V.distance3(V.centroid3(F.col("p1"), F.col("p2")), V.centroid3(F.col("t1"), F.col("t2")))})
+    parts = [F.element_at("mid", i).alias(f"c{c}") for i, c in enumerate(_AXES, 1)] + [F.element_at(f"b{k}", i).cast("long").alias(f"b{k}{c}") for k in (1, 2) for i, c in enumerate(_AXES, 1)]
+    return rows.select("l_orderkey", "l_linenumber", F.round("e1", 6).alias("e1"), F.round("e2", 6).alias("e2"), F.round((F.col("e1") + F.col("e2")) / 2, 6).alias("mean_error"), F.round("centroid_error", 6).alias("centroid_error"), *parts)
 
 
 @query(f"WITH {_DIST_SQL} SELECT l_orderkey, l_linenumber, round(least(greatest(d11, d22), greatest(d12, d21)), 6) AS worst FROM dist")

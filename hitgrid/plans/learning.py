@@ -10,6 +10,8 @@ from ..operators import curves, ranges
 from ..operators import learning as L
 from ..registry import query
 from .channels import _C15, count_vectors, features
+from .joins import _PAIRS as _ASSIGNED
+from .joins import _PTS, _sql_dist
 from .scoring import _ERR, errors, r6
 from ..tables import written
 from .views import table
@@ -281,30 +283,27 @@ def ml_domain_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("fraction", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("dataset")), 9))
 
 
-@query(f"WITH {_ERR}, b AS (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, error FROM err) SELECT bin, count(*) AS n, round(median(error), 6) AS center, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.75), 6) AS p75 FROM b GROUP BY 1")
+_POINTS = "pt AS (SELECT axis, x, error FROM (SELECT unnest(['counts', 'distance']) AS axis, unnest([l_quantity::DOUBLE, far]) AS x, error FROM (SELECT *, least(d11+d22, d12+d21)/2 AS error FROM dist)))"
+
+
+@query(f"""WITH dist AS (SELECT l_quantity, sqrt(CAST({' + '.join(f'{c}*{c}' for c in _PTS['t1'])} AS DOUBLE)) AS far, {', '.join(f'{_sql_dist(*v)} AS {k}' for k, v in _ASSIGNED.items())} FROM lineitem), {_POINTS},
+  k AS (SELECT *, (20 * row_number() OVER (PARTITION BY axis ORDER BY x, error) + count(*) OVER (PARTITION BY axis) - 1) // count(*) OVER (PARTITION BY axis) - 1 AS bin FROM pt)
+  SELECT axis, bin, count(*) AS n, round(median(x), 6) AS center, round(median(error), 6) AS median, round(quantile_cont(error, 0.25), 6) AS p25, round(quantile_cont(error, 0.75), 6) AS p75 FROM k GROUP BY ALL""")
 def ml_error_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors against counts."""
-    rows = errors(spark, sf_dir).withColumn("bin", F.floor(F.col("l_quantity") / 5))
-    found = ranges.percentiles(rows, ["bin"], "error", {"center": 0.5, "p25": 0.25, "p75": 0.75})
-    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(found.select("bin", *[r6(F.col(n), n) for n in ("center", "p25", "p75")]), "bin")
+    """Errors against counts and against the distance of the true place, in twenty bins of equally many points each."""
+    far = distance3(F.array(*[F.expr(c).cast("double") for c in _PTS["t1"]]), F.array(*[F.lit(0.0)] * 3))
+    pairs = {k: distance3(*[F.array(*[F.expr(c).cast("double") for c in _PTS[n]]) for n in v]) for k, v in _ASSIGNED.items()}
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("counts"), far.alias("distance"), (F.least(pairs["d11"] + pairs["d22"], pairs["d12"] + pairs["d21"]) / 2).alias("error"))
+    point = lambda axis: F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("x"))
+    rows = rows.select(F.explode(F.array(point("counts"), point("distance"))).alias("p"), "error").select("p.*", "error")
+    sizes = rows.groupBy("axis").agg(F.count(F.lit(1)).alias("size"))
+    rows = ranges.places(rows, "x", ["error"], keys=["axis"]).join(sizes, "axis").withColumn("bin", F.expr("(20 * (place + 1) + size - 1) div size - 1"))
+    keys = ["axis", "bin"]
+    center = ranges.percentiles(rows, keys, "x", {"center": 0.5})
+    found = ranges.percentiles(rows, keys, "error", {"median": 0.5, "p25": 0.25, "p75": 0.75}).join(center, keys)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(found.select(*keys, *[r6(F.col(n), n) for n in ("center", "median", "p25", "p75")]), keys)
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
 def flt_descriptor_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-
-
-@query()
-def agg_reduced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of intervals from fewer windows of each run, chosen by a hash."""
-    from pyspark.sql import Window
-
-    from .scoring import Z95, run_windows
-
-    rows = run_windows(spark, sf_dir).withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (1.0, 0.75, 0.5, 0.25, 0.1)])))
-    w = Window.partitionBy("factor", "grp", "run").orderBy(F.xxhash64("factor", "run", "m1", "m2", "m3"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("factor", "grp", "run"))
-    kept = rows.withColumn("k", F.row_number().over(w)).withColumn("n", n).filter(F.col("k") <= F.greatest(F.lit(1.0), F.floor(F.col("factor") * F.col("n"))))
-    runs = kept.groupBy("factor", "grp", "run").agg(F.avg("m1").alias("m1"), (F.var_samp("m1") / F.count(F.lit(1))).alias("v"))
-    g = Window.partitionBy("factor", "grp")
-    return runs.withColumn("mu", F.avg("m1").over(g)).groupBy("factor", "grp").agg(F.avg((F.abs(F.col("m1") - F.col("mu")) <= Z95 * F.sqrt("v")).cast("double")).alias("coverage"), F.count(F.lit(1)).alias("runs"))

@@ -55,11 +55,23 @@ def fn_reason_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(codes[F.col("o_orderstatus")], F.lit("OTHER")).alias("code"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.missing') AS BIGINT) AS missing FROM events")
+def json_number(line: Column, *names: str) -> Column:
+    """The number under the first of these names that an object has, letter case as given. Numbers may be text, and NaN, Infinity and -Infinity are named; anything else is null."""
+    text = F.coalesce(*[F.get_json_object(line, f"$.{n}") for n in names], F.lit(None).cast("string"))
+    named = F.when(text == "NaN", float("nan")).when(text == "Infinity", float("inf")).when(text == "-Infinity", float("-inf"))
+    return F.coalesce(named, F.when(text.rlike(r"^\s*[-+]?[0-9.]+([eE][-+]?[0-9]+)?\s*$"), text.try_cast("double")))
+
+
+_VALUE = """CASE event_id % 6 WHEN 0 THEN '{"Value": "NaN"}' WHEN 1 THEN '{"value": "-Infinity", "Value": 7}' WHEN 2 THEN '{"v": 1.5e3}' WHEN 3 THEN '{"value": "' || CAST(event_id AS VARCHAR) || '"}' WHEN 4 THEN '{"value": "nan"}' ELSE '{"value": ' END"""
+
+
+@query("""SELECT event_id, 1 AS line, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, NULL::DOUBLE AS value FROM events
+  UNION ALL SELECT event_id, 3, NULL, CASE event_id % 6 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN '-Infinity'::DOUBLE WHEN 2 THEN 1500 WHEN 3 THEN event_id END FROM events""")
 def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of a JSON column under any of their spellings; what is missing or no number is null."""
-    field = lambda *names: F.coalesce(*[F.get_json_object("props", f"$.{n}") for n in names], F.lit(None)).try_cast("bigint")
-    return table(spark, sf_dir, "events").select("event_id", field("k", "K").alias("k"), field("missing").alias("missing"))
+    """Lines of JSON, blank ones left out: numbers under any of their spellings, named ones, and nulls for what is missing, broken or no number."""
+    text = F.concat("props", F.lit("\n \n"), F.expr(_VALUE.replace("VARCHAR", "STRING")))
+    lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.split(text, "\n")).alias("at", "line_text")).filter(F.trim("line_text") != "")
+    return lines.select("event_id", (F.col("at") + 1).alias("line"), json_number(F.col("line_text"), "k", "K").alias("k"), json_number(F.col("line_text"), "value", "Value", "v").alias("value"))
 
 
 @query("SELECT o_orderkey, lower(o_orderpriority) AS priority, CAST(nullif(regexp_extract(o_orderpriority, '[0-9]+'), '') AS INTEGER) AS level, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -67,16 +79,45 @@ def fn_string_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("priority"), F.nullif(F.regexp_extract("o_orderpriority", "[0-9]+", 0), F.lit("")).cast("int").alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-_M9 = [f"({c})" for c in ("l_quantity", "l_discount*10", "l_tax*10", "l_discount*10 + CASE WHEN l_linenumber = 1 THEN 0.5 ELSE 0 END", "l_quantity + 1", "l_tax*5", "l_tax*10", "l_tax*5", "l_quantity + 2")]
+_CELLS = [(i, j) for i in range(3) for j in range(3)]
+_UPPER = [(i, j) for i, j in _CELLS if i <= j]
+
 
+def parse_covariance(rows: DataFrame) -> DataFrame:
+    """Adds c00 .. c22 (upper triangle), asymmetric (cells that differ from their mirror) and finite, from columns cov_m_ij of nine or of six cells, letter case aside.
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, " + ", ".join(f"round(({_M9[3 * i + j]} + {_M9[3 * j + i]})/2, 9) AS c{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + " + ".join(f"CASE WHEN abs({_M9[3 * i + j]} - {_M9[3 * j + i]}) > 1e-9 THEN 1 ELSE 0 END" for i in range(3) for j in range(i + 1, 3)) + " AS asymmetric FROM lineitem")
+    Nine cells become their mean with their mirror. Fails where neither set is whole. A missing or odd value isn't finite.
+    """
+    known = {c.lower(): c for c in rows.columns}
+    name = lambda i, j: f"cov_m_{i}{j}"
+    nine = all(name(i, j) in known for i, j in _CELLS)
+    if not nine and not all(name(i, j) in known for i, j in _UPPER):
+        raise ValueError("neither nine nor six covariance columns")
+    cell = {(i, j): F.col(known[name(i, j) if nine or i <= j else name(j, i)]).cast("double") for i, j in _CELLS}
+    mean = {(i, j): (cell[i, j] + cell[j, i]) / 2 for i, j in _UPPER}
+    # As close as rounding makes them: 1e-5 of the size and 1e-8.
+    odd = [F.abs(mean[min(i, j), max(i, j)] - cell[i, j]) > 1e-8 + 1e-5 * F.abs(cell[i, j]) for i, j in _CELLS if i != j]
+    finite = F.lit(True)
+    for c in cell.values():
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return rows.withColumns({**{f"c{i}{j}": v for (i, j), v in mean.items()}, "asymmetric": sum((F.coalesce(o.cast("int"), F.lit(0)) for o in odd), F.lit(0)), "finite": finite})
+
+
+_M9 = [f"({c})" for c in ("l_quantity", "l_discount*10", "l_tax*10", "l_discount*10 + CASE WHEN l_linenumber = 1 THEN 0.5 ELSE 0 END", "l_quantity + 1", "l_tax*5", "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_tax*10 END", "l_tax*5", "l_quantity + 2")]
+_MIRROR = [f"(({_M9[3 * i + j]} + {_M9[3 * j + i]})/2)" for i, j in _CELLS]
+_KEYS4 = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+@query(f"""SELECT {_KEYS4}, 'nine' AS form, {', '.join(f'round(CAST({_MIRROR[3 * i + j]} AS DOUBLE), 9) AS c{i}{j}' for i, j in _UPPER)}, {' + '.join(f'CASE WHEN abs({_MIRROR[3 * i + j]} - {_M9[3 * i + j]}) > 1e-8 + 1e-5 * abs({_M9[3 * i + j]}) THEN 1 ELSE 0 END' for i, j in _CELLS if i != j)} AS asymmetric, l_linenumber <> 2 AS finite FROM lineitem
+  UNION ALL SELECT {_KEYS4}, 'six', {', '.join(f'round(CAST({_M9[3 * i + j]} AS DOUBLE), 9)' for i, j in _UPPER)}, 0, true FROM lineitem""")
 def fn_cov_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine cells of a covariance as a symmetric matrix, and how many pairs differed."""
-    m = [F.expr(c) for c in _M9]
-    cells = [F.round((m[3 * i + j] + m[3 * j + i]) / 2, 9).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)]
-    odd = sum(((F.abs(m[3 * i + j] - m[3 * j + i]) > 1e-9).cast("int") for i in range(3) for j in range(i + 1, 3)), F.lit(0))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *cells, odd.alias("asymmetric"))
+    """Nine or six cells of a covariance as a symmetric matrix, how many cells differed from their mirror, and whether all are finite."""
+    keys, out = _KEYS4.split(", "), None
+    for form, cells in (("nine", _CELLS), ("six", _UPPER)):
+        rows = table(spark, sf_dir, "lineitem").select(*keys, F.lit(form).alias("form"), *[F.expr(_M9[3 * i + j]).alias(f"COV_m_{i}{j}") for i, j in cells])
+        part = parse_covariance(rows).select(*keys, "form", *[F.round(f"c{i}{j}", 9).alias(f"c{i}{j}") for i, j in _UPPER], "asymmetric", "finite")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def least_eigenvalue(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:

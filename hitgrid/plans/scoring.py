@@ -11,9 +11,10 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import bias3, centroid3, distance3
 from ..operators import islands, ranges
 from ..registry import query
-from .joins import _DIST_SQL, _PAIRS, _sql_dist, distances
+from .joins import _DIST_SQL, _PAIRS, _PTS, _sql_dist, distances
 from .views import table
 
 _ERR = f"{_DIST_SQL}, err AS (SELECT *, least(d11+d22, d12+d21)/2 AS error FROM dist)"
@@ -89,11 +90,19 @@ _CUM = f"{_ERR}, cum AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey
 
 @query(f"WITH {_CUM}, t AS (SELECT unnest([10.0, 25.0, 50.0, 100.0, 150.0])::DOUBLE AS thr) SELECT thr, count(*) AS n, round(median(CASE WHEN NOT unknown THEN error END), 6) AS median, round(quantile_cont(CASE WHEN NOT unknown THEN error END, 0.9), 6) AS p90, round(avg(CASE WHEN unknown THEN 1.0 ELSE 0.0 END), 6) AS unknown_fraction FROM cum, t WHERE cum >= thr GROUP BY 1")
 def agg_tail_error_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of all predictions made at or past each threshold of cumulative counts."""
-    rows = errors(spark, sf_dir).withColumn("cum", F.sum("l_quantity").over(islands.over(["l_orderkey"], "l_linenumber")))
-    rows = rows.withColumn("unknown", (F.col("l_orderkey") + F.col("l_linenumber")) % 9 == 0).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in (10.0, 25.0, 50.0, 100.0, 150.0)]))).filter("cum >= thr")
-    out = rows.groupBy("thr").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("unknown").cast("double")), "unknown_fraction"))
-    found = ranges.percentiles(rows.filter("not unknown"), ["thr"], "error", {"median": 0.5, "p90": 0.9})
+    """Errors of all predictions made at or past each threshold of cumulative counts.
+
+    A prediction counts once, for the greatest threshold that it reaches, among equal errors; only distinct errors go on to the thresholds below.
+    """
+    steps = (10.0, 25.0, 50.0, 100.0, 150.0)
+    rows = errors(spark, sf_dir).withColumn("cum", F.sum("l_quantity").over(islands.over(["l_orderkey"], "l_linenumber"))).filter(F.col("cum") >= steps[0])
+    bucket = sum(((F.col("cum") >= x).cast("int") for x in steps), F.lit(0))
+    unknown = (F.col("l_orderkey") + F.col("l_linenumber")) % 9 == 0
+    counts = rows.groupBy(bucket.alias("bucket"), "error").agg(F.count(F.lit(1)).alias("all"), F.count_if(~unknown).alias("known"))
+    reached = F.explode(F.slice(F.array(*map(F.lit, steps)), F.lit(1), F.col("bucket")))
+    by_value = counts.select(reached.alias("thr"), "error", "all", "known").groupBy("thr", "error").agg(F.sum("all").alias("all"), F.sum("known").alias("known"))
+    out = by_value.groupBy("thr").agg(F.sum("all").alias("n"), r6(1 - F.sum("known") / F.sum("all"), "unknown_fraction"))
+    found = ranges.percentiles(by_value.filter("known > 0"), ["thr"], "error", {"median": 0.5, "p90": 0.9}, weight="known")
     return out.join(found.select("thr", *[r6(F.col(n), n) for n in ("median", "p90")]), "thr", "left")
 
 
@@ -158,13 +167,20 @@ def agg_static_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(r6(F.avg(unknown.cast("double")), "unknown_fraction"), r6(F.count_if(F.col("before") != F.col("l_returnflag")) / (F.max("l_linenumber").cast("double") / 60), "transitions_per_minute"))
 
 
-@query("""WITH m AS (SELECT l_suppkey, median(l_quantity) AS mx, median(l_discount*100) AS my FROM lineitem GROUP BY 1) SELECT l_suppkey, round(mx, 6) AS mx, round(my, 6) AS my, round(sqrt(avg((l_quantity-mx)*(l_quantity-mx) + (l_discount*100-my)*(l_discount*100-my))), 6) AS rms, round(stddev_pop(l_quantity), 6) AS sx, round(stddev_pop(l_discount*100), 6) AS sy FROM lineitem JOIN m USING (l_suppkey) GROUP BY l_suppkey, mx, my""")
+_SPREAD = "s AS (SELECT l_suppkey, unnest(['source1', 'source2', 'centroid']) AS source, unnest([l_quantity::DOUBLE, l_tax * 100, (l_quantity + l_tax * 100) / 2]) AS x, unnest([l_discount * 100, l_quantity::DOUBLE, (l_discount * 100 + l_quantity) / 2]) AS y FROM lineitem)"
+
+
+@query(f"""WITH {_SPREAD}, m AS (SELECT l_suppkey, source, median(x) AS mx, median(y) AS my FROM s GROUP BY ALL)
+  SELECT l_suppkey, source, round(mx, 6) AS mx, round(my, 6) AS my, round(sqrt(avg((x-mx)*(x-mx) + (y-my)*(y-my))), 6) AS rms, round(stddev_pop(x), 6) AS sx, round(stddev_pop(y), 6) AS sy FROM s JOIN m USING (l_suppkey, source) GROUP BY l_suppkey, source, mx, my""")
 def agg_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread about the component-wise median, in two passes."""
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 100).alias("y"))
-    mid = rows.groupBy("l_suppkey").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
+    """Spread of both predicted places and of their centroid about the component-wise median, in two passes; medians by value ranges."""
+    x1, y1, x2, y2 = F.col("l_quantity").cast("double"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_quantity").cast("double")
+    place = lambda name, x, y: F.struct(F.lit(name).alias("source"), x.alias("x"), y.alias("y"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.explode(F.array(place("source1", x1, y1), place("source2", x2, y2), place("centroid", (x1 + x2) / 2, (y1 + y2) / 2))).alias("p")).select("l_suppkey", "p.*")
+    keys = ["l_suppkey", "source"]
+    mid = ranges.percentiles(rows, keys, "x", {"mx": 0.5}).join(ranges.percentiles(rows, keys, "y", {"my": 0.5}), keys)
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    return rows.join(mid, "l_suppkey").groupBy("l_suppkey").agg(r6(F.first("mx"), "mx"), r6(F.first("my"), "my"), r6(F.sqrt(F.avg(dx * dx + dy * dy)), "rms"), r6(F.stddev_pop("x"), "sx"), r6(F.stddev_pop("y"), "sy"))
+    return rows.join(mid, keys).groupBy(*keys).agg(r6(F.first("mx"), "mx"), r6(F.first("my"), "my"), r6(F.sqrt(F.avg(dx * dx + dy * dy)), "rms"), r6(F.stddev_pop("x"), "sx"), r6(F.stddev_pop("y"), "sy"))
 
 
 @query("WITH l AS (SELECT l_suppkey % 7 AS mode, l_extendedprice FROM lineitem), m AS (SELECT mode, median(l_extendedprice) AS med FROM l GROUP BY 1) SELECT mode, round(avg(l_extendedprice), 4) AS mean, round(med, 6) AS median, round(stddev_pop(l_extendedprice), 4) AS stdev, round(median(abs(l_extendedprice - med)), 6) AS mad FROM l JOIN m USING (mode) GROUP BY mode, med")
@@ -259,14 +275,44 @@ _FULL_Y = f"{_DIAG_Y} + 2*{_A}*{_B}*s12"
     round(avg(2*{Z95}*sqrt(f)), 6) AS width_full, round(avg(2*{Z95}*sqrt(d)), 6) AS width_diag, count(*) AS n FROM t JOIN g USING (grp, target) GROUP BY ALL""")
 def agg_ci_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the normal intervals of the runs hold their group's mean, and how wide they are: for m1, m2, m3 and Y, with the whole covariance and its diagonal alone."""
-    rows = run_means(spark, sf_dir).join(system(spark, sf_dir), "grp")
+    return coverage(run_windows(spark, sf_dir), ["grp"])
+
+
+def coverage(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Coverage and width by keys and target, from windows (keys, run, m1, m2, m3). One aggregation gives a run's means and the covariance of its mean."""
+    y = (F.col("m2") - F.col("m1") * F.col("m1")) / F.col("m1")
+    n = F.count(F.lit(1))
+    runs = windows.groupBy(*keys, "run").agg(*[F.avg(m).alias(m) for m in ("m1", "m2", "m3")], F.avg(y).alias("y"), *[(F.covar_samp(f"m{i}", f"m{j}") / n).alias(f"r{i}{j}") for i, j in _COVS])
+    rows = runs.join(runs.groupBy(*keys).agg(*[F.avg(f"r{i}{j}").alias(f"s{i}{j}") for i, j in _COVS]), keys)
     targets = [("m1", "m1", "s11", "s11"), ("m2", "m2", "s22", "s22"), ("m3", "m3", "s33", "s33"), ("Y", "y", f"greatest({_FULL_Y}, 0D)", f"greatest({_DIAG_Y}, 0D)")]
-    long = rows.selectExpr("grp", "stack(4, " + ", ".join(f"'{n}', {v}, {f}, {d}" for n, v, f, d in targets) + ") AS (target, v, f, d)")
-    keys = ["grp", "target"]
-    mu = long.groupBy(*keys).agg(F.avg("v").alias("mu"))
+    long = rows.selectExpr(*keys, "stack(4, " + ", ".join(f"'{n}', {v}, {f}, {d}" for n, v, f, d in targets) + ") AS (target, v, f, d)")
+    by = [*keys, "target"]
+    mu = long.groupBy(*by).agg(F.avg("v").alias("mu"))
     held = lambda c: F.avg((F.abs(F.col("v") - F.col("mu")) <= Z95 * F.sqrt(c)).cast("double"))
     width = lambda c: F.avg(2 * Z95 * F.sqrt(c))
-    return long.join(mu, keys).groupBy(*keys).agg(r6(held("f"), "coverage_full"), r6(held("d"), "coverage_diag"), r6(width("f"), "width_full"), r6(width("d"), "width_diag"), F.count(F.lit(1)).alias("n"))
+    return long.join(mu, by).groupBy(*by).agg(r6(held("f"), "coverage_full"), r6(held("d"), "coverage_diag"), r6(width("f"), "width_full"), r6(width("d"), "width_diag"), F.count(F.lit(1)).alias("n"))
+
+
+_FACTORS = [1.0, 0.75, 0.5, 0.25, 0.1]
+_KEPT = f"""w0 AS (SELECT c_nationkey AS grp, o_orderkey AS run, CAST(l_quantity AS DOUBLE)/10 AS m1, CAST(l_quantity AS DOUBLE)*l_quantity/150 AS m2, l_discount*10 AS m3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+  dealt AS (SELECT *, unnest({_FACTORS}::DOUBLE[]) AS factor FROM w0),
+  w AS (SELECT * FROM dealt QUALIFY row_number() OVER (PARTITION BY factor, grp, run ORDER BY md5(concat(CAST(factor * 100 AS INTEGER), '-', run, '-', CAST(round(m1 * 10) AS INTEGER), '-', CAST(round(m3 * 10) AS INTEGER)))) <= greatest(1, floor(factor * count(*) OVER (PARTITION BY factor, grp, run)))),
+  runs AS (SELECT factor, grp, run, avg(m1) AS m1, avg(m2) AS m2, avg(m3) AS m3, avg((m2-m1*m1)/m1) AS y FROM w GROUP BY ALL),
+  sys AS (SELECT factor, grp, {', '.join(f'avg(s{i}{j}) AS s{i}{j}' for i, j in _COVS)} FROM (SELECT factor, grp, run, {', '.join(f'covar_samp(m{i}, m{j})/count(*) AS s{i}{j}' for i, j in _COVS)} FROM w GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_KEPT}, t AS (SELECT factor, grp, unnest(['m1', 'm2', 'm3', 'Y']) AS target, unnest([m1, m2, m3, y]) AS v, unnest([s11, s22, s33, greatest({_FULL_Y}, 0)]) AS f, unnest([s11, s22, s33, greatest({_DIAG_Y}, 0)]) AS d FROM runs JOIN sys USING (factor, grp)),
+  g AS (SELECT factor, grp, target, avg(v) AS mu FROM t GROUP BY ALL)
+  SELECT factor, grp, target, round(avg(CASE WHEN abs(v-mu) <= {Z95}*sqrt(f) THEN 1.0 WHEN f IS NOT NULL THEN 0.0 END), 6) AS coverage_full, round(avg(CASE WHEN abs(v-mu) <= {Z95}*sqrt(d) THEN 1.0 WHEN d IS NOT NULL THEN 0.0 END), 6) AS coverage_diag,
+    round(avg(2*{Z95}*sqrt(f)), 6) AS width_full, round(avg(2*{Z95}*sqrt(d)), 6) AS width_diag, count(*) AS n FROM t JOIN g USING (factor, grp, target) GROUP BY ALL""")
+def agg_reduced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same coverage from a share of each run's windows, chosen by a hash: one window at least, for m1, m2, m3 and Y, under both covariances. Where no run of a group keeps two windows there is no covariance, and coverage and width are null."""
+    rows = run_windows(spark, sf_dir).withColumn("factor", F.explode(F.array(*map(F.lit, _FACTORS))))
+    whole = lambda c: F.round(c).cast("int").cast("string")
+    drawn = F.md5(F.concat_ws("-", whole(F.col("factor") * 100), F.col("run").cast("string"), whole(F.col("m1") * 10), whole(F.col("m3") * 10)).cast("binary"))
+    run = Window.partitionBy("factor", "grp", "run")
+    kept = rows.withColumns({"k": F.row_number().over(run.orderBy(drawn)), "all": F.count(F.lit(1)).over(run)})
+    return coverage(kept.filter(F.col("k") <= F.greatest(F.lit(1.0), F.floor(F.col("factor") * F.col("all")))), ["factor", "grp"])
 
 
 @query("""WITH d AS (SELECT l_suppkey % 7 AS k, l_discount*100 - 5.0 AS r FROM lineitem), s AS (SELECT k, count(*)::DOUBLE AS n, avg(r) AS mu, var_samp(r) AS v FROM d GROUP BY 1), c AS (SELECT k, n, mu, v, avg((r-mu)*(r-mu)) AS u2, avg((r-mu)*(r-mu)*(r-mu)) AS u3, avg((r-mu)*(r-mu)*(r-mu)*(r-mu)) AS u4 FROM d JOIN s USING (k) GROUP BY ALL)
@@ -296,10 +342,11 @@ def agg_input_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"too_many_failed": F.col("failed") > 0.1 * F.col("runs"), "too_few": F.col("runs") < 20})
 
 
-@query(f"WITH {_DIST_SQL} SELECT l_orderkey, l_linenumber, round(d11, 6) AS d11, round(d21, 6) AS d21 FROM dist")
+@query("SELECT l_orderkey, l_linenumber, round(d11, 6) AS d11, round(d21, 6) AS d21, " + ", ".join(f"({_PTS['p1'][i]} + {_PTS['p2'][i]}) / 2.0::DOUBLE AS c{a}, {_PTS['p1'][i]} - {_PTS['t1'][i]} AS b{a}" for i, a in enumerate("xyz")) + f" FROM (SELECT *, {', '.join(f'{_sql_dist(*_PAIRS[k])} AS {k}' for k in ('d11', 'd21'))} FROM lineitem)")
 def fn_distance3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.values import distance3
-    from .joins import _PTS
-
+    """Distances of both predictions to a place, their centroid, and the first one's bias."""
     points = {n: F.array(*[F.expr(x).cast("double") for x in _PTS[n]]) for n in ("t1", "p1", "p2")}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(distance3(points["p1"], points["t1"]), "d11"), r6(distance3(points["p2"], points["t1"]), "d21"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in points.items()])
+    mid, off = centroid3(F.col("p1"), F.col("p2")), bias3(F.col("p1"), F.col("t1"))
+    axes = [c for i, a in enumerate("xyz", 1) for c in (F.element_at(mid, i).alias(f"c{a}"), F.element_at(off, i).cast("long").alias(f"b{a}"))]
+    return rows.select("l_orderkey", "l_linenumber", r6(distance3(F.col("p1"), F.col("t1")), "d11"), r6(distance3(F.col("p2"), F.col("t1")), "d21"), *axes)

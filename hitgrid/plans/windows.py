@@ -37,11 +37,17 @@ def win_cumulative_counts_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("run_id", "idx", F.sum("n").over(w).alias("cum_counts"), ((F.col("idx") - F.min("idx").over(w)) * 6.0).alias("elapsed_h"))
 
 
-@query(f"WITH {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS k FROM det) SELECT run_id, event_id, k, ts_us FROM n WHERE k <= 500")
+@query(f"""WITH {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, event_id) AS k, ts_us - min(ts_us) OVER (PARTITION BY run_id) AS since FROM det),
+  e AS (SELECT run_id, count(*) FILTER (since <= {9 * DAY}) AS within FROM n GROUP BY 1)
+  SELECT run_id, event_id, k, since AS since_us, CASE WHEN within > 500 THEN 'count' ELSE 'duration' END AS stopped_by FROM n JOIN e USING (run_id) WHERE k <= 500 AND since <= {9 * DAY}""")
 def win_cumulative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a run up to its 500th: the event that reaches the count threshold ends the episode."""
-    rows = detections(spark, sf_dir).withColumn("k", F.row_number().over(islands.over(["run_id"], "ts_us", "event_id")))
-    return rows.filter("k <= 500").select("run_id", "event_id", F.col("k").cast("long").alias("k"), "ts_us")  # each task keeps 500 of a run before the shuffle
+    """Events of a run until its 500th, or until nine days are over, whichever comes first, and which of both it was."""
+    det = detections(spark, sf_dir)
+    starts = det.groupBy("run_id").agg(F.min("ts_us").alias("t0"))
+    rows = det.join(starts, "run_id").withColumn("since_us", F.col("ts_us") - F.col("t0")).filter(F.col("since_us") <= 9 * DAY)
+    within = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("within"))
+    rows = rows.withColumn("k", F.row_number().over(islands.over(["run_id"], "ts_us", "event_id"))).filter("k <= 500")  # each task keeps 500 of a run before the shuffle
+    return rows.join(within, "run_id").select("run_id", "event_id", F.col("k").cast("long").alias("k"), "since_us", F.when(F.col("within") > 500, "count").otherwise("duration").alias("stopped_by"))
 
 
 @query(f"WITH {_W}, l AS (SELECT *, lag(label) OVER {_R} AS before FROM steps) SELECT run_id, count(*) FILTER (before <> label) AS transitions FROM l GROUP BY 1")

@@ -45,12 +45,13 @@ def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
     return first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
 
 
-def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+def read_csv(spark: SparkSession, folder: str, order: bool = False) -> DataFrame:
     """All CSV files under a folder, each under its own header, and their `path`: all columns are strings.
 
     A column is known by its name, letter case aside, wherever it stands in a file; a file without it gives nulls, and of a
     name that stands twice the first counts. Values past a header are left out, short lines end in nulls. Headers take one line.
-    Files meet their headers by path; only the names of columns come to the driver.
+    Files meet their headers by path; only the names of columns come to the driver. With order, `line` orders the lines of a file: where
+    their block begins, and their place in it; it is the same in every run and for any number of tasks.
     """
     headers = csv_headers(spark, folder)
     width = headers.agg(F.max(F.regexp_count("header", F.lit(","))).alias("n")).first()["n"]
@@ -62,9 +63,10 @@ def read_csv(spark: SparkSession, folder: str) -> DataFrame:
     columns = named.select(F.explode("names").alias("name")).filter("name <> ''").groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name")).orderBy("key").collect()
     named = named.select("path", F.transform("names", F.lower).alias("names"))
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", "true").option("enforceSchema", "true").csv(folder)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.array(*places).alias("line")).join(named, "path")
-    pick = lambda key: F.try_element_at("line", F.nullif(F.array_position("names", F.lit(key)), F.lit(0)).cast("int"))
-    return rows.select(*[pick(r["key"]).alias(r["name"]) for r in columns if r["key"] != "path"], "path")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.array(*places).alias("values"), place.alias("line")).join(named, "path")
+    pick = lambda key: F.try_element_at("values", F.nullif(F.array_position("names", F.lit(key)), F.lit(0)).cast("int"))
+    return rows.select(*[pick(r["key"]).alias(r["name"]) for r in columns if r["key"] not in ("path", *["line"] * order)], "path", *["line"] * order)
 
 
 def _json_of_both_kinds(spark: SparkSession, folder: str) -> DataFrame:

@@ -134,25 +134,92 @@ def test_live_engine_steps_by_beta(spark):
         assert b.t - a.t == pytest.approx(max(1.0, (0.5 if a.state == "Track" else 0.1) * a.w))
 
 
-def test_queue_keeps_the_newest_probe_and_the_final_request():
-    from hitgrid.streaming.requests import Request, enqueue
-
-    p1, p2, p3, f4, f5, p6 = (Request(k, kind) for k, kind in enumerate(("probe", "probe", "probe", "final", "final", "probe")))
-    queue, gone = enqueue([p1], p2, 2)
-    assert (queue, gone) == ([p1, p2], [])
-    assert enqueue(queue, p3, 2) == ([p3], [p1, p2])
-    assert enqueue([p1, f4], p6, 2) == ([f4, p6], [p1])
-    assert enqueue([f4, f5], p6, 2) == ([f4, f5], [p6])
-    assert enqueue([p1, f4], f5, 2) == ([f5], [p1, f4])
-
-
-def test_queue_before_a_busy_worker(spark):
-    from hitgrid.streaming.requests import run_queue
-
-    rows = [("a", k, "final" if k == 5 else "probe") for k in range(8)]
-    got = run_queue(spark.createDataFrame(rows, "run_id string, idx long, request string"), 2, 4).orderBy("idx").collect()
-    # 0 is served at once and keeps the worker busy till 4; 1 and 2 wait, 3 drops both and is served at 4; 4 and 5 wait, 6 drops 4, 7 drops 6.
-    assert [(r.idx, r.outcome, r.at) for r in got] == [(0, "served", 0), (1, "dropped", 3), (2, "dropped", 3), (3, "served", 4), (4, "dropped", 6), (5, "served", 8), (6, "dropped", 7), (7, "served", 12)]
+def test_pending_requests_in_batches_and_in_a_stream(spark, tmp_path):
+    """The newest probe wins, a final outranks probes of later batches, too; batch and stream say the same."""
+    from hitgrid.streaming import requests
+
+    batches = [[("a", 0, "probe"), ("a", 1, "probe"), ("b", 0, "probe")], [("a", 2, "probe"), ("b", 3, "final"), ("b", 1, "final")], [("a", 5, None), ("b", 9, "probe")], [("b", 10, "final"), ("a", 7, "final"), ("a", 8, "probe")]]
+    pending, want = {}, []
+    for k, batch in enumerate(batches):
+        touched = set()
+        for run, seq, kind in batch:
+            if kind is not None:
+                pending[run] = max(pending.get(run, (False, -1)), (kind == "final", seq))
+                touched.add(run)
+        want += [(run, k, "final" if pending[run][0] else "probe", pending[run][1]) for run in touched]
+    rows = spark.createDataFrame([(r, k, s, kind) for k, batch in enumerate(batches) for r, s, kind in batch], "run_id string, trigger int, idx long, request string")
+    assert sorted(tuple(r[c] for c in ("run_id", "trigger", "request", "idx")) for r in requests.latest_wins(rows, ["run_id"], "trigger").collect()) == sorted(want)
+    assert requests.latest_wins(rows.limit(0), ["run_id"], "trigger").count() == 0
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "run_id string, idx long, request string").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={k}"))
+        for file in (tmp_path / "in" / f"p={k}").glob("*.parquet"):
+            os.utime(file, (1_000_000 + 10 * k, 1_000_000 + 10 * k))
+    stream = spark.readStream.schema("run_id string, idx long, request string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    said = []
+    running = requests.stream_latest_wins(stream, ["run_id"]).writeStream.outputMode("update").foreachBatch(lambda df, k: said.extend((r.run_id, k, r.request, r.idx) for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    running.processAllAvailable()
+    running.stop()
+    # A batch that changed nothing for a run may name it again.
+    last = {}
+    for run, k, *r in sorted(said):
+        last[run, k] = tuple(r)
+    assert all(last[run, k] == (kind, seq) for run, k, kind, seq in want)
+
+
+def test_fixed_windows_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """Gaps of several windows, other channels, late rows, events on the edges, and the forced last window."""
+    import random
+
+    from hitgrid.streaming import fixed
+
+    rng = random.Random(3)
+    window, gate, idle = 10_000_000, 1_000_000, 60_000_000
+    times = {"a": sorted(rng.sample(range(500_000, 9_000_000), 8)) + [10_500_000, 41_000_000, 41_000_001, 52_400_000], "b": [3_000_000, 3_000_000, 13_000_000, 43_000_000]}
+    rows = [(run, t, rng.randint(1, 17)) for run, ts in times.items() for t in ts]
+    batches = [[r for r in rows if lo <= r[1] < hi] for lo, hi in ((0, 12_000_000), (12_000_000, 42_000_000), (42_000_000, 99_000_000))]
+    moved = batches[0].pop(3)  # comes late, within what is allowed
+    batches[1].append(moved)
+    batches += [[("z", 300_000_000, 1)], [("z", 300_000_001, 1)]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "run_id string, ts_us long, channel int").selectExpr("*", "timestamp_micros(ts_us) ts").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={k}"))
+        for file in (tmp_path / "in" / f"p={k}").glob("*.parquet"):
+            os.utime(file, (1_000_000 + 10 * k, 1_000_000 + 10 * k))
+    stream = spark.readStream.schema("run_id string, ts_us long, channel int, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = fixed.stream_fixed_windows(stream, window, gate, 15, "40 seconds", idle)
+    running = out.writeStream.format("memory").queryName("fixed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    running.processAllAvailable()
+    running.stop()
+    names = [x.split()[0] for x in fixed.WINDOWS.split(", ")]
+    plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in names))
+    got = sorted(plain(r) for r in spark.table("fixed").filter("run_id <> 'z'").collect())
+    batch = fixed.fixed_windows(spark.createDataFrame(rows, "run_id string, ts_us long, channel int"), window, gate, 15).collect()
+    assert got == sorted(map(plain, batch)) and sum(r[5] + r[6] == 0 for r in got) >= 3
+    # By hand: pushes that summarise every passed window, then a forced step behind the last event.
+    for run, ts in times.items():
+        own = [r for r in got if r[0] == run]
+        ends = [ts[0] + window * (k + 1) for k in range(len(own) - 1)] + [ts[-1] + 1]
+        assert [r[3] for r in own] == ends and [r[4] for r in own] == [False] * (len(own) - 1) + [True]
+        assert sum(r[5] for r in own) + sum(r[6] for r in own) == len(ts)
+
+
+def test_hold_horizon_is_five_strides_or_four_bounds():
+    c = adaptive.AdaptiveConfig()
+    for tau, w in ((float("nan"), 48.0), (30.0, 48.0), (2.0, 239.0)):
+        s = adaptive.AdaptiveState(w=w)
+        s.state, s.tau = "Track", tau
+        for _ in range(2):
+            adaptive.request(s, c, "Hold", 100.0)
+        bound = max(c.floor, 3 * tau) if tau == tau else c.floor
+        assert s.state == "Hold" and s.quiet_until == pytest.approx(100 + max(5 * 0.1 * max(w, bound), 4 * bound))
+
+
+def test_engine_says_how_long_a_hold_is_quiet(spark):
+    """Steady counts, then bursts that make it hold: every step in Hold names the horizon of its entry."""
+    rows = [("a", k, 40 if 200 < k % 400 < 215 else 3 + k % 3) for k in range(1200)]
+    out = adaptive.run_engine(spark.createDataFrame(rows, "run_id string, bin long, n long"), adaptive.AdaptiveConfig(z_hold=0.5, z_track=0.4, z_min=0.1, ph_threshold=0.5)).orderBy("step").collect()
+    assert all((r.quiet_until is not None) == (r.state == "Hold") for r in out)
+    held = [r for r in out if r.state == "Hold"]
+    assert held and all(r.quiet_until > 0 for r in held)
 
 
 def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):

@@ -57,6 +57,121 @@ def test_part_of_is_a_binary_place(spark):
     assert [r.p for r in part] == sorted(r.p for r in part) and len({r.p for r in part}) > 2
 
 
+def test_trailing_counts_with_a_width_for_each_row(spark):
+    """A hot run, ties, nulls, widths of 0 and beyond all."""
+    rng = random.Random(5)
+    data = [("hot" if k % 3 else rng.choice(["a", None]), rng.choice([None, 5, 5, rng.randint(0, 300)]), rng.choice([None, 0, 1, 40, 1000]), k) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, t long, w long, id long").repartition(5)
+    got = {r.id: r.trailing for r in ranges.trailing_counts(df, ["g"], "t", F.col("w"), ["id"]).collect()}
+    for g, t, w, k in data:
+        want = 0 if t is None or w is None else sum(x[1] is not None and x[0] == g and t - w <= x[1] < t for x in data)
+        assert got.get(k, 0) == want
+
+
+@pytest.mark.parametrize("keep", [0.5, 0.99, 0.9999])
+def test_exponential_mean_is_the_fold(spark, keep):
+    rng = random.Random(6)
+    data = [("hot" if k % 4 else "b", k * 7 % 3001, rng.randint(0, 1000)) for k in range(3001)]
+    df = spark.createDataFrame(data, "g string, t long, n long").repartition(6)
+    got = {(r.g, r.t): r.ewma for r in ranges.exponential_mean(df, ["g"], "t", F.col("n"), keep).collect()}
+    assert len(got) == len(data)
+    for g in ("hot", "b"):
+        mean = 0.0
+        for _, t, n in sorted(x for x in data if x[0] == g):
+            mean = keep * mean + (1 - keep) * n
+            assert got[g, t] == pytest.approx(mean, rel=1e-9, abs=1e-9)
+
+
+def test_schedules_cover_clamp_and_are_checked(spark):
+    """Many rows with gaps; times before, between and behind them; faults by name."""
+    import bisect
+
+    from hitgrid.operators import schedule
+
+    rng = random.Random(7)
+    plan, at = [], 100
+    for k in range(3000):
+        end = at + rng.randint(1, 9)
+        plan.append((float(at), float(end), f"s{k}", k))
+        at = end + rng.choice([0, 0, 5])
+    table = spark.createDataFrame(plan, "a double, b double, state string, w int").repartition(4)
+    schedule.check(table, "a", "b")
+    asked = [(k, float(rng.randint(0, at + 200))) for k in range(2000)] + [(2000, plan[-1][1]), (2001, plan[5][1]), (2002, plan[5][0])]
+    rows = spark.createDataFrame(asked, "id int, t double").repartition(3)
+    got = {r.id: (r.state, r.w, r.covered) for r in schedule.covering(rows, "t", table, "a", "b", ["state", "w"], ["id"]).collect()}
+    starts = [p[0] for p in plan]
+    assert len(got) == len(asked)
+    for k, t in asked:
+        row = plan[0] if t < plan[0][0] else plan[-1] if t >= plan[-1][1] else plan[bisect.bisect_right(starts, t) - 1]
+        covered = t < row[1] or row is plan[-1] or t < plan[0][0]
+        assert got[k] == ((row[2], row[3], True) if covered else (None, None, False))
+    for bad, fault in (([(0.0, 5.0), (4.0, 6.0)], "overlap"), ([(0.0, 5.0), (6.0, 6.0)], "empty"), ([(0.0, None)], "empty")):
+        with pytest.raises(ValueError, match=fault):
+            schedule.check(spark.createDataFrame(bad, "a double, b double"), "a", "b")
+    with pytest.raises(ValueError, match="no rows"):
+        schedule.check(table.limit(0), "a", "b")
+
+
+def test_isotonic_knots_and_their_lines(spark):
+    rng = random.Random(8)
+    data = [(round(0.1 + 0.8 * rng.random(), 3),) for _ in range(600)]
+    df = spark.createDataFrame([(p, int(rng.random() < p)) for (p,) in data], "p double, y int").repartition(4)
+    xs, ys = curves.knots(curves.isotonic(df)).first()
+    assert xs[0] == 0 and xs[-1] == 1 and ys[0] == ys[1] and ys[-1] == ys[-2] and xs == sorted(xs) and ys == sorted(ys)
+    asked = [0.0, 1.0, -1.0, 2.0, *xs, *[rng.random() for _ in range(200)]]
+    got = spark.createDataFrame([(k, p) for k, p in enumerate(asked)], "k int, p double").select("k", curves.interpolated(F.col("p"), xs, ys).alias("v")).collect()
+    for r in got:
+        assert r.v == pytest.approx(float(np.interp(asked[r.k], xs, ys)), abs=1e-12)
+    one = spark.range(1).select(curves.interpolated(F.lit(0.3), [0.5], [0.7]).alias("a"), curves.interpolated(F.lit(0.3), [], []).alias("b")).first()
+    assert (one.a, one.b) == (0.7, 0.3) and curves.knots(df.limit(0).select(F.col("p").alias("x"), F.col("p").alias("y"))).count() == 0
+
+
+def test_whitening_and_mahalanobis_against_numpy(spark):
+    from hitgrid.plans import reports
+
+    rng = np.random.default_rng(9)
+    data = []
+    for _ in range(40):
+        a = rng.normal(size=(3, 3))
+        c, x = a @ a.T, rng.normal(size=3)
+        data.append([c[0, 0], c[1, 1], c[2, 2], c[0, 1], c[0, 2], c[1, 2], *x])
+    data.append([1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0])  # singular
+    names = ["a", "b", "c", "d", "e", "f", "x1", "x2", "x3"]
+    df = spark.createDataFrame([[float(v) for v in r] for r in data], ", ".join(f"{n} double" for n in names))
+    order = [F.col(n) for n in names[:6]]
+    out = df.withColumns(reports.cholesky3(*order))
+    z = reports.whitened3((F.col("x1"), F.col("x2"), F.col("x3")), {k: F.col(k) for k in ("l11", "l21", "l31", "l22", "l32", "l33")})
+    rows = out.select("*", *[v.alias(f"z{k}") for k, v in enumerate(z, 1)], reports.least_eigenvalue(*order).alias("least")).collect()
+    for r in rows:
+        c = np.array([[r.a, r.d, r.e], [r.d, r.b, r.f], [r.e, r.f, r.c]])
+        x = np.array([r.x1, r.x2, r.x3])
+        assert r.least == pytest.approx(np.linalg.eigvalsh(c)[0], abs=1e-7)
+        if r.l33 is None:
+            assert np.linalg.matrix_rank(c) < 3
+            continue
+        assert np.linalg.cholesky(c) == pytest.approx(np.array([[r.l11, 0, 0], [r.l21, r.l22, 0], [r.l31, r.l32, r.l33]]), abs=1e-9)
+        assert [r.z1, r.z2, r.z3] == pytest.approx(list(np.linalg.solve(np.linalg.cholesky(c), x)), rel=1e-6)
+        assert r.z1**2 + r.z2**2 + r.z3**2 == pytest.approx(x @ np.linalg.inv(c) @ x, rel=1e-6)
+
+
+def test_dealt_out_labels_show_a_leak(spark):
+    """A fair control ends near chance. Where test rows stand among the training rows, with their labels, dealing the labels out still hides nothing but the leak itself: a copied label column."""
+    from hitgrid.plans.learning import shuffled_label_control
+
+    rng = random.Random(10)
+    data = [(k, rng.random(), int(rng.random() < 0.5)) for k in range(800)]
+    rows = spark.createDataFrame([(k, x, int(x > 0.5), int(x > 0.5)) for k, x, _ in data], "id long, x double, y int, copy int")
+    train, test = rows.filter("id < 600"), rows.filter("id >= 600")
+    right = lambda df: df.selectExpr("avg(cast((cast(p >= 0.5 as int) = y) as double)) a").first().a
+    assert right(learning.probabilities(learning.classifier(train, ["x"], "y", trees=5, depth=3), test)) > 0.95
+    assert 0.3 < right(shuffled_label_control(train, test, ["x"], "id", "y", 31, trees=5, depth=3)) < 0.7
+    # A leak: the dealt labels' order is known to a feature of the test rows and of the training rows.
+    dealt = learning.shuffled(train, "id", "y", 31)
+    leaky = dealt.withColumn("x", F.col("y") + 0.0).drop("copy")
+    model = learning.classifier(leaky, ["x"], "y", trees=5, depth=3)
+    assert right(learning.probabilities(model, test.withColumn("x", F.col("y") + 0.0))) > 0.95
+
+
 def test_grouped_auc_is_the_area_of_the_curve(spark):
     rng = random.Random(8)
     data = [(g, round(rng.random(), 2), int(rng.random() < 0.4)) for g in ("a", "b") for _ in range(300)]
