@@ -68,26 +68,55 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def _decoded(batch: pa.RecordBatch) -> tuple[list[jpeg.Image], np.ndarray]:
-    return jpeg.decode_coefficients(batch.column("media").to_pylist())
+def decode_some(files: list[bytes | None]) -> tuple[list[jpeg.Image | None], np.ndarray, list[str | None]]:
+    """(images, coefficients, reasons) of a slice: where a file is null, cut off or no JPEG the image is None and the reason says so.
+
+    All files are decoded side by side; only if that fails is each looked at alone, and the sound ones are decoded again.
+    """
+    # Without its end a file would be read on into the next one.
+    reasons: list[str | None] = ["null" if f is None else None if f.rstrip(b"\0").endswith(b"\xff\xd9") else "no end of image" for f in files]
+
+    def sound() -> list[int]:
+        return [k for k, why in enumerate(reasons) if why is None]
+
+    def decode(some: list[int]) -> tuple[list[jpeg.Image], np.ndarray]:
+        return jpeg.decode_coefficients([files[k] for k in some]) if some else ([], np.zeros((0, 64), np.int16))
+
+    try:
+        found, coefficients = decode(sound())
+    except _BROKEN:
+        for k in sound():
+            try:
+                decode([k])
+            except _BROKEN as error:
+                reasons[k] = f"{type(error).__name__}: {error}"[:200]
+        found, coefficients = decode(sound())
+    images: list[jpeg.Image | None] = [None] * len(files)
+    for k, image in zip(sound(), found, strict=True):
+        images[k] = image if image.components and image.scans else None
+        reasons[k] = None if images[k] else "no frame or no scan"
+    return images, coefficients, reasons
+
+
+#: What broken files make the decoder raise.
+_BROKEN = (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError, OverflowError)
 
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, height, width, rgb): full-resolution tensors, height x width x 3 bytes, row by row. Null files give null values."""
+    """(id, height, width, rgb, reason): full-resolution tensors, height x width x 3 bytes, row by row. Null, empty and broken files give null values and
+    the reason, which is null for sound ones; they don't touch others."""
     small_batches(media.sparkSession)
     kind = dict(media.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "media", _SLICE):
-            files = batch.column("media").to_pylist()
-            images, coefficients = jpeg.decode_coefficients([f for f in files if f is not None])
-            tensors = iter([jpeg.samples(i, coefficients) for i in images])
-            rows = [next(tensors) if f is not None else None for f in files]
+            images, coefficients, reasons = decode_some(batch.column("media").to_pylist())
+            rows = [None if i is None else jpeg.samples(i, coefficients) for i in images]
             sizes = [pa.array([None if t is None else t.shape[k] for t in rows], pa.int32()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *sizes, pa.array([None if t is None else t.tobytes() for t in rows], pa.binary())], ["id", "height", "width", "rgb"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *sizes, pa.array([None if t is None else t.tobytes() for t in rows], pa.binary()), pa.array(reasons, pa.string())], ["id", "height", "width", "rgb", "reason"])
 
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, f"id {kind}, height int, width int, rgb binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, height int, width int, rgb binary, reason string").withColumnRenamed("id", id_col)
 
 
 def describe(tensor: np.ndarray) -> str:
@@ -98,22 +127,26 @@ def describe(tensor: np.ndarray) -> str:
 
 
 def read_payloads(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored files of `store_payloads`."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored files of `store_payloads`. A file that is null or broken gives nulls behind n_bytes, but for its own size and digest."""
     small_batches(media.sparkSession)
     kind = dict(media.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "media", _SLICE):
             files = batch.column("media").to_pylist()
-            images, coefficients = jpeg.decode_coefficients(files)
+            images, coefficients, _ = decode_some(files)
             rows = []
             for file, image in zip(files, images, strict=True):
+                stored = (None, None) if file is None else (len(file), hashlib.sha256(file).hexdigest())
+                if image is None:
+                    rows.append((None, None, None, *stored, None))
+                    continue
                 last = image.components[-1]
                 payload = image_payload(coefficients[image.components[0].base : last.base + last.wide * last.high]).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), describe(jpeg.samples(image, coefficients))))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, describe(jpeg.samples(image, coefficients))))
             sizes, digests, tails, lengths, marks, features = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_bytes"), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(tails, pa.int64()), pa.array(lengths, pa.int64()), pa.array(marks), pa.array(features)],
+                [batch.column("id"), batch.column("n_bytes"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(tails, pa.int64()), pa.array(lengths, pa.int64()), pa.array(marks, pa.string()), pa.array(features, pa.string())],
                 ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 

@@ -27,6 +27,8 @@ MARK = "▁"
 #: Added to the least score for a character that no piece covers.
 UNKNOWN = -10.0
 _SLICE = 3 << 20
+#: Bytes of a stretch without blanks from which on places are looked for that no piece reaches across.
+_LONG = 64
 
 
 @dataclass(frozen=True)
@@ -212,6 +214,29 @@ def _trace(p: Pieces, raw: np.ndarray, offsets: np.ndarray, back: np.ndarray, pi
     return out.astype(np.int32), np.diff(ends[np.searchsorted(at, offsets)])
 
 
+def sure_cuts(p: Pieces, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places within the spans [start, end) that no piece of the vocabulary reaches across: the best path passes through each, so both sides can be coded alone.
+
+    Every place of all spans walks the trie at once. Where pieces overlap all the way (one letter, over and over) there are none.
+    """
+    at = ranges(starts, ends - starts)
+    at = at[(raw[at] & 0xC0) != 0x80]
+    if not len(at):
+        return at
+    end = ends[np.searchsorted(starts, at, side="right") - 1]
+    reach = np.minimum(np.append(at[1:], end[-1]), end)  # the character itself
+    which, node, where = np.arange(len(at)), np.zeros(len(at), np.int32), at.copy()
+    while len(which):
+        nxt = p.base[node] + raw[where]
+        ok = (p.check[nxt] == node) & (p.base[node] > 0)
+        which, node, where = which[ok], nxt[ok], where[ok] + 1
+        hit = p.leaf[node] >= 0
+        reach[which[hit]] = np.maximum(reach[which[hit]], where[hit])
+        inside = where < end[which]
+        which, node, where = which[inside], node[inside], where[inside]
+    return at[1:][np.maximum.accumulate(reach)[:-1] <= at[1:]]
+
+
 def encode_column(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """ids and n + 1 offsets of a string column; null counts as empty, an empty text has no ids. A text gets one marker in front."""
     raw, offsets = text_bytes(column)
@@ -220,6 +245,11 @@ def encode_column(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets + np.concatenate([[0], np.cumsum(full)])
     places = np.flatnonzero((raw[1:] == 0x20) & (raw[:-1] != 0x20)) + 1
     cuts, first = cut_before(raw, offsets, places)
+    # A long stretch without blanks would take a step for each of its bytes.
+    bounds = np.append(cuts, len(raw)) if not len(cuts) or cuts[-1] != len(raw) else cuts
+    long = np.flatnonzero(np.diff(bounds) > _LONG)
+    if len(long):
+        cuts, first = cut_before(raw, offsets, np.union1d(places, sure_cuts(p, raw, bounds[long], bounds[long + 1])))
     return encode_segments(lambda r, o: viterbi(p, r, o), raw, cuts, first)
 
 

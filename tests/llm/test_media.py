@@ -88,3 +88,20 @@ def test_payloads(spark):
     tensors = {r.doc_id: r for r in media.decode_media(stored).collect()}
     assert all(len(t.rgb) == 3 * t.height * t.width for t in tensors.values())
     assert media.read_payloads(media.store_payloads(table.limit(0))).count() == 0
+
+
+def test_broken_files_have_a_reason_and_do_not_touch_others(spark):
+    """Null, empty, cut off and foreign bytes beside sound files, in any order."""
+    good = [made(*LAYOUTS[k], False, 3, k)[0] for k in range(3)]
+    files = [good[0], None, b"", good[1][: len(good[1]) // 2], b"no picture", good[1], good[2][:3], bytes(200), good[2], b"\xff\xd8\xff\xd9"]
+    rows = spark.createDataFrame([(k % 4 or None, f, 7) for k, f in enumerate(files)], "doc_id int, media binary, n_bytes long").coalesce(1)
+    got = media.decode_media(rows).collect()
+    assert len(got) == len(files)
+    alone = {bytes(f): media.decode_media(spark.createDataFrame([(1, f)], "doc_id int, media binary")).first().rgb for f in good}
+    for r, f in zip(got, files, strict=True):
+        sound = f is not None and bytes(f) in alone
+        assert (r.rgb is not None) == (r.reason is None) == (r.height is not None) and (not sound or r.rgb == alone[bytes(f)])
+    assert [r.reason is None for r in got if r.doc_id == 1] == [False, True, False] and got[1].reason == "null"
+    back = media.read_payloads(media.store_payloads(spark.createDataFrame([(1, "text")], "doc_id int, text string")).unionByName(rows.select("doc_id", "n_bytes", "media"))).collect()
+    assert len(back) == len(files) + 1 and [r.feature is None for r in back[1:]] == [r.reason is not None for r in got]
+    assert all((r.media_bytes is None) == (f is None) for r, f in zip(back[1:], files, strict=True))

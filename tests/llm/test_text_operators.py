@@ -612,3 +612,38 @@ def test_language_id_of_pages(spark):
 @pytest.mark.parametrize("run", [lambda d: exact_dedup.exact_dedup(d), lambda d: line_dedup.drop_frequent_lines(d), lambda d: ngram_jaccard.jaccard_components(d), lambda d: substring_dedup.dedup_substrings(d), lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json"))])
 def test_empty_tables(spark, run):
     assert run(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="ab cé漢9.x", max_size=200), min_size=1, max_size=6))
+def test_cuts_in_long_stretches_change_no_piece(texts):
+    """Cut or in one, the same pieces."""
+    import pyarrow as pa
+
+    pieces = PIECES.setdefault("p", unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+    whole, unigram._LONG = unigram._LONG, 1 << 40
+    try:
+        one = unigram.encode_column(pieces, pa.array(texts, pa.string()))
+    finally:
+        unigram._LONG = 3
+    try:
+        cut = unigram.encode_column(pieces, pa.array(texts, pa.string()))
+    finally:
+        unigram._LONG = whole
+    assert all((a == b).all() for a, b in zip(one, cut, strict=True))
+
+
+PIECES = {}
+
+
+def test_five_megabytes_without_a_blank_are_coded_in_seconds(spark):
+    import base64
+    import random
+    import time
+
+    pieces = PIECES.setdefault("p", unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+    text = base64.b64encode(random.Random(1).randbytes(3_750_000)).decode()
+    rows = spark.createDataFrame([(1, text), (2, "a b")], "doc_id int, text string")
+    began = time.time()
+    assert {r.doc_id: r.text for r in unigram.decode(unigram.encode(rows, pieces), pieces).collect()} == {1: text, 2: "a b"}
+    assert time.time() - began < 60
