@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the columns of
 `documents` (others go); the last one returns the pieces of packed sequences. Between stages the rows are a Parquet
-table. Ids may be null or repeat: each row has a decision of its own. An empty table gives no rows at every stage.
+table, which goes once the next one is written. The input needs the five columns of `documents`. Ids may be null or repeat: each row has a decision of its own. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrid.llm.common import keyed, written
+from hitgrid.llm.common import discard, keyed, written
 from hitgrid.llm.language_id import host_suffix, identify
 from hitgrid.llm.line_dedup import drop_frequent_lines
 from hitgrid.llm.ngram_jaccard import jaccard_components
@@ -72,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # of the stage before; the input is no table of ours
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
