@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import feynman, values
 from ..operators import bins as B
+from ..operators import ranges
 from ..registry import query
+from ..tables import written
 from .views import DAY, DETECTIONS, HOUR, LADDER, STEP, WINDOW, detections
 
 ROUND = 6
@@ -238,15 +240,18 @@ def agg_fano_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{LADDER_SQL} SELECT run_id, round(median(z), 6) AS median_z, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z, count(*) AS usable FROM ys WHERE valid AND gate_us = {4 * HOUR} GROUP BY ALL")
 def agg_run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = ladder(spark, sf_dir).filter(F.col("valid") & (F.col("gate_us") == 4 * HOUR))
-    return z.groupBy("run_id").agg(F.round(F.median("z"), 6).alias("median_z"), F.round(F.min("z"), 6).alias("min_z"), F.round(F.max("z"), 6).alias("max_z"), F.count(F.lit(1)).alias("usable"))
+    z = written(ladder(spark, sf_dir).filter(F.col("valid") & (F.col("gate_us") == 4 * HOUR)).select("run_id", "z"), "z-by-run")
+    out = z.groupBy("run_id").agg(F.round(F.min("z"), 6).alias("min_z"), F.round(F.max("z"), 6).alias("max_z"), F.count(F.lit(1)).alias("usable"))
+    return out.join(ranges.percentiles(z, ["run_id"], "z", {"median_z": 0.5}), "run_id").withColumn("median_z", F.round("median_z", 6))
 
 
 @query(f"""{LADDER_SQL}, used AS (SELECT gate_us AS source, z, CAST(greatest(0, least(19, floor((z + 10)))) AS BIGINT) AS bucket FROM ys WHERE valid)
   SELECT source, bucket, count(*) AS n, round(avg(z), 6) AS mean_z, round(median(z), 6) AS median_z FROM used GROUP BY ALL""")
 def agg_group_z_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = ladder(spark, sf_dir).filter("valid").select(F.col("gate_us").alias("source"), "z", F.greatest(F.lit(0), F.least(F.lit(19), F.floor(F.col("z") + 10))).cast("long").alias("bucket"))
-    return used.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(F.median("z"), 6).alias("median_z"))
+    used, keys = written(used, "z-by-source"), ["source", "bucket"]
+    out = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("z"), 6).alias("mean_z"))
+    return out.join(ranges.percentiles(used, keys, "z", {"median_z": 0.5}), keys).withColumn("median_z", F.round("median_z", 6))
 
 
 @query(f"{LADDER_SQL} SELECT gate_us, count(*) FILTER (NOT valid) AS invalid_steps, count(*) FILTER (n_gates < 10) AS below_floor FROM ys GROUP BY ALL")
