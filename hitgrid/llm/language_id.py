@@ -35,7 +35,7 @@ _SLICE = 1 << 20
 class TextModel:
     """A block of languages: postings of the trigram buckets that their samples hold, and each language's own numbers.
 
-    P(bucket | language) = (count + BUCKETS * q) / (total + BUCKETS), where q is the bucket's share of the whole sample.
+    P(bucket | language) = (count + BUCKETS * q) / (total + BUCKETS), where q is the bucket's share of the whole sample (smoothed, see text_models).
     """
 
     bucket: np.ndarray  # of each posting
@@ -131,9 +131,11 @@ def text_models(counts: DataFrame, languages: DataFrame) -> Iterator[TextModel]:
 
     languages: (lang, number, block). Beside its block, the driver holds one number for each bucket.
     """
-    q = np.ones(BUCKETS)
+    q = np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        q[r["bucket"]] += r["n"]
+        q[r["bucket"]] = r["n"]
+    # Every bucket has a twentieth of an even share and one: codes and addresses in a text are odd, but not that odd.
+    q += 1 + 0.05 * q.sum() / BUCKETS
     q /= q.sum()
     base = BUCKETS * q
     for k in range((languages.agg(F.max("block")).first()[0] or 0) + 1):

@@ -524,7 +524,7 @@ def plain_language_id(rows, temper=0.25, smoothing=20.0, min_grams=8):
         if lang and text and bag:
             held[lang].update(bag)
     langs, n = sorted(held), language_id.BUCKETS
-    q = Counter({b: 1 for b in range(n)})
+    q = Counter({b: 1 + 0.05 * sum(sum(c.values()) for c in held.values()) / n for b in range(n)})
     for c in held.values():
         q.update(c)
     all_q = sum(q.values())
