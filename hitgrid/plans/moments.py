@@ -209,13 +209,13 @@ def _sql_terms(y: str) -> list[str]:
 
 @query(f"""{upto(3)}, {_HIST}, {_HM}, {_DSQL}, vars AS (SELECT run_id, win, gate_us, m0, {', '.join(f"{' + '.join(_sql_terms(y))} AS v_{y}, {' + '.join(f'abs({t})' for t in _sql_terms(y))} AS size_{y}" for y in feynman.MEMBERS)} FROM slopes),
   sigmas AS (SELECT run_id, win, gate_us, {', '.join(f'{s}/(CASE WHEN m0 < 2 THEN 1 ELSE sqrt(m0-1) END) AS sigma_{y}, {s}/(CASE WHEN m0 < 2 THEN 1 ELSE m0-1 END) AS cycle_{y}' for y, s in _SIGMA.items())} FROM vars)
-  SELECT run_id, win, gate_us, {', '.join(f'{_sql_digits(f"{kind}_{y}", 5)} AS {kind}_{y}' for y in feynman.MEMBERS for kind in ('sigma', 'cycle'))} FROM sigmas""")
+  SELECT run_id, win, gate_us, {', '.join(f'{_sql_logged(f"{kind}_{y}", 6)} AS {kind}_{y}' for y in feynman.MEMBERS for kind in ('sigma', 'cycle'))} FROM sigmas""")
 def fn_y_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of every member for each gate, taken as one second, under both normalisations: over the root of cycles - 1 (sigma) and over cycles - 1 (cycle)."""
+    """Errors of every member for each gate, taken as one second, under both normalisations: over the root of cycles - 1 (sigma) and over cycles - 1 (cycle), as sign * ln(1 + size)."""
     moments = feynman.with_variances(B.histogram_moments(histogram(spark, sf_dir), _KEYS))
     both = {f"{kind}_{name[6:]}": c for kind, root in (("sigma", True), ("cycle", False)) for name, c in feynman.y_sigma(F.lit(1e9), F.col("m0"), root).items()}
     kept = lambda y: (F.col("m0") < 2) | (F.abs(f"v_{y}") >= _LOST * F.col(f"size_{y}"))
-    return moments.select(*_KEYS, *[F.when(kept(name.split("_")[1]), _digits(c, 5)).alias(name) for name, c in both.items()])
+    return moments.select(*_KEYS, *[F.when(kept(name.split("_")[1]), _logged(c, 6)).alias(name) for name, c in both.items()])
 
 
 _FANO = f"""fano AS (SELECT run_id, win, N, e, mean, var, u2, u3, u4 FROM (SELECT *, s1/N AS mean, (s2 - s1*s1/N)/(N-1) AS var, s2/N-(s1/N)*(s1/N) AS u2, s3/N-3*(s1/N)*s2/N+2*(s1/N)*(s1/N)*(s1/N) AS u3,
