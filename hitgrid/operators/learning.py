@@ -96,16 +96,18 @@ def grouped_auc(scored: DataFrame, keys: Sequence[str], score: str = "p", label:
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], key: str, label: str, shuffles: int = 5, seed: int = 5) -> DataFrame:
     """(feature, drop): the mean loss of area under the curve over `shuffles` dealings of one feature's values.
 
-    All dealings are one table: a row and a feature's value pair up by their places in two orders by hash, within each (feature, dealing).
+    A dealing pairs each row with another one by their places in two orders by hash, and only these pairs are shuffled, `shuffles`
+    times the rows. Where they meet, a pair makes a row for each feature, with that feature's value from the other one.
     """
-    n = len(features)
-    dealt = test.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).crossJoin(F.broadcast(test.sparkSession.range(n * shuffles).select(F.col("id").alias("deal"))))  # n * shuffles rows, a fixed number
-    dealt = dealt.withColumns({"_h": F.xxhash64(F.lit(seed), "deal", key), "_g": F.xxhash64(F.lit(seed + 1), "deal", key)})
+    dealings = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("_round")
+    dealt = test.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), dealings)
+    dealt = dealt.withColumns({"_h": F.xxhash64(F.lit(seed), "_round", key), "_g": F.xxhash64(F.lit(seed + 1), "_round", key)})
+    rows = places(dealt.drop("_g"), "_h", [key], keys=["_round"])
+    others = places(dealt.select("_round", "_g", key, F.col("_x").alias("_y")), "_g", [key], keys=["_round"]).select("_round", "place", "_y")
+    pairs = rows.join(others, ["_round", "place"]).select("_round", label, "_x", "_y", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_f"))
+    moved = [F.when(F.col("_f") == k, F.element_at("_y", k + 1)).otherwise(F.element_at("_x", k + 1)).alias(f) for k, f in enumerate(features)]
+    mixed = pairs.select((F.col("_f") * shuffles + F.col("_round")).alias("deal"), label, *moved)
     feature = F.expr(f"deal div {shuffles}").cast("int")
-    rows = places(dealt.drop("_g"), "_h", [key], keys=["deal"])
-    values = places(dealt.select("deal", "_g", key, F.element_at("_x", feature + 1).alias("_v")), "_g", [key], keys=["deal"]).select("deal", "place", "_v")
-    mixed = rows.join(values, ["deal", "place"]).withColumn("_x", F.transform("_x", lambda x, i: F.when(i == feature, F.col("_v")).otherwise(x)))
-    mixed = mixed.select("deal", label, *[F.element_at("_x", k + 1).alias(f) for k, f in enumerate(features)])
     areas = grouped_auc(probabilities(model, mixed), ["deal"], label=label)
     base = grouped_auc(probabilities(model, test).withColumn("deal", F.lit(-1)), ["deal"], label=label).select(F.col("roc_auc").alias("base"))
     named = F.element_at(F.array(*map(F.lit, features)), feature + 1)

@@ -11,29 +11,49 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts at most: the bounds are literals, and the table of offsets of a whole table is broadcast.
-MAX_PARTS = 1000
+#: Rows of a part, about: from there on the number of parts follows the rows.
+PART_ROWS = 1_000_000
+#: Parts at most: the bounds are one literal of 8 bytes each, and the table of offsets of a whole table is broadcast.
+MAX_PARTS = 1 << 15
+#: Bounds compared at each step of the lookup.
+FANOUT = 32
+
+
+def _quantiles(df: DataFrame, at: Column, n: int) -> tuple[int, list[float]]:
+    """The number of values, and bounds between n parts of about as many."""
+    size, found = df.agg(F.count(at), F.percentile_approx(at, [k / n for k in range(1, n)], max(10_000, 10 * n))).first()
+    return size, sorted(set(found or []))
 
 
 def part_of(df: DataFrame, key: str) -> Column:
     """The number of the value range that a row's numeric key falls in, ascending; nulls come first.
 
-    The bounds are looked up in two steps, as many coarse ones first as fine ones behind each.
+    There are as many parts as shuffle partitions, or more where these would hold over PART_ROWS rows each. The bounds are looked
+    up from coarse to fine: the first one of every block, then those of the block that the key is in. Keys are compared as doubles,
+    which keeps their order; keys that are one double are in one part.
     """
+    at = F.col(key).cast("double")
     n = min(MAX_PARTS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    bounds = sorted(set(found))
+    size, bounds = _quantiles(df, at, n)
+    if size > n * PART_ROWS and n < MAX_PARTS:
+        bounds = _quantiles(df, at, min(MAX_PARTS, -(-size // PART_ROWS)))[1]
     if not bounds:
         return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    passed = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
-    coarse = F.greatest(passed(F.array(*[F.lit(g[0]) for g in groups])), F.lit(1))
-    fine = passed(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse))
-    return F.when(F.col(key).isNull(), 0).otherwise((coarse - 1) * width + fine)
+    stride = 1
+    while stride * FANOUT < len(bounds):
+        stride *= FANOUT
+    start, passed = F.lit(0), F.lit(0)
+    while stride:
+        block = F.slice(F.lit(np.array(bounds[::stride], dtype=np.float64)), start + 1, FANOUT)
+        passed = F.size(F.filter(block, lambda bound: bound <= at))
+        if stride > 1:
+            start = (start + F.greatest(passed, F.lit(1)) - 1) * FANOUT
+        stride //= FANOUT
+    return F.when(at.isNull(), 0).otherwise(start + passed)
 
 
 def _with_part_table(parts: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:

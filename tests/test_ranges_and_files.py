@@ -57,6 +57,23 @@ def test_part_of_is_a_binary_place(spark):
     assert [r.p for r in part] == sorted(r.p for r in part) and len({r.p for r in part}) > 2
 
 
+@pytest.mark.parametrize("part_rows", [1_000_000, 300, 10, 2, 1])
+def test_parts_follow_the_rows(spark, monkeypatch, part_rows):
+    """One to four steps of the lookup; nulls, ties, keys beyond 2 ** 53 and below zero."""
+    monkeypatch.setattr(ranges, "PART_ROWS", part_rows)
+    monkeypatch.setattr(ranges, "FANOUT", 8)
+    rng = random.Random(9)
+    data = [(k, rng.choice([None, 7, 7, 2**60 + rng.randint(0, 5), rng.randint(-(10**6), 10**6), rng.randint(-(10**6), 10**6)])) for k in range(3000)]
+    df = spark.createDataFrame(data, "id long, x long").repartition(6)
+    got = df.select("id", "x", ranges.part_of(df, "x").alias("p")).collect()
+    ordered = sorted(got, key=lambda r: (r.x is not None, r.x or 0, r.id))
+    assert [r.p for r in ordered] == sorted(r.p for r in got)
+    assert len({r.p for r in got}) >= (3 if part_rows > 2 else 8**3 if part_rows == 1 else 8**2)
+    want = {r.id: k for k, r in enumerate(ordered)}
+    assert {r.id: r.place for r in ranges.places(df, "x", ["id"]).collect()} == want
+    assert df.limit(0).select(ranges.part_of(df.limit(0), "x")).count() == 0
+
+
 def test_trailing_counts_with_a_width_for_each_row(spark):
     """A hot run, ties, nulls, widths of 0 and beyond all."""
     rng = random.Random(5)
@@ -188,6 +205,8 @@ def test_permutation_importance_finds_the_feature(spark):
     model = learning.classifier(df, ["a", "b"], "y", trees=5, depth=3)
     got = {r.feature: r["drop"] for r in learning.permutation_importance(model, df, ["a", "b"], "id", "y").collect()}
     assert set(got) == {"a", "b"} and got["a"] > 0.3 > abs(got["b"]) * 3
+    wide = df.withColumn("c", F.col("a"))  # no tree asks for it
+    assert {r.feature: r["drop"] for r in learning.permutation_importance(learning.classifier(wide, ["a", "b"], "y", trees=5, depth=3), wide, ["a", "b", "c"], "id", "y").collect()}["c"] == 0
     a, b = learning.calibration(model, df, "y")
     calibrated = learning.probabilities(model, df, calibration=(a, b))
     assert calibrated.filter("(p >= 0.5) = (y = 1)").count() > 390
