@@ -68,8 +68,8 @@ _VALUE = """CASE event_id % 6 WHEN 0 THEN '{"Value": "NaN"}' WHEN 1 THEN '{"valu
 @query("""SELECT event_id, 1 AS line, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, NULL::DOUBLE AS value FROM events
   UNION ALL SELECT event_id, 3, NULL, CASE event_id % 6 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN '-Infinity'::DOUBLE WHEN 2 THEN 1500 WHEN 3 THEN event_id END FROM events""")
 def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of JSON, blank ones left out: numbers under any of their spellings, named ones, and nulls for what is missing, broken or no number."""
-    text = F.concat("props", F.lit("\n \n"), F.expr(_VALUE.replace("VARCHAR", "STRING")))
+    """Lines of JSON, blank ones left out: numbers under any of their spellings, named ones, and nulls for what is missing, broken or no number. Null text is a line without values."""
+    text = F.concat(F.coalesce("props", F.lit("null")), F.lit("\n \n"), F.expr(_VALUE.replace("VARCHAR", "STRING")))
     lines = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.split(text, "\n")).alias("at", "line_text")).filter(F.trim("line_text") != "")
     return lines.select("event_id", (F.col("at") + 1).alias("line"), json_number(F.col("line_text"), "k", "K").alias("k"), json_number(F.col("line_text"), "value", "Value", "v").alias("value"))
 

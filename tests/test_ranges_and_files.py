@@ -286,3 +286,11 @@ def test_event_log_and_rollover(spark, tmp_path):
     assert [x["index"] for x in back] == list(range(1, 51)) and [x["ts_us"] for x in back] == list(range(51, 101))
     parts = sinks.rollover(det, 8 / sinks.EVENTS_PER_MB).groupBy("file_no").agg(F.count("*").alias("n"), F.max("ts_us").alias("t")).orderBy("file_no").collect()
     assert [r.n for r in parts] == [8] * 6 + [2] and [r.t for r in parts] == sorted(r.t for r in parts)
+
+
+def test_events_without_props_keep_their_lines(spark, tmp_path):
+    from hitgrid.plans.reports import fn_json
+
+    spark.createDataFrame([(2, None), (8, '{"k": 4}')], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in fn_json(spark, str(tmp_path)).select("event_id", "line", F.coalesce("k", F.lit(-1.0)), F.coalesce("value", F.lit(-1.0))).collect())
+    assert got == [(2, 1, -1.0, -1.0), (2, 3, -1.0, 1500.0), (8, 1, 4.0, -1.0), (8, 3, -1.0, 1500.0)]
