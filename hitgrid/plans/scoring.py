@@ -15,6 +15,7 @@ from ..functions.values import bias3, centroid3, distance3
 from ..operators import islands, ranges
 from ..registry import query
 from .joins import _DIST_SQL, _PAIRS, _PTS, _sql_dist, distances
+from ..tables import written
 from .views import table
 
 _ERR = f"{_DIST_SQL}, err AS (SELECT *, least(d11+d22, d12+d21)/2 AS error FROM dist)"
@@ -279,18 +280,22 @@ def agg_ci_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Coverage and width by keys and target, from windows (keys, run, m1, m2, m3). One aggregation gives a run's means and the covariance of its mean."""
+    """Coverage and width by keys and target, from windows (keys, run, m1, m2, m3). One aggregation gives a run's means and the covariance of its mean.
+
+    Runs are written once and read twice: for the means and covariances of their groups, and against these. A row for each group
+    is broadcast by hand: groups are few, and joined by their key all runs would be dealt out to them.
+    """
     y = (F.col("m2") - F.col("m1") * F.col("m1")) / F.col("m1")
     n = F.count(F.lit(1))
     runs = windows.groupBy(*keys, "run").agg(*[F.avg(m).alias(m) for m in ("m1", "m2", "m3")], F.avg(y).alias("y"), *[(F.covar_samp(f"m{i}", f"m{j}") / n).alias(f"r{i}{j}") for i, j in _COVS])
-    rows = runs.join(runs.groupBy(*keys).agg(*[F.avg(f"r{i}{j}").alias(f"s{i}{j}") for i, j in _COVS]), keys)
+    runs = written(runs, "runs")
+    groups = runs.groupBy(*keys).agg(*[F.avg(f"r{i}{j}").alias(f"s{i}{j}") for i, j in _COVS], *[F.avg(v).alias(f"mu_{v}") for v in ("m1", "m2", "m3", "y")])
+    rows = runs.select(*keys, "m1", "m2", "m3", "y").join(F.broadcast(groups), keys)
     targets = [("m1", "m1", "s11", "s11"), ("m2", "m2", "s22", "s22"), ("m3", "m3", "s33", "s33"), ("Y", "y", f"greatest({_FULL_Y}, 0D)", f"greatest({_DIAG_Y}, 0D)")]
-    long = rows.selectExpr(*keys, "stack(4, " + ", ".join(f"'{n}', {v}, {f}, {d}" for n, v, f, d in targets) + ") AS (target, v, f, d)")
-    by = [*keys, "target"]
-    mu = long.groupBy(*by).agg(F.avg("v").alias("mu"))
+    long = rows.selectExpr(*keys, "stack(4, " + ", ".join(f"'{n}', {v}, mu_{v}, {f}, {d}" for n, v, f, d in targets) + ") AS (target, v, mu, f, d)")
     held = lambda c: F.avg((F.abs(F.col("v") - F.col("mu")) <= Z95 * F.sqrt(c)).cast("double"))
     width = lambda c: F.avg(2 * Z95 * F.sqrt(c))
-    return long.join(mu, by).groupBy(*by).agg(r6(held("f"), "coverage_full"), r6(held("d"), "coverage_diag"), r6(width("f"), "width_full"), r6(width("d"), "width_diag"), F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*keys, "target").agg(r6(held("f"), "coverage_full"), r6(held("d"), "coverage_diag"), r6(width("f"), "width_full"), r6(width("d"), "width_diag"), F.count(F.lit(1)).alias("n"))
 
 
 _FACTORS = [1.0, 0.75, 0.5, 0.25, 0.1]
@@ -307,7 +312,9 @@ _KEPT = f"""w0 AS (SELECT c_nationkey AS grp, o_orderkey AS run, CAST(l_quantity
     round(avg(2*{Z95}*sqrt(f)), 6) AS width_full, round(avg(2*{Z95}*sqrt(d)), 6) AS width_diag, count(*) AS n FROM t JOIN g USING (factor, grp, target) GROUP BY ALL""")
 def agg_reduced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same coverage from a share of each run's windows, chosen by a hash: one window at least, for m1, m2, m3 and Y, under both covariances. Where no run of a group keeps two windows there is no covariance, and coverage and width are null."""
-    rows = run_windows(spark, sf_dir).withColumn("factor", F.explode(F.array(*map(F.lit, _FACTORS))))
+    # Windows are dealt out by their run before they are repeated for each share; what follows keeps to that, in parts that a task can sort in memory.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() * len(_FACTORS) // ranges.PART_ROWS))
+    rows = run_windows(spark, sf_dir).repartition(parts, "grp", "run").withColumn("factor", F.explode(F.array(*map(F.lit, _FACTORS))))
     whole = lambda c: F.round(c).cast("int").cast("string")
     drawn = F.md5(F.concat_ws("-", whole(F.col("factor") * 100), F.col("run").cast("string"), whole(F.col("m1") * 10), whole(F.col("m3") * 10)).cast("binary"))
     run = Window.partitionBy("factor", "grp", "run")
