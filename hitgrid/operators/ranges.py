@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Rows of a part, about: from there on the number of parts follows the rows.
 PART_ROWS = 1_000_000
 #: Parts at most: the bounds are one literal of 8 bytes each, and the table of offsets of a whole table is broadcast.
@@ -111,22 +113,35 @@ def greatest_before(df: DataFrame, keys: Sequence[str], key: str, value: str, na
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
     """(keys, one column for each wanted share): exact percentiles with linear interpolation, nulls aside; groups of nulls alone have none.
 
-    Equal values are counted first; then the places of each value come from running totals, and only the values at the
-    wanted places go on. With a weight, a row stands for so many.
+    Equal values are counted within the range of their values first, and written down once: counts are what ranges are sized by, what
+    totals and places come from, and what is read at the wanted places. With a weight, a row stands for so many.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    placed = running_totals(counts, "_x", ["_n"], keys=keys)
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total")).withColumn("_part", F.lit(0))
-    rows = _with_part_table(placed.withColumn("_part", F.lit(0)), total, keys).drop("_part")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"), *([F.col(weight).alias("_w")] if weight else []))
+    table = written(rows.groupBy(*keys, "_x").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_n")), "counts")
+    counts = table.withColumn("_part", part_of(table, "_x"))
+    sums = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    whole = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_part", (F.sum("_s").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.col("_s"), F.sum("_s").over(whole).alias("_total"))
     at = {n: q * (F.col("_total") - 1) for n, q in wanted.items()}
-    holds = lambda rank: (rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n"))
-    low = {n: F.max(F.when(holds(F.floor(a)), F.col("_x"))) for n, a in at.items()}
-    high = {n: F.max(F.when(holds(F.ceil(a)), F.col("_x"))) for n, a in at.items()}
-    share = {n: F.max(a - F.floor(a)) for n, a in at.items()}
-    near = F.lit(False)
-    for a in at.values():
-        near = near | holds(F.floor(a)) | holds(F.ceil(a))
-    return rows.filter(near).groupBy(*keys).agg(*[(low[n] + (high[n] - low[n]) * share[n]).alias(n) for n in wanted])
+
+    def holds(rank: Column, first: Column, n: Column) -> Column:
+        return (rank >= first) & (rank < first + n)
+
+    def near(first: Column, n: Column) -> Column:
+        out = F.lit(False)
+        for a in at.values():
+            out = out | holds(F.floor(a), first, n) | holds(F.ceil(a), first, n)
+        return out
+
+    # Only ranges that hold a wanted place are put in order.
+    sums = sums.filter(near(F.col("_before"), F.col("_s"))).drop("_s")
+    within = Window.partitionBy(*keys, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    found = _with_part_table(counts, sums, keys).withColumn("_first", F.col("_before") + F.sum("_n").over(within) - F.col("_n"))
+    first, n = F.col("_first"), F.col("_n")
+    low = {k: F.max(F.when(holds(F.floor(a), first, n), F.col("_x"))) for k, a in at.items()}
+    high = {k: F.max(F.when(holds(F.ceil(a), first, n), F.col("_x"))) for k, a in at.items()}
+    share = {k: F.max(a - F.floor(a)) for k, a in at.items()}
+    return found.filter(near(first, n)).groupBy(*keys).agg(*[(low[k] + (high[k] - low[k]) * share[k]).alias(k) for k in wanted])
 
 
 def trailing_counts(df: DataFrame, keys: Sequence[str], key: str, width: Column, row: Sequence[str], name: str = "trailing") -> DataFrame:

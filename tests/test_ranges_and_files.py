@@ -294,3 +294,29 @@ def test_events_without_props_keep_their_lines(spark, tmp_path):
     spark.createDataFrame([(2, None), (8, '{"k": 4}')], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(tuple(r) for r in fn_json(spark, str(tmp_path)).select("event_id", "line", F.coalesce("k", F.lit(-1.0)), F.coalesce("value", F.lit(-1.0))).collect())
     assert got == [(2, 1, -1.0, -1.0), (2, 3, -1.0, 1500.0), (8, 1, 4.0, -1.0), (8, 3, -1.0, 1500.0)]
+
+
+def counted(spark, seen):
+    """A column function that counts the rows it is asked for."""
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    return F.udf(look, "double").asNondeterministic()
+
+
+def test_coverage_looks_at_windows_once(spark):
+    from hitgrid.plans.scoring import coverage
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(120).select((F.col("id") % 2).alias("grp"), (F.col("id") % 24).alias("run"), counted(spark, seen)(F.col("id") % 7 + 1.0).alias("m1"), (F.col("id") % 5 + 1.0).alias("m2"), (F.col("id") % 3 + 1.0).alias("m3"))
+    assert len(coverage(rows, ["grp"]).collect()) == 8
+    assert seen.value == 120
+
+
+def test_percentiles_look_at_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(101).select((F.col("id") % 1).alias("g"), counted(spark, seen)(F.col("id") * 1.0).alias("x"))
+    assert [tuple(r) for r in ranges.percentiles(rows, ["g"], "x", {"a": 0.5, "b": 0.905}).collect()] == [(0, 50.0, 90.5)]
+    assert seen.value == 101
