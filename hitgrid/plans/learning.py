@@ -298,6 +298,7 @@ def ml_error_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(F.explode(F.array(point("counts"), point("distance"))).alias("p"), "error").select("p.*", "error")
     sizes = rows.groupBy("axis").agg(F.count(F.lit(1)).alias("size"))
     rows = ranges.places(rows, "x", ["error"], keys=["axis"]).join(sizes, "axis").withColumn("bin", F.expr("(20 * (place + 1) + size - 1) div size - 1"))
+    rows = written(rows.select("axis", "bin", "x", "error"), "points")  # places once, read for counts and both percentiles
     keys = ["axis", "bin"]
     center = ranges.percentiles(rows, keys, "x", {"center": 0.5})
     found = ranges.percentiles(rows, keys, "error", {"median": 0.5, "p25": 0.25, "p75": 0.75}).join(center, keys)
