@@ -10,11 +10,12 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curves import platt
-from .ranges import places, running_totals
+from ..tables import written
+from .ranges import part_of, places
 
 
 def share(key: Column, seed: int) -> Column:
@@ -31,8 +32,6 @@ def stratified_split(df: DataFrame, key: str, label: str, fraction: float, seed:
     bucket = F.shiftrightunsigned(h, 52)  # 4096 buckets
     rows = df.withColumns({"_h": h, "_b": bucket})
     counts = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumns({"upto": F.sum("n").over(w), "want": F.round(F.sum("n").over(Window.partitionBy(label)) * fraction)})
     counts = counts.withColumn("_take", F.when(F.col("upto") <= F.col("want"), F.col("n")).otherwise(F.greatest(F.lit(0), F.col("want") - F.col("upto") + F.col("n")))).select(label, "_b", "_take")
@@ -85,19 +84,28 @@ def calibration(model: PipelineModel, train: DataFrame, label: str) -> tuple[flo
         scored.unpersist()
 
 
-def grouped_auc(scored: DataFrame, keys: Sequence[str], score: str = "p", label: str = "y") -> DataFrame:
-    """(keys, roc_auc) of every group at once: the share of pairs in the right order, ties counting half."""
-    counts = scored.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    rows = running_totals(counts, score, ["neg"], keys=keys)
-    right = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
-    return rows.groupBy(*keys).agg((F.sum(right) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+def grouped_auc(scored: DataFrame, keys: Sequence[str], score: str = "p", label: str = "y", part: Column | None = None) -> DataFrame:
+    """(keys, roc_auc) of every group at once: the share of pairs in the right order, ties counting half.
+
+    The pairs within a range of scores are counted where it lies, those across ranges from the ranges' totals, so scores are made and dealt
+    out once. `part` numbers the ranges; the bounds of other scores than these do as well, and save a look at these.
+    """
+    at = [*keys, "_part"]
+    rows = scored.select(*keys, score, F.col(label).cast("long").alias("_pos"), (part_of(scored, score) if part is None else part).alias("_part")).repartition(*at)
+    counts = rows.groupBy(*at, score).agg(F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy(*at).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg") / 2
+    parts = counts.withColumn("right", F.col("pos") * below).groupBy(*at).agg(*[F.sum(c).alias(c) for c in ("right", "pos", "neg")])
+    before = F.sum("neg").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
+    right = F.sum(F.col("right") + F.col("pos") * F.col("before"))
+    return parts.withColumn("before", before).groupBy(*keys).agg((right / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], key: str, label: str, shuffles: int = 5, seed: int = 5) -> DataFrame:
     """(feature, drop): the mean loss of area under the curve over `shuffles` dealings of one feature's values.
 
     A dealing pairs each row with another one by their places in two orders by hash, and only these pairs are shuffled, `shuffles`
-    times the rows. Where they meet, a pair makes a row for each feature, with that feature's value from the other one.
+    times the rows. Where they meet, a pair makes a row for each feature, with that feature's value from the
+    other one, and is scored once: ranges of scores go by the scores of the rows as they are.
     """
     dealings = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("_round")
     dealt = test.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), dealings)
@@ -108,8 +116,10 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     moved = [F.when(F.col("_f") == k, F.element_at("_y", k + 1)).otherwise(F.element_at("_x", k + 1)).alias(f) for k, f in enumerate(features)]
     mixed = pairs.select((F.col("_f") * shuffles + F.col("_round")).alias("deal"), label, *moved)
     feature = F.expr(f"deal div {shuffles}").cast("int")
-    areas = grouped_auc(probabilities(model, mixed), ["deal"], label=label)
-    base = grouped_auc(probabilities(model, test).withColumn("deal", F.lit(-1)), ["deal"], label=label).select(F.col("roc_auc").alias("base"))
+    plain = written(probabilities(model, test).select(F.lit(-1).alias("deal"), label, "p"), "scores")
+    part = part_of(plain, "p")
+    areas = grouped_auc(probabilities(model, mixed), ["deal"], label=label, part=part)
+    base = grouped_auc(plain, ["deal"], label=label, part=part).select(F.col("roc_auc").alias("base"))
     named = F.element_at(F.array(*map(F.lit, features)), feature + 1)
     return areas.crossJoin(F.broadcast(base)).groupBy(named.alias("feature")).agg(F.avg(F.col("base") - F.col("roc_auc")).alias("drop"))  # base is one row
 

@@ -320,3 +320,10 @@ def test_percentiles_look_at_values_once(spark):
     rows = spark.range(101).select((F.col("id") % 1).alias("g"), counted(spark, seen)(F.col("id") * 1.0).alias("x"))
     assert [tuple(r) for r in ranges.percentiles(rows, ["g"], "x", {"a": 0.5, "b": 0.905}).collect()] == [(0, 50.0, 90.5)]
     assert seen.value == 101
+
+
+def test_areas_look_at_scores_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(60).select((F.col("id") % 3).alias("g"), counted(spark, seen)(F.col("id") / 60).alias("p"), (F.col("id") >= 30).cast("int").alias("y"))
+    found = learning.grouped_auc(rows, ["g"], part=F.floor(F.col("p") * 4)).collect()
+    assert {r.g: r.roc_auc for r in found} == {0: 1.0, 1: 1.0, 2: 1.0} and seen.value == 60
