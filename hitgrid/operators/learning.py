@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curves import platt
 from ..tables import written
+from .forest import Forest, grow
 from .ranges import part_of, places
 
 
@@ -47,27 +44,24 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int = 7) -> Da
     return df.join(held, group, "left").withColumn("holdout", F.coalesce("holdout", F.lit(False)))
 
 
-def classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 6, seed: int = 7) -> PipelineModel:
-    """A forest of 64 leaves at most a tree, by its depth."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
-    return PipelineModel([assemble, forest.fit(assemble.transform(train))])
+def classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 6, seed: int = 7) -> Forest:
+    """A forest of 64 leaves at most a tree, by its depth; labels are 0 and 1. A node looks at the square root of the features' number."""
+    return grow(train, features, {"p": label}, math.ceil(math.sqrt(len(features))), trees, depth, seed)[0]
 
 
-def regressor(train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 7, seed: int = 7) -> PipelineModel:
-    """A forest of 128 leaves at most a tree, by its depth."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    forest = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=f"pred_{target}", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
-    return PipelineModel([assemble, forest.fit(assemble.transform(train))])
+def regressors(train: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 7, seed: int = 7) -> list[Forest]:
+    """A forest for each target, of 128 leaves at most a tree, by its depth. A node looks at a third of the features."""
+    return grow(train, features, {f"pred_{t}": t for t in targets}, max(1, math.ceil(len(features) / 3)), trees, depth, seed)
 
 
-def probabilities(model: PipelineModel, df: DataFrame, name: str = "p", calibration: tuple[float, float] | None = None) -> DataFrame:
+def probabilities(model: Forest, df: DataFrame, name: str = "p", calibration: tuple[float, float] | None = None) -> DataFrame:
     """The forest's share of votes for label 1; with a calibration, its sigmoid of that share's logit."""
-    share_of_votes = vector_to_array("probability")[1]
-    if calibration is not None:
-        a, b = calibration
-        share_of_votes = 1 / (1 + F.exp(-(F.lit(a) * _logit(share_of_votes) + F.lit(b))))
-    return model.transform(df).withColumn(name, share_of_votes).drop("_features", "rawPrediction", "probability", "prediction")
+    share_of_votes = model.mean()
+    if calibration is None:
+        return df.withColumn(name, share_of_votes)
+    a, b = calibration
+    scored = df.withColumn("_votes", share_of_votes)
+    return scored.withColumn(name, 1 / (1 + F.exp(-(F.lit(a) * _logit(F.col("_votes")) + F.lit(b))))).drop("_votes")
 
 
 def _logit(p: Column, margin: float = 1e-9) -> Column:
@@ -75,7 +69,7 @@ def _logit(p: Column, margin: float = 1e-9) -> Column:
     return F.log(q / (1 - q))
 
 
-def calibration(model: PipelineModel, train: DataFrame, label: str) -> tuple[float, float]:
+def calibration(model: Forest, train: DataFrame, label: str) -> tuple[float, float]:
     """Platt's sigmoid over the forest's scores of the training rows."""
     scored = probabilities(model, train).select(_logit(F.col("p")).alias("x"), F.col(label).cast("double").alias("y")).persist()
     try:
@@ -100,7 +94,7 @@ def grouped_auc(scored: DataFrame, keys: Sequence[str], score: str = "p", label:
     return parts.withColumn("before", before).groupBy(*keys).agg((right / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], key: str, label: str, shuffles: int = 5, seed: int = 5) -> DataFrame:
+def permutation_importance(model: Forest, test: DataFrame, features: Sequence[str], key: str, label: str, shuffles: int = 5, seed: int = 5) -> DataFrame:
     """(feature, drop): the mean loss of area under the curve over `shuffles` dealings of one feature's values.
 
     A dealing pairs each row with another one by their places in two orders by hash, and only these pairs are shuffled, `shuffles`
