@@ -92,3 +92,17 @@ def test_missing_labels_and_values(spark, rows):
     assert {round(r.pt, 6) for r in forest.grow(rows.withColumn("t", F.lit(2.0)), ["a"], {"pt": "t"}, 1, trees=2, depth=3, seed=1)[0].transform(rows).collect()} == {2.0}
     with pytest.raises(ValueError):
         forest.grow(rows.filter("id < 0"), ["a"], {"ps": "s"}, 1, trees=2, depth=2, seed=1)
+
+
+def test_labels_are_dealt_out_once(spark, rows):
+    from hitgrid.plans.learning import shuffled_label_control
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def looked(x):
+        seen.add(1)
+        return x
+
+    shuffled_label_control(rows.select("id", looked("a").alias("a"), "b", "y"), rows, ["a", "b"], "id", "y", 31, trees=2, depth=2)
+    assert seen.value <= 400
