@@ -4,13 +4,14 @@ Features are cut into at most 32 bins by quantiles and written down once, a byte
 of its rows by tree, node, feature and bin; the tasks' sums meet by tree, where each node gets its best cut. Rows
 never move after they are binned: what is shuffled are sums, as many for any number of rows in a task. Cuts lose as much variance as they can, which for
 labels 0 and 1 is half the Gini impurity. How often a row is in a tree follows a Poisson distribution of mean 1 by a hash of the row,
-so a forest doesn't depend on the partitioning of its rows.
+so a forest doesn't depend on the partitioning of its rows. Forests over several sets of the same rows (folds, classes) share one table:
+its bins are cut at the bounds of all sets, and each set has its own bins made from them where they are summed up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,9 +67,13 @@ class Forest:
         return df.withColumn(self.name, self.mean())
 
 
+def _kind(bounds: Sequence[np.ndarray]) -> type:
+    return np.uint8 if max(map(len, bounds)) < 256 else np.uint16
+
+
 def _bins(columns: Sequence, bounds: Sequence[np.ndarray]) -> np.ndarray:
     """(rows, features): how many of its feature's bounds lie below a value; no value is behind all."""
-    out = np.empty((len(columns[0]), len(bounds)), np.uint8)
+    out = np.empty((len(columns[0]), len(bounds)), _kind(bounds))
     for k, (x, found) in enumerate(zip(columns, bounds, strict=True)):
         out[:, k] = np.searchsorted(found, np.asarray(x, dtype=np.float64))
     return out
@@ -91,27 +96,35 @@ def _times(key: np.ndarray, tree: int) -> np.ndarray:
     return _TIMES.take((h >> np.uint64(48)).astype(np.intp))
 
 
-def _bounds(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, ...]:
-    found = df.approxQuantile(list(features), [k / QUANTILES for k in range(QUANTILES + 1)], 1 / (2 * QUANTILES))
+def _bounds(df: DataFrame, features: Sequence[str], sets: Sequence[Column | None]) -> list[tuple[np.ndarray, ...]]:
+    """For each set of rows its bounds of every feature. All quantiles come in one row: approxQuantile has each number fetched by itself."""
+    at = F.lit(np.arange(QUANTILES + 1) / QUANTILES)
+    numbers = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
+    row = df.agg(*[F.percentile_approx(x if s is None else F.when(s, x), at, 2 * QUANTILES).alias(f"q{i}_{k}") for i, s in enumerate(sets) for k, x in enumerate(numbers)]).first()
     out = []
-    for values in found:
-        values = np.unique(np.array(values, dtype=np.float64))
+    for values in row:
+        values = np.unique(np.array(values or [], dtype=np.float64))
         values = values[np.isfinite(values)]
         between = (values[1:] + values[:-1]) / 2
         if len(between) >= BINS:
             between = between[np.linspace(0, len(between) - 1, BINS + 1).round().astype(int)[1:-1]]
         out.append(between)
-    return tuple(out)
+    return [tuple(out[k : k + len(features)]) for k in range(0, len(out), len(features))]
+
 
+def _codes(bounds: Sequence[np.ndarray], fine: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """For each feature the bin by `bounds` of every bin by `fine`, which holds all of them."""
+    return [np.concatenate([[0], np.searchsorted(own, every, side="right")]).astype(np.uint8) for own, every in zip(bounds, fine, strict=True)]
 
-def _slices(batches: Iterator[pa.RecordBatch], labels: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+
+def _slices(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(keys, bins, labels) of SLICE_ROWS rows or a batch more."""
     held: list[pa.RecordBatch] = []
 
     def together():
         t = pa.Table.from_batches(held).combine_chunks()
-        bins = np.frombuffer(b"".join(t.column("_bins").to_pylist()), np.uint8)
-        return t.column("_key").to_numpy().view(np.uint64), bins, [t.column(f"_y{k}").to_numpy() for k in range(labels)]
+        bins = np.frombuffer(b"".join(t.column("_bins").to_pylist()), kind)
+        return t.column("_key").to_numpy().view(np.uint64), bins, [y.to_numpy() for y in t.columns[2:]]
 
     for batch in batches:
         held.append(batch)
@@ -122,15 +135,30 @@ def _slices(batches: Iterator[pa.RecordBatch], labels: int) -> Iterator[tuple[np
         yield together()
 
 
-def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, labels: int, block: list[tuple], live: int) -> Iterator[pa.RecordBatch]:
-    """A row for each tree of the block: the task's weights and weighted labels by feature of the node, node and bin."""
+def _recoded(bins: np.ndarray, codes: list[np.ndarray] | None) -> np.ndarray:
+    if codes is None:
+        return bins
+    fine = bins.reshape(-1, len(codes))
+    out = np.empty(fine.shape, np.uint8)
+    for k, code in enumerate(codes):
+        out[:, k] = code.take(fine[:, k])
+    return out.ravel()
+
+
+def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, kind: type, labels: list[tuple], codes: list, block: list[tuple], live: int) -> Iterator[pa.RecordBatch]:
+    """A row for each tree of the block: the task's weights and weighted labels by feature of the node, node and bin.
+
+    `labels` says of each label which of the `codes` it takes, and its two values if it has no more: these are counted together.
+    """
     size = (1 << level) * BINS
     sums = None
-    for key, bins, ys in _slices(batches, labels):
+    for key, fine, ys in _slices(batches, kind):
         if sums is None:
             sums = np.zeros((len(block), 2, live, size))
         start = np.arange(len(key)) * width
+        recoded = [_recoded(fine, c) for c in codes]
         known = [np.isfinite(y) for y in ys]
+        upper = [None if pair is None else np.where(y > sum(pair) / 2, size, 0) for y, (_, pair) in zip(ys, labels, strict=True)]
         last, drawn = None, None
         for out, (_, label, tree, feature, cut, taken) in zip(sums, block, strict=True):
             if tree != last:  # the forests of all labels draw alike
@@ -141,13 +169,23 @@ def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, labels: int
             if not known[label].all():
                 some = known[label].take(drawn)
                 rows, weight, at = rows[some], weight[some], at[some]
+            of, pair = labels[label]
+            bins = recoded[of]
             node = _node(bins, at, feature, cut, level) - ((1 << level) - 1)
-            weighted = weight * ys[label].take(rows)
             first, taken = node * BINS, taken.astype(np.intp)
+            if pair is None:
+                weighted = weight * ys[label].take(rows)
+            else:
+                first += upper[label].take(rows)
             for k in range(live):
                 place = first + bins.take(at + taken[k].take(node))
-                out[0, k] += np.bincount(place, weight, size)
-                out[1, k] += np.bincount(place, weighted, size)
+                if pair is None:
+                    out[0, k] += np.bincount(place, weight, size)
+                    out[1, k] += np.bincount(place, weighted, size)
+                else:
+                    counts = np.bincount(place, weight, 2 * size)
+                    out[0, k] += counts[:size] + counts[size:]
+                    out[1, k] += pair[0] * counts[:size] + pair[1] * counts[size:]
     if sums is None:
         return
     part, step = TaskContext.get().partitionId(), max(1, BATCH_BYTES // sums[0].nbytes)
@@ -177,37 +215,79 @@ def _best(group: pa.Table, level: int, live: int) -> pa.Table:
     return pa.table({"number": group.column("number").slice(0, 1), "cuts": pa.array([out.tobytes()], pa.binary())})
 
 
-def _steps(level: int, width: int, labels: int, block: list[tuple], live: int):
+def _steps(level: int, live: int, block: list[tuple], *how):
     """Both steps of a level for a block of trees."""
-    return lambda batches: _sums(batches, level, width, labels, block, live), lambda group: _best(group, level, live)
+    return lambda batches: _sums(batches, level, *how, block, live), lambda group: _best(group, level, live)
 
 
-def grow(train: DataFrame, features: Sequence[str], labels: dict[str, str], per_node: int, trees: int, depth: int, seed: int) -> list[Forest]:
-    """A forest for each (name of its mean, label column), all over the same rows; each node looks at `per_node` features of its own.
+@dataclass(frozen=True)
+class Binned:
+    """Rows in bins, for forests over one or several sets of them: for each label its set, mean, least gain and, if it has no more, both values less the mean."""
 
-    Rows without a label are left out of its forest. A node is cut as long as that gains anything.
-    """
-    columns = list(labels.values())
-    facts = train.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{a}{i}") for i, c in enumerate(columns) for a, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    features: tuple[str, ...]
+    table: DataFrame
+    fine: tuple[np.ndarray, ...]
+    bounds: list[tuple[np.ndarray, ...]]
+    names: list[str]
+    sets: list[int]
+    mean: np.ndarray
+    least: np.ndarray
+    pairs: list[tuple[float, float] | None]
+
+
+def binned(train: DataFrame, features: Sequence[str], sets: Sequence[tuple[Column | None, Mapping[str, str]]], seed: int) -> Binned:
+    """Bins the rows once. A set is a condition on the rows (None: all) and (name, label column) of its forests; names differ."""
+    width = len(features)
+    names = [name for _, labels in sets for name in labels]
+    which = [k for k, (_, labels) in enumerate(sets) for _ in labels]
+    columns = [F.col(c).cast("double") if s is None else F.when(s, F.col(c).cast("double")) for s, labels in sets for c in labels.values()]
+    told = (("m", F.avg), ("v", F.var_pop), ("o", lambda y: F.count_if(~y.isin(0.0, 1.0))))
+    facts = train.agg(F.count(F.lit(1)).alias("n"), *[f(y).alias(f"{a}{i}") for i, y in enumerate(columns) for a, f in told]).first()
     if any(facts[f"m{i}"] is None for i in range(len(columns))):
-        raise ValueError(f"no labelled rows for one of {columns}")
+        raise ValueError(f"no labelled rows for one of {names}")
     mean = np.array([facts[f"m{i}"] for i in range(len(columns))])
     least = np.array([facts[f"v{i}"] for i in range(len(columns))]) * 1e-12
-    bounds, width = _bounds(train, features), len(features)
+    pairs = [None if facts[f"o{i}"] else (-float(m), 1 - float(m)) for i, m in enumerate(mean)]
+    bounds = _bounds(train, features, [s for s, _ in sets])
+    fine = tuple(np.unique(np.concatenate(own)) for own in zip(*bounds, strict=True))
     tasks = max(1, min(facts.n // TASK_ROWS[0], max(train.sparkSession.sparkContext.defaultParallelism, facts.n // TASK_ROWS[1])))
+    targets = [f"_y{i}" for i in range(len(columns))]
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = _bins([batch.column(f"_x{k}").to_numpy(zero_copy_only=False) for k in range(width)], bounds)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(bins), [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), packed, *[batch.column(f"_y{i}") for i in range(len(columns))]], ["_key", "_bins", *[f"_y{i}" for i in range(len(columns))]])
+            bins = _bins([batch.column(f"_x{k}").to_numpy(zero_copy_only=False) for k in range(width)], fine)
+            together = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * bins.itemsize), len(bins), [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), together, *[batch.column(y) for y in targets]], ["_key", "_bins", *targets])
 
-    ys = [(F.col(c).cast("double") - float(mean[i])).alias(f"_y{i}") for i, c in enumerate(columns)]
+    ys = [(y - float(mean[i])).alias(targets[i]) for i, y in enumerate(columns)]
     rows = train.select(F.xxhash64(F.lit(seed), *train.columns).alias("_key"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)], *ys)
-    schema = ", ".join(["_key long", "_bins binary", *[f"_y{i} double" for i in range(len(columns))]])
-    table = written(rows.mapInArrow(binned, schema).repartition(tasks, "_key"), "bins")
+    schema = ", ".join(["_key long", "_bins binary", *[f"{y} double" for y in targets]])
+    table = written(rows.mapInArrow(packed, schema).repartition(tasks, "_key"), "bins")
+    return Binned(tuple(features), table, fine, bounds, names, which, mean, least, pairs)
+
 
-    forests, live = len(columns), min(per_node, width)
+def grow(train: DataFrame, features: Sequence[str], labels: dict[str, str], per_node: int, trees: int, depth: int, seed: int) -> list[Forest]:
+    """A forest for each (name of its mean, label column), all over the same rows; each node looks at `per_node` features of its own.
+
+    Rows without a label are left out of its forest. A node is cut as long as that gains anything.
+    """
+    rows = binned(train, features, [(None, labels)], seed)
+    found = grown(rows, list(labels), per_node, trees, depth, seed)
+    discard(rows.table)
+    return found
+
+
+def grown(rows: Binned, names: Sequence[str], per_node: int, trees: int, depth: int, seed: int, alike: bool = False) -> list[Forest]:
+    """The forests of some labels of binned rows. Each has features of its own drawn for its nodes; with `alike` all have those that one alone would have."""
+    chosen, width = [rows.names.index(name) for name in names], len(rows.features)
+    used = sorted({rows.sets[i] for i in chosen})
+    mean, least = rows.mean[chosen], rows.least[chosen]
+    table = rows.table.select("_key", "_bins", *[f"_y{i}" for i in chosen])
+    if len(rows.bounds) > 1 and len(used) == 1:
+        table = table.filter(F.coalesce(*[f"_y{i}" for i in chosen]).isNotNull())
+    codes = [None if len(rows.bounds) == 1 else _codes(rows.bounds[s], rows.fine) for s in used]
+    how = width, _kind(rows.fine), [(used.index(rows.sets[i]), rows.pairs[i]) for i in chosen], codes
+    forests, live = len(chosen), min(per_node, width)
     count = forests * trees
     feature, cut = np.zeros((count, (1 << depth) - 1), np.int16), np.full((count, (1 << depth) - 1), 255, np.uint8)
     value, alive = np.zeros((count, (2 << depth) - 1)), np.zeros((count, (2 << depth) - 1), bool)
@@ -215,20 +295,21 @@ def grow(train: DataFrame, features: Sequence[str], labels: dict[str, str], per_
     draw = np.random.default_rng(seed)
     for level in range(depth):
         lo, hi = (1 << level) - 1, (2 << level) - 1
-        taken = draw.random((count, hi - lo, width)).argsort(axis=2)[..., :live].transpose(0, 2, 1).astype(np.int16)
+        taken = draw.random((trees if alike else count, hi - lo, width)).argsort(axis=2)[..., :live].transpose(0, 2, 1).astype(np.int16)
+        if alike:
+            taken = taken.repeat(forests, axis=0)
         step = max(1, SUM_BYTES // (2 * live * (hi - lo) * BINS * 8))
         for at in range(0, count, step):
             block = [(g, g % forests, g // forests, feature[g, :lo], cut[g, :lo], taken[g]) for g in range(at, min(at + step, count))]
-            summed, best = _steps(level, width, len(columns), block, live)
+            summed, best = _steps(level, live, block, *how)
             sums = table.mapInArrow(summed, "number int, part int, sums binary")
             for r in sums.groupBy("number").applyInArrow(best, "number int, cuts binary").collect():
                 _place(r.number, np.frombuffer(r.cuts).reshape(7, -1), lo, hi, least[r.number % forests], taken[r.number], feature, cut, value, alive)
         # Whatever isn't cut sends its rows, and its mean, to the first child.
         still = cut[:, lo:hi] == 255
         value[:, 2 * lo + 1 : 2 * hi + 1 : 2] = np.where(still, value[:, lo:hi], value[:, 2 * lo + 1 : 2 * hi + 1 : 2])
-    discard(table)
     leaves = value[:, (1 << depth) - 1 :]
-    return [Forest(tuple(features), bounds, feature[i::forests], cut[i::forests], leaves[i::forests] + mean[i], name) for i, name in enumerate(labels)]
+    return [Forest(rows.features, rows.bounds[rows.sets[k]], feature[i::forests], cut[i::forests], leaves[i::forests] + mean[i], rows.names[k]) for i, k in enumerate(chosen)]
 
 
 def _place(g: int, found: np.ndarray, lo: int, hi: int, least: float, taken: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, alive: np.ndarray) -> None:

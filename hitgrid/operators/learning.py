@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curves import platt
-from ..tables import written
-from .forest import Forest, grow
+from ..tables import discard, written
+from .forest import Forest, binned, grow, grown
 from .ranges import part_of, places
 
 
@@ -46,12 +46,39 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int = 7) -> Da
 
 def classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 6, seed: int = 7) -> Forest:
     """A forest of 64 leaves at most a tree, by its depth; labels are 0 and 1. A node looks at the square root of the features' number."""
-    return grow(train, features, {"p": label}, math.ceil(math.sqrt(len(features))), trees, depth, seed)[0]
+    return grow(train, features, {"p": label}, _root(features), trees, depth, seed)[0]
+
+
+def _root(features: Sequence[str]) -> int:
+    return math.ceil(math.sqrt(len(features)))
+
+
+def _third(features: Sequence[str]) -> int:
+    return max(1, math.ceil(len(features) / 3))
+
+
+def fold_classifiers(rows: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, trees: int = 200, depth: int = 6, seed: int = 7) -> list[Forest]:
+    """For each fold the `classifier` of all rows but its own. Rows are binned once, at each fold's own bounds, and all forests grow together."""
+    names = [f"p{k}" for k in range(folds)]
+    table = binned(rows, features, [(F.col(fold) != k, {name: label}) for k, name in enumerate(names)], seed)
+    found = grown(table, names, _root(features), trees, depth, seed, alike=True)
+    discard(table.table)
+    return found
 
 
 def regressors(train: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 7, seed: int = 7) -> list[Forest]:
     """A forest for each target, of 128 leaves at most a tree, by its depth. A node looks at a third of the features."""
-    return grow(train, features, {f"pred_{t}": t for t in targets}, max(1, math.ceil(len(features) / 3)), trees, depth, seed)
+    return grow(train, features, {f"pred_{t}": t for t in targets}, _third(features), trees, depth, seed)
+
+
+def classifier_and_regressors(train: DataFrame, features: Sequence[str], label: str, kinds: dict[str, tuple[int, Sequence[str]]], trees: int = 200, depths: tuple[int, int] = (6, 7), seed: int = 7) -> tuple[Forest, list[Forest]]:
+    """The `classifier`, and for each prefix of `kinds` the `regressors` of its targets over the rows with its label, named <prefix><target>. Rows are binned once."""
+    sets = [(F.col(label) == value, {prefix + t: t for t in targets}) for prefix, (value, targets) in kinds.items()]
+    table = binned(train, features, [(None, {"p": label}), *sets], seed)
+    model = grown(table, ["p"], _root(features), trees, depths[0], seed)[0]
+    found = [f for _, labels in sets for f in grown(table, list(labels), _third(features), trees, depths[1], seed)]
+    discard(table.table)
+    return model, found
 
 
 def probabilities(model: Forest, df: DataFrame, name: str = "p", calibration: tuple[float, float] | None = None) -> DataFrame:

@@ -106,3 +106,52 @@ def test_labels_are_dealt_out_once(spark, rows):
 
     shuffled_label_control(rows.select("id", looked("a").alias("a"), "b", "y"), rows, ["a", "b"], "id", "y", 31, trees=2, depth=2)
     assert seen.value <= 400
+
+
+@pytest.fixture
+def counted(spark, rows):
+    """(rows, how often one was looked at)"""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def looked(x):
+        seen.add(1)
+        return x
+
+    return rows.select("id", looked("a").alias("a"), "b", "s", "t", "y", (F.col("id") % 5).cast("int").alias("fold")), seen
+
+
+def test_folds_read_the_rows_together_and_are_as_each_alone(rows, counted):
+    source, seen = counted
+    found = learning.fold_classifiers(source, ["a", "b"], "y", "fold", 5, trees=6, depth=4)
+    assert seen.value <= 3 * 400  # facts, bounds, bins
+    plain = rows.select("id", "a", "b", "s", "t", "y", (F.col("id") % 5).cast("int").alias("fold"))
+    scores = lambda model: [r.p for r in learning.probabilities(model, plain).orderBy("id").collect()]
+    for k in (0, 3):
+        assert scores(found[k]) == pytest.approx(scores(learning.classifier(plain.filter(F.col("fold") != k), ["a", "b"], "y", trees=6, depth=4)), rel=1e-9)
+
+
+def test_class_and_places_read_the_rows_together_and_are_as_each_alone(rows, counted):
+    source, seen = counted
+    model, found = learning.classifier_and_regressors(source, ["a", "b"], "y", {"s_": (0, ["s"]), "d_": (1, ["s", "t"])}, trees=6, depths=(3, 4))
+    assert seen.value <= 3 * 400
+    assert [f.name for f in found] == ["s_s", "d_s", "d_t"]
+    plain = rows.select("id", "a", "b", "s", "t", "y", (F.col("id") % 5).cast("int").alias("fold"))
+    scores = lambda f: [r[f.name] for r in f.transform(plain).orderBy("id").collect()]
+    assert scores(model) == pytest.approx(scores(learning.classifier(plain, ["a", "b"], "y", trees=6, depth=3)), rel=1e-9)
+    alone = [*learning.regressors(plain.filter("y = 0"), ["a", "b"], ["s"], trees=6, depth=4), *learning.regressors(plain.filter("y = 1"), ["a", "b"], ["s", "t"], trees=6, depth=4)]
+    for one, other in zip(found, alone, strict=True):
+        assert scores(one) == pytest.approx(scores(other), rel=1e-9)
+
+
+@pytest.mark.parametrize("sets", [3, 12])  # with twelve, a byte doesn't tell all bounds apart
+def test_bins_of_a_set_follow_from_those_of_all(sets):
+    rng = np.random.default_rng(2)
+    bounds = [(np.unique(rng.normal(size=31)), np.unique(rng.integers(0, 9, 5) / 2.0), np.array([])) for _ in range(sets)]
+    fine = tuple(np.unique(np.concatenate(own)) for own in zip(*bounds, strict=True))
+    assert (len(fine[0]) > 255) == (forest._kind(fine) is np.uint16) == (sets == 12)
+    x = [np.concatenate([rng.normal(size=500), fine[0], [np.nan, np.inf, -np.inf]]), None, None]
+    x[1] = x[2] = np.round(np.resize(x[0], len(x[0])) * 2) / 2
+    together = forest._bins(x, fine)
+    for own in bounds:
+        assert (forest._recoded(together.ravel(), forest._codes(own, fine)) == forest._bins(x, own).ravel()).all()
