@@ -26,10 +26,10 @@ from ..tables import discard, written
 BINS = 32
 #: Quantiles that bounds are chosen from, so that a frequent value takes one bin and leaves the others to the rest.
 QUANTILES = 1024
-#: Rows that a task looks at together.
-SLICE_ROWS = 1 << 15
-#: Rows of a task: from the least on there are as many tasks as cores, and more where these would hold over the most.
-TASK_ROWS = 1 << 13, 1 << 19
+#: Rows that a task looks at together, so few that the bins of several sets stay in a core's cache from tree to tree.
+SLICE_ROWS = 1 << 13
+#: Rows of a task: from the least on there are as many tasks as cores, and twice or more times as many where these would hold over the most.
+TASK_ROWS = 1 << 13, 1 << 20
 #: Bytes of sums that a task holds: trees of a level take several passes where they need more.
 SUM_BYTES = 96 << 20
 #: Bytes of sums in a row batch on their way to where they meet.
@@ -49,24 +49,37 @@ class Forest:
     leaves: np.ndarray
     name: str
 
-    def mean(self) -> Column:
-        """The mean of the trees' leaves for a row."""
+    def scores(self, columns: Sequence) -> np.ndarray:
+        """The mean of the trees' leaves for the rows of a batch, from their features' values."""
         depth = self.leaves.shape[1].bit_length() - 1
+        bins = _bins(columns, self.bounds)
+        start = np.arange(len(bins)) * bins.shape[1]
+        total = np.zeros(len(bins))
+        for feature, cut, leaves in zip(self.feature, self.cut, self.leaves, strict=True):
+            total += leaves.take(_node(bins.ravel(), start, feature, cut, depth))
+        return total / len(self.leaves)
 
-        def score(*columns: pd.Series) -> pd.Series:
-            bins = _bins(columns, self.bounds)
-            start = np.arange(len(bins)) * bins.shape[1]
-            total = np.zeros(len(bins))
-            for feature, cut, leaves in zip(self.feature, self.cut, self.leaves, strict=True):
-                total += leaves.take(_node(bins.ravel(), start, feature, cut, depth) - len(feature))
-            return pd.Series(total / len(self.leaves))
-
-        return F.pandas_udf(score, "double")(*[F.col(c).cast("double") for c in self.features])
+    def mean(self) -> Column:
+        """The mean of the trees' leaves for a row."""
+        return F.pandas_udf(lambda *columns: pd.Series(self.scores(columns)), "double")(*[F.col(c).cast("double") for c in self.features])
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.name, self.mean())
 
 
+def mean_by(number: Column, forests: Sequence[Forest]) -> Column:
+    """For each row the mean of the forest of its number, from 0; null for other numbers. All have the same features."""
+
+    def score(numbers: pd.Series, *columns: pd.Series) -> pd.Series:
+        of, values, out = numbers.to_numpy(), [np.asarray(x, dtype=np.float64) for x in columns], np.full(len(numbers), np.nan)
+        for k, forest in enumerate(forests):
+            if len(rows := np.flatnonzero(of == k)):
+                out[rows] = forest.scores([x.take(rows) for x in values])
+        return pd.Series(out)
+
+    return F.pandas_udf(score, "double")(number, *[F.col(c).cast("double") for c in forests[0].features])
+
+
 def _kind(bounds: Sequence[np.ndarray]) -> type:
     return np.uint8 if max(map(len, bounds)) < 256 else np.uint16
 
@@ -80,11 +93,15 @@ def _bins(columns: Sequence, bounds: Sequence[np.ndarray]) -> np.ndarray:
 
 
 def _node(bins: np.ndarray, start: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """The node of a tree that each row is in after so many levels."""
+    """The node of a tree that each row is in after so many levels, by its place in that level."""
     node, feature = np.zeros(len(start), np.intp), feature.astype(np.intp)
-    for _ in range(levels):
-        right = bins.take(start + feature.take(node)) > cut.take(node)
-        node += node + 1
+    at = np.empty(len(start), np.intp)
+    for level in range(levels):
+        own = slice((1 << level) - 1, (2 << level) - 1)
+        feature[own].take(node, out=at, mode="clip")  # unlike "raise", it writes to `out` at once
+        at += start
+        right = bins.take(at) > cut[own].take(node)
+        node += node
         node += right
     return node
 
@@ -97,21 +114,39 @@ def _times(key: np.ndarray, tree: int) -> np.ndarray:
 
 
 def _bounds(df: DataFrame, features: Sequence[str], sets: Sequence[Column | None]) -> list[tuple[np.ndarray, ...]]:
-    """For each set of rows its bounds of every feature. All quantiles come in one row: approxQuantile has each number fetched by itself."""
-    at = F.lit(np.arange(QUANTILES + 1) / QUANTILES)
+    """For each set of rows its bounds of every feature.
+
+    Rows that are in the same sets make one group, whose quantiles are found once, and a set's follow from those of its groups: folds and
+    classes overlap in few ways, so a row is looked at once however many sets it is in. All quantiles of a group come in one
+    row: approxQuantile has each number fetched by itself.
+    """
+    at = np.arange(QUANTILES + 1) / QUANTILES
     numbers = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
-    row = df.agg(*[F.percentile_approx(x if s is None else F.when(s, x), at, 2 * QUANTILES).alias(f"q{i}_{k}") for i, s in enumerate(sets) for k, x in enumerate(numbers)]).first()
+    within = F.array(*[F.lit(True) if s is None else F.coalesce(s, F.lit(False)) for s in sets]).alias("within")
+    found = [f(k, x) for k, x in enumerate(numbers) for f in (lambda k, x: F.count(x).alias(f"n{k}"), lambda k, x: F.percentile_approx(x, F.lit(at), 2 * QUANTILES).alias(f"q{k}"))]
+    groups = sorted(df.groupBy(within).agg(*found).collect(), key=lambda r: r.within)
     out = []
-    for values in row:
-        values = np.unique(np.array(values or [], dtype=np.float64))
-        values = values[np.isfinite(values)]
-        between = (values[1:] + values[:-1]) / 2
-        if len(between) >= BINS:
-            between = between[np.linspace(0, len(between) - 1, BINS + 1).round().astype(int)[1:-1]]
-        out.append(between)
+    for i in range(len(sets)):
+        for k in range(len(features)):
+            values = np.unique(_merged([(r[f"n{k}"], r[f"q{k}"]) for r in groups if r.within[i] and r[f"n{k}"]], at))
+            values = values[np.isfinite(values)]
+            between = (values[1:] + values[:-1]) / 2
+            if len(between) >= BINS:
+                between = between[np.linspace(0, len(between) - 1, BINS + 1).round().astype(int)[1:-1]]
+            out.append(between)
     return [tuple(out[k : k + len(features)]) for k in range(0, len(out), len(features))]
 
 
+def _merged(parts: Sequence[tuple[int, Sequence[float]]], at: np.ndarray) -> np.ndarray:
+    """The quantiles of groups together, from each one's number of rows and quantiles."""
+    if len(parts) < 2:
+        return np.array(parts[0][1] if parts else [], dtype=np.float64)
+    values, weight = np.concatenate([q for _, q in parts]), np.concatenate([np.full(len(q), n / len(q)) for n, q in parts])
+    order = values.argsort(kind="stable")
+    upto = weight[order].cumsum()
+    return values[order].take(np.searchsorted(upto, at * upto[-1]), mode="clip")
+
+
 def _codes(bounds: Sequence[np.ndarray], fine: Sequence[np.ndarray]) -> list[np.ndarray]:
     """For each feature the bin by `bounds` of every bin by `fine`, which holds all of them."""
     return [np.concatenate([[0], np.searchsorted(own, every, side="right")]).astype(np.uint8) for own, every in zip(bounds, fine, strict=True)]
@@ -154,10 +189,11 @@ def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, kind: type,
     sums = None
     for key, fine, ys in _slices(batches, kind):
         if sums is None:
-            sums = np.zeros((len(block), 2, live, size))
+            sums = np.zeros((len(block), live, 2, size))
         start = np.arange(len(key)) * width
         recoded = [_recoded(fine, c) for c in codes]
         known = [np.isfinite(y) for y in ys]
+        partial = [not k.all() for k in known]
         upper = [None if pair is None else np.where(y > sum(pair) / 2, size, 0) for y, (_, pair) in zip(ys, labels, strict=True)]
         last, drawn = None, None
         for out, (_, label, tree, feature, cut, taken) in zip(sums, block, strict=True):
@@ -166,28 +202,32 @@ def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, kind: type,
                 drawn = np.flatnonzero(times)
                 last, weights, starts = tree, times.take(drawn).astype(np.float64), start.take(drawn)
             rows, weight, at = drawn, weights, starts
-            if not known[label].all():
-                some = known[label].take(drawn)
-                rows, weight, at = rows[some], weight[some], at[some]
+            if partial[label]:
+                some = np.flatnonzero(known[label].take(drawn))
+                rows, weight, at = rows.take(some), weight.take(some), at.take(some)
             of, pair = labels[label]
             bins = recoded[of]
-            node = _node(bins, at, feature, cut, level) - ((1 << level) - 1)
-            first, taken = node * BINS, taken.astype(np.intp)
+            node = _node(bins, at, feature, cut, level)
+            first, taken, place = node * BINS, taken.astype(np.intp), np.empty(len(at), np.intp)
             if pair is None:
                 weighted = weight * ys[label].take(rows)
             else:
                 first += upper[label].take(rows)
             for k in range(live):
-                place = first + bins.take(at + taken[k].take(node))
+                taken[k].take(node, out=place, mode="clip")
+                place += at
+                np.add(first, bins.take(place), out=place)
                 if pair is None:
-                    out[0, k] += np.bincount(place, weight, size)
-                    out[1, k] += np.bincount(place, weighted, size)
+                    out[k, 0] += np.bincount(place, weight, size)
+                    out[k, 1] += np.bincount(place, weighted, size)
                 else:
-                    counts = np.bincount(place, weight, 2 * size)
-                    out[0, k] += counts[:size] + counts[size:]
-                    out[1, k] += pair[0] * counts[:size] + pair[1] * counts[size:]
+                    out[k] += np.bincount(place, weight, 2 * size).reshape(2, size)
     if sums is None:
         return
+    for out, (_, label, *_) in zip(sums, block, strict=True):
+        if pair := labels[label][1]:  # so far the weights of either value
+            lower, upper = out[:, 0].copy(), out[:, 1].copy()
+            out[:, 0], out[:, 1] = lower + upper, pair[0] * lower + pair[1] * upper
     part, step = TaskContext.get().partitionId(), max(1, BATCH_BYTES // sums[0].nbytes)
     for k in range(0, len(block), step):
         some = [b[0] for b in block[k : k + step]]
@@ -197,9 +237,10 @@ def _sums(batches: Iterator[pa.RecordBatch], level: int, width: int, kind: type,
 def _best(group: pa.Table, level: int, live: int) -> pa.Table:
     """For each node of a tree: weight, sum, place of the best feature, its bin, the gain, and the weight and sum of the first child."""
     order = np.argsort(group.column("part").to_numpy())
-    total = np.zeros((2, live, 1 << level, BINS))
+    total = np.zeros((live, 2, 1 << level, BINS))
     for k in order:
         total += np.frombuffer(group.column("sums")[int(k)].as_buffer(), np.float64).reshape(total.shape)
+    total = total.swapaxes(0, 1)
     n, s = total[:, 0].sum(axis=-1)
     left_n, left_s = total.cumsum(axis=-1)[..., :-1]
     right_n, right_s = n[None, :, None] - left_n, s[None, :, None] - left_s
@@ -235,6 +276,11 @@ class Binned:
     pairs: list[tuple[float, float] | None]
 
 
+def _tasks(rows: int, cores: int) -> int:
+    """As many tasks as fill the cores evenly: with one task more than cores, a level would take twice its time."""
+    return max(1, min(rows // TASK_ROWS[0], cores * math.ceil(rows / (cores * TASK_ROWS[1]))))
+
+
 def binned(train: DataFrame, features: Sequence[str], sets: Sequence[tuple[Column | None, Mapping[str, str]]], seed: int) -> Binned:
     """Bins the rows once. A set is a condition on the rows (None: all) and (name, label column) of its forests; names differ."""
     width = len(features)
@@ -250,7 +296,7 @@ def binned(train: DataFrame, features: Sequence[str], sets: Sequence[tuple[Colum
     pairs = [None if facts[f"o{i}"] else (-float(m), 1 - float(m)) for i, m in enumerate(mean)]
     bounds = _bounds(train, features, [s for s, _ in sets])
     fine = tuple(np.unique(np.concatenate(own)) for own in zip(*bounds, strict=True))
-    tasks = max(1, min(facts.n // TASK_ROWS[0], max(train.sparkSession.sparkContext.defaultParallelism, facts.n // TASK_ROWS[1])))
+    tasks = _tasks(facts.n, train.sparkSession.sparkContext.defaultParallelism)
     targets = [f"_y{i}" for i in range(len(columns))]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .curves import platt
 from ..tables import discard, written
-from .forest import Forest, binned, grow, grown
+from .forest import Forest, binned, grow, grown, mean_by
 from .ranges import part_of, places
 
 
@@ -66,6 +66,11 @@ def fold_classifiers(rows: DataFrame, features: Sequence[str], label: str, fold:
     return found
 
 
+def fold_probabilities(models: Sequence[Forest], rows: DataFrame, fold: str, name: str = "p") -> DataFrame:
+    """rows with the share of votes of their own fold's forest, which has not seen them; all folds in one look at the rows."""
+    return rows.withColumn(name, mean_by(F.col(fold), models))
+
+
 def regressors(train: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 7, seed: int = 7) -> list[Forest]:
     """A forest for each target, of 128 leaves at most a tree, by its depth. A node looks at a third of the features."""
     return grow(train, features, {f"pred_{t}": t for t in targets}, _third(features), trees, depth, seed)

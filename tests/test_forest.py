@@ -1,8 +1,10 @@
 """Forests against brute force, and what they must not depend on."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,68 @@ def test_bins_of_a_set_follow_from_those_of_all(sets):
     together = forest._bins(x, fine)
     for own in bounds:
         assert (forest._recoded(together.ravel(), forest._codes(own, fine)) == forest._bins(x, own).ravel()).all()
+
+
+def test_scores_of_folds_come_in_one_look(rows, counted):
+    source, seen = counted
+    models = learning.fold_classifiers(rows.withColumn("fold", (F.col("id") % 5).cast("int")), ["a", "b"], "y", "fold", 4, trees=3, depth=3)
+    got = {r.id: (r.fold, r.p) for r in learning.fold_probabilities(models, source, "fold").select("id", "fold", "p").collect()}
+    assert seen.value == 400
+    for k, model in enumerate(models):
+        alone = {r.id: r.p for r in learning.probabilities(model, rows).collect()}
+        assert all(p == pytest.approx(alone[i], rel=1e-12) for i, (fold, p) in got.items() if fold == k)
+    assert sum(p is None for _, p in got.values()) == 80  # fold 4 has no forest
+
+
+def test_bounds_of_many_sets_take_quantiles_of_a_row_once(spark, monkeypatch):
+    taken, real = [], F.percentile_approx
+    monkeypatch.setattr(forest.F, "percentile_approx", lambda *a: taken.append(a) or real(*a))
+    rng = np.random.default_rng(5)
+    fold = rng.choice(5, 20_000, p=[0.6, 0.2, 0.1, 0.09, 0.01])
+    x = np.where(rng.random(20_000) < 0.4, 0.0, rng.normal(fold, 1.0 + fold))  # folds differ in size and values, and one value is frequent
+    df = spark.createDataFrame(list(zip(fold.tolist(), x.tolist(), strict=True)), "fold int, x double").repartition(6)
+    sets = [None, *[F.col("fold") != k for k in range(5)], F.when(F.col("fold") == 0, F.lit(None)).otherwise(F.col("fold") == 4), F.col("fold") > 9]
+    found = forest._bounds(df, ["x"], sets)
+    assert len(taken) == 1
+    for own, within in zip(found, [fold >= 0, *[fold != k for k in range(5)], fold == 4], strict=False):
+        values = np.sort(x[within])
+        exact = np.unique(np.quantile(values, np.arange(forest.QUANTILES + 1) / forest.QUANTILES, method="inverted_cdf"))
+        between = (exact[1:] + exact[:-1]) / 2
+        exact = between[np.linspace(0, len(between) - 1, forest.BINS + 1).round().astype(int)[1:-1]]
+        place = lambda bounds: np.searchsorted(values, bounds) / len(values)
+        assert len(own[0]) == 31 and np.abs(place(own[0]) - place(exact)).max() < 0.005
+    assert len(found[-1][0]) == 0
+
+
+@pytest.mark.parametrize(("rows", "cores", "tasks"), [(100, 12, 1), (30_000, 12, 3), (1_200_000, 8, 8), (7_200_000, 12, 12), (13_000_000, 12, 24), (7_200_000, 2, 8)])
+def test_tasks_fill_the_cores_evenly(rows, cores, tasks):
+    assert forest._tasks(rows, cores) == tasks
+
+
+def test_sums_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    bins, key = rng.integers(0, 32, (900, 3)).astype(np.uint8), rng.integers(0, 1 << 62, 900)
+    ys = [np.where(rng.random(900) < 0.2, np.nan, rng.integers(0, 2, 900) - 0.25), rng.normal(size=900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 90]), pa.array([r.tobytes() for r in bins[k : k + 90]]), *[pa.array(y[k : k + 90]) for y in ys]], ["_key", "_bins", "_y0", "_y1"]) for k in range(0, 900, 90)]
+    cut, feature, taken = np.array([9, 20, 15], np.uint8), np.array([0, 2, 1], np.int16), np.array([[0, 1, 2, 0], [1, 2, 0, 2]], np.int16)
+    block = [(g, g % 2, g // 2, feature, cut, taken) for g in range(6)]
+    monkeypatch.setattr(forest.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+
+    def summed(size):
+        monkeypatch.setattr(forest, "SLICE_ROWS", size)
+        out = [np.frombuffer(s, np.float64) for b in forest._sums(iter(batches), 2, 3, np.uint8, [(0, (-0.25, 0.75)), (0, None)], [None], block, 2) for s in b.column("sums").to_pylist()]
+        return [s.reshape(2, 2, 4, 32) for s in out]  # feature of the node, weights or weighted labels, node, bin
+
+    whole = summed(1000)
+    for s, (_, label, tree, *_) in zip(whole, block, strict=True):
+        times = forest._times(key.view(np.uint64), tree).astype(float)
+        some = np.isfinite(ys[label])
+        node = np.array([2 * (b[0] > 9) + (b[2] > 20 if b[0] <= 9 else b[1] > 15) for b in bins])
+        for k in range(2):
+            at = node, bins[np.arange(900), taken[k][node]]
+            want = np.zeros((2, 4, 32))
+            np.add.at(want[0], tuple(a[some] for a in at), times[some])
+            np.add.at(want[1], tuple(a[some] for a in at), (times * ys[label])[some])
+            assert s[k] == pytest.approx(want, abs=1e-9)
+    for s, other in zip(whole, summed(200), strict=True):
+        assert s == pytest.approx(other, abs=1e-9)
