@@ -117,18 +117,22 @@ def _bounds(df: DataFrame, features: Sequence[str], sets: Sequence[Column | None
     """For each set of rows its bounds of every feature.
 
     Rows that are in the same sets make one group, whose quantiles are found once, and a set's follow from those of its groups: folds and
-    classes overlap in few ways, so a row is looked at once however many sets it is in. All quantiles of a group come in one
+    classes overlap in few ways, so a row is looked at once however many sets it is in. The whole table is a group of its own, since
+    its quantiles needn't be merged. All quantiles of a group come in one
     row: approxQuantile has each number fetched by itself.
     """
     at = np.arange(QUANTILES + 1) / QUANTILES
     numbers = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
-    within = F.array(*[F.lit(True) if s is None else F.coalesce(s, F.lit(False)) for s in sets]).alias("within")
+    within = F.array(*[F.coalesce(s, F.lit(False)) for s in sets if s is not None]).alias("within")
     found = [f(k, x) for k, x in enumerate(numbers) for f in (lambda k, x: F.count(x).alias(f"n{k}"), lambda k, x: F.percentile_approx(x, F.lit(at), 2 * QUANTILES).alias(f"q{k}"))]
-    groups = sorted(df.groupBy(within).agg(*found).collect(), key=lambda r: r.within)
+    some = [i for i, s in enumerate(sets) if s is not None]
+    grouped = df.groupBy(F.lit(None).cast("array<boolean>").alias("within")) if not some else df.groupBy(within) if len(some) == len(sets) else df.rollup(within)
+    groups = sorted(grouped.agg(*found).collect(), key=lambda r: r.within or [])
+    of = {i: [r for r in groups if (r.within is None if i not in some else r.within and r.within[some.index(i)])] for i in range(len(sets))}
     out = []
     for i in range(len(sets)):
         for k in range(len(features)):
-            values = np.unique(_merged([(r[f"n{k}"], r[f"q{k}"]) for r in groups if r.within[i] and r[f"n{k}"]], at))
+            values = np.unique(_merged([(r[f"n{k}"], r[f"q{k}"]) for r in of[i] if r[f"n{k}"]], at))
             values = values[np.isfinite(values)]
             between = (values[1:] + values[:-1]) / 2
             if len(between) >= BINS:
